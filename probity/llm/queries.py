@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_groups
+from .langid import identify, train_text
+from .lines import dedup_units
 from .mixing import mix, mix_sql
+from .secrets import BASE, find_secrets
 from .simhash import near_duplicates
+from .toxicity import held_out, score_documents, train_model
+from .warc import archive_round_trip
 
 #: Domains of the sources and target weights of domains, languages and sources, for the mixture query.
 DOMAINS = {f"src{i}": d for d, ids in {"web": range(0, 8), "reference": range(8, 13), "forum": range(13, 18)}.items() for i in ids}
 WEIGHTS = ({"web": 4, "reference": 3, "forum": 2, "other": 1}, {"en": 4, "de": 2, "fr": 2, "es": 2}, {"src0": 1})
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in BASE]))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("bigint")
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_model(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    scored = score_documents(docs, model, threshold=0.3, keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, most=4)
 
@@ -23,6 +48,17 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_text(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "pages"), model)
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_units(table(spark, sf_dir, "documents"), kind="line", min_words=5, keep=["doc_id"], keep_text=False)
+    spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x[0], x[1])), ",")
+    return found.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), "kept_sha256")
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), DOMAINS, WEIGHTS)
 
@@ -32,9 +68,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("leak_spans")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_exact, op9_mixture, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate)}
 
 ORACLES = {
+    "op8_lines": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+u as (select doc_id, unnest(range(1, len(ls) + 1)) k, unnest(ls) l, len(ls) n from l),
+o as (select *, sum(strlen(l) + 1) over (partition by doc_id order by k) - strlen(l) - 1 as a,
+  regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') t from u),
+r as (select *, len(string_split(t, ' ')) >= 5 and row_number() over (partition by t order by doc_id, k) > 1 as gone from o)
+select doc_id, any_value(n)::bigint as n_units, count(*) filter (gone)::bigint as n_removed,
+  coalesce(string_agg((a::bigint)::varchar || ':' || (a + strlen(l))::bigint::varchar, ',' order by k) filter (gone), '') as removed_spans,
+  sha256(coalesce(string_agg(case when gone then '' when k = n then l else l || chr(10) end, '' order by k), '')) as kept_sha256
+from r group by doc_id""",
+    "op4_warc": """with p as (select page_id, coalesce(html, '') h from pages),
+g as (select page_id, strlen(h) n, sha1(h) s, max(page_id) over (partition by h) own from p)
+select page_id, n::bigint as payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_position(['00000','00001','00010','00011','00100','00101','00110','00111','01000','01001','01010','01011','01100','01101','01110','01111','10000','10001','10010','10011','10100','10101','10110','10111','11000','11001','11010','11011','11100','11101','11110','11111'], substr(unhex(s)::bit::varchar, 5 * i + 1, 5)) - 1, 1) for i in range(32)], 'string_agg', '') as payload_digest,
+  case when own = page_id then 'response' else 'revisit' end as record_type, case when own <> page_id then own end as refers_to from g""",
     "op6_exact": """select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
   doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))""",
