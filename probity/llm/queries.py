@@ -13,6 +13,7 @@ from .lines import dedup_units
 from .mixing import mix, mix_sql
 from .secrets import BASE, find_secrets
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .toxicity import held_out, score_documents, train_model
 from .warc import archive_round_trip
 
@@ -21,6 +22,10 @@ DOMAINS = {f"src{i}": d for d, ids in {"web": range(0, 8), "reference": range(8,
 WEIGHTS = ({"web": 4, "reference": 3, "forum": 2, "other": 1}, {"en": 4, "de": 2, "fr": 2, "es": 2}, {"src0": 1})
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in BASE]))
@@ -68,7 +73,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("leak_spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate)}
 
 ORACLES = {
     "op8_lines": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
