@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, input_splits, mix, scan_layout
-from .suffix import maximal_repeats
+from .suffix import maximal_repeats, ranges
 
 U64 = np.uint64
 GRAM = 16
@@ -237,8 +237,9 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> It
             yield _rows(out)
 
 
-def _repeats(texts: list[bytes], ids: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(text, start, end) that a repeat of at least `length` bytes covers and that another text with a smaller id holds too."""
+def _repeats(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the parts of texts that a repeat of at least `length` bytes covers which a text with a smaller id
+    holds too, overlapping parts joined."""
     n = len(texts)
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate(([0], np.cumsum(size + 1)))
@@ -247,13 +248,23 @@ def _repeats(texts: list[bytes], ids: np.ndarray, length: int) -> Iterator[tuple
     body[begin[1:] - 1] = False
     seq[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + n
     seq[~body] = np.arange(n)
-    for found, positions in maximal_repeats(seq, length, separator=n - 1):
-        which = np.searchsorted(begin, positions, "right") - 1
-        own = ids[which]
-        late = np.flatnonzero(own > own.min())
-        for k in late.tolist():
-            at = int(positions[k] - begin[which[k]])
-            yield int(which[k]), at, at + found
+    owner = np.repeat(ids, size + 1)
+    found, first, last, order = maximal_repeats(seq, length, separator=n - 1)
+    delta = np.zeros(len(seq) + 1, np.int64)
+    for s in range(0, len(found), 1 << 14):  # occurrences of many repeats at a time
+        count = last[s : s + (1 << 14)] - first[s : s + (1 << 14)] + 1
+        if not len(count):
+            break
+        at = order[ranges(first[s : s + (1 << 14)], count)]
+        own = owner[at]
+        least = np.minimum.reduceat(own, np.cumsum(count) - count)
+        late = own > np.repeat(least, count)
+        at, span = at[late], np.repeat(found[s : s + (1 << 14)], count)[late]
+        delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + span, minlength=len(delta))
+    covered = np.diff(np.concatenate(([0], (np.cumsum(delta) > 0).astype(np.int8))))
+    a, b = np.flatnonzero(covered > 0), np.flatnonzero(covered < 0)
+    which = np.searchsorted(begin, a, "right") - 1
+    return which, a - begin[which], b - begin[which]
 
 
 def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -302,7 +313,7 @@ def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 20
         weight = 0
 
         def work(members: list[int], texts=texts, least=least, owner=owner, mark=mark) -> None:
-            for k, s, e in _repeats([texts[m] for m in members], least[members], length):
+            for k, s, e in zip(*(x.tolist() for x in _repeats([texts[m] for m in members], least[members], length))):
                 m = members[k]
                 for i, block, r, q in owner[texts[m]]:
                     if i == least[m]:

@@ -6,46 +6,51 @@ import numpy as np
 
 
 class SuffixArray:
-    """Suffix array by prefix doubling; keeps each level's ranks so that common prefixes are found without rescanning."""
+    """Suffix array by prefix doubling; only suffixes that still tie are sorted again. A suffix's rank is the first place of
+    its group of ties; each level's ranks are kept, so that common prefixes are found without reading the text again."""
 
     def __init__(self, seq: np.ndarray):
         n = self.n = len(seq)
         self.levels: list[np.ndarray] = []
+        self.order = order = np.argsort(seq)
         if n == 0:
-            self.order = np.empty(0, np.int64)
             return
-        rank = np.unique(seq, return_inverse=True)[1].astype(np.int64).reshape(-1)
-        order, h = np.argsort(rank, kind="stable"), 1
+        value = seq[order]
+        head = np.concatenate(([True], value[1:] != value[:-1]))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         self.levels.append(rank)
-        while int(rank.max()) < n - 1:
-            key = rank * (n + 1)
-            key[: n - h] += rank[h:] + 1
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
+        tied, h = np.flatnonzero(~head | ~np.append(head[1:], True)), 1
+        while len(tied):
+            sub = order[tied]
+            after = sub + h
+            key = rank[sub] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            key, sub = key[by], sub[by]
+            order[tied] = sub
+            head = np.concatenate(([True], key[1:] != key[:-1]))
+            rank = rank.copy()
+            rank[sub] = np.maximum.accumulate(np.where(head, tied, 0))
             self.levels.append(rank)
+            tied = tied[~head | ~np.append(head[1:], True)]
             h *= 2
-            if h >= n:
-                break
-        self.order = order
 
-    def common_prefixes(self) -> np.ndarray:
-        """lcp[i]: common prefix of the i-th and (i-1)-th suffix in order; lcp[0] is 0."""
+    def common_prefixes(self, least: int = 1) -> np.ndarray:
+        """lcp[i]: common prefix of the i-th and (i-1)-th suffix in order; 0 where it is known to be below `least`."""
         lcp = np.zeros(self.n, np.int64)
         if self.n < 2:
             return lcp
-        a, b, found = self.order[:-1].copy(), self.order[1:].copy(), np.zeros(self.n - 1, np.int64)
+        a, b = self.order[:-1], self.order[1:]
+        known = min(least.bit_length() - 1, len(self.levels) - 1)
+        pairs = np.flatnonzero(self.levels[known][a] == self.levels[known][b])
+        a, b, found = a[pairs].copy(), b[pairs].copy(), np.zeros(len(pairs), np.int64)
         for k in range(len(self.levels) - 1, -1, -1):
-            ok = (a < self.n) & (b < self.n)
-            i = np.flatnonzero(ok)
+            i = np.flatnonzero(np.maximum(a, b) + (1 << k) <= self.n)  # equal ranks then mean equal blocks of 2^k symbols
             same = i[self.levels[k][a[i]] == self.levels[k][b[i]]]
-            # equal ranks at level k mean equal blocks of 2^k symbols, and both blocks lie inside unless cut by the end
-            same = same[np.maximum(a[same], b[same]) + (1 << k) <= self.n]
             a[same] += 1 << k
             b[same] += 1 << k
             found[same] += 1 << k
-        lcp[1:] = found
+        lcp[1:][pairs] = found
         return lcp
 
 
@@ -71,21 +76,25 @@ def prefix_intervals(lcp: np.ndarray, least: int):
                 stack.append([v, left])
 
 
-def maximal_repeats(seq: np.ndarray, least: int, separator: int = 0):
-    """(length, positions) of every maximal repeat of at least `least` symbols, with all of its occurrences.
+def maximal_repeats(seq: np.ndarray, least: int, separator: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All maximal repeats of at least `least` symbols: (length, first, last) and the suffix order they refer to.
 
-    An interval is reported when its occurrences differ in the symbol to their left (a text start or a separator counts
-    as a symbol of its own); to the right they differ because the interval ends there. Separators must be given
-    distinct values below `separator` + 1 by the caller so that no repeat crosses one.
+    The occurrences of repeat k are order[first[k] : last[k] + 1], all of them. An interval is reported when its occurrences
+    differ in the symbol to their left (a text start or a separator counts as a symbol of its own); to the right they
+    differ because the interval ends there. Separators are distinct values up to `separator`, so that no repeat crosses one.
     """
     sa = SuffixArray(seq)
-    lcp = sa.common_prefixes()
+    found = np.array(list(prefix_intervals(sa.common_prefixes(least), least)), np.int64).reshape(-1, 3)
     before = np.where(sa.order > 0, seq[np.maximum(sa.order - 1, 0)], separator - 1)
     own = before <= separator
     change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | own[1:] | own[:-1])))
-    for length, first, last in prefix_intervals(lcp, least):
-        if change[last] > change[first]:
-            yield length, sa.order[first : last + 1]
+    length, first, last = found[change[found[:, 2]] > change[found[:, 1]]].T
+    return length, first, last, sa.order
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] places, then on from first[1], and so on."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
 
 
 class FMIndex:
