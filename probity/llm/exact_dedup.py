@@ -11,10 +11,11 @@ from .common import Scratch, input_splits
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
-    Spark samples splitters over (text, input split) and range-partitions the whole texts by them; each partition is
-    sorted externally, so equal texts are neighbours, and the window compares neighbouring texts in full. The input
-    split in the sort key cuts a text that holds a large share of all rows into pieces no larger than one split; the
-    pieces then meet as one row each, keyed by SHA-256. Texts cross the network once.
+    Spark samples splitters over (the text's first 32 characters, input split) and range-partitions the whole texts by them;
+    each partition is sorted externally by head, text and split, so equal texts are neighbours, and the window
+    compares neighbouring texts in full. What is sampled is short whatever the texts are. The input split in the key cuts a text
+    or a common beginning that holds a large share of all rows into pieces no larger than one split; pieces of a text
+    then meet as one row each, keyed by SHA-256. Texts cross the network once.
 
     Nulls: a null text counts as empty; a null id sorts before all others and is kept only if its group has no other.
     Empty texts are equal to each other. Repeated ids with one text all count in group_size, and of rows that
@@ -27,8 +28,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.spark_partition_id().alias("split"),
-    ).repartitionByRange(n, "text", "split")
-    piece = Window.partitionBy("text", "split")
+    ).withColumn("head", F.substring("text", 1, 32))
+    src = src.repartitionByRange(n, "head", "split")
+    piece = Window.partitionBy("head", "text", "split")
     order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     rows = src.select(
         "id",
