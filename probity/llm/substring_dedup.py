@@ -15,7 +15,8 @@ from .common import Scratch, input_splits, mix, scan_layout
 from .suffix import maximal_repeats, ranges
 
 U64 = np.uint64
-GRAM = 16
+#: Bytes of the grams whose hashes route strings: long enough that unrelated texts seldom share one.
+GRAM = 24
 NO_ID = -(1 << 63)
 #: Output of the pieces below: a kind, a shard or block, a block, and packed arrays.
 ROW = "kind int, at bigint, block bigint, data binary"
@@ -33,7 +34,10 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
         return np.empty(0, U64)
     data = np.ascontiguousarray(buf)
     word = np.ndarray((len(buf) - 7,), "<u8", data, 0, (1,))
-    return mix(word[:n] * U64(0x9E3779B97F4A7C15) ^ (word[8 : 8 + n] + U64(0x632BE59BD9B4E019)) * U64(0xC2B2AE3D27D4EB4F))
+    h = word[:n] * U64(0x9E3779B97F4A7C15)
+    h ^= (word[8 : 8 + n] + U64(0x632BE59BD9B4E019)) * U64(0xC2B2AE3D27D4EB4F)
+    h ^= (word[16 : 16 + n] + U64(0x2545F4914F6CDD1D)) * U64(0x165667B19E3779F9)
+    return mix(h)
 
 
 def window_minima(buf: np.ndarray, length: int) -> np.ndarray:
@@ -179,8 +183,17 @@ def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
         yield _rows(out)
 
 
-def _spans(doc: list[int], start: list[int], end: list[int]) -> bytes:
-    return np.array([doc, start, end], np.int64).tobytes()
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """Spans packed: sorted, starts as differences, compressed."""
+    by = np.lexsort((start, doc))
+    doc, start, end = (np.asarray(x, np.int64)[by] for x in (doc, start, end))
+    return zstandard.ZstdCompressor(level=3).compress(np.stack([np.diff(doc, prepend=0), np.diff(start, prepend=0), end - start]).tobytes())
+
+
+def _unpacked_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, start, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64).reshape(3, -1)
+    start = np.cumsum(start)
+    return np.cumsum(doc), start, start + size
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
@@ -232,7 +245,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> It
             head = np.array([[i, r, q, len(t)] for i, r, q, t in found], np.int64)
             out.append((0, shard, row["block"], z.compress(np.int64(len(head)).tobytes() + np.ascontiguousarray(head.T).tobytes() + b"".join(x[3] for x in found))))
         if settled[0]:
-            out.append((1, row["block"] % shards, row["block"], _spans(*settled)))
+            out.append((1, row["block"] % shards, row["block"], _spans(*map(np.array, settled))))
         if out:
             yield _rows(out)
 
@@ -250,88 +263,122 @@ def _repeats(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarr
     seq[~body] = np.arange(n)
     owner = np.repeat(ids, size + 1)
     found, first, last, order = maximal_repeats(seq, length, separator=n - 1)
-    delta = np.zeros(len(seq) + 1, np.int64)
-    for s in range(0, len(found), 1 << 14):  # occurrences of many repeats at a time
-        count = last[s : s + (1 << 14)] - first[s : s + (1 << 14)] + 1
-        if not len(count):
-            break
-        at = order[ranges(first[s : s + (1 << 14)], count)]
-        own = owner[at]
-        least = np.minimum.reduceat(own, np.cumsum(count) - count)
-        late = own > np.repeat(least, count)
-        at, span = at[late], np.repeat(found[s : s + (1 << 14)], count)[late]
-        delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + span, minlength=len(delta))
+    # the intervals as a tree: each suffix's innermost interval, each interval's parent, the least id inside
+    by = np.lexsort((-last, first))
+    found, inner, parent = found[by], np.full(len(order), -1, np.int64), []
+    for k, (f, t) in enumerate(zip(first[by].tolist(), last[by].tolist())):
+        parent.append(int(inner[f]))
+        inner[f : t + 1] = k
+    own = owner[order]
+    inside = np.flatnonzero(inner >= 0)
+    least = np.full(len(parent), np.iinfo(np.int64).max)
+    np.minimum.at(least, inner[inside], own[inside])
+    lows = least.tolist()
+    for k in range(len(parent) - 1, -1, -1):
+        if parent[k] >= 0 and lows[k] < lows[parent[k]]:
+            lows[parent[k]] = lows[k]
+    # a suffix is covered by its longest repeat that a smaller id holds too: climb from the innermost
+    least, up, todo = np.array(lows, np.int64), np.array(parent, np.int64), inside
+    while len(todo):
+        now = inner[todo]
+        alone = least[now] >= own[todo]
+        todo = todo[alone]
+        inner[todo] = up[now[alone]]
+        todo = todo[inner[todo] >= 0]
+    hit = np.flatnonzero(inner >= 0)
+    at, span = order[hit], found[inner[hit]]
+    delta = np.bincount(at, minlength=len(seq) + 1) - np.bincount(at + span, minlength=len(seq) + 1)
     covered = np.diff(np.concatenate(([0], (np.cumsum(delta) > 0).astype(np.int8))))
     a, b = np.flatnonzero(covered > 0), np.flatnonzero(covered < 0)
     which = np.searchsorted(begin, a, "right") - 1
     return which, a - begin[which], b - begin[which]
 
 
-def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Segments of a shard -> spans by block; spans that blocks settled themselves pass through."""
+def _least_grams(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The minimum that each of the texts laid end to end in `body` was routed by."""
+    begin = np.cumsum(size) - size
+    hashes = gram_hashes(body)
+    cross = ranges(begin[1:] - GRAM + 1, np.full(len(begin) - 1, GRAM - 1))
+    hashes[cross] = U64(0xFFFFFFFFFFFFFFFF)
+    return np.minimum.reduceat(hashes, begin)
+
+
+def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Segments of a shard -> spans by block; spans that blocks settled themselves pass through.
+
+    A shard is held as packed arrays. Its segments are ordered by their minimum and taken in groups of about `unit` bytes of
+    text, never parting those of one minimum: only such segments can share strings.
+    """
     z = zstandard.ZstdDecompressor()
     for _, rows in _grouped(batches):
         through = [(1, 0, b, d) for k, b, d in rows if k == 1]
         if through:
             yield _rows(through)
-        owner: dict[bytes, list] = {}
+        heads, bodies, lows, blocks = [], [], [], []
         for kind, block, data in rows:
             if kind == 0:
                 raw = z.decompress(data)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                i, r, q, size = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n).tolist()
-                at = 8 + 32 * n
-                for a, b, c, d in zip(i, r, q, size):
-                    owner.setdefault(raw[at : at + d], []).append((a, block, b, c))
-                    at += d
-        if not owner:
+                head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
+                bodies.append(raw[8 + 32 * n :])
+                heads.append(head)
+                lows.append(_least_grams(np.frombuffer(bodies[-1], np.uint8), head[3]))
+                blocks.append(np.full(n, block, np.int64))
+        del rows
+        if not heads:
             continue
-        spans: dict[int, tuple[list, list, list]] = {}
-
-        def mark(block: int, r: int, s: int, e: int, spans=spans) -> None:
-            x = spans.setdefault(block, ([], [], []))
-            x[0].append(r)
-            x[1].append(s)
-            x[2].append(e)
-
-        texts = list(owner)
-        least = np.array([min(x)[0] for x in owner.values()], np.int64)
-        for text, seen, low in zip(texts, owner.values(), least.tolist()):
-            for i, block, r, q in seen:
-                if i > low:
-                    mark(block, r, q, q + len(text))
-        # texts with one minimum can share strings; those with a minimum of their own share none
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        hashes = gram_hashes(buf)
-        inside = np.searchsorted(begin, np.arange(len(hashes)), "right") - 1
-        hashes[np.arange(len(hashes)) + GRAM > begin[inside + 1]] = U64(0xFFFFFFFFFFFFFFFF)
-        low = np.minimum.reduceat(hashes, np.minimum(begin[:-1], len(hashes) - 1))
+        (ids, row, start, size), low, block = np.concatenate(heads, axis=1), np.concatenate(lows), np.concatenate(blocks)
+        body = b"".join(bodies)
+        del heads, bodies, lows, blocks
+        at = np.cumsum(size) - size
         order = np.argsort(low, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1], [True])))
-        batch_of: list[int] = []
-        weight = 0
-
-        def work(members: list[int], texts=texts, least=least, owner=owner, mark=mark) -> None:
-            for k, s, e in zip(*(x.tolist() for x in _repeats([texts[m] for m in members], least[members], length))):
-                m = members[k]
-                for i, block, r, q in owner[texts[m]]:
-                    if i == least[m]:
-                        mark(block, r, q + s, q + e)
-
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            group = order[a:b]
-            if b - a < 2 or least[group].min() == least[group].max():
-                continue
-            batch_of += group.tolist()
-            weight += sum(len(texts[m]) for m in group.tolist())
-            if weight > unit:
-                work(batch_of)
-                batch_of, weight = [], 0
-        if batch_of:
-            work(batch_of)
-        if spans:
-            yield _rows([(1, 0, b, _spans(*x)) for b, x in spans.items()])
+        group = np.cumsum(np.concatenate(([0], low[order][1:] != low[order][:-1])))
+        weight = np.cumsum(size[order]) // unit
+        # a group goes with the unit its first segment falls into
+        share = weight[np.searchsorted(group, group, "left")]
+        cuts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1], [True]))).tolist()
+        spans: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = order[a:b]
+            spans.append(_settle(part, group[a:b], body, at, size, ids, row, start, block, length))
+        where, r, s, e = (np.concatenate(x) for x in zip(*spans))
+        by = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], where[by][1:] != where[by][:-1], [True]))).tolist() if len(by) else [0]
+        for a, b in zip(edges, edges[1:]):
+            k = by[a:b]
+            yield _rows([(1, 0, int(where[k[0]]), _spans(r[k], s[k], e[k]))])
+
+
+def _settle(part, group, body, at, size, ids, row, start, block, length) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (block, row, start, end) of the segments in `part`, which holds whole groups of equal minima."""
+    code: dict[bytes, int] = {}
+    a, n = at[part], size[part]
+    which = np.fromiter((code.setdefault(body[x : x + k], len(code)) for x, k in zip(a.tolist(), n.tolist())), np.int64, len(part))
+    own, texts = ids[part], list(code)
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, own)
+    late = own > least[which]
+    k = part[late]
+    out = [(block[k], row[k], start[k], start[k] + size[k])]
+    kind = np.empty(len(texts), np.int64)
+    kind[which] = group
+    kinds, back = np.unique(kind, return_inverse=True)
+    several = np.bincount(back) > 1
+    low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+    np.minimum.at(low, back, least)
+    np.maximum.at(high, back, least)
+    members = np.flatnonzero((several & (low < high))[back])
+    if len(members):
+        text, s, e = _repeats([texts[m] for m in members.tolist()], least[members], length)
+        text = members[text]
+        # each span of a text, at every place that holds the text's smallest id
+        hold = np.flatnonzero(~late)
+        hold = hold[np.argsort(which[hold], kind="stable")]
+        first, last = np.searchsorted(which[hold], text, "left"), np.searchsorted(which[hold], text, "right")
+        k = part[hold[ranges(first, last - first)]] if len(text) else part[:0]
+        s, e = np.repeat(s, last - first), np.repeat(e, last - first)
+        out.append((block[k], row[k], start[k] + s, start[k] + e))
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool, with_spans: bool) -> Iterator[pa.RecordBatch]:
@@ -340,7 +387,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool, with_s
         n = len(ids)
         delta = np.zeros(len(buf) + 1, np.int32)
         for data in row["spans"] or ():
-            doc, s, e = np.frombuffer(data, np.int64).reshape(3, -1)
+            doc, s, e = _unpacked_spans(data)
             np.add.at(delta, offs[doc] + s, 1)
             np.add.at(delta, offs[doc] + e, -1)
         gone = np.cumsum(delta[:-1]) > 0
@@ -395,7 +442,7 @@ def remove_repeats(
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and removed_spans, kept on request).
 
     Removed is every byte covered by a `length`-byte string of the document's UTF-8 text that a document with a smaller id holds
-    too. Strings are sent to shards by the least hash of the 16-byte grams in them, so all occurrences of one meet:
+    too. Strings are sent to shards by the least hash of the 24-byte grams in them, so all occurrences of one meet:
 
     1. texts are packed into compressed blocks; 4 bytes of each distinct minimum say in which shard's tables
        it is shared by two documents (a false alarm costs time only);
