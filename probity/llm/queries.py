@@ -12,16 +12,12 @@ from .langid import identify, train_text
 from .lines import dedup_units
 from .mixing import mix, mix_sql
 from .secrets import BASE, find_secrets
+from .settings import DOMAINS, WEIGHTS
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .toxicity import held_out, score_documents, train_model
 from .warc import archive_round_trip
 
-#: Domains of the sources and target weights of domains, languages and sources, for the mixture query.
-DOMAINS = {f"src{i}": d for d, ids in {"web": range(0, 8), "reference": range(8, 13), "forum": range(13, 18)}.items() for i in ids}
-WEIGHTS = ({"web": 4, "reference": 3, "forum": 2, "other": 1}, {"en": 4, "de": 2, "fr": 2, "es": 2}, {"src0": 1})
-
-
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50)
 
@@ -73,7 +69,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("leak_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate, pipeline)}
 
 ORACLES = {
     "op8_lines": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
