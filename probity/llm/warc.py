@@ -9,6 +9,7 @@ import io
 import json
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ def read_archive(source: Source) -> Iterator[tuple[dict, dict[str, str], bytes,
     z = ZipReader(source)
     begin = z.start(DATA)
     size = z.members[DATA].size
-    for line in z.read(INDEX).decode().splitlines():
+    for line in z.read(INDEX).decode().split("\n")[:-1]:
         entry = json.loads(line.split(" ", 2)[2])
         if entry["offset"] + entry["length"] > size:
             raise ValueError("index entry outside the archive member")
@@ -105,7 +106,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
                     d = digest(payload)
                     raw = gzip.compress(build_record(r["id"], uuid.uuid4(), r["url"], r["record_type"], payload, len(payload), d, r["refers_to"]), 1, mtime=0)
                     entry = {"url": r["url"], "digest": f"sha1:{d}", "offset": data.tell(), "length": len(raw), "page": r["id"]}
-                    index.append(f"{(r['url'] or '-').split('?')[0].replace(' ', '%20') or '-'} 19700101000000 {json.dumps(entry)}\n".replace("\r", "%0D"))
+                    index.append(f"{quote(r['url'] or '', safe=':/?&=') or '-'} 19700101000000 {json.dumps(entry)}\n")
                     data.write(raw)
                     if data.tell() >= archive_bytes:
                         yield flush()
