@@ -20,8 +20,8 @@ def hash60(c: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 60) -> DataFrame:
     """(id, fp): majority bits of the hashes of a document's distinct tokens. A document's tokens are in one partition, so its bit
     counts are complete before the shuffle: one row a document moves."""
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode_outer(token_set(F.coalesce(F.col(text_col), F.lit("")))).alias("token"))
-    d = d.select("row", "id", hash60(F.col("token")).alias("h"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    d = d.select("row", "id", F.explode_outer("tokens").alias("token")).select("row", "id", hash60(F.col("token")).alias("h"))
     bit = lambda i: F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}")
     c = d.groupBy("row", "id").agg(F.count("h").alias("n"), *(bit(i) for i in range(bits)))
     fp = F.lit(0).cast("bigint")
