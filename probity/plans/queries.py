@@ -602,3 +602,117 @@ def immunity_pillars(spark, d):
 def immunity_score(spark, d):
     f = _few(spark, d)
     return correlate.immunity(correlate.pillar_scores(f, _modules(spark)), correlate.stories(f))
+
+
+# ---------------------------------------------------------------- store, set operations, scorer
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def upsert_latest(spark, d):
+    from probity.plans.store import upsert
+
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id"], "event_id")
+
+
+@query("""with n as (select event_id, event_type || '|' || user_id as nonce from events where event_id % 2 = 1), s as (select event_type || '|' || user_id as nonce from events where event_id % 10 = 0)
+select min(event_id) as event_id, nonce from n where nonce not in (select nonce from s) group by nonce""")
+def first_wins_nonce(spark, d):
+    from probity.plans.store import accept_records
+
+    e = t(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("record_id"), F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("nonce"))
+    return accept_records(e.filter("event_id % 10 = 0"), e.filter("event_id % 2 = 1"), "event_id").select("event_id", "nonce")
+
+
+@query("select event_id from events where event_id % 2 = 1 and user_id in (select user_id from events where event_id % 50 = 0)")
+def nonce_exists(spark, d):
+    from probity.plans.store import nonce_exists as probe
+
+    e = t(spark, d, "events").select("event_id", F.col("user_id").alias("nonce"))
+    return probe(e.filter("event_id % 50 = 0"), e.filter("event_id % 2 = 1")).select("event_id")
+
+
+@query("select o_orderkey as scan_id, epoch_us(o_orderdate) * 1000 as started_ns from orders order by 2 desc, 1 limit 50")
+def list_scans(spark, d):
+    from probity.plans.store import list_scans as top
+
+    return top(t(spark, d, "orders").select(F.col("o_orderkey").alias("scan_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("started_ns")))
+
+
+AUD = """a as (select user_id, event_id id, epoch_us(ts) * 1000 timestamp_ns, event_type action, coalesce(props, '') details, row_number() over (partition by user_id order by event_id) k from events),
+c as (select *, repeat('0', 64) prev, sha256(timestamp_ns || '|sys|' || action || '||' || details || '|' || repeat('0', 64)) h from a where k = 1
+ union all select a.*, c.h, sha256(a.timestamp_ns || '|sys|' || a.action || '||' || a.details || '|' || c.h) from c join a on a.user_id = c.user_id and a.k = c.k + 1)"""
+
+
+def _audit(spark, d):
+    from probity.plans.store import append_audit
+
+    e = t(spark, d, "events").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), F.lit("sys").alias("actor"), F.col("event_type").alias("action"), F.lit(None).cast("string").alias("target"), F.coalesce("props", F.lit("")).alias("details"))
+    return append_audit(e, "user_id")
+
+
+@query(f"with recursive {AUD} select user_id, id, prev as prev_hash, h as entry_hash from c")
+def audit_chain(spark, d):
+    return _audit(spark, d).select("user_id", "id", "prev_hash", "entry_hash")
+
+
+@query("""with e as (select user_id, event_id id, row_number() over (partition by user_id order by event_id) k from events), g as (select *, lag(id) over (partition by user_id order by id) p, lag(k) over (partition by user_id order by id) pk from e where id % 61 <> 3)
+select user_id, id, 'HASH_MISMATCH' as break_type from g where id % 67 = 5 union all select user_id, id, 'BROKEN_LINK' from g where k <> coalesce(pk, 0) + 1""")
+def audit_verify(spark, d):
+    from probity.plans.store import verify_audit
+
+    log = _audit(spark, d).filter("id % 61 <> 3").withColumn("action", F.when(F.col("id") % 67 == 5, "edited").otherwise(F.col("action")))
+    return verify_audit(log, ["user_id"])
+
+
+@query("""with t as (select doc_id id from labels where toxic = 1), f as (select doc_id id from documents where doc_id % 7 = 0), c as (select count(t.id) gt, count(f.id) fl, count(*) filter (t.id is not null and f.id is not null) tp from t full join f using (id)), u as (select count(*) u from documents)
+select gt as ground_truth, fl as flagged, tp as true_positives, fl - tp as false_positives, gt - tp as false_negatives, u - tp - (fl - tp) - (gt - tp) as true_negatives, round(tp / fl, 4) as precision, round(tp / gt, 4) as recall,
+ round(2 * (tp / fl) * (tp / gt) / ((tp / fl) + (tp / gt)), 4) as f1, round((fl - tp) / (u - gt), 4) as false_positive_rate from c, u""")
+def precision_recall(spark, d):
+    from probity.operators.generators import precision_recall as score
+
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    truth = t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return score(truth, docs.filter("id % 7 = 0"), docs.count())
+
+
+@query(f"with {FIND}, a as (select affected_asset x from f where severity = 'CRITICAL'), b as (select affected_asset x from f where disposition = 'REVIEW') select 'union' as op, count(*) as n from (select x from a union select x from b) union all select 'intersect', count(*) from (select x from a intersect select x from b) union all select 'except', count(*) from (select x from a except select x from b)")
+def set_operations(spark, d):
+    f = made(spark, d)
+    a, b = f.filter("severity = 'CRITICAL'").select("affected_asset"), f.filter("disposition = 'REVIEW'").select("affected_asset")
+    n = lambda x, op: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
+    return n(a.union(b).distinct(), "union").unionByName(n(a.intersect(b), "intersect")).unionByName(n(a.subtract(b), "except"))
+
+
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, case when event_id % 2 = 0 then 'class_7' else '7' end as raw, '7' as label, substr(sha256(event_type), 1, 12) || '…' as short from events""")
+def text_helpers(spark, d):
+    e = t(spark, d, "events")
+    raw = F.when(F.col("event_id") % 2 == 0, "class_7").otherwise("7")
+    return e.select("event_id", X.ns_to_iso(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("iso"), raw.alias("raw"), X.normalise_label(raw).alias("label"), X.short_hash(F.sha2("event_type", 256)).alias("short"))
+
+
+@query()
+def full_data_scan(spark, d):
+    from probity.plans.scan import scan_data
+
+    emb = t(spark, d, "embeddings")
+    who = emb.select(F.col("vec_id").alias("id"), F.concat(F.lit("contributor_"), F.col("vec_id") % 5).alias("contributor"))
+    return scan_data(emb, who).findings
+
+
+@query()
+def full_record_scan(spark, d):
+    from probity.plans.scan import scan_records
+
+    return scan_records(tampered_records(spark, d), "chain", ["event_id"]).findings
+
+
+@query()
+def flood_findings(spark, d):
+    from probity.plans.scan import scan_texts
+    from probity.sources.tables import Store
+
+    return scan_texts(t(spark, d, "documents"), Store(spark, "flood")).findings
+
+
+@query(f"with {FIND}, n as (select finding_id, row_number() over (order by confidence desc, finding_id) r from f) select finding_id as old_id, 'DATA-' || case when r < 1000 then lpad(r::varchar, 3, '0') else r::varchar end as finding_id from n")
+def finding_ids(spark, d):
+    return fnd.with_ids(made(spark, d).withColumn("old_id", F.col("finding_id")), "DATA", [F.col("confidence").desc(), F.col("old_id")]).select("old_id", "finding_id")
