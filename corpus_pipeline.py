@@ -14,7 +14,7 @@ from probity.llm.decontaminate import find_leaks
 from probity.llm.exact_dedup import drop_exact_copies
 from probity.llm.mixing import mix
 from probity.llm.settings import DOMAINS, WEIGHTS
-from probity.llm.simhash import near_duplicates
+from probity.llm.simhash import near_copies
 from probity.llm.toxicity import held_out, score_documents, train_model
 
 
@@ -35,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id; documents without words stay."""
-    found = near_duplicates(docs, shingle=5, most=4)
+    found = near_copies(docs, shingle=5, similarity=0.8)
     wordless = F.repeat(F.lit("0"), 16)
     gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("fingerprint") != wordless))
     return _without(docs, gone)

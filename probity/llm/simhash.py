@@ -142,32 +142,44 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[lab[moved]]
 
 
-def _close_within(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    return _close_between(fps, fps, most)
-
-
-def _close_between(p: np.ndarray, q: np.ndarray, most: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among all verified pairs of p and q, in blocks."""
-    la, lb = [], []
-    for i in range(0, len(p), step):
-        x, y = np.nonzero(np.bitwise_count(p[i : i + step, None] ^ q[None, :]) <= most)
-        a, b = p[i : i + step][x], q[y]
-        s = spanning(a[a != b], b[a != b])
-        la.append(s[0])
-        lb.append(s[1])
-    return spanning(np.concatenate(la), np.concatenate(lb)) if la else (p[:0], p[:0])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> verified links (part 0) or, for keys of over `block` rows, the rows (part 1)."""
-    schema = pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def rows(part: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], schema=schema)
-
-    keys, fps, held, streaming = [], [], 0, None
-
-    def work(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+class Measure:
+    """What links two rows: each of their fingerprints within its limit of bits. A row's node is its last column: the fingerprint
+    itself where there is one, an id where there are several."""
+
+    def __init__(self, limits: tuple[int, ...]):
+        self.limits, self.width = limits, 1 if len(limits) == 1 else len(limits) + 1
+
+    def close(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count((p[0] ^ q[0]).view(U64)) <= self.limits[0]
+        for k, most in enumerate(self.limits[1:], 1):
+            ok &= np.bitwise_count((p[k] ^ q[k]).view(U64)) <= most
+        return ok
+
+    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning links among all verified pairs of rows p and q (columns are rows), in blocks."""
+        la, lb = [p[-1, :0]], [p[-1, :0]]
+        for i in range(0, p.shape[1], step):
+            x, y = np.nonzero(self.close(p[:, i : i + step, None], q[:, None, :]))
+            a, b = p[-1, i : i + step][x], q[-1][y]
+            s = spanning(a[a != b], b[a != b])
+            la.append(s[0])
+            lb.append(s[1])
+        return spanning(np.concatenate(la), np.concatenate(lb))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, columns) sorted by key -> verified links (part 0: a, b) or, for keys of over `block` rows, the rows (part 1)."""
+    names = ["part", "key", *(f"c{k}" for k in range(max(2, measure.width)))]
+
+    def rows(part: int, key: np.ndarray, cols: np.ndarray) -> pa.RecordBatch:
+        full = [*cols, *[np.zeros(len(key), np.int64)] * (len(names) - 2 - len(cols))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part, np.int32)), pa.array(key), *map(pa.array, full)], names=names)
+
+    keys: list[np.ndarray] = []
+    cols: list[np.ndarray] = []
+    held, streaming = 0, None
+
+    def work(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.concatenate((first, [len(k)])))
         la, lb, small = [], [], np.repeat(size, size) <= 32
@@ -175,56 +187,55 @@ def _verify(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterato
             i = np.flatnonzero((k[gap:] == k[:-gap]) & small[gap:])
             if not len(i):
                 break
-            i = i[np.bitwise_count((f[i] ^ f[i + gap]).view(U64)) <= most]
-            la.append(f[i])
-            lb.append(f[i + gap])
+            i = i[measure.close(c[:, i], c[:, i + gap])]
+            la.append(c[-1, i])
+            lb.append(c[-1, i + gap])
         for s, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
             if n > block:
-                yield rows(1, k[s : s + n], f[s : s + n])
+                yield rows(1, k[s : s + n], c[:, s : s + n])
                 continue
-            a, b = _close_within(f[s : s + n].view(U64), most)
-            la.append(a.view(np.int64))
-            lb.append(b.view(np.int64))
+            a, b = measure.links(c[:, s : s + n], c[:, s : s + n])
+            la.append(a)
+            lb.append(b)
         if la:
             a, b = spanning(np.concatenate(la), np.concatenate(lb))
             if len(a):
-                yield rows(0, a, b)
+                yield rows(0, np.zeros(len(a), np.int64), np.stack([a, b]))
 
     for batch in batches:
-        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        k, c = batch.column(0).to_numpy(), np.stack([batch.column(j).to_numpy() for j in range(1, batch.num_columns)])
         if streaming is not None:  # a key that outgrew the block: its rows pass through
             cut = int(np.searchsorted(k, streaming, "right"))
             if cut:
-                yield rows(1, k[:cut], f[:cut])
+                yield rows(1, k[:cut], c[:, :cut])
             if cut == len(k):
                 continue
-            k, f, streaming = k[cut:], f[cut:], None
+            k, c, streaming = k[cut:], c[:, cut:], None
         keys.append(k)
-        fps.append(f)
+        cols.append(c)
         held += len(k)
         if held > 50 * block:
-            k, f = np.concatenate(keys), np.concatenate(fps)
+            k, c = np.concatenate(keys), np.concatenate(cols, axis=1)
             cut = int(np.searchsorted(k, k[-1]))
-            yield from work(k[:cut], f[:cut]) if cut else ()
-            keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
+            yield from work(k[:cut], c[:, :cut]) if cut else ()
+            keys, cols, held = [k[cut:]], [c[:, cut:]], len(k) - cut
             if held > 25 * block:
-                yield rows(1, keys[0], fps[0])
-                streaming, keys, fps, held = int(k[-1]), [], [], 0
+                yield rows(1, keys[0], cols[0])
+                streaming, keys, cols, held = int(k[-1]), [], [], 0
     if held:
-        yield from work(np.concatenate(keys), np.concatenate(fps))
+        yield from work(np.concatenate(keys), np.concatenate(cols, axis=1))
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, fp) sorted by key, i, j: compares block i with block j of a key."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _verify_blocks(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, columns) sorted by key, i, j: compares block i with block j of a key."""
     held: list[pa.RecordBatch] = []
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, f = t.column(3).to_numpy(), t.column(4).to_numpy().view(U64)
+        side, c = t.column(3).to_numpy(), np.stack([t.column(j).to_numpy() for j in range(4, t.num_columns)])
         same = t.column(1)[0].as_py() == t.column(2)[0].as_py()
-        a, b = _close_between(f[side == 0], f if same else f[side == 1], most)
+        a, b = measure.links(c[:, side == 0], c[:, side == 0] if same else c[:, side == 1])
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     last = None
     for batch in batches:
@@ -243,35 +254,47 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], most: int, block: int) ->
         yield from work(pa.Table.from_batches(held))
 
 
-def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 4, parts: int = 0, block: int = 4096) -> DataFrame:
-    """(a, b) links that connect whatever fingerprints of fps(fp BIGINT, distinct) at most `most` (<= 4) bits apart connect."""
-    if most > 4:
-        raise ValueError("the key scheme proves links up to 4 bits")
+def link_fingerprints(fps: DataFrame, scratch: Scratch, limits: tuple[int, ...] = (4,), parts: int = 0, block: int = 4096) -> DataFrame:
+    """(a, b) links that connect whatever rows of fps within all limits of each other connect, where the first fingerprints differ in
+    at most 4 bits; pairs with a wider first limit are linked when they meet under a key.
+
+    fps(fp BIGINT), distinct, with one limit; fps(fp, fp1, ..., node), BIGINT too, with several.
+    """
+    measure = Measure(limits)
     parts = parts or int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["fp"] if measure.width == 1 else ["fp", *(f"fp{k}" for k in range(1, len(limits))), "node"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = batch.column(0).to_numpy()
-            for s in range(0, len(f), 20000):
-                k, r = fuzzy_keys(f[s : s + 20000].view(U64))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f[s : s + 20000][r])], names=["key", "fp"])
-
-    keyed = fps.select("fp").mapInArrow(expand, "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, most, block), "part int, a bigint, b bigint"), "found")
-    links = found.filter("part = 0").select("a", "b").distinct()
-    big = found.filter("part = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+            c = [batch.column(j).to_numpy() for j in range(len(names))]
+            for s in range(0, len(c[0]), 20000):
+                k, r = fuzzy_keys(c[0][s : s + 20000].view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[s : s + 20000][r]) for x in c)], names=["key", *names])
+
+    keyed = fps.select(*names).mapInArrow(expand, "key bigint, " + ", ".join(f"{n} bigint" for n in names)).repartition(parts, "key").sortWithinPartitions("key")
+    width = max(2, measure.width)
+    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, measure, block), "part int, key bigint, " + ", ".join(f"c{k} bigint" for k in range(width))), "found")
+    links = found.filter("part = 0").select(F.col("c0").alias("a"), F.col("c1").alias("b")).distinct()
+    big = found.filter("part = 1").select("key", *(f"c{k}" for k in range(measure.width)))
     if big.isEmpty():
         return links
     # keys with very many fingerprints: blocks against blocks, one task each
+    cols = [f"c{k}" for k in range(measure.width)]
     nb = big.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb"))
-    dealt = big.join(nb, "key").withColumn("own", F.expr("pmod(xxhash64(fp), nb)"))
+    dealt = big.join(nb, "key").withColumn("own", F.expr(f"pmod(xxhash64({cols[-1]}), nb)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "fp")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), *cols)
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.unionByName(dealt.mapInArrow(lambda x: _verify_blocks(x, most, block), "a bigint, b bigint")).distinct()
+    return links.unionByName(dealt.mapInArrow(lambda x: _verify_blocks(x, measure), "a bigint, b bigint")).distinct()
+
 
+def distinct_words(raw: bytes) -> bytes:
+    return b" ".join(dict.fromkeys(raw.lower().split()))
+
+
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, of_words: bool = False) -> DataFrame:
+    """(id, fp), with of_words also fpw: the fingerprint of a text's distinct single words."""
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -279,10 +302,11 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 buf, offs = scan_layout(text.slice(s, 256))
                 raw, o = buf.tobytes(), offs.tolist()
                 fp = fingerprints((raw[a:b] for a, b in zip(o, o[1:])), shingle, seed)
-                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64))], names=["id", "fp"])
+                more = [pa.array(fingerprints((distinct_words(raw[a:b]) for a, b in zip(o, o[1:])), 1, seed).view(np.int64))] if of_words else []
+                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64)), *more], names=["id", "fp", *["fpw"] * of_words])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, fp bigint")
+    return d.mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, fp bigint" + ", fpw bigint" * of_words)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -296,13 +320,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is ordered before no id (it names a component only if all its ids are null). Texts of fewer words than a shingle are
     one shingle. Repeated rows stay rows of their component. An empty table gives an empty result.
     """
+    if most > 4:
+        raise ValueError("the key scheme proves links up to 4 bits")
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed), "fps")
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    roots = connected_components(link_fingerprints(nodes, scratch, most, parts), scratch)
+    roots = connected_components(link_fingerprints(nodes, scratch, (most,), parts), scratch)
     owner = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(owner.join(comp, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, reach: int = 8, seed: int = 42) -> DataFrame:
+    """One row per document: id_col, fingerprint, component_id, for copies whose shingles are `similarity` alike.
+
+    A few changed words change many shingles, so near copies' shingle fingerprints differ in more bits than the keys prove. Here the
+    keys come from the fingerprint of distinct words, which moves far less: pairs within 4 bits of it are always found, up to `reach` where
+    a key meets. A link also needs the shingle fingerprints to be within the bits that two thirds of a standard deviation
+    over the mean allows at that Jaccard similarity. Nulls, ties and empty tables are treated as by near_duplicates; documents
+    without words are alike only to each other.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "copies")
+    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = int(64 * part + (64 * part * (1 - part)) ** 0.5 * 2 / 3)
+    fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed, of_words=True), "fps")
+    nodes = fps.groupBy("fpw", "fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fpw", "fp"))
+    nodes = scratch.keep(nodes, "nodes")
+    parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    links = link_fingerprints(nodes.select(F.col("fpw").alias("fp"), F.col("fp").alias("fp1"), "node"), scratch, (reach, limit), parts)
+    roots = connected_components(links, scratch)
+    owner = nodes.join(roots, "node", "left").select("fpw", "fp", "least", F.coalesce("root", "node").alias("root"))
+    comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(owner.join(comp, "root").select("fpw", "fp", "component_id"), "named")
+    return fps.join(named, ["fpw", "fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

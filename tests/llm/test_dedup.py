@@ -11,7 +11,7 @@ from probity.llm.components import connected_components
 from probity.llm.common import Scratch
 from probity.llm.exact_dedup import drop_exact_copies, exact_groups
 from probity.llm.lines import dedup_units
-from probity.llm.simhash import fingerprints, fuzzy_keys, golay_index, link_fingerprints, near_duplicates
+from probity.llm.simhash import fingerprints, fuzzy_keys, golay_index, link_fingerprints, near_copies, near_duplicates
 from probity.llm.substring_dedup import remove_repeats
 from probity.llm.suffix import FMIndex, SuffixArray, maximal_repeats
 
@@ -193,3 +193,25 @@ def test_lines(spark):
     p = "one two three four five\nsix"
     two = dedup_units(frame(spark, [(1, f"{p}\n\n{p}\n \nend of the last one here")]), kind="paragraph").first()
     assert two.kept_text == f"{p}\n\nend of the last one here" and two.n_units == 3
+
+
+def test_near_copies_at_a_similarity(spark):
+    random.seed(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, origin = [], {}
+    for k in range(60):
+        base = random.choices(vocab, k=random.randint(200, 500))
+        for c in range(4):
+            w = list(base)
+            for _ in range(c * len(w) // 150):  # up to 2 % of the words: shingles at least 0.8 alike
+                w[random.randrange(len(w))] = random.choice(vocab)
+            origin[len(rows)] = k
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, None), (901, ""), (0, rows[0][1])]
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
+    assert got[900] == got[901] == 900
+    for i, k in origin.items():
+        assert origin[got[i]] == k, "unrelated texts were joined"
+    found = sum(got[i] == min(j for j in origin if origin[j] == k) for i, k in origin.items())
+    assert found / len(origin) > 0.9
+    assert near_copies(frame(spark, [])).collect() == []
