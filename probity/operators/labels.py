@@ -21,15 +21,19 @@ def centroid_distances(df: DataFrame, min_class: int = 8, std_multiplier: float
     return d.select("id", "label", "n", "distance", "threshold", (big & (F.col("sd") >= 1e-9) & (F.col("distance") > F.col("threshold"))).alias("distance_flag"))
 
 
-def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier: float = 2.0, disagreement: float = 0.6, majority: float = 0.5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier: float = 2.0, disagreement: float = 0.6, majority: float = 0.5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """Rows whose label its neighbours or its class's centroid contradict, with a confidence.
 
     Of the k nearest rows of all classes: agreement is the share with the row's own label; the suggested label is the most
-    frequent one (the smallest of ties).
+    frequent one (the smallest of ties). With `within` (a contributor, say) each of its values is a population of its own.
     """
-    dist = centroid_distances(df, min_class, std_multiplier, id_col, label, vector)
+    if within is None:
+        dist = centroid_distances(df, min_class, std_multiplier, id_col, label, vector)
+    else:
+        own_class = df.withColumn("__class", F.struct(F.col(within).alias("g"), F.col(label).alias("label")))
+        dist = centroid_distances(own_class, min_class, std_multiplier, id_col, "__class", vector).withColumn("label", F.col("label.label"))
     labels = df.select(F.col(id_col).alias("neighbour"), F.col(label).alias("nl"))
-    votes = nearest(df, k, id_col, vector).join(labels, "neighbour").groupBy("id", "nl").agg(F.count(F.lit(1)).alias("c"))
+    votes = nearest(df, k, id_col, vector, within=within).join(labels, "neighbour").groupBy("id", "nl").agg(F.count(F.lit(1)).alias("c"))
     own = df.select(F.col(id_col).alias("id"), F.col(label).alias("own"))
     votes = votes.join(own, "id").groupBy("id").agg(F.sum("c").alias("k"), F.coalesce(F.sum(F.when(F.col("nl") == F.col("own"), F.col("c"))), F.lit(0)).alias("same"), F.max_by(F.struct("nl", "c"), F.struct("c", -F.col("nl"))).alias("top"))
     j = dist.filter("threshold is not null").join(votes, "id")

@@ -716,3 +716,20 @@ def flood_findings(spark, d):
 @query(f"with {FIND}, n as (select finding_id, row_number() over (order by confidence desc, finding_id) r from f) select finding_id as old_id, 'DATA-' || case when r < 1000 then lpad(r::varchar, 3, '0') else r::varchar end as finding_id from n")
 def finding_ids(spark, d):
     return fnd.with_ids(made(spark, d).withColumn("old_id", F.col("finding_id")), "DATA", [F.col("confidence").desc(), F.col("old_id")]).select("old_id", "finding_id")
+
+
+@query(f"""with {DIST.replace("e as (select vec_id, label, embedding::double[] v from embeddings)", "e as (select vec_id, (vec_id % 5) * 100 + label label, embedding::double[] v from embeddings)")}, nn as (select a.vec_id, b.label nl, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) r from e a join e b on a.vec_id <> b.vec_id and a.vec_id % 5 = b.vec_id % 5),
+vt as (select vec_id, nl, count(*) c from nn where r <= 10 group by 1, 2), tp as (select vec_id, arg_max(nl, c * 10000 - nl) nl, max(c) c, sum(c) k from vt group by 1)
+select dd.vec_id, (dd.label % 100)::int as label, (tp.nl % 100)::int as suggested from dd join th using (label) join tp using (vec_id) left join vt on vt.vec_id = dd.vec_id and vt.nl = dd.label
+where n >= 8 and (distance > threshold or (coalesce(vt.c, 0) / k <= 0.4 + 1e-12 and tp.nl <> dd.label and tp.c / k >= 0.5))""")
+def office_label_flips(spark, d):
+    emb = t(spark, d, "embeddings").withColumn("contributor", F.col("vec_id") % 5)
+    return labels.label_flips(emb, within="contributor").select(F.col("id").alias("vec_id"), "label", "suggested")
+
+
+@query()
+def office_disparity(spark, d):
+    from probity.plans.scan import scan_office
+
+    emb = t(spark, d, "embeddings").withColumn("contributor", F.concat(F.lit("contributor_"), F.col("vec_id") % 5))
+    return scan_office(emb)["disparity"]

@@ -72,6 +72,37 @@ def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresho
     return Assessment(out, "ASSESSED", notes)
 
 
+def scan_office(emb: DataFrame, contributor: str = "contributor", th: Thresholds = Thresholds(), registry: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every contributor scored against its own population, then compared: findings, risks, disparity, targeting, inversion, verdict."""
+    from probity.operators import office
+
+    f = labels.label_flips(emb, th.neighbours, th.min_class, within=contributor)
+    who = emb.select(F.col("vec_id").cast("string").alias("affected_asset"), contributor)
+    found = _finding(f, "LABEL_FLIPPING", "id", "data_scanner", "label_flip", {"to_class": "suggested"}).join(who, "affected_asset")
+    risks = fnd.contributor_risk(found, emb, contributor)
+    trusted = office.with_registry(risks, registry) if registry is not None else risks.withColumn("trust_level", F.lit("UNVERIFIED"))
+    return {"findings": found, "risks": risks, "disparity": office.disparity(risks), "targeting": office.class_targeting(found), "inversion": office.trust_inversion(trusted), "verdict": office.office_verdict(risks, found)}
+
+
+def audit_model(weights: DataFrame, reference: DataFrame | None = None, probes: tuple[DataFrame, DataFrame] | None = None) -> dict:
+    """Layer anomalies, divergence from a reference, behaviour against a second model; with the confidence that the parts run allow."""
+    from probity.operators import models
+
+    out: dict = {"layers": models.layer_stats(weights.select("layer", "value")), "confidence": 0.30, "limitations": []}
+    if reference is None:
+        out["limitations"].append("no reference weights: divergence not assessed")
+    else:
+        out["divergence"] = models.top_changes(models.weight_divergence(weights, reference))
+        out["confidence"] += 0.15
+    if probes is None:
+        out["limitations"].append("no probes: behaviour not assessed")
+    else:
+        out["behaviour"], out["outputs"] = models.mismatch(*probes), models.output_shape(probes[0])
+        out["confidence"] += 0.25
+    out["confidence"] = round(min(0.98, max(0.05, out["confidence"])), 2)
+    return out
+
+
 def scan_texts(docs: DataFrame, store, th: Thresholds = Thresholds()) -> Assessment:
     """Near-duplicate floods of documents; store.keep writes intermediate tables."""
     fps = store.keep(duplicates.fingerprints(docs))

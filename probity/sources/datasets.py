@@ -96,3 +96,53 @@ def yolo_lines(samples: DataFrame, width: float = 1.0, height: float = 1.0) -> D
 
 def summary(samples: DataFrame) -> DataFrame:
     return samples.groupBy("primary_label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("contributor")).alias("contributors"))
+
+
+def detect_format(spark: SparkSession, root: str) -> str:
+    """coco, yolo or unknown, by the names under root; contents are sampled for a COCO document only."""
+    names = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").filter(F.col("path").rlike(r"(?i)(\.json|/(classes|names)\.txt|/obj\.names|/labels/[^/]*\.txt|data\.yaml)$")).orderBy("path").limit(200).collect()]
+    if find_coco(spark, [n for n in names if n.lower().endswith(".json")]):
+        return "coco"
+    return "yolo" if any(not n.lower().endswith(".json") for n in names) else "unknown"
+
+
+def find_coco(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The annotation document among JSON files: the usual names first, then the first that has images and annotations."""
+    order = sorted(candidates, key=lambda p: (not p.rsplit("/", 1)[-1].lower().startswith(("annotations", "instances", "_annotations")), p))
+    for p in order:
+        head = spark.read.text(p, wholetext=True).select(F.substring("value", 1, 4096)).first()
+        if head and '"images"' in head[0] or head and '"annotations"' in head[0]:
+            return p
+    return None
+
+
+def load_dataset(spark: SparkSession, root: str, fmt: str | None = None) -> tuple[DataFrame, str, list[str]]:
+    """(samples, format, errors) of a folder; an unknown one is its images alone, with an error that says so."""
+    fmt = fmt or detect_format(spark, root)
+    if fmt == "coco":
+        names = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path").collect()]
+        return load_coco(spark, find_coco(spark, names) or names[0]), fmt, []
+    if fmt == "yolo":
+        return load_yolo(spark, root), fmt, []
+    d = list_images(spark, root).select("path", contributor_from_path(F.col("path")).alias("contributor"), F.array().cast("array<int>").alias("labels"))
+    return with_primary_label(d), "images-only", ["no annotations were recognised"]
+
+
+def coco_document(samples: DataFrame, names: DataFrame) -> DataFrame:
+    """One row with a COCO document of samples(path, width, height, labels, boxes): new ids, area = w * h, iscrowd 0.
+
+    The document is one value by its format, so this is for collections that fit one file.
+    """
+    img = samples.select("path", "width", "height", "labels", "boxes").withColumn("id", F.hash("path").cast("bigint") + 2**31)
+    ann = img.select("id", F.posexplode(F.arrays_zip("labels", "boxes")).alias("k", "x"))
+    b = F.col("x.boxes")
+    ann = ann.select((F.col("id") * 1000 + F.col("k")).alias("id"), F.col("id").alias("image_id"), F.col("x.labels").alias("category_id"), b.alias("bbox"), (b[2] * b[3]).alias("area"), F.lit(0).alias("iscrowd"))
+    one = lambda d, name: d.agg(F.array_sort(F.collect_list(F.struct(*d.columns))).alias(name))
+    doc = one(img.select("id", F.col("path").alias("file_name"), "width", "height"), "images").crossJoin(one(ann, "annotations")).crossJoin(one(names.select(F.col("class_id").alias("id"), "name"), "categories"))  # one row each
+    return doc.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
+
+
+def discover_contributors(samples: DataFrame, contributor: str = "contributor") -> DataFrame:
+    """Distinct contributors; rows without one are together under the name of their folder, or 'root'."""
+    other = F.col("folder") if "folder" in samples.columns else F.lit(None).cast("string")
+    return samples.select(F.coalesce(F.col(contributor), other, F.lit("root")).alias("contributor")).distinct()

@@ -257,3 +257,35 @@ def test_entry_without_the_training_data_subpackage():
     import __spark_entry__ as entry
 
     assert {"contributor_risk", "robust_stats"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_config_and_dispatch(spark, tmp_path):
+    from probity.config import Config, flatten
+
+    (tmp_path / "s.yaml").write_text("a:\n  b: 2\n  c: [1]\nout: ../x\n")
+    c = Config.load(str(tmp_path / "s.yaml"), str(tmp_path / "none.yaml"), defaults={"a": {"b": 1, "d": 3}}, root=str(tmp_path))
+    assert (c.get("a.b"), c.get("a.d"), c.get("a.x", 9)) == (2, 3, 9) and dict(flatten({"a": {"b": 1}})) == {"a.b": 1}
+    with pytest.raises(ValueError):
+        c.path("out")
+    (tmp_path / "d" / "images").mkdir(parents=True)
+    png(tmp_path / "d" / "images" / "a.png", np.zeros((4, 4, 3)))
+    d, fmt, errors = datasets.load_dataset(spark, str(tmp_path / "d"))
+    assert fmt == "images-only" and errors and d.first().primary_label == -1
+    (tmp_path / "d" / "classes.txt").write_text("tank\n\ntruck\n")
+    assert datasets.detect_format(spark, str(tmp_path / "d")) == "yolo"
+    assert [tuple(r) for r in datasets.read_class_names(spark, str(tmp_path / "d" / "classes.txt")).orderBy("class_id").collect()] == [(0, "tank"), (2, "truck")]
+    doc = {"images": [{"id": 1, "file_name": "a.png", "width": 4, "height": 4}], "annotations": [{"id": 5, "image_id": 1, "category_id": 2, "bbox": [0, 0, 2, 3]}]}
+    (tmp_path / "d" / "instances.json").write_text(json.dumps(doc))
+    d, fmt, _ = datasets.load_dataset(spark, str(tmp_path / "d"))
+    assert fmt == "coco"
+    again = json.loads(datasets.coco_document(d, spark.createDataFrame([(2, "truck")], "class_id int, name string")).first().value)
+    assert again["annotations"][0]["area"] == 6.0 and again["images"][0]["file_name"] == "a.png"
+    assert datasets.discover_contributors(d).first().contributor == "root"
+    assert datasets.yolo_lines(d, 4, 4).first().value == "2 0.250000 0.375000 0.500000 0.750000"
+
+
+def test_model_audit(spark):
+    w = spark.createDataFrame([(f"l{k}", i, float((i * 7 + k) % 5 - 2) * (40 if k == 3 else 1)) for k in range(4) for i in range(50)], "layer string, pos long, value double")
+    a = scan.audit_model(w, w.withColumn("value", F.when(F.col("layer") == "l1", F.col("value") + 1).otherwise(F.col("value"))))
+    assert [r.layer for r in a["layers"].filter("flags > 0").collect()] == ["l3"] and [r.layer for r in a["divergence"].collect()] == ["l1"]
+    assert a["confidence"] == 0.45 and a["limitations"]
