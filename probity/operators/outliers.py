@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from probity.functions.stats import energy_score, modified_zscore, percentile_threshold
 from probity.functions.vectors import centroids, squared_distance
 
+#: Rows of a class, at most, that its activation clusters are computed from.
+CLUSTER_ROWS = 20000
+
 
 def _stack(v: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in v]) if len(v) else np.empty((0, 0))
@@ -161,9 +164,14 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
 def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10, limit: float = 0.70, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Per class: two-means on its PCA scores; (label, n, imbalance, silhouette, confidence, flagged).
 
-    Everything is computed from the class's rows in batches of a bounded sample of 20000 in hash order (silhouettes are quadratic).
+    A class is judged by at most CLUSTER_ROWS of its rows in hash order (silhouettes are quadratic).
     """
-    bounded = df.select(F.col(label).alias("label"), F.col(vector).alias("v"), F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(vector)))).alias("r")).filter("r <= 20000")
+    d = df.select(F.col(label).alias("label"), F.col(vector).alias("v"), F.xxhash64(F.col(vector)).alias("h"))
+    n = d.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    # a class is thinned by hash where it lies, to a little over the bound, before its rows meet
+    share = F.least(F.lit(1_000_000), F.ceil(1_200_000 * CLUSTER_ROWS / F.col("rows")))
+    d = d.join(n, "label").filter(F.pmod("h", F.lit(1_000_000)) < share)
+    bounded = d.select("label", "v", F.row_number().over(Window.partitionBy("label").orderBy("h")).alias("r")).filter(F.col("r") <= CLUSTER_ROWS)
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = _stack(pdf.sort_values("r")["v"])
