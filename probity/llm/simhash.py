@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,9 +143,34 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[lab[moved]]
 
 
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the links of a minimum spanning forest over nodes 0 to n - 1, by rising weight."""
+    order = np.argsort(weight, kind="stable")
+    a, b, weight = a[order], b[order], weight[order]
+    cuts = [0, *(np.flatnonzero(weight[1:] != weight[:-1]) + 1).tolist(), len(weight)]
+    lab, picked = np.arange(n), [order[:0]]
+    for s, e in zip(cuts, cuts[1:]):
+        live = np.arange(s, e)
+        while True:
+            x, y = lab[a[live]], lab[b[live]]
+            live = live[x != y]
+            if not len(live):
+                break
+            hi, lo = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+            by = np.argsort(hi * n + lo, kind="stable")
+            root, first = np.unique(hi[by], return_index=True)
+            lab[root] = lo[by[first]]  # each root hangs on a smaller one, so there is no cycle
+            picked.append(order[live[by[first]]])
+            while not np.array_equal(nxt := lab[lab], lab):
+                lab = nxt
+    return np.concatenate(picked)
+
+
 class Measure:
     """What links two rows: each of their fingerprints within its limit of bits. A row's node is its last column: the fingerprint
-    itself where there is one, an id where there are several."""
+    itself where there is one, an id where there are several. Links stand for all that they connect."""
+
+    small = 32
 
     def __init__(self, limits: tuple[int, ...]):
         self.limits, self.width = limits, 1 if len(limits) == 1 else len(limits) + 1
@@ -166,6 +192,45 @@ class Measure:
             lb.append(s[1])
         return spanning(np.concatenate(la), np.concatenate(lb))
 
+    def thin(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spanning(a, b)
+
+
+class Candidates(Measure):
+    """Links that are still to be checked against the texts: all pairs under small keys; under others two disjoint minimum spanning
+    forests by differing bits, as single linkage at any threshold needs no more than the nearest links."""
+
+    small, forests = 8, 2
+
+    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        nodes, flat = np.unique(np.concatenate((p[-1], q[-1])), return_inverse=True)
+        u, v = flat[: p.shape[1]], flat[p.shape[1] :]
+        same = np.array_equal(u, v)
+        a, b, w = flat[:0], flat[:0], flat[:0]
+        for i in range(0, p.shape[1], step):
+            x, y = np.nonzero(self.close(p[:, i : i + step, None], q[:, None, :]))
+            x += i
+            good = u[x] < v[y] if same else u[x] != v[y]
+            x, y = x[good], y[good]
+            bits = np.zeros(len(x), np.int64)
+            for k in range(len(self.limits)):
+                bits += np.bitwise_count((p[k, x] ^ q[k, y]).view(U64))
+            a, b, w = np.concatenate((a, np.minimum(u[x], v[y]))), np.concatenate((b, np.maximum(u[x], v[y]))), np.concatenate((w, bits))
+            rest, kept = np.arange(len(a)), [flat[:0]]
+            for _ in range(self.forests):
+                got = rest[forest(a[rest], b[rest], w[rest], len(nodes))]
+                kept.append(got)
+                rest = np.setdiff1d(rest, got, assume_unique=True)
+            at = np.concatenate(kept)
+            a, b, w = a[at], b[at], w[at]
+        return nodes[a], nodes[b]
+
+    def thin(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(a):
+            return a, b
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pairs[0], pairs[1]
+
 
 def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, columns) sorted by key -> verified links (part 0: a, b) or, for keys of over `block` rows, the rows (part 1)."""
@@ -182,15 +247,15 @@ def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) ->
     def work(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.concatenate((first, [len(k)])))
-        la, lb, small = [], [], np.repeat(size, size) <= 32
-        for gap in range(1, 32):
+        la, lb, small = [], [], np.repeat(size, size) <= measure.small
+        for gap in range(1, measure.small):
             i = np.flatnonzero((k[gap:] == k[:-gap]) & small[gap:])
             if not len(i):
                 break
             i = i[measure.close(c[:, i], c[:, i + gap])]
             la.append(c[-1, i])
             lb.append(c[-1, i + gap])
-        for s, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
+        for s, n in zip(first[size > measure.small].tolist(), size[size > measure.small].tolist()):
             if n > block:
                 yield rows(1, k[s : s + n], c[:, s : s + n])
                 continue
@@ -198,7 +263,7 @@ def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) ->
             la.append(a)
             lb.append(b)
         if la:
-            a, b = spanning(np.concatenate(la), np.concatenate(lb))
+            a, b = measure.thin(np.concatenate(la), np.concatenate(lb))
             if len(a):
                 yield rows(0, np.zeros(len(a), np.int64), np.stack([a, b]))
 
@@ -254,13 +319,13 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], measure: Measure) -> Itera
         yield from work(pa.Table.from_batches(held))
 
 
-def link_fingerprints(fps: DataFrame, scratch: Scratch, limits: tuple[int, ...] = (4,), parts: int = 0, block: int = 4096) -> DataFrame:
+def link_fingerprints(fps: DataFrame, scratch: Scratch, limits: tuple[int, ...] = (4,), parts: int = 0, block: int = 4096, kind: type[Measure] = Measure, name: str = "found") -> DataFrame:
     """(a, b) links that connect whatever rows of fps within all limits of each other connect, where the first fingerprints differ in
     at most 4 bits; pairs with a wider first limit are linked when they meet under a key.
 
     fps(fp BIGINT), distinct, with one limit; fps(fp, fp1, ..., node), BIGINT too, with several.
     """
-    measure = Measure(limits)
+    measure = kind(limits)
     parts = parts or int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["fp"] if measure.width == 1 else ["fp", *(f"fp{k}" for k in range(1, len(limits))), "node"]
 
@@ -273,7 +338,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, limits: tuple[int, ...]
 
     keyed = fps.select(*names).mapInArrow(expand, "key bigint, " + ", ".join(f"{n} bigint" for n in names)).repartition(parts, "key").sortWithinPartitions("key")
     width = max(2, measure.width)
-    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, measure, block), "part int, key bigint, " + ", ".join(f"c{k} bigint" for k in range(width))), "found")
+    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, measure, block), "part int, key bigint, " + ", ".join(f"c{k} bigint" for k in range(width))), name)
     links = found.filter("part = 0").select(F.col("c0").alias("a"), F.col("c1").alias("b")).distinct()
     big = found.filter("part = 1").select("key", *(f"c{k}" for k in range(measure.width)))
     if big.isEmpty():
@@ -292,8 +357,9 @@ def distinct_words(raw: bytes) -> bytes:
     return b" ".join(dict.fromkeys(raw.lower().split()))
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, of_words: bool = False) -> DataFrame:
-    """(id, fp), with of_words also fpw: the fingerprint of a text's distinct single words."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, word_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """(id, fp), and w0, w1, ...: fingerprints of a text's distinct single words, one for each of word_seeds."""
+    more_names = [f"w{k}" for k in range(len(word_seeds))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,11 +368,12 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 buf, offs = scan_layout(text.slice(s, 256))
                 raw, o = buf.tobytes(), offs.tolist()
                 fp = fingerprints((raw[a:b] for a, b in zip(o, o[1:])), shingle, seed)
-                more = [pa.array(fingerprints((distinct_words(raw[a:b]) for a, b in zip(o, o[1:])), 1, seed).view(np.int64))] if of_words else []
-                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64)), *more], names=["id", "fp", *["fpw"] * of_words])
+                single = [distinct_words(raw[a:b]) for a, b in zip(o, o[1:])] if word_seeds else []
+                more = [pa.array(fingerprints(iter(single), 1, x).view(np.int64)) for x in word_seeds]
+                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64)), *more], names=["id", "fp", *more_names])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, fp bigint" + ", fpw bigint" * of_words)
+    return d.mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, fp bigint" + "".join(f", {n} bigint" for n in more_names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -334,26 +401,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, reach: int = 8, seed: int = 42) -> DataFrame:
-    """One row per document: id_col, fingerprint, component_id, for copies whose shingles are `similarity` alike.
+def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, word_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """(node, hs) for docs(id, text): the row's node and the distinct 32-bit hashes of its shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh32_intdigest
+        for batch in batches:
+            for s in range(0, batch.num_rows, 64):
+                buf, offs = scan_layout(batch.column(1).slice(s, 64))
+                raw, o = buf.tobytes(), offs.tolist()
+                texts = [raw[a:b] for a, b in zip(o, o[1:])]
+                single = [distinct_words(t) for t in texts]
+                marks = [fingerprints(iter(single), 1, x) for x in word_seeds] + [fingerprints(iter(texts), shingle, seed)]
+                sets = []
+                for t in texts:
+                    w = t.lower().split()
+                    sets.append(np.unique(np.array([digest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint32)).view(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array(m.view(np.int64)) for m in marks), pa.array(sets, pa.list_(pa.int32()))], names=[*(f"w{k}" for k in range(len(word_seeds))), "fp", "hs"])
+
+    words = [f"w{k}" for k in range(len(word_seeds))]
+    return docs.select("id", "text").mapInArrow(scan, "".join(f"{w} bigint, " for w in words) + "fp bigint, hs array<int>").select(F.xxhash64(*words, "fp").alias("node"), "hs")
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256) -> DataFrame:
+    """The links (a, b) between nodes whose sets(node, hs) have at least that Jaccard similarity.
+
+    A node with many links is dealt over one part for every `most` of them, and its set copied to each part.
+    """
+    for end, out in (("a", "ha"), ("b", "hb")):
+        hot = links.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count(F.lit(1)) / most).alias("deal")).filter("deal > 1")
+        dealt = sets.join(hot, "node", "left").select("node", "hs", F.explode(F.expr("sequence(0, coalesce(deal, 1) - 1)")).alias("part"), F.coalesce("deal", F.lit(1)).alias("deal"))
+        many = links.join(hot.withColumnRenamed("node", end), end, "left").withColumn("part", F.expr(f"pmod(xxhash64(a, b, '{end}'), coalesce(deal, 1))")).drop("deal")
+        links = many.join(dealt.select(F.col("node").alias(end), "part", F.col("hs").alias(out)), [end, "part"]).drop("part")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return links.filter((both > 0) & (both >= similarity * (F.size("ha") + F.size("hb") - both) - 1e-9)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, reach: int = 8, seed: int = 42, word_seeds: tuple[int, ...] = (42, 1)) -> DataFrame:
+    """One row per document: id_col, fingerprint, component_id, for copies whose sets of shingles are `similarity` alike (Jaccard).
 
     A few changed words change many shingles, so near copies' shingle fingerprints differ in more bits than the keys prove. Here the
-    keys come from the fingerprint of distinct words, which moves far less: pairs within 4 bits of it are always found, up to `reach` where
-    a key meets. A link also needs the shingle fingerprints to be within the bits that two thirds of a standard deviation
-    over the mean allows at that Jaccard similarity. Nulls, ties and empty tables are treated as by near_duplicates; documents
-    without words are alike only to each other.
+    keys come from fingerprints of distinct words, which move far less, one for each of word_seeds: pairs within 4 bits of one are
+    always found, up to `reach` where a key meets. Candidates also need shingle fingerprints within the bits that two standard
+    deviations over the mean allow at that similarity. Their texts' sets of shingles, 32 bits a shingle, then decide.
+
+    Rows with all fingerprints equal are one node. A null id is ordered before no id; its text is compared like any
+    other. Documents without words are alike only to each other. Repeated rows stay rows of their component. Empty tables give
+    empty results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(64 * part + (64 * part * (1 - part)) ** 0.5 * 2 / 3)
-    fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed, of_words=True), "fps")
-    nodes = fps.groupBy("fpw", "fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fpw", "fp"))
-    nodes = scratch.keep(nodes, "nodes")
+    limit = int(64 * part + 2 * (64 * part * (1 - part)) ** 0.5)
+    words = [f"w{k}" for k in range(len(word_seeds))]
+    fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed, word_seeds).withColumn("node", F.xxhash64(*words, "fp")), "fps")
+    nodes = scratch.keep(fps.groupBy("node", *words, "fp").agg(F.min("id").alias("least")), "nodes")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = link_fingerprints(nodes.select(F.col("fpw").alias("fp"), F.col("fp").alias("fp1"), "node"), scratch, (reach, limit), parts)
-    roots = connected_components(links, scratch)
-    owner = nodes.join(roots, "node", "left").select("fpw", "fp", "least", F.coalesce("root", "node").alias("root"))
+    found = [link_fingerprints(nodes.select(F.col(w).alias("fp"), F.col("fp").alias("fp1"), "node"), scratch, (reach, limit), parts, kind=Candidates, name=f"found_{w}") for w in words]
+    links = scratch.keep(functools.reduce(DataFrame.unionByName, found).distinct(), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(ends, "node").select(F.col("least").alias("id")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.filter("id IS NOT NULL").join(ids, "id", "left_semi").unionByName(texts.filter("id IS NULL"))
+    sets = shingle_sets(texts, shingle, seed, word_seeds).join(ends, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs"))
+    roots = connected_components(alike(links, scratch.keep(sets, "sets"), similarity), scratch)
+    owner = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(owner.join(comp, "root").select("fpw", "fp", "component_id"), "named")
-    return fps.join(named, ["fpw", "fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.keep(owner.join(comp, "root").select("node", "component_id"), "named")
+    return fps.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

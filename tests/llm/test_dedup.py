@@ -11,7 +11,7 @@ from probity.llm.components import connected_components
 from probity.llm.common import Scratch
 from probity.llm.exact_dedup import drop_exact_copies, exact_groups
 from probity.llm.lines import dedup_units
-from probity.llm.simhash import fingerprints, fuzzy_keys, golay_index, link_fingerprints, near_copies, near_duplicates
+from probity.llm.simhash import alike, fingerprints, forest, fuzzy_keys, golay_index, link_fingerprints, near_copies, near_duplicates
 from probity.llm.substring_dedup import remove_repeats
 from probity.llm.suffix import FMIndex, SuffixArray, maximal_repeats
 
@@ -215,3 +215,47 @@ def test_near_copies_at_a_similarity(spark):
     found = sum(got[i] == min(j for j in origin if origin[j] == k) for i, k in origin.items())
     assert found / len(origin) > 0.9
     assert near_copies(frame(spark, [])).collect() == []
+
+
+def test_forest_is_minimal():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n, m = int(rng.integers(2, 20)), int(rng.integers(0, 60))
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m)
+        lab, cost, size = list(range(n)), 0, 0
+        for k in np.argsort(w, kind="stable").tolist():
+            x, y = lab[a[k]], lab[b[k]]
+            if x != y:
+                lab, cost, size = [x if v == y else v for v in lab], cost + int(w[k]), size + 1
+        got = forest(a, b, w, n)
+        assert len(got) == size and int(w[got].sum()) == cost
+
+
+def test_alike_decides_exactly_and_deals_hubs(spark):
+    base = list(range(100))
+    sets = [(0, base)] + [(k, base[: 100 - k % 40]) for k in range(1, 700)] + [(1000, [])]
+    links = [(0, k) for k in range(1, 700)] + [(0, 1000)]
+    got = alike(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame(sets, "node long, hs array<int>"), 0.8, most=16).collect()
+    assert sorted((r.a, r.b) for r in got) == [(0, k) for k in range(1, 700) if k % 40 <= 20]
+
+
+def test_near_copies_are_as_alike_as_said(spark):
+    """Texts under the limit stay apart, with ids that are null or repeated too."""
+    random.seed(5)
+    vocab, rows = [f"w{i}" for i in range(2000)], []
+    for k in range(40):
+        base = random.choices(vocab, k=300)
+        for c in range(5):  # up to 4 % of the words: from 1.0 down to about 0.65
+            w = list(base)
+            for _ in range(c * 3):
+                w[random.randrange(len(w))] = random.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {(i, j) for i in grams for j in grams if i < j and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
+    for i, c in got.items():
+        assert c == i or any(i in e and got[e[0]] == got[e[1]] for e in linked)
+    assert sum(got[i] == got[j] for i, j in linked) / len(linked) > 0.9
+    odd = [(None, rows[0][1]), (None, rows[0][1] + " more"), (3, rows[5][1]), (3, rows[10][1])]
+    out = near_copies(frame(spark, [(7, rows[0][1]), *odd])).collect()
+    assert {r.component_id for r in out if r.doc_id is None} == {7} and len(out) == 5
