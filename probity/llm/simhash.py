@@ -170,8 +170,6 @@ class Measure:
     """What links two rows: each of their fingerprints within its limit of bits. A row's node is its last column: the fingerprint
     itself where there is one, an id where there are several. Links stand for all that they connect."""
 
-    small = 32
-
     def __init__(self, limits: tuple[int, ...]):
         self.limits, self.width = limits, 1 if len(limits) == 1 else len(limits) + 1
 
@@ -181,8 +179,11 @@ class Measure:
             ok &= np.bitwise_count((p[k] ^ q[k]).view(U64)) <= most
         return ok
 
-    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Spanning links among all verified pairs of rows p and q (columns are rows), in blocks."""
+    def bits(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((p[: len(self.limits)] ^ q[: len(self.limits)]).view(U64)).sum(axis=0, dtype=np.int64)
+
+    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spanning links (a, b, weight) among all verified pairs of rows p and q (columns are rows), in blocks."""
         la, lb = [p[-1, :0]], [p[-1, :0]]
         for i in range(0, p.shape[1], step):
             x, y = np.nonzero(self.close(p[:, i : i + step, None], q[:, None, :]))
@@ -190,19 +191,19 @@ class Measure:
             s = spanning(a[a != b], b[a != b])
             la.append(s[0])
             lb.append(s[1])
-        return spanning(np.concatenate(la), np.concatenate(lb))
+        a, b = spanning(np.concatenate(la), np.concatenate(lb))
+        return a, b, np.zeros(len(a), np.int64)
 
-    def thin(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def thin(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links that stand for all links (a, b) of a batch of keys."""
         return spanning(a, b)
 
 
 class Candidates(Measure):
-    """Links that are still to be checked against the texts: all pairs under small keys; under others two disjoint minimum spanning
-    forests by differing bits, as single linkage at any threshold needs no more than the nearest links."""
-
-    small, forests = 8, 2
+    """Links that are still to be checked against the texts: a minimum spanning forest by differing bits for each batch of keys, as
+    single linkage at any threshold needs no more than the nearest links."""
 
-    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nodes, flat = np.unique(np.concatenate((p[-1], q[-1])), return_inverse=True)
         u, v = flat[: p.shape[1]], flat[p.shape[1] :]
         same = np.array_equal(u, v)
@@ -212,24 +213,20 @@ class Candidates(Measure):
             x += i
             good = u[x] < v[y] if same else u[x] != v[y]
             x, y = x[good], y[good]
-            bits = np.zeros(len(x), np.int64)
-            for k in range(len(self.limits)):
-                bits += np.bitwise_count((p[k, x] ^ q[k, y]).view(U64))
-            a, b, w = np.concatenate((a, np.minimum(u[x], v[y]))), np.concatenate((b, np.maximum(u[x], v[y]))), np.concatenate((w, bits))
-            rest, kept = np.arange(len(a)), [flat[:0]]
-            for _ in range(self.forests):
-                got = rest[forest(a[rest], b[rest], w[rest], len(nodes))]
-                kept.append(got)
-                rest = np.setdiff1d(rest, got, assume_unique=True)
-            at = np.concatenate(kept)
+            a, b, w = np.concatenate((a, np.minimum(u[x], v[y]))), np.concatenate((b, np.maximum(u[x], v[y]))), np.concatenate((w, self.bits(p[:, x], q[:, y])))
+            at = forest(a, b, w, len(nodes))
             a, b, w = a[at], b[at], w[at]
-        return nodes[a], nodes[b]
+        return nodes[a], nodes[b], w
 
-    def thin(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def thin(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(a):
             return a, b
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pairs[0], pairs[1]
+        # a pair has one weight whatever key it meets under
+        nodes, flat = np.unique(np.concatenate((np.minimum(a, b), np.maximum(a, b))), return_inverse=True)
+        u, v = flat[: len(a)], flat[len(a) :]
+        once = np.unique(u * len(nodes) + v, return_index=True)[1]
+        at = forest(u[once], v[once], weight[once], len(nodes))
+        return nodes[u[once][at]], nodes[v[once][at]]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) -> Iterator[pa.RecordBatch]:
@@ -247,23 +244,25 @@ def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) ->
     def work(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.concatenate((first, [len(k)])))
-        la, lb, small = [], [], np.repeat(size, size) <= measure.small
-        for gap in range(1, measure.small):
+        la, lb, lw, small = [], [], [], np.repeat(size, size) <= 32
+        for gap in range(1, 32):
             i = np.flatnonzero((k[gap:] == k[:-gap]) & small[gap:])
             if not len(i):
                 break
             i = i[measure.close(c[:, i], c[:, i + gap])]
             la.append(c[-1, i])
             lb.append(c[-1, i + gap])
-        for s, n in zip(first[size > measure.small].tolist(), size[size > measure.small].tolist()):
+            lw.append(measure.bits(c[:, i], c[:, i + gap]))
+        for s, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
             if n > block:
                 yield rows(1, k[s : s + n], c[:, s : s + n])
                 continue
-            a, b = measure.links(c[:, s : s + n], c[:, s : s + n])
+            a, b, w = measure.links(c[:, s : s + n], c[:, s : s + n])
             la.append(a)
             lb.append(b)
+            lw.append(w)
         if la:
-            a, b = measure.thin(np.concatenate(la), np.concatenate(lb))
+            a, b = measure.thin(np.concatenate(la), np.concatenate(lb), np.concatenate(lw))
             if len(a):
                 yield rows(0, np.zeros(len(a), np.int64), np.stack([a, b]))
 
@@ -298,7 +297,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], measure: Measure) -> Itera
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         side, c = t.column(3).to_numpy(), np.stack([t.column(j).to_numpy() for j in range(4, t.num_columns)])
         same = t.column(1)[0].as_py() == t.column(2)[0].as_py()
-        a, b = measure.links(c[:, side == 0], c[:, side == 0] if same else c[:, side == 1])
+        a, b, _ = measure.links(c[:, side == 0], c[:, side == 0] if same else c[:, side == 1])
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
