@@ -400,8 +400,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, word_seeds: tuple[int, ...] = ()) -> DataFrame:
-    """(node, hs) for docs(id, text): the row's node and the distinct 32-bit hashes of its shingles."""
+def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(id, fp, node, hs) for docs(id, text): fingerprint, hash of the shingle set, and the distinct 32-bit hashes of the shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh32_intdigest
@@ -410,16 +410,154 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, word_seeds:
                 buf, offs = scan_layout(batch.column(1).slice(s, 64))
                 raw, o = buf.tobytes(), offs.tolist()
                 texts = [raw[a:b] for a, b in zip(o, o[1:])]
-                single = [distinct_words(t) for t in texts]
-                marks = [fingerprints(iter(single), 1, x) for x in word_seeds] + [fingerprints(iter(texts), shingle, seed)]
                 sets = []
                 for t in texts:
                     w = t.lower().split()
-                    sets.append(np.unique(np.array([digest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint32)).view(np.int32))
-                yield pa.RecordBatch.from_arrays([*(pa.array(m.view(np.int64)) for m in marks), pa.array(sets, pa.list_(pa.int32()))], names=[*(f"w{k}" for k in range(len(word_seeds))), "fp", "hs"])
+                    sets.append(np.unique(np.array([digest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint32)))
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U64)
+                fp = fingerprints(iter(texts), shingle, seed)
+                hs = pa.array([x.view(np.int32) for x in sets], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 64), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs], names=["id", "fp", "node", "hs"])
 
-    words = [f"w{k}" for k in range(len(word_seeds))]
-    return docs.select("id", "text").mapInArrow(scan, "".join(f"{w} bigint, " for w in words) + "fp bigint, hs array<int>").select(F.xxhash64(*words, "fp").alias("node"), "hs")
+    return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, fp bigint, node bigint, hs array<int>")
+
+
+def _flat(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, size of each row) of the list column `at`."""
+    col = batch.column(at)
+    size = np.diff(col.offsets.to_numpy()).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), col.flatten().to_numpy().view(np.uint32).astype(np.int64), size
+
+
+def least_hashes(sets: DataFrame, count: int = 8) -> DataFrame:
+    """(key, node, size, other) of sets(node, hs): the least value of each of `count` permutations of the 32-bit hashes, and that of the next one."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                row, h, size = _flat(b, 1)
+                has = np.flatnonzero(size)
+                if not len(has):
+                    continue
+                first, node = np.cumsum(size)[has] - size[has], b.column(0).to_numpy()[has]
+                keys = []
+                for k in range(count):
+                    x = h.astype(U64) * U64(0x9E3779B97F4A7C15 + 2 * k * 0x1F83D9AB5BE0CD19 & (1 << 64) - 1) >> U64(32)
+                    keys.append(np.minimum.reduceat(x, first).astype(np.int64) | k << 32)
+                cols = [np.concatenate(keys), np.tile(node, count), np.tile(size[has], count), np.concatenate(keys[1:] + keys[:1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", "other"])
+
+    return sets.select("node", "hs").mapInArrow(scan, "key bigint, node bigint, size bigint, other bigint")
+
+
+def common_shingles(sets: DataFrame, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) that repeat in a hash sample of rows with about `most` shingles, and how often. They only order the shingles of
+    all sets, the common last: pairs are found by any order, by this one from fewer candidates."""
+    total = sets.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    some = sets.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, -(-total // most)))) == 0)
+    t = some.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    h, n = t.column("h").to_numpy().view(np.uint32).astype(np.int64), t.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, node, root, size, pos) of sets(node, root, hs): the first shingles of each set in one order for all. Two sets of that
+    Jaccard similarity share one of these, since each holds more shingles before its last `similarity` part than it can lack."""
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = sent.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                row, h, size = _flat(b, 2)
+                if not len(h):
+                    continue
+                n = np.zeros(len(h), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    n = np.where(often[at] == h, times[at], 0)
+                order = np.lexsort((h, n, row))
+                pos = np.arange(len(h)) - (np.cumsum(size) - size)[row]
+                keep = pos <= size[row] - np.ceil(similarity * size[row] - 1e-6)
+                row = row[keep]
+                cols = [h[order][keep], b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], size[row], pos[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "root", "size", "pos"])
+
+    return sets.select("node", "root", "hs").mapInArrow(scan, "key bigint, node bigint, root bigint, size bigint, pos bigint")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Columns of rows sorted by their first column, in blocks that hold all rows of a key."""
+    held, size, most = [], 0, least
+    for batch in batches:
+        held.append(np.stack([batch.column(j).to_numpy() for j in range(batch.num_columns)]))
+        size += batch.num_rows
+        if size > most:
+            c = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(c[0], c[0, -1]))
+            if cut:
+                yield c[:, :cut]
+            held, size = [c[:, cut:]], c.shape[1] - cut
+            most = max(least, 2 * size)
+    if size:
+        yield np.concatenate(held, axis=1)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+
+def _next_of_key(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size, other) sorted by key -> each node of a key with the next by other and size."""
+    for c in _by_key(batches):
+        k, node, size, _ = c[:, np.lexsort((c[1], c[2], c[3], c[0]))]
+        i = np.flatnonzero((k[1:] == k[:-1]) & (node[1:] != node[:-1]) & (np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]) - 1e-6))
+        if len(i):
+            yield _pairs(node[i], node[i + 1])
+
+
+def _next_apart(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int = 4) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, root, size, pos) sorted by key -> each node of a key with the next few by size that have other roots."""
+    for c in _by_key(batches):
+        k, node, root, size, _ = c[:, np.lexsort((c[1], c[3], c[0]))]
+        for gap in range(1, gaps + 1):
+            i = np.flatnonzero((k[gap:] == k[:-gap]) & (root[gap:] != root[:-gap]) & (size[:-gap] >= similarity * size[gap:] - 1e-6))
+            if len(i):
+                # one pair of nodes for each pair of roots
+                ends = np.sort(np.stack([root[i], root[i + gap]]), axis=0)
+                i = i[np.unique(ends, axis=1, return_index=True)[1]]
+                yield _pairs(node[i], node[i + gap])
+
+
+def _apart(batches: Iterator[pa.RecordBatch], similarity: float, step: int = 512) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, root, size, pos) sorted by key -> all pairs of a key that have different roots and can be alike, if this key
+    is the first shingle that they share."""
+    for c in _by_key(batches):
+        cuts = np.flatnonzero(c[0, 1:] != c[0, :-1]) + 1
+        many = np.flatnonzero(np.diff(np.concatenate(([0], cuts, [c.shape[1]]))) > 1)
+        edge = np.concatenate(([0], cuts, [c.shape[1]]))
+        for g in many.tolist():
+            _, node, root, size, pos = c[:, edge[g] : edge[g + 1]]
+            if (root == root[0]).all():
+                continue
+            order = np.argsort(size, kind="stable")
+            node, root, size, pos = node[order], root[order], size[order], pos[order]
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            node, root, size, pos = node[first], root[first], size[first], pos[first]
+            for s in range(0, len(node), step):
+                e = min(len(node), s + step)
+                top = int(np.searchsorted(size, size[e - 1] / similarity + 1e-6, "right"))
+                x, y = slice(s, e), slice(s, top)
+                need = similarity / (1 + similarity) * (size[x, None] + size[None, y]) - 1e-6
+                ok = (root[x, None] != root[None, y]) & (np.minimum(size[x, None] - pos[x, None], size[None, y] - pos[None, y]) >= need)
+                i, j = np.nonzero(ok)
+                good = j > i
+                if good.any():
+                    yield _pairs(node[s + i[good]], node[s + j[good]])
 
 
 def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256) -> DataFrame:
@@ -436,35 +574,41 @@ def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256)
     return links.filter((both > 0) & (both >= similarity * (F.size("ha") + F.size("hb") - both) - 1e-9)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, reach: int = 8, seed: int = 42, word_seeds: tuple[int, ...] = (42, 1)) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row per document: id_col, fingerprint, component_id, for copies whose sets of shingles are `similarity` alike (Jaccard).
 
-    A few changed words change many shingles, so near copies' shingle fingerprints differ in more bits than the keys prove. Here the
-    keys come from fingerprints of distinct words, which move far less, one for each of word_seeds: pairs within 4 bits of one are
-    always found, up to `reach` where a key meets. Candidates also need shingle fingerprints within the bits that two standard
-    deviations over the mean allow at that similarity. Their texts' sets of shingles, 32 bits a shingle, then decide.
+    All pairs count, whatever was edited. First, of the texts with an equal least hash those next to each other by another least hash are compared; that
+    joins most copies by a number of pairs that grows with the texts, as do pairs of neighbours in size that share a shingle of their
+    prefixes. Then every pair that shares such a shingle and isn't yet joined is compared. Only links found on the sets of shingles, 32 bits a shingle, join texts, so no pair is passed
+    over but one that is already in one group.
 
-    Rows with all fingerprints equal are one node. A null id is ordered before no id; its text is compared like any
+    Rows with equal sets of shingles are one node. A null id is ordered before no id; its text is compared like any
     other. Documents without words are alike only to each other. Repeated rows stay rows of their component. Empty tables give
     empty results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
-    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(64 * part + 2 * (64 * part * (1 - part)) ** 0.5)
-    words = [f"w{k}" for k in range(len(word_seeds))]
-    fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed, word_seeds).withColumn("node", F.xxhash64(*words, "fp")), "fps")
-    nodes = scratch.keep(fps.groupBy("node", *words, "fp").agg(F.min("id").alias("least")), "nodes")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = [link_fingerprints(nodes.select(F.col(w).alias("fp"), F.col("fp").alias("fp1"), "node"), scratch, (reach, limit), parts, kind=Candidates, name=f"found_{w}") for w in words]
-    links = scratch.keep(functools.reduce(DataFrame.unionByName, found).distinct(), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(ends, "node").select(F.col("least").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.filter("id IS NOT NULL").join(ids, "id", "left_semi").unionByName(texts.filter("id IS NULL"))
-    sets = shingle_sets(texts, shingle, seed, word_seeds).join(ends, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs"))
-    roots = connected_components(alike(links, scratch.keep(sets, "sets"), similarity), scratch)
+    rows = scratch.keep(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, seed), "rows")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        links = scratch.keep(pairs.distinct(), f"{name}_pairs")
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = rows.select("node", "hs").join(ends, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs"))
+        return scratch.keep(alike(links, scratch.keep(sets, f"{name}_sets"), similarity), f"{name}_links")
+
+    near = least_hashes(rows).repartition(parts, "key").sortWithinPartitions("key")
+    sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
+    common = common_shingles(rows)
+    for name, choose in (("second", _next_apart), ("rest", _apart)):
+        joined = connected_components(sure, Scratch(spark, "copies"))
+        rooted = rows.select("node", "hs").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "hs")
+        keyed = prefixes(rooted, similarity, common).repartition(parts, "key").sortWithinPartitions("key")
+        found = keyed.mapInArrow(lambda x, choose=choose: choose(x, similarity), "a bigint, b bigint")
+        sure = sure.unionByName(compared(found, name))
+    roots = connected_components(sure, scratch)
     owner = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(owner.join(comp, "root").select("node", "component_id"), "named")
-    return fps.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select("id", "fp", "node").join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

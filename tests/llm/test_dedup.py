@@ -259,3 +259,21 @@ def test_near_copies_are_as_alike_as_said(spark):
     odd = [(None, rows[0][1]), (None, rows[0][1] + " more"), (3, rows[5][1]), (3, rows[10][1])]
     out = near_copies(frame(spark, [(7, rows[0][1]), *odd])).collect()
     assert {r.component_id for r in out if r.doc_id is None} == {7} and len(out) == 5
+
+
+def test_near_copies_that_are_cut_or_appended_to(spark):
+    """Groups equal those of all pairs compared by brute force, whatever the edit."""
+    rng = random.Random(8)
+    vocab, rows = [f"w{i}" for i in range(4000)], []
+    for _ in range(60):
+        base = rng.choices(vocab, k=rng.randint(60, 900))
+        cut, more = rng.choice((0.1, 0.15, 0.19)), rng.choice((0.1, 0.15, 0.19))
+        rows += [base, base[: int(len(base) * (1 - cut))], base + rng.choices(vocab, k=int(len(base) * more)), base[int(len(base) * cut) :]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = list(range(len(rows)))
+    for i in grams:
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()} == dict(enumerate(root))
