@@ -277,3 +277,23 @@ def test_near_copies_that_are_cut_or_appended_to(spark):
             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     assert {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()} == dict(enumerate(root))
+
+
+def test_near_copies_join_whatever_exact_linkage_joins(spark):
+    """A family's pairs are over and under the limit; a link that passes counts though others lead round it that don't."""
+    rng = random.Random(21)
+    vocab, rows = [f"w{i}" for i in range(4000)], []
+    for _ in range(20):
+        base = rng.choices(vocab, k=rng.randint(150, 400))
+        for _ in range(12):
+            w = list(base)
+            for _ in range(int(len(w) * rng.uniform(0.005, 0.025))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = list(range(len(rows)))
+    for i in grams:
+        for j in range(i):
+            if root[i] != root[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()} == dict(enumerate(root))
