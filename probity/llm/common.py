@@ -90,6 +90,9 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of words that only ASCII white space parts.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 _P, _PINV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _pow = {"n": 0}
 

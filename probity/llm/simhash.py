@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, input_splits, scan_layout
+from .common import NOT_SPACE, Scratch, chunks, input_splits, mix, scan_layout, words
 from .components import connected_components
 
 U64 = np.uint64
@@ -39,11 +40,16 @@ def fingerprints(texts: Iterator[bytes], shingle: int = 4, seed: int = 42) -> np
         starts = [0, *ends[: n - 1].tolist()]
         hashes += [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
         sizes.append(n)
-    out, size = np.zeros(len(sizes), U64), np.array(sizes, np.int64)
+    return majority(np.array(hashes, U64), np.array(sizes, np.int64))
+
+
+def majority(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each of texts with size[i] hashes, end to end: bit j is 1 if it is set in over half of them; zero without hashes."""
+    out = np.zeros(len(size), U64)
     full = np.flatnonzero(size)
     if not len(full):
         return out
-    h = np.array(hashes, U64).view(np.uint8).reshape(-1, 8)
+    h = hashes.view(np.uint8).reshape(-1, 8)
     size, first = size[full], np.cumsum(size[full]) - size[full]
     # bits are counted eight to a word, at most 255 shingles at a time, then summed by text
     parts = -(-size // 255)
@@ -142,131 +148,87 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[lab[moved]]
 
 
-def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the links of a minimum spanning forest over nodes 0 to n - 1, by rising weight."""
-    order = np.argsort(weight, kind="stable")
-    a, b, weight = a[order], b[order], weight[order]
-    cuts = [0, *(np.flatnonzero(weight[1:] != weight[:-1]) + 1).tolist(), len(weight)]
-    lab, picked = np.arange(n), [order[:0]]
-    for s, e in zip(cuts, cuts[1:]):
-        live = np.arange(s, e)
-        while True:
-            x, y = lab[a[live]], lab[b[live]]
-            live = live[x != y]
-            if not len(live):
-                break
-            hi, lo = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
-            by = np.argsort(hi * n + lo, kind="stable")
-            root, first = np.unique(hi[by], return_index=True)
-            lab[root] = lo[by[first]]  # each root hangs on a smaller one, so there is no cycle
-            picked.append(order[live[by[first]]])
-            while not np.array_equal(nxt := lab[lab], lab):
-                lab = nxt
-    return np.concatenate(picked)
-
-
-class Measure:
-    """What links two rows: each of their fingerprints within its limit of bits. A row's node is its last column: the fingerprint
-    itself where there is one, an id where there are several. Links stand for all that they connect."""
-
-    def __init__(self, limits: tuple[int, ...]):
-        self.limits, self.width = limits, 1 if len(limits) == 1 else len(limits) + 1
-
-    def close(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count((p[0] ^ q[0]).view(U64)) <= self.limits[0]
-        for k, most in enumerate(self.limits[1:], 1):
-            ok &= np.bitwise_count((p[k] ^ q[k]).view(U64)) <= most
-        return ok
-
-    def bits(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((p[: len(self.limits)] ^ q[: len(self.limits)]).view(U64)).sum(axis=0, dtype=np.int64)
-
-    def links(self, p: np.ndarray, q: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spanning links (a, b, weight) among all verified pairs of rows p and q (columns are rows), in blocks."""
-        la, lb = [p[-1, :0]], [p[-1, :0]]
-        for i in range(0, p.shape[1], step):
-            x, y = np.nonzero(self.close(p[:, i : i + step, None], q[:, None, :]))
-            a, b = p[-1, i : i + step][x], q[-1][y]
-            s = spanning(a[a != b], b[a != b])
-            la.append(s[0])
-            lb.append(s[1])
-        a, b = spanning(np.concatenate(la), np.concatenate(lb))
-        return a, b, np.zeros(len(a), np.int64)
-
-    def thin(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links that stand for all links (a, b) of a batch of keys."""
-        return spanning(a, b)
-
-
-def _verify(batches: Iterator[pa.RecordBatch], measure: Measure, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, columns) sorted by key -> verified links (part 0: a, b) or, for keys of over `block` rows, the rows (part 1)."""
-    names = ["part", "key", *(f"c{k}" for k in range(max(2, measure.width)))]
-
-    def rows(part: int, key: np.ndarray, cols: np.ndarray) -> pa.RecordBatch:
-        full = [*cols, *[np.zeros(len(key), np.int64)] * (len(names) - 2 - len(cols))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part, np.int32)), pa.array(key), *map(pa.array, full)], names=names)
+def _close(p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count((p ^ q).view(U64)) <= most
+
+
+def _links(p: np.ndarray, q: np.ndarray, most: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among all verified pairs of fingerprints p and q, in blocks."""
+    la, lb = [p[:0]], [p[:0]]
+    for i in range(0, len(p), step):
+        x, y = np.nonzero(_close(p[i : i + step, None], q[None, :], most))
+        a, b = p[i : i + step][x], q[y]
+        s = spanning(a[a != b], b[a != b])
+        la.append(s[0])
+        lb.append(s[1])
+    return spanning(np.concatenate(la), np.concatenate(lb))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key -> verified links (part 0: a, b) or, for keys of over `block` rows, the rows (part 1: key, fp)."""
+
+    def rows(part: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part, np.int32)), pa.array(a), pa.array(b)], names=["part", "a", "b"])
 
     keys: list[np.ndarray] = []
-    cols: list[np.ndarray] = []
+    fps: list[np.ndarray] = []
     held, streaming = 0, None
 
-    def work(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.concatenate((first, [len(k)])))
-        la, lb, lw, small = [], [], [], np.repeat(size, size) <= 32
+        la, lb, small = [], [], np.repeat(size, size) <= 32
         for gap in range(1, 32):
             i = np.flatnonzero((k[gap:] == k[:-gap]) & small[gap:])
             if not len(i):
                 break
-            i = i[measure.close(c[:, i], c[:, i + gap])]
-            la.append(c[-1, i])
-            lb.append(c[-1, i + gap])
-            lw.append(measure.bits(c[:, i], c[:, i + gap]))
+            i = i[_close(f[i], f[i + gap], most)]
+            la.append(f[i])
+            lb.append(f[i + gap])
         for s, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
             if n > block:
-                yield rows(1, k[s : s + n], c[:, s : s + n])
+                yield rows(1, k[s : s + n], f[s : s + n])
                 continue
-            a, b, w = measure.links(c[:, s : s + n], c[:, s : s + n])
+            a, b = _links(f[s : s + n], f[s : s + n], most)
             la.append(a)
             lb.append(b)
-            lw.append(w)
         if la:
-            a, b = measure.thin(np.concatenate(la), np.concatenate(lb), np.concatenate(lw))
+            a, b = spanning(np.concatenate(la), np.concatenate(lb))
             if len(a):
-                yield rows(0, np.zeros(len(a), np.int64), np.stack([a, b]))
+                yield rows(0, a, b)
 
     for batch in batches:
-        k, c = batch.column(0).to_numpy(), np.stack([batch.column(j).to_numpy() for j in range(1, batch.num_columns)])
+        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if streaming is not None:  # a key that outgrew the block: its rows pass through
             cut = int(np.searchsorted(k, streaming, "right"))
             if cut:
-                yield rows(1, k[:cut], c[:, :cut])
+                yield rows(1, k[:cut], f[:cut])
             if cut == len(k):
                 continue
-            k, c, streaming = k[cut:], c[:, cut:], None
+            k, f, streaming = k[cut:], f[cut:], None
         keys.append(k)
-        cols.append(c)
+        fps.append(f)
         held += len(k)
         if held > 50 * block:
-            k, c = np.concatenate(keys), np.concatenate(cols, axis=1)
+            k, f = np.concatenate(keys), np.concatenate(fps)
             cut = int(np.searchsorted(k, k[-1]))
-            yield from work(k[:cut], c[:, :cut]) if cut else ()
-            keys, cols, held = [k[cut:]], [c[:, cut:]], len(k) - cut
+            yield from work(k[:cut], f[:cut]) if cut else ()
+            keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
             if held > 25 * block:
-                yield rows(1, keys[0], cols[0])
-                streaming, keys, cols, held = int(k[-1]), [], [], 0
+                yield rows(1, keys[0], fps[0])
+                streaming, keys, fps, held = int(k[-1]), [], [], 0
     if held:
-        yield from work(np.concatenate(keys), np.concatenate(cols, axis=1))
+        yield from work(np.concatenate(keys), np.concatenate(fps))
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, columns) sorted by key, i, j: compares block i with block j of a key."""
+def _verify_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, fp) sorted by key, i, j: compares block i with block j of a key."""
     held: list[pa.RecordBatch] = []
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, c = t.column(3).to_numpy(), np.stack([t.column(j).to_numpy() for j in range(4, t.num_columns)])
+        side, f = t.column(3).to_numpy(), t.column(4).to_numpy()
         same = t.column(1)[0].as_py() == t.column(2)[0].as_py()
-        a, b, _ = measure.links(c[:, side == 0], c[:, side == 0] if same else c[:, side == 1])
+        a, b = _links(f[side == 0], f[side == 0] if same else f[side == 1], most)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -287,47 +249,36 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], measure: Measure) -> Itera
         yield from work(pa.Table.from_batches(held))
 
 
-def link_fingerprints(fps: DataFrame, scratch: Scratch, limits: tuple[int, ...] = (4,), parts: int = 0, block: int = 4096) -> DataFrame:
-    """(a, b) links that connect whatever rows of fps within all limits of each other connect, where the first fingerprints differ in
-    at most 4 bits; pairs with a wider first limit are linked when they meet under a key.
+def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 4, parts: int = 0, block: int = 4096) -> DataFrame:
+    """(a, b) links that connect whatever rows of fps(fp BIGINT), distinct, at most `most` (up to 4) bits apart connect.
 
-    fps(fp BIGINT), distinct, with one limit; fps(fp, fp1, ..., node), BIGINT too, with several.
+    Fingerprints are compared where they share a key; keys of over `block` of them in blocks, one task a pair of blocks. No null is
+    expected; an empty table gives no links.
     """
-    measure = Measure(limits)
     parts = parts or int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["fp"] if measure.width == 1 else ["fp", *(f"fp{k}" for k in range(1, len(limits))), "node"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [batch.column(j).to_numpy() for j in range(len(names))]
-            for s in range(0, len(c[0]), 20000):
-                k, r = fuzzy_keys(c[0][s : s + 20000].view(U64))
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[s : s + 20000][r]) for x in c)], names=["key", *names])
-
-    keyed = fps.select(*names).mapInArrow(expand, "key bigint, " + ", ".join(f"{n} bigint" for n in names)).repartition(parts, "key").sortWithinPartitions("key")
-    width = max(2, measure.width)
-    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, measure, block), "part int, key bigint, " + ", ".join(f"c{k} bigint" for k in range(width))), "found")
-    links = found.filter("part = 0").select(F.col("c0").alias("a"), F.col("c1").alias("b")).distinct()
-    big = found.filter("part = 1").select("key", *(f"c{k}" for k in range(measure.width)))
+            f = batch.column(0).to_numpy()
+            for s in range(0, len(f), 20000):
+                k, r = fuzzy_keys(f[s : s + 20000].view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f[s : s + 20000][r])], names=["key", "fp"])
+
+    keyed = fps.select("fp").mapInArrow(expand, "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key")
+    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, most, block), "part int, a bigint, b bigint"), "found")
+    links = found.filter("part = 0").select("a", "b").distinct()
+    big = found.filter("part = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if big.isEmpty():
         return links
-    # keys with very many fingerprints: blocks against blocks, one task each
-    cols = [f"c{k}" for k in range(measure.width)]
     nb = big.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb"))
-    dealt = big.join(nb, "key").withColumn("own", F.expr(f"pmod(xxhash64({cols[-1]}), nb)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), *cols)
+    dealt = big.join(nb, "key").withColumn("own", F.expr("pmod(xxhash64(fp), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "fp")
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.unionByName(dealt.mapInArrow(lambda x: _verify_blocks(x, measure), "a bigint, b bigint")).distinct()
-
+    return links.unionByName(dealt.mapInArrow(lambda x: _verify_blocks(x, most), "a bigint, b bigint")).distinct()
 
-def distinct_words(raw: bytes) -> bytes:
-    return b" ".join(dict.fromkeys(raw.lower().split()))
 
-
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, word_seeds: tuple[int, ...] = ()) -> DataFrame:
-    """(id, fp), and w0, w1, ...: fingerprints of a text's distinct single words, one for each of word_seeds."""
-    more_names = [f"w{k}" for k in range(len(word_seeds))]
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(id, fp) of every document; a null text has fingerprint zero, as an empty one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,12 +287,10 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 buf, offs = scan_layout(text.slice(s, 256))
                 raw, o = buf.tobytes(), offs.tolist()
                 fp = fingerprints((raw[a:b] for a, b in zip(o, o[1:])), shingle, seed)
-                single = [distinct_words(raw[a:b]) for a, b in zip(o, o[1:])] if word_seeds else []
-                more = [pa.array(fingerprints(iter(single), 1, x).view(np.int64)) for x in word_seeds]
-                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64)), *more], names=["id", "fp", *more_names])
+                yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, fp bigint" + "".join(f", {n} bigint" for n in more_names))
+    return d.mapInArrow(scan, T.StructType([d.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -362,62 +311,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed), "fps")
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    roots = connected_components(link_fingerprints(nodes, scratch, (most,), parts), scratch)
+    roots = connected_components(link_fingerprints(nodes, scratch, most, parts), scratch)
     owner = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(owner.join(comp, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(id, fp, node, hs) for docs(id, text): fingerprint, hash of the shingle set, and the distinct 32-bit hashes of the shingles."""
+def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of all word shingles of a chunk of texts, in order; a text of fewer words is one shingle."""
+    _, _, row, h = words(buf, offs, NOT_SPACE)
+    n = len(h)
+    if not n:
+        return row, h
+    size = np.bincount(row, minlength=len(offs) - 1)
+    place = np.arange(n) - (np.cumsum(size) - size)[row]
+    left = size[row] - place
+    at = np.flatnonzero((left >= shingle) | (place == 0))
+    out = np.zeros(len(at), U64)
+    for k in range(shingle):
+        out = out * U64(0x9E3779B97F4A7C15) + np.where(left[at] > k, h[np.minimum(at + k, n - 1)] | U64(1), U64(0))
+    return row[at], mix(out)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh32_intdigest
-        for batch in batches:
-            for s in range(0, batch.num_rows, 64):
-                buf, offs = scan_layout(batch.column(1).slice(s, 64))
-                raw, o = buf.tobytes(), offs.tolist()
-                texts = [raw[a:b] for a, b in zip(o, o[1:])]
-                sets = []
-                for t in texts:
-                    w = t.lower().split()
-                    sets.append(np.unique(np.array([digest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))] if w else [], np.uint32)))
-                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U64)
-                fp = fingerprints(iter(texts), shingle, seed)
-                hs = pa.array([x.view(np.int32) for x in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 64), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs], names=["id", "fp", "node", "hs"])
 
-    return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, fp bigint, node bigint, hs array<int>")
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, fp, node, hs) for docs(id, text): SimHash of the shingles, hash of the shingle set, and the distinct 32-bit hashes of
+    the shingles, sorted."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offs in chunks(batch.column(1)):
+                row, h = shingle_hashes(buf, offs, shingle)
+                fp = majority(h, np.bincount(row, minlength=b - a))
+                flat = np.unique(row.astype(U64) << U64(32) | h >> U64(32))
+                cut = np.searchsorted(flat, np.arange(b - a + 1, dtype=U64) << U64(32))
+                values = flat.astype(np.uint32)
+                node = np.array([xxhash.xxh64_intdigest(values[s:e].tobytes()) for s, e in zip(cut.tolist(), cut[1:].tolist())], U64)
+                hs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs], names=["id", "fp", "node", "hs"])
 
-def _flat(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, value, size of each row) of the list column `at`."""
-    col = batch.column(at)
-    size = np.diff(col.offsets.to_numpy()).astype(np.int64)
-    return np.repeat(np.arange(len(size)), size), col.flatten().to_numpy().view(np.uint32).astype(np.int64), size
+    return docs.mapInArrow(scan, T.StructType([docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType()))]))
 
 
-def least_hashes(sets: DataFrame, count: int = 8) -> DataFrame:
-    """(key, node, size, other) of sets(node, hs): the least value of each of `count` permutations of the 32-bit hashes, and that of the next one."""
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, size of each row) of a list column of 32-bit hashes."""
+    size = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy().view(np.uint32).astype(np.int64), size
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                b = batch.slice(s, 256)
-                row, h, size = _flat(b, 1)
-                has = np.flatnonzero(size)
-                if not len(has):
-                    continue
-                first, node = np.cumsum(size)[has] - size[has], b.column(0).to_numpy()[has]
-                keys = []
-                for k in range(count):
-                    x = h.astype(U64) * U64(0x9E3779B97F4A7C15 + 2 * k * 0x1F83D9AB5BE0CD19 & (1 << 64) - 1) >> U64(32)
-                    keys.append(np.minimum.reduceat(x, first).astype(np.int64) | k << 32)
-                cols = [np.concatenate(keys), np.tile(node, count), np.tile(size[has], count), np.concatenate(keys[1:] + keys[:1])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", "other"])
 
-    return sets.select("node", "hs").mapInArrow(scan, "key bigint, node bigint, size bigint, other bigint")
+def _signed(h: np.ndarray) -> np.ndarray:
+    """32-bit hashes as Spark's INT holds them."""
+    return h.astype(np.uint32).view(np.int32).astype(np.int64)
 
 
 def common_shingles(sets: DataFrame, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -431,48 +375,96 @@ def common_shingles(sets: DataFrame, most: int = 4_000_000) -> tuple[np.ndarray,
     return h[order], n[order]
 
 
-def prefixes(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, node, root, size, pos) of sets(node, root, hs): the first shingles of each set in one order for all. Two sets of that
-    Jaccard similarity share one of these, since each holds more shingles before its last `similarity` part than it can lack."""
-    sent = sets.sparkSession.sparkContext.broadcast(common)
+def _in_order(column: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, place, size of each row): each set's hashes from the rarest to the most common, in one order for all sets."""
+    row, h, size = _flat(column)
+    often, times = common
+    n = np.zeros(len(h), np.int64)
+    if len(often) and len(h):
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        n = np.where(often[at] == h, times[at], 0)
+    order = np.lexsort((h, n, row))
+    return row, h[order], np.arange(len(h)) - (np.cumsum(size) - size)[row], size
+
+
+def prefixes(sets: DataFrame, similarity: float, common) -> DataFrame:
+    """(key, node) of sets(node, hs): the first shingles of each set. Two sets of that Jaccard similarity share one of these, since
+    each holds more shingles before its last `similarity` part than it can lack."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = sent.value
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 b = batch.slice(s, 256)
-                row, h, size = _flat(b, 2)
-                if not len(h):
-                    continue
-                n = np.zeros(len(h), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    n = np.where(often[at] == h, times[at], 0)
-                order = np.lexsort((h, n, row))
-                pos = np.arange(len(h)) - (np.cumsum(size) - size)[row]
-                keep = pos <= size[row] - np.ceil(similarity * size[row] - 1e-6)
-                row = row[keep]
-                cols = [h[order][keep], b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], size[row], pos[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "root", "size", "pos"])
-
-    return sets.select("node", "root", "hs").mapInArrow(scan, "key bigint, node bigint, root bigint, size bigint, pos bigint")
-
-
-def _by_key(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[np.ndarray]:
-    """Columns of rows sorted by their first column, in blocks that hold all rows of a key."""
-    held, size, most = [], 0, least
+                row, h, place, size = _in_order(b.column(1), common.value)
+                keep = place <= size[row] - np.ceil(similarity * size[row] - 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(b.column(0).to_numpy()[row[keep]])], names=["key", "node"])
+
+    return sets.select("node", "hs").mapInArrow(scan, "key bigint, node bigint")
+
+
+def _columns(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Columns of sorted rows batch by batch, each after the last `carry` rows of the one before: (columns, rows seen before)."""
+    held = None
     for batch in batches:
-        held.append(np.stack([batch.column(j).to_numpy() for j in range(batch.num_columns)]))
-        size += batch.num_rows
-        if size > most:
-            c = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(c[0], c[0, -1]))
-            if cut:
-                yield c[:, :cut]
-            held, size = [c[:, cut:]], c.shape[1] - cut
-            most = max(least, 2 * size)
-    if size:
-        yield np.concatenate(held, axis=1)
+        if batch.num_rows:
+            c = np.stack([batch.column(j).to_numpy() for j in range(batch.num_columns)])
+            seen = 0 if held is None else held.shape[1]
+            c = c if held is None else np.concatenate((held, c), axis=1)
+            yield c, seen
+            held = c[:, max(0, c.shape[1] - carry) :].copy()
+
+
+def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) sorted by both -> (node, key) of keys that two nodes hold, each once. One row is held back."""
+    told = None  # (key, node) of the last row that was given out
+    for c, _ in _columns(batches, 1):
+        key, node = c
+        i = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+        at = np.unique(np.concatenate((i, i + 1)))
+        at = at[np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (node[at][1:] != node[at][:-1])))] if len(at) else at
+        if len(at) and told == (int(key[at[0]]), int(node[at[0]])):
+            at = at[1:]
+        if len(at):
+            told = (int(key[at[-1]]), int(node[at[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(key[at])], names=["node", "key"])
+
+
+def _held_apart(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows (key, root, node) sorted by all three -> (node, key) of keys that nodes of two roots hold. A key's rows wait until a second
+    root comes; when more than `most` wait, they are given out in any case."""
+    last, first_root, open_, waiting, count = None, None, False, [], 0
+    out = lambda c: pa.RecordBatch.from_arrays([pa.array(c[2]), pa.array(c[0])], names=["node", "key"])
+    for c, _ in _columns(batches, 0):
+        edges = np.flatnonzero(np.concatenate(([True], c[0, 1:] != c[0, :-1], [True])))
+        first, end = edges[:-1], edges[1:]
+        several = c[1, first] != c[1, end - 1]
+        mine = np.repeat(several, end - first)
+        k = int(c[0, 0])
+        if k == last:  # the first key goes on from the batch before
+            a = int(end[0])
+            if open_ or several[0] or int(c[1, 0]) != first_root:
+                for w in waiting:
+                    yield out(w)
+                waiting, count, open_ = [], 0, True
+                mine[:a] = True
+        else:
+            waiting, count, open_ = [], 0, False
+        if len(first) > 1:
+            waiting, count, open_ = [], 0, False
+        if mine.any():
+            yield out(c[:, mine])
+        s = int(first[-1])
+        if len(first) > 1 or k != last:
+            first_root = int(c[1, s])
+            open_ = bool(several[-1])
+        last = int(c[0, s])
+        if not open_:
+            waiting.append(c[:, s:].copy())
+            count += c.shape[1] - s
+            if count > most:
+                for w in waiting:
+                    yield out(w)
+                waiting, count, open_ = [], 0, True
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -480,102 +472,220 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
+def search_keys(sets: DataFrame, count: int = 8) -> DataFrame:
+    """(key, other, size, node, fp) of sets(node, fp, hs): the Golay keys of the fingerprint, and the least value of each of `count`
+    permutations of the shingle hashes. `other` is the least value of another permutation, by which like texts are neighbours."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                row, h, size = _flat(b.column(2))
+                has = np.flatnonzero(size)
+                if not len(has):
+                    continue
+                first, node, fp = np.cumsum(size)[has] - size[has], b.column(0).to_numpy()[has], b.column(1).to_numpy()[has]
+                least = []
+                for k in range(count):
+                    x = h.astype(U64) * U64(0x9E3779B97F4A7C15 + 2 * k * 0x1F83D9AB5BE0CD19 & (1 << 64) - 1) >> U64(32)
+                    least.append(np.minimum.reduceat(x, first).astype(np.int64) | k << 32)
+                key, at = fuzzy_keys(fp.view(U64))
+                at = np.concatenate((np.tile(np.arange(len(has)), count), at))
+                cols = [np.concatenate((*least, key | 1 << 60)), np.concatenate((*least[1:], *least[:1], least[0][at[len(has) * count :]])), size[has][at], node[at], fp[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "other", "size", "node", "fp"])
+
+    return sets.select("node", "fp", "hs").mapInArrow(scan, "key bigint, other bigint, size bigint, node bigint, fp bigint")
+
+
 def _next_of_key(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, size, other) sorted by key -> each node of a key with the next by other and size."""
-    for c in _by_key(batches):
-        k, node, size, _ = c[:, np.lexsort((c[1], c[2], c[3], c[0]))]
-        i = np.flatnonzero((k[1:] == k[:-1]) & (node[1:] != node[:-1]) & (np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]) - 1e-6))
+    """Rows (key, other, size, node, fp) sorted -> each node of a key with the next one, where sizes allow the similarity; fingerprints
+    that met under a Golay key must be near as well."""
+    for c, _ in _columns(batches, 1):
+        key, _, size, node, fp = c
+        ok = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]) - 1e-6)
+        i = np.flatnonzero(ok)
+        i = i[(key[i] < 1 << 60) | (np.bitwise_count((fp[i] ^ fp[i + 1]).view(U64)) <= 12)]
         if len(i):
             yield _pairs(node[i], node[i + 1])
 
 
 def _next_apart(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int = 4) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, root, size, pos) sorted by key -> each node of a key with the next few by size that have other roots."""
-    for c in _by_key(batches):
-        k, node, root, size, _ = c[:, np.lexsort((c[1], c[3], c[0]))]
+    """Rows (key, size, node, root) sorted -> each node of a key with the next few by size that have other roots."""
+    for c, seen in _columns(batches, gaps):
+        key, size, node, root = c
         for gap in range(1, gaps + 1):
-            i = np.flatnonzero((k[gap:] == k[:-gap]) & (root[gap:] != root[:-gap]) & (size[:-gap] >= similarity * size[gap:] - 1e-6))
-            if len(i):
-                # one pair of nodes for each pair of roots
+            ok = (key[gap:] == key[:-gap]) & (root[gap:] != root[:-gap]) & (size[:-gap] >= similarity * size[gap:] - 1e-6)
+            i = np.flatnonzero(ok)
+            i = i[i + gap >= seen]
+            if len(i):  # one pair of nodes for each pair of roots
                 ends = np.sort(np.stack([root[i], root[i + gap]]), axis=0)
                 i = i[np.unique(ends, axis=1, return_index=True)[1]]
                 yield _pairs(node[i], node[i + gap])
 
 
-def _apart(batches: Iterator[pa.RecordBatch], similarity: float, step: int = 512) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, root, size, pos) sorted by key -> all pairs of a key that have different roots and can be alike, if this key
-    is the first shingle that they share."""
-    for c in _by_key(batches):
-        cuts = np.flatnonzero(c[0, 1:] != c[0, :-1]) + 1
-        many = np.flatnonzero(np.diff(np.concatenate(([0], cuts, [c.shape[1]]))) > 1)
-        edge = np.concatenate(([0], cuts, [c.shape[1]]))
-        for g in many.tolist():
-            _, node, root, size, pos = c[:, edge[g] : edge[g + 1]]
-            if (root == root[0]).all():
-                continue
-            order = np.argsort(size, kind="stable")
-            node, root, size, pos = node[order], root[order], size[order], pos[order]
-            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            node, root, size, pos = node[first], root[first], size[first], pos[first]
-            for s in range(0, len(node), step):
-                e = min(len(node), s + step)
-                top = int(np.searchsorted(size, size[e - 1] / similarity + 1e-6, "right"))
-                x, y = slice(s, e), slice(s, top)
-                need = similarity / (1 + similarity) * (size[x, None] + size[None, y]) - 1e-6
-                ok = (root[x, None] != root[None, y]) & (np.minimum(size[x, None] - pos[x, None], size[None, y] - pos[None, y]) >= need)
-                i, j = np.nonzero(ok)
-                good = j > i
-                if good.any():
-                    yield _pairs(node[s + i[good]], node[s + j[good]])
+#: Of a set: words of a bitmap with a bit for each parity of hashes by bucket, and keys before a key that are sent along.
+BITMAP, BEFORE = 8, 4
+WIDE = ["size", "place", *(f"p{k}" for k in range(BEFORE)), *(f"b{k}" for k in range(BITMAP))]
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    """(node, root, hs, keys) -> a row for each key: key, node, root, the set's size, the key's place in it, the node's keys right before, bitmap."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 128):
+            b = batch.slice(s, 128)
+            row, h, place, size = _in_order(b.column(2), common)
+            bucket = (h.astype(U64) * U64(0xD6E8FEB86659FD93) >> U64(64 - 9)).astype(np.int64) + (row << 9)
+            odd = np.bincount(bucket, minlength=len(size) << 9).astype(np.uint8) & 1
+            bits = np.packbits(odd.reshape(len(size), 512), axis=1, bitorder="little").view(np.int64)
+            krow, keys, _ = _flat(b.column(3))
+            wanted, own = np.unique(krow << 32 | keys), row << 32 | h
+            keep = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own if len(wanted) else np.zeros(len(own), bool)
+            row, h, place = row[keep], h[keep], place[keep]
+            before = [np.where(np.concatenate((np.full(min(k, len(row)), -1), row[:-k])) == row, np.concatenate((np.full(min(k, len(row)), -1), h[:-k])), -1) for k in range(1, BEFORE + 1)]
+            cols = [_signed(h), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], size[row], place, *before, *bits[row].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["key", "node", "root", *WIDE])
+
+
+def _can_be_alike(rows: np.ndarray, u: np.ndarray, v: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs u[i], v[i] of rows (node, root, WIDE) under one key: those of different roots whose sets can have that similarity
+    and which don't meet under a key before this one as well.
+
+    Sets share no more than what follows the key in either; and at most half of what their sizes sum to above the bits in
+    which their bitmaps differ, since each such bit needs a shingle that only one of them holds.
+    """
+    root, size, rest = rows[1], rows[2], rows[2] - rows[3]
+    apart = root[u] != root[v]
+    u, v = u[apart], v[apart]
+    need = similarity / (1 + similarity) * (size[u] + size[v]) - 1e-6
+    ok = np.minimum(rest[u], rest[v]) >= need
+    u, v, need = u[ok], v[ok], need[ok]
+    bits, before = rows[4 + BEFORE :], rows[4 : 4 + BEFORE]
+    differ = np.zeros(len(u), np.int64)
+    for b in bits:
+        differ += np.bitwise_count((b[u] ^ b[v]).view(U64))
+    ok = (size[u] + size[v] - differ) / 2 >= need
+    u, v = u[ok], v[ok]
+    met = np.zeros(len(u), bool)
+    for a in before:
+        for b in before:
+            met |= (a[u] == b[v]) & (a[u] >= 0)
+    return u[~met], v[~met]
+
+
+def _apart(batches: Iterator[pa.RecordBatch], similarity: float, least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, node, root, WIDE) sorted by key, i, j -> pairs of nodes of block i with block j of a key, if they can be alike."""
+
+    def work(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate(([0], (c[:3, 1:] != c[:3, :-1]).any(axis=0))))
+        count = np.bincount(group)
+        small = count[group] <= 32
+        side, row = c[3], c[4:]
+        cross = c[1] != c[2]
+        for gap in range(1, 32):
+            i = np.flatnonzero((group[gap:] == group[:-gap]) & small[gap:])
+            if not len(i):
+                break
+            i = i[~cross[i] | (side[i] != side[i + gap])]
+            u, v = _can_be_alike(row, i, i + gap, similarity)
+            if len(u):
+                yield _pairs(row[0, u], row[0, v])
+        first = np.cumsum(count) - count
+        for g in np.flatnonzero(count > 32).tolist():
+            at = np.arange(first[g], first[g] + count[g])
+            x, y = (at[side[at] == 0], at[side[at] == 1]) if cross[at[0]] else (at, at)
+            for s in range(0, len(x), 128):
+                some = x[s : s + 128]
+                u, v = np.repeat(some, len(y)), np.tile(y, len(some))
+                if x is y:
+                    u, v = u[u < v], v[u < v]
+                u, v = _can_be_alike(row, u, v, similarity)
+                if len(u):
+                    yield _pairs(row[0, u], row[0, v])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(j).to_numpy() for j in range(batch.num_columns)]))
+        size += batch.num_rows
+        if size > least:
+            c = np.concatenate(held, axis=1)
+            cut = int(np.flatnonzero((c[:3] != c[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if cut:
+                yield from work(c[:, :cut])
+            held, size = [c[:, cut:]], c.shape[1] - cut
+    if size:
+        yield from work(np.concatenate(held, axis=1))
 
 
 def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256) -> DataFrame:
     """The links (a, b) between nodes whose sets(node, hs) have at least that Jaccard similarity.
 
-    A node with many links is dealt over one part for every `most` of them, and its set copied to each part.
+    A node with many links is dealt over one part for every `most` of them, and its set copied to each part. Empty sets have no links;
+    empty tables give none.
     """
     for end, out in (("a", "ha"), ("b", "hb")):
         hot = links.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count(F.lit(1)) / most).alias("deal")).filter("deal > 1")
-        dealt = sets.join(hot, "node", "left").select("node", "hs", F.explode(F.expr("sequence(0, coalesce(deal, 1) - 1)")).alias("part"), F.coalesce("deal", F.lit(1)).alias("deal"))
+        dealt = sets.select("node", "hs").join(hot, "node", "left").select("node", "hs", F.explode(F.expr("sequence(0, coalesce(deal, 1) - 1)")).alias("part"))
         many = links.join(hot.withColumnRenamed("node", end), end, "left").withColumn("part", F.expr(f"pmod(xxhash64(a, b, '{end}'), coalesce(deal, 1))")).drop("deal")
         links = many.join(dealt.select(F.col("node").alias(end), "part", F.col("hs").alias(out)), [end, "part"]).drop("part")
     both = F.size(F.array_intersect("ha", "hb"))
     return links.filter((both > 0) & (both >= similarity * (F.size("ha") + F.size("hb") - both) - 1e-9)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """One row per document: id_col, fingerprint, component_id, for copies whose sets of shingles are `similarity` alike (Jaccard).
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+    """One row per document: id_col, fingerprint, component_id, for copies whose sets of word shingles are `similarity` alike (Jaccard).
+
+    All pairs count, whatever was edited. A text's rarest shingles, its prefix, hold one of every text as alike as that; texts whose
+    prefixes share nothing with others' are left out first. Then, in three rounds, pairs are compared on their whole sets and
+    those found alike joined into groups:
 
-    All pairs count, whatever was edited. First, of the texts with an equal least hash those next to each other by another least hash are compared; that
-    joins most copies by a number of pairs that grows with the texts, as do pairs of neighbours in size that share a shingle of their
-    prefixes. Then every pair that shares such a shingle and isn't yet joined is compared. Only links found on the sets of shingles, 32 bits a shingle, join texts, so no pair is passed
-    over but one that is already in one group.
+    1. neighbours under the Golay keys of their fingerprints and under least hashes of their shingles;
+    2. neighbours in size under a shared prefix shingle that are not yet in one group;
+    3. every pair that shares a prefix shingle, is not yet in one group and isn't ruled out by what bounds its similarity from
+       above: sizes, the shingle's places, bitmaps.
 
-    Rows with equal sets of shingles are one node. A null id is ordered before no id; its text is compared like any
-    other. Documents without words are alike only to each other. Repeated rows stay rows of their component. Empty tables give
-    empty results.
+    Rounds 1 and 2 make at most a few pairs for each text and key; they only save work for the third, which passes over no pair but
+    those in one group or proven apart. Keys of over `block` texts are compared in blocks.
+
+    Rows with equal sets of shingles are one node. A null id is ordered before no id; a null text has no words, as an empty
+    one. Documents without words are alike only to each other. Long texts are one row of 4 bytes a word. Repeated rows stay rows
+    of their component. Other columns are not read, whatever their names. Empty tables give empty results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = scratch.keep(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, seed), "rows")
+    rows = scratch.keep(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "rows")
     nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    common = spark.sparkContext.broadcast(common_shingles(rows))
+    twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
+    twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
+    scratch.tidy()
+    sets = scratch.keep(rows.select("node", "fp", "hs").join(twice, "node").dropDuplicates(["node"]), "sets")
+    scratch.drop("twice")
+    scratch.tidy()
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        links = scratch.keep(pairs.distinct(), f"{name}_pairs")
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = rows.select("node", "hs").join(ends, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs"))
-        return scratch.keep(alike(links, scratch.keep(sets, f"{name}_sets"), similarity), f"{name}_links")
+        return scratch.keep(alike(scratch.keep(pairs.distinct(), f"{name}_pairs"), sets, similarity), f"{name}_links")
 
-    near = least_hashes(rows).repartition(parts, "key").sortWithinPartitions("key")
+    near = search_keys(sets).repartition(parts, "key").sortWithinPartitions("key", "other", "size", "node")
     sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
-    common = common_shingles(rows)
-    for name, choose in (("second", _next_apart), ("rest", _apart)):
+
+    def rooted() -> DataFrame:
         joined = connected_components(sure, Scratch(spark, "copies"))
-        rooted = rows.select("node", "hs").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "hs")
-        keyed = prefixes(rooted, similarity, common).repartition(parts, "key").sortWithinPartitions("key")
-        found = keyed.mapInArrow(lambda x, choose=choose: choose(x, similarity), "a bigint, b bigint")
-        sure = sure.unionByName(compared(found, name))
+        return sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    keyed = rooted().select(F.explode("keys").alias("key"), F.size("hs").cast("bigint").alias("size"), "node", "root")
+    keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "size", "node")
+    sure = sure.unionByName(compared(keyed.mapInArrow(lambda x: _next_apart(x, similarity), "a bigint, b bigint"), "second"))
+    last = scratch.keep(rooted().select("node", "root", "hs", "keys"), "last")
+    keyed = last.select(F.explode("keys").alias("key"), "root", "node").withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
+    apart = scratch.keep(keyed.mapInArrow(_held_apart, "node bigint, key bigint"), "apart")
+    crowded = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1")
+    chosen = last.drop("keys").join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node")
+    wide = chosen.select("node", "root", "hs", "keys").mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
+    wide = wide.join(crowded, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "node", "root", *WIDE)
+    wide = wide.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sure = sure.unionByName(compared(wide.mapInArrow(lambda x: _apart(x, similarity), "a bigint, b bigint"), "rest"))
     roots = connected_components(sure, scratch)
     owner = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -11,7 +13,7 @@ from probity.llm.components import connected_components
 from probity.llm.common import Scratch
 from probity.llm.exact_dedup import drop_exact_copies, exact_groups
 from probity.llm.lines import dedup_units
-from probity.llm.simhash import alike, fingerprints, forest, fuzzy_keys, golay_index, link_fingerprints, near_copies, near_duplicates
+from probity.llm.simhash import _held_apart, _held_twice, alike, fingerprints, fuzzy_keys, golay_index, link_fingerprints, near_copies, near_duplicates
 from probity.llm.substring_dedup import remove_repeats
 from probity.llm.suffix import FMIndex, SuffixArray, maximal_repeats
 
@@ -217,20 +219,6 @@ def test_near_copies_at_a_similarity(spark):
     assert near_copies(frame(spark, [])).collect() == []
 
 
-def test_forest_is_minimal():
-    rng = np.random.default_rng(3)
-    for _ in range(30):
-        n, m = int(rng.integers(2, 20)), int(rng.integers(0, 60))
-        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m)
-        lab, cost, size = list(range(n)), 0, 0
-        for k in np.argsort(w, kind="stable").tolist():
-            x, y = lab[a[k]], lab[b[k]]
-            if x != y:
-                lab, cost, size = [x if v == y else v for v in lab], cost + int(w[k]), size + 1
-        got = forest(a, b, w, n)
-        assert len(got) == size and int(w[got].sum()) == cost
-
-
 def test_alike_decides_exactly_and_deals_hubs(spark):
     base = list(range(100))
     sets = [(0, base)] + [(k, base[: 100 - k % 40]) for k in range(1, 700)] + [(1000, [])]
@@ -296,4 +284,37 @@ def test_near_copies_join_whatever_exact_linkage_joins(spark):
         for j in range(i):
             if root[i] != root[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-    assert {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()} == dict(enumerate(root))
+    # blocks of 5: keys of a family are compared block against block
+    assert {r.doc_id: r.component_id for r in near_copies(frame(spark, rows), block=5).collect()} == dict(enumerate(root))
+
+
+def test_near_copies_of_real_texts_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(rows)
+    grams = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), rows[i]).encode().split()) else set() for i in ids]
+    names = {g: k for k, g in enumerate(set().union(*grams))}
+    has = np.zeros((len(ids), len(names)), np.float32)
+    for k, g in enumerate(grams):
+        has[k, [names[x] for x in g]] = 1
+    size, both = has.sum(axis=1), has @ has.T
+    linked = (both >= 0.8 * (size[:, None] + size[None] - both) - 1e-6) & (both > 0) | ((size[:, None] == 0) & (size[None] == 0))
+    root = list(range(len(ids)))
+    for a, b in zip(*np.nonzero(np.triu(linked, 1))):
+        if root[a] != root[b]:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert len(set(root)) < len(root)
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == {i: ids[r] for i, r in zip(ids, root)}
+
+
+def test_shared_keys_are_found_across_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(n) % 3, int(n)) for k, n in zip(rng.integers(0, 60, 900), rng.integers(0, 40, 900))} | {(70, 1, n) for n in range(50)} | {(71, 1, 2), (71, 2, 3)})
+    for step in (1, 2, 7, 5000):
+        for pick, name in ((lambda r: r[2], _held_twice), (lambda r: r[1], _held_apart)):
+            some = [r for r in rows if r[0] % 3 or r[1] == 1]
+            use = sorted((r[0], r[2]) for r in some) if name is _held_twice else some
+            cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*use[s : s + step])], names=[str(j) for j in range(len(use[0]))]) for s in range(0, len(use), step)]
+            got = sorted((r["key"], r["node"]) for b in name(iter(cut)) for r in b.to_pylist())
+            keys = {k: {pick(r) for r in some if r[0] == k} for k in {r[0] for r in some}}
+            assert got == sorted((r[0], r[2]) for r in some if len(keys[r[0]]) > 1)
