@@ -58,6 +58,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """Names for helper columns that no column of `taken` has, whatever its case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_splits(df: DataFrame) -> int:
     """Input splits of df: grows with the data, so that partition counts derived from it do too."""
     return max(1, df.rdd.getNumPartitions())

@@ -334,9 +334,14 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.
     return row[at], mix(out)
 
 
+#: Words of a set's bitmap: one bit for the parity of the hashes in each of its buckets.
+BITMAP = 8
+BITS = [f"b{k}" for k in range(BITMAP)]
+
+
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, fp, node, hs) for docs(id, text): SimHash of the shingles, hash of the shingle set, and the distinct 32-bit hashes of
-    the shingles, sorted."""
+    """(id, fp, node, hs, b0, b1, ...) for docs(id, text): SimHash of the shingles, hash of the shingle set, the distinct 32-bit hashes of
+    the shingles, sorted, and their bitmap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,9 +353,14 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 values = flat.astype(np.uint32)
                 node = np.array([xxhash.xxh64_intdigest(values[s:e].tobytes()) for s, e in zip(cut.tolist(), cut[1:].tolist())], U64)
                 hs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs], names=["id", "fp", "node", "hs"])
+                bucket = (values.astype(U64) * U64(0xD6E8FEB86659FD93) >> U64(64 - 9) | flat >> U64(32) << U64(9)).astype(np.int64)
+                odd = (np.bincount(bucket, minlength=(b - a) << 9) & 1).astype(np.uint8)
+                bits = np.packbits(odd.reshape(b - a, 64 * BITMAP), axis=1, bitorder="little").view(np.int64)
+                cols = [batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs, *(pa.array(np.ascontiguousarray(x)) for x in bits.T)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "node", "hs", *BITS])
 
-    return docs.mapInArrow(scan, T.StructType([docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType()))]))
+    schema = [docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType()))]
+    return docs.mapInArrow(scan, T.StructType([*schema, *(T.StructField(c, T.LongType()) for c in BITS)]))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -523,26 +533,23 @@ def _next_apart(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int
                 yield _pairs(node[i], node[i + gap])
 
 
-#: Of a set: words of a bitmap with a bit for each parity of hashes by bucket, and keys before a key that are sent along.
-BITMAP, BEFORE = 8, 4
-WIDE = ["size", "place", *(f"p{k}" for k in range(BEFORE)), *(f"b{k}" for k in range(BITMAP))]
+#: Keys of a node right before a key that go with it.
+BEFORE = 4
+WIDE = ["size", "place", *(f"p{k}" for k in range(BEFORE)), *BITS]
 
 
 def _wide_rows(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
-    """(node, root, hs, keys) -> a row for each key: key, node, root, the set's size, the key's place in it, the node's keys right before, bitmap."""
+    """(node, root, hs, keys, BITS) -> a row for each key: key, node, root, the set's size, the key's place in it, the node's keys right before, bitmap."""
     for batch in batches:
         for s in range(0, batch.num_rows, 128):
             b = batch.slice(s, 128)
             row, h, place, size = _in_order(b.column(2), common)
-            bucket = (h.astype(U64) * U64(0xD6E8FEB86659FD93) >> U64(64 - 9)).astype(np.int64) + (row << 9)
-            odd = np.bincount(bucket, minlength=len(size) << 9).astype(np.uint8) & 1
-            bits = np.packbits(odd.reshape(len(size), 512), axis=1, bitorder="little").view(np.int64)
             krow, keys, _ = _flat(b.column(3))
             wanted, own = np.unique(krow << 32 | keys), row << 32 | h
             keep = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own if len(wanted) else np.zeros(len(own), bool)
             row, h, place = row[keep], h[keep], place[keep]
             before = [np.where(np.concatenate((np.full(min(k, len(row)), -1), row[:-k])) == row, np.concatenate((np.full(min(k, len(row)), -1), h[:-k])), -1) for k in range(1, BEFORE + 1)]
-            cols = [_signed(h), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], size[row], place, *before, *bits[row].T]
+            cols = [_signed(h), *(b.column(j).to_numpy()[row] for j in (0, 1)), size[row], place, *before, *(b.column(4 + k).to_numpy()[row] for k in range(BITMAP))]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["key", "node", "root", *WIDE])
 
 
@@ -616,15 +623,27 @@ def _apart(batches: Iterator[pa.RecordBatch], similarity: float, least: int = 1
         yield from work(np.concatenate(held, axis=1))
 
 
-def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256) -> DataFrame:
+def maybe_alike(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) that the sizes and bitmaps of sketches(node, size, BITS) don't rule out; see _can_be_alike."""
+    side = lambda end, tag: sketches.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{tag}") for c in ("size", *BITS)))
+    both = links.join(side("a", "_a"), "a").join(side("b", "_b"), "b")
+    total = F.col("size_a") + F.col("size_b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS[1:]), F.bit_count(F.col(f"{BITS[0]}_a").bitwiseXOR(F.col(f"{BITS[0]}_b"))))
+    return both.filter((total - differ) / 2 >= similarity / (1 + similarity) * total - 1e-6).select("a", "b")
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float, most: int = 256, slots: int = 1 << 19) -> DataFrame:
     """The links (a, b) between nodes whose sets(node, hs) have at least that Jaccard similarity.
 
-    A node with many links is dealt over one part for every `most` of them, and its set copied to each part. Empty sets have no links;
-    empty tables give none.
+    Sets of other nodes stay where they are, by a broadcast of at most `slots` hash slots of the nodes. A node with many links is
+    dealt over one part for every `most` of them, and its set copied to each part. Empty sets have no links; empty tables give none.
     """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
     for end, out in (("a", "ha"), ("b", "hb")):
+        used = links.select(slot(end).alias("slot")).distinct()
+        some = sets.select("node", "hs").withColumn("slot", slot("node")).join(F.broadcast(used), "slot", "left_semi").drop("slot")
         hot = links.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count(F.lit(1)) / most).alias("deal")).filter("deal > 1")
-        dealt = sets.select("node", "hs").join(hot, "node", "left").select("node", "hs", F.explode(F.expr("sequence(0, coalesce(deal, 1) - 1)")).alias("part"))
+        dealt = some.join(hot, "node", "left").select("node", "hs", F.explode(F.expr("sequence(0, coalesce(deal, 1) - 1)")).alias("part"))
         many = links.join(hot.withColumnRenamed("node", end), end, "left").withColumn("part", F.expr(f"pmod(xxhash64(a, b, '{end}'), coalesce(deal, 1))")).drop("deal")
         links = many.join(dealt.select(F.col("node").alias(end), "part", F.col("hs").alias(out)), [end, "part"]).drop("part")
     both = F.size(F.array_intersect("ha", "hb"))
@@ -659,29 +678,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
     twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
     scratch.tidy()
-    sets = scratch.keep(rows.select("node", "fp", "hs").join(twice, "node").dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(rows.select("node", "fp", "hs", *BITS).join(twice, "node").dropDuplicates(["node"]), "sets")
     scratch.drop("twice")
     scratch.tidy()
+    sketches = sets.select("node", F.size("hs").cast("bigint").alias("size"), *BITS)
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.keep(alike(scratch.keep(pairs.distinct(), f"{name}_pairs"), sets, similarity), f"{name}_links")
+        some = scratch.keep(maybe_alike(pairs.distinct(), sketches, similarity), f"{name}_pairs")
+        links = scratch.keep(alike(some, sets, similarity), f"{name}_links")
+        scratch.tidy()
+        return links
 
-    near = search_keys(sets).repartition(parts, "key").sortWithinPartitions("key", "other", "size", "node")
-    sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
+    def joined() -> DataFrame:
+        return connected_components(sure, Scratch(spark, "copies")).select("node", "root")
 
-    def rooted() -> DataFrame:
-        joined = connected_components(sure, Scratch(spark, "copies"))
-        return sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
+        return part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    keyed = rooted().select(F.explode("keys").alias("key"), F.size("hs").cast("bigint").alias("size"), "node", "root")
+    near = search_keys(sets).repartition(parts, "key").sortWithinPartitions("key", "other", "size", "node")
+    sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
+    keys = sets.select("node", F.size("hs").cast("bigint").alias("size"), "keys")
+    keyed = rooted(keys, joined()).select(F.explode("keys").alias("key"), "size", "node", "root")
     keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "size", "node")
     sure = sure.unionByName(compared(keyed.mapInArrow(lambda x: _next_apart(x, similarity), "a bigint, b bigint"), "second"))
-    last = scratch.keep(rooted().select("node", "root", "hs", "keys"), "last")
-    keyed = last.select(F.explode("keys").alias("key"), "root", "node").withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
+    roots = joined()
+    keyed = rooted(keys, roots).select(F.explode("keys").alias("key"), "root", "node").withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
     apart = scratch.keep(keyed.mapInArrow(_held_apart, "node bigint, key bigint"), "apart")
     crowded = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1")
-    chosen = last.drop("keys").join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node")
-    wide = chosen.select("node", "root", "hs", "keys").mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
+    chosen = rooted(sets.select("node", "hs", *BITS).join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node"), roots)
+    wide = chosen.select("node", "root", "hs", "keys", *BITS).mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
     wide = wide.join(crowded, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "node", "root", *WIDE)
     wide = wide.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
