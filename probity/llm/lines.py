@@ -1,102 +1,145 @@
-"""Substring dedup by hashing lines or paragraphs."""
+"""Substring dedup by hashing sentences, lines or paragraphs."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import LOWER, NOT_SPACE, Scratch, chunks, free_names, words
 
-SPLIT = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n[ \t\r\f\v]*\n\s*")}
-_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Words of a unit that a line without sentence ends may have before it is cut at words chosen by their own hash.
+LONG = 24
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
 
 
-def units(raw: bytes, kind: str = "line") -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, normalised) of each unit: A-Z lower-cased, ASCII white space trimmed and runs of it one space."""
-    at = 0
-    for m in SPLIT[kind].finditer(raw):
-        yield at, m.start(), b" ".join(raw[at : m.start()].translate(_LOW).split())
-        at = m.end()
-    yield at, len(raw), b" ".join(raw[at:].translate(_LOW).split())
+@lru_cache(1 << 16)
+def cuts_after(word: bytes) -> bool:
+    """Whether a long unit is cut after this word: one word in eight, by its MD5, so that copies are cut alike wherever they stand."""
+    return hashlib.md5(word).digest()[0] < 32
 
 
-def dedup_units(docs: DataFrame, kind: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, keep_text: bool = True) -> DataFrame:
+def units(buf: np.ndarray, offs: np.ndarray, kind: str = "sentence") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, words) of the units of a chunk of texts, in order; a unit is whole words and the white space after them.
+
+    A paragraph ends at a blank line, a line at a line feed, a sentence there and after a word that ends in . ! or ?; a
+    sentence of over LONG words also ends after each word that `cuts_after` names. White space before a text's first word is in none.
+    """
+    start, end, row, _ = words(buf, offs, NOT_SPACE)
+    n = len(start)
+    if not n:
+        return row, start, end, start
+    after = np.append(start[1:], len(buf))
+    after = np.minimum(after, offs[row + 1])
+    feeds = np.concatenate(([0], np.cumsum(buf == 10)))
+    feeds = feeds[after] - feeds[end]
+    stop = feeds > (kind == "paragraph")
+    if kind == "sentence":
+        stop |= _ENDS[buf[end - 1]]
+    stop[:-1] |= row[1:] != row[:-1]
+    stop[-1] = True
+    if kind == "sentence":
+        last = np.flatnonzero(stop)
+        first = np.concatenate(([0], last[:-1] + 1))
+        low = LOWER[buf].tobytes()
+        for f, e in zip(first[last - first >= LONG].tolist(), last[last - first >= LONG].tolist()):
+            stop[f : e + 1] |= np.fromiter((cuts_after(low[a:b]) for a, b in zip(start[f : e + 1].tolist(), end[f : e + 1].tolist())), bool, e + 1 - f)
+    last = np.flatnonzero(stop)
+    first = np.concatenate(([0], last[:-1] + 1))
+    return row[first], start[first], after[last], last - first + 1
+
+
+def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, keep_text: bool = True) -> DataFrame:
     """Columns `keep` of docs (None: all), then n_units, n_removed, removed_spans, kept_sha256, kept_text (with keep_text).
 
-    Units (lines or paragraphs) of at least min_words words are known by the 128-bit MD5 of their normalised bytes. The
-    first occurrence, by id and then by place, stays; each later one is removed, within a document too, with the
-    break after it. removed_spans holds (start, end) byte offsets of the units in the original text. Digests are
-    grouped with partial sums, so a line that most documents hold is one row a task; only digests that repeat are
-    joined back, and only with the units' places; texts are shuffled once, to meet their spans.
+    Units (see `units`) are known by the 128-bit MD5 of their words, A-Z lower-cased and one space apart. Of units with one digest the
+    first, by id and then by place, stays, and the others are repeats, within a document too. Repeats that follow one another are one
+    passage; passages of at least min_words words are removed. removed_spans holds their (start, end) byte offsets in the original
+    text, n_removed their units.
+
+    Digests are grouped with partial sums and only those that repeat are joined back. A digest that holds a thousandth of all units,
+    of which there can be a thousand, is joined by broadcast, so its rows stay where they are. Texts are shuffled once, to meet their repeats.
 
-    Nulls: a null text is empty, with one empty unit; a null id ranks first and such rows rank among
-    themselves by place alone. Shorter and empty units always stay. Repeated rows rank by text and are judged together:
-    they share one verdict. Columns whose names clash with the result's are replaced. An empty table gives an empty
-    result.
+    Nulls: a null text is empty and has no units; a null id ranks first. Texts of any length are one row. Rows that repeat an id rank
+    by a hash of their text, and rows that repeat both are judged together and share a verdict. Columns whose names clash with the
+    result's are replaced; other names are free. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     new = ["n_units", "n_removed", "removed_spans", "kept_sha256", "kept_text"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    carry = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    salt, gone_id, gone_salt, gone = free_names(docs.columns, "salt", "gone_id", "gone_salt", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 128):
-                part = batch.slice(s, 128)
-                ids, rows = part.column(0).to_pylist(), []
-                for i, t in zip(ids, part.column(1).to_pylist()):
-                    raw = (t or "").encode()
-                    for k, (a, b, norm) in enumerate(units(raw, kind)):
-                        if norm.count(b" ") + 1 >= min_words and norm:
-                            d = hashlib.md5(norm).digest()
-                            rows.append((i, k, a, b, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.column(0).type)] + [pa.array(c, pa.int64()) for c in cols[1:]], names=["id", "k", "a", "b", "d1", "d2"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = src.schema["id"].dataType
-    rows = scratch.keep(src.mapInArrow(cut, T.StructType([T.StructField("id", id_type)] + [T.StructField(c, T.LongType()) for c in ("k", "a", "b", "d1", "d2")])), "units")
-    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
+            salts = batch.column(2).to_numpy()
+            for a, b, buf, offs in chunks(batch.column(1)):
+                row, start, end, _ = units(buf, offs, kind)
+                low = LOWER[buf].tobytes()
+                digest = b"".join(hashlib.md5(b" ".join(low[s:e].split())).digest() for s, e in zip(start.tolist(), end.tolist()))
+                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                ids = batch.column(0).take(pa.array(row + a))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(salts[row + a] << 32 | place), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "u", "d1", "d2"])
+
+    salted = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), salted.alias("salt"))
+    rows = scratch.keep(src.mapInArrow(cut, T.StructType([src.schema["id"]] + [T.StructField(c, T.LongType()) for c in ("u", "d1", "d2")])), "units")
+    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "u")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = scratch.keep(first, "first")
-    gone = rows.join(first, ["d1", "d2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k"))))
-    spans = scratch.keep(gone.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "gone")
+    scratch.tidy()
+    many = F.lit(max(2, rows.count() // 1000))
+    hot, rest = F.broadcast(first.filter(F.col("n") > many)), first.filter(F.col("n") <= many)
+    again = rows.join(hot, ["d1", "d2"]).unionByName(rows.join(hot, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
+    again = again.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("u") == F.col("first.u"))))
+    spans = again.groupBy("id", F.shiftright("u", 32).alias("salt")).agg(F.collect_set(F.col("u").bitwiseAND(F.lit((1 << 32) - 1))).alias("gone"))
+    spans = scratch.keep(spans, "gone")
     scratch.drop("units")
+    scratch.tidy()
 
-    carry = [c for c in keep if c not in ("__gone",)]
-    d = docs.select(*dict.fromkeys([*carry, id_col, text_col])).join(spans.select(F.col("id").alias("__id"), F.col("gone").alias("__gone")), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    d = docs.select(*dict.fromkeys([*carry, id_col, text_col])).withColumn(salt, salted)
+    d = d.join(spans.select(F.col("id").alias(gone_id), F.col("salt").alias(gone_salt), F.col("gone").alias(gone)), F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(salt) == F.col(gone_salt)), "left").drop(salt, gone_id, gone_salt)
     out = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         out.append(T.StructField("kept_text", T.StringType()))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                col = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
-                n, removed, spans, digests, texts = [], [], [], [], []
-                for t, g in zip(col(text_col).to_pylist(), col("__gone").to_pylist()):
-                    raw = (t or "").encode()
-                    n.append(len(SPLIT[kind].findall(raw)) + 1)
-                    g = sorted([x["a"], x["b"]] for x in g or ())
-                    left, at = [], 0
-                    for a, b in g:
-                        left.append(raw[at:a])
-                        m = SPLIT[kind].match(raw, b)
-                        at = m.end() if m else b
-                    body = b"".join(left) + raw[at:]
-                    removed.append(len(g))
-                    spans.append(g)
+            repeats = batch.column(batch.schema.get_field_index(gone))
+            for a, b, buf, offs in chunks(batch.column(batch.schema.get_field_index(text_col))):
+                part = batch.slice(a, b - a)
+                row, start, end, count = units(buf, offs, kind)
+                edge = np.searchsorted(row, np.arange(b - a + 1))
+                raw, o = buf.tobytes(), offs.tolist()
+                removed, spans, digests, texts = [], [], [], []
+                for r, g in enumerate(repeats.slice(a, b - a).to_pylist()):
+                    body, cut_here, n = raw[o[r] : o[r + 1]], [], 0
+                    if g:
+                        at = np.sort(np.array(g, np.int64)) + edge[r]
+                        lead = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+                        size = np.add.reduceat(count[at], lead)
+                        close = np.append(lead[1:], len(at)) - 1
+                        for x, y in zip(lead[size >= min_words].tolist(), close[size >= min_words].tolist()):
+                            cut_here.append([int(start[at[x]]) - o[r], int(end[at[y]]) - o[r]])
+                            n += y + 1 - x
+                        left, p = [], 0
+                        for s, e in cut_here:
+                            left.append(body[p:s])
+                            p = e
+                        body = b"".join(left) + body[p:]
+                    removed.append(n)
+                    spans.append(cut_here)
                     digests.append(hashlib.sha256(body).hexdigest())
                     if keep_text:
                         texts.append(body.decode())
-                more = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(digests, pa.string())] + ([pa.array(texts, pa.string())] if keep_text else [])
-                yield pa.RecordBatch.from_arrays([col(c) for c in carry] + more, names=[*carry, *(f.name for f in out)])
+                more = [pa.array(np.diff(edge).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(digests, pa.string())] + ([pa.array(texts, pa.string())] if keep_text else [])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in carry] + more, names=[*carry, *(f.name for f in out)])
 
     return d.mapInArrow(apply, T.StructType([T.StructField(f.name, f.dataType) for f in d.schema.fields if f.name in carry] + out))

@@ -55,7 +55,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_units(table(spark, sf_dir, "documents"), kind="line", min_words=5, keep=["doc_id"], keep_text=False)
+    found = dedup_units(table(spark, sf_dir, "documents"), kind="sentence", min_words=20, keep=["doc_id"], keep_text=False)
     spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x[0], x[1])), ",")
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), "kept_sha256")
 
@@ -78,15 +78,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate, pipeline)}
 
 ORACLES = {
-    "op8_lines": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
-u as (select doc_id, unnest(range(1, len(ls) + 1)) k, unnest(ls) l, len(ls) n from l),
-o as (select *, sum(strlen(l) + 1) over (partition by doc_id order by k) - strlen(l) - 1 as a,
-  regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') t from u),
-r as (select *, len(string_split(t, ' ')) >= 5 and row_number() over (partition by t order by doc_id, k) > 1 as gone from o)
-select doc_id, any_value(n)::bigint as n_units, count(*) filter (gone)::bigint as n_removed,
-  coalesce(string_agg((a::bigint)::varchar || ':' || (a + strlen(l))::bigint::varchar, ',' order by k) filter (gone), '') as removed_spans,
-  sha256(coalesce(string_agg(case when gone then '' when k = n then l else l || chr(10) end, '' order by k), '')) as kept_sha256
-from r group by doc_id""",
+    "op8_lines": """with t as (select doc_id, coalesce(text, '') s from documents),
+p as (select doc_id, s, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') ps from t),
+w as (select doc_id, strlen(s) size, unnest(ps) p, unnest(range(1, len(ps) + 1)) i from p),
+x as (select *, translate(regexp_extract(p, '^[^\\x20\\x09-\\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w,
+  size - sum(strlen(p)) over (partition by doc_id order by i desc) as a from w),
+y as (select *, contains(p, chr(10)) or right(w, 1) in ('.', '!', '?') as stop from x),
+s as (select *, coalesce(sum(stop::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as sentence from y),
+c as (select *, stop or (count(*) over (partition by doc_id, sentence) > 24 and left(md5(w), 1) in ('0', '1')) as cut from s),
+k as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from c),
+u as (select doc_id, k, string_agg(w, ' ' order by i) u, string_agg(p, '' order by i) raw, min(a) a, count(*) n, sum(strlen(p)) bytes from k group by doc_id, k),
+r as (select *, row_number() over (partition by u order by doc_id, k) > 1 as again from u),
+g as (select *, k - row_number() over (partition by doc_id, again order by k) as run from r),
+v as (select *, again and sum(n) over (partition by doc_id, again, run) >= 20 as gone from g),
+spans as (select doc_id, string_agg(a || ':' || b, ',' order by a) as removed_spans from (select doc_id, min(a)::bigint a, (min(a) + sum(bytes))::bigint b from v where gone group by doc_id, run) group by doc_id),
+d as (select doc_id, count(*) n_units, count(*) filter (gone) n_removed, min(a) lead, coalesce(string_agg(raw, '' order by k) filter (not gone), '') kept from v group by doc_id)
+select t.doc_id, coalesce(n_units, 0)::bigint as n_units, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_spans, '') as removed_spans,
+  sha256(case when d.doc_id is null then s else left(s, lead::int) || kept end) as kept_sha256
+from t left join d using (doc_id) left join spans using (doc_id)""",
     "op4_warc": """with p as (select page_id, coalesce(html, '') h from pages),
 g as (select page_id, strlen(h) n, sha1(h) s, max(page_id) over (partition by h) own from p)
 select page_id, n::bigint as payload_bytes,

@@ -186,17 +186,50 @@ def test_links_of_a_key_with_very_many_fingerprints(spark):
 def test_lines(spark):
     a, b = "One two three four five", "six seven eight nine ten"
     rows = [(2, f"{a}\n{b}\nshort\n{a}"), (1, f"x\n{a.upper()}  \nshort"), (3, None), (4, ""), (5, b), (6, b), (6, b)]
-    got = {(r.doc_id, r.kept_text): r for r in dedup_units(frame(spark, rows).repartition(2)).collect()}
-    assert got[2, f"{b}\nshort\n"].removed_spans == [[0, 23], [55, 78]]
+    got = {(r.doc_id, r.kept_text): r for r in dedup_units(frame(spark, rows).repartition(2), kind="line", min_words=5).collect()}
+    assert got[2, f"{b}\n"].removed_spans == [[0, 24], [49, 78]]  # a short line goes with the repeat that follows
     assert got[1, f"x\n{a.upper()}  \nshort"].n_removed == 0
     assert (3, "") in got and (4, "") in got and (5, "") in got and (6, "") in got
-    assert got[3, ""].n_units == 1
+    assert got[3, ""].n_units == 0
     assert dedup_units(frame(spark, [])).collect() == []
     p = "one two three four five\nsix"
-    two = dedup_units(frame(spark, [(1, f"{p}\n\n{p}\n \nend of the last one here")]), kind="paragraph").first()
+    two = dedup_units(frame(spark, [(1, f"{p}\n\n{p}\n \nend of the last one here")]), kind="paragraph", min_words=5).first()
     assert two.kept_text == f"{p}\n\nend of the last one here" and two.n_units == 3
 
 
+def test_lines_with_clashing_columns_null_and_repeated_ids(spark):
+    a = "one two three four five six seven. "
+    rows = [(None, a, 1, 2), (7, a + "x", 3, 4), (7, "y " + a, 5, 6), (8, a, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, n_removed int").withColumnRenamed("gone", "gone_id")
+    got = sorted((r.doc_id or 0, r.gone_id, r.n_removed, r.kept_text) for r in dedup_units(df.withColumn("salt", df.gone_id), min_words=5).collect())
+    assert got == [(0, 1, 0, a), (7, 3, 1, "x"), (7, 5, 0, "y " + a), (8, 7, 1, "")]
+
+
+def test_passages_inside_lines_are_found_and_common_lines_stay(spark):
+    """Passages of over 50 words, put between words of other lines, against short lines that all documents share."""
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(3000)]
+    sentence = lambda: " ".join(rng.choices(vocab, k=rng.randint(4, 14))) + "."
+    passages, rows = [" ".join(sentence() for _ in range(8)) for _ in range(20)] + [" ".join(rng.choices(vocab, k=70)) for _ in range(20)], []
+    for i in range(200):
+        own = " ".join(sentence() for _ in range(rng.randint(3, 12)))
+        w = own.split()
+        at = rng.randrange(len(w))
+        text = " ".join([*w[:at], *([passages[i % 40]] if i % 2 else []), *w[at:]]) if i % 4 else "\n".join(sentence() for _ in range(6))
+        rows.append((i, text + "\nall rights are reserved by us."))
+    got = {r.doc_id: r.n_removed for r in dedup_units(frame(spark, rows)).collect()}
+    later = [i for i in range(40, 200) if i % 2]
+    assert sum(got[i] > 0 for i in later) >= 0.95 * len(later)
+    assert all(got[i] == 0 for i in range(0, 200, 2))
+
+
+def test_a_very_long_line(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(f"v{rng.randrange(100000)}" for _ in range(200_000)) for _ in range(2))
+    got = {r.doc_id: r for r in dedup_units(frame(spark, [(1, a), (2, b[:700_000] + " " + a), (3, "z" * 2_000_000)]), keep=["doc_id"]).collect()}
+    assert got[1].n_removed == 0 and len(got[2].kept_text) < 701_000 and got[3].n_units == 1
+
+
 def test_near_copies_at_a_similarity(spark):
     random.seed(12)
     vocab = [f"w{i}" for i in range(3000)]

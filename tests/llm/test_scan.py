@@ -3,11 +3,14 @@
 import hashlib
 import io
 import json
+import math
 import random
 import re
 import zipfile
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from probity.llm.decontaminate import find_leaks
 from probity.llm.langid import identify, train_text
 from probity.llm.mixing import leaf_budgets, mix
 from probity.llm.secrets import Scanner, find_secrets
-from probity.llm.toxicity import held_out, score_documents, train_model
+from probity.llm.toxicity import _gather, held_out, score_documents, train_model
 from probity.llm.warc import archive_round_trip, build_record, digest, parse_record
 from probity.llm.ziparchive import Bytes, ZipReader, ZipWriter
 
@@ -86,6 +89,93 @@ def test_leak_spans_are_cut_and_empty_tables(spark):
     assert find_leaks(d.limit(0), b).collect() == [] and find_leaks(d, b.limit(0)).first().n_hit == 0
 
 
+def plain_kneser_ney(texts, discount=3, margin=1.0):
+    """Score inputs of [(text, class)] by the definition, with dictionaries."""
+    toks = [[m for m in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))] for t, _ in texts]
+    pairs = [Counter(), Counter()]
+    for w, (_, y) in zip(toks, texts):
+        pairs[y].update(zip(["start", *w], w) if w else ())
+        pairs[y].update([("nothing", "start")] if w else ())
+    cont = [Counter(w for _, w in p) for p in pairs]
+    either = Counter(w for _, w in pairs[0] | pairs[1])
+    used = [Counter() for _ in pairs]
+    for u, p in zip(used, pairs):
+        for (_, w), n in p.items():
+            u[w] += n
+    seen = [sum(c.values()) for c in cont]
+    rest = [1 - sum(max(n - discount, 0) for n in c.values()) / s for c, s in zip(cont, seen)]
+    low = lambda w: (either[w] + 0.5) / (sum(either.values()) + 0.5 * (len(either) + 1))
+    word = lambda c, w: max(cont[c][w] - discount, 0) / seen[c] + rest[c] * low(w)
+
+    def pair(c, h, w):
+        n = used[c][h]
+        if not n:
+            return word(c, w)
+        kept = sum(max(k - discount, 0) for (g, _), k in pairs[c].items() if g == h)
+        return max(pairs[c][h, w] - discount, 0) / n + (1 - kept / n) * word(c, w)
+
+    out = []
+    for w in toks:
+        mass = 0.0
+        for h, x in zip(["start", *w], w):
+            strong = max(pairs[0][h, x], pairs[1][h, x]) > discount
+            p = [pair(c, h, x) if strong else word(c, x) for c in (0, 1)]
+            if strong or max(used[0][x], used[1][x]) > discount:
+                mass += max(math.log(p[1] / p[0]) - math.log(rest[1] / rest[0]) - margin, 0)
+        out.append(mass / math.sqrt(len(w)) if w else 0.0)
+    return out
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(240):
+        w = [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(1, 40))]
+        if i % 4 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["vile", "foul", "vile w1", "Grim"]))
+        texts.append((" ".join(w), int(i % 4 == 0)))
+    texts += [("", 0), (None, 1), texts[0], texts[0]]
+    want = plain_kneser_ney([(t or "", y) for t, y in texts])
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = train_model(docs, labels)
+    assert model.weights[0] > 0
+    score = lambda x: 1 / (1 + math.exp(-(model.weights[0] * math.log1p(x) + model.weights[1])))
+    got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
+    assert len({round(x, 6) for x in want}) > 50
+    assert all(abs(got[i] - score(x)) < 1e-9 for i, x in enumerate(want))
+
+
+def test_toxicity_counts_are_whole_across_batches():
+    rng = np.random.default_rng(8)
+    rows = sorted((int(w), int(h), int(c), int(n)) for w, h, c, n in zip(rng.integers(0, 9, 400), rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(1, 4, 400)))
+    whole = None
+    for step in (400, 1, 13):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + step])], names=list("abcd")) for s in range(0, 400, step)]
+        got = sorted(tuple(r.values()) for b in _gather(iter(cut), 3) for r in b.to_pylist())
+        whole = whole or got
+        assert got == whole
+    total = [r for r in whole if r[0] == 2]
+    assert len(total) == 1 and total[0][2] == 9 and total[0][-1] == len({r[:2] for r in rows})
+    assert [r for b in _gather(iter([]), 3) for r in b.to_pylist()][0]["w"] == 0
+
+
+def test_toxicity_with_clashing_columns_long_and_odd_rows(spark):
+    rows = [(i, ("bad " if i % 3 == 0 else "fine ") * 5 + f"w{i}", "a", "b", 1.0) for i in range(60)]
+    rows += [(None, None, "a", "b", 1.0), (7, rows[7][1], "a", "b", 1.0), (99, "bad " * 300_000, "a", "b", 1.0), (100, "q" * 1_000_000, "a", "b", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t1 string, x string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    out = score_documents(docs, train_model(docs, labels))
+    assert out.columns == ["doc_id", "text", "t1", "x", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.t1 == "a" and r.x == "b" and 0 <= r.score <= 1 for r in got)
+    assert {r.predicted for r in got if r.doc_id == 99} == {1} and {r.predicted for r in got if r.doc_id in (None, 7, 100)} == {0}
+    none = train_model(docs, labels.filter("toxic = 0"))
+    assert len({r.score for r in score_documents(docs, none).collect()}) == 1
+    assert score_documents(docs.limit(0), train_model(docs.limit(0), labels.limit(0))).collect() == []
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     random.seed(1)
     vocab, bad = [f"word{i}" for i in range(200)], ["vile", "wretch", "filth"]
@@ -105,7 +195,7 @@ def test_toxicity_learns_from_training_rows_only(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in got if r.held and r.doc_id in truth]
     assert len(got) == len(docs) and np.mean([p == t for p, t in held]) > 0.95
     same = train_model(d, y.withColumn("toxic", (1 - y.toxic) * held_out(y.doc_id).cast("int") + y.toxic * (~held_out(y.doc_id)).cast("int")), ~held_out(d.doc_id))
-    assert np.array_equal(same.word, model.word) and np.allclose(same.weights, model.weights)
+    assert sorted(same.words.collect()) == sorted(model.words.collect()) and np.allclose(same.weights, model.weights)
     assert all(0 <= r.score <= 1 for r in got)
     empty = train_model(d, y.limit(0))
     assert len({r.score for r in score_documents(d, empty).collect()}) == 1 and score_documents(d.limit(0), model).collect() == []
