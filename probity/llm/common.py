@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -70,6 +71,18 @@ def free_names(taken, *names: str) -> list[str]:
     return out
 
 
+def join_spread(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with side on keys, of which side has one row each and in `count` how many rows have them, of `total`.
+
+    Keys with over a thousandth of the rows, of which there are less than a thousand, are joined by broadcast, so that a hot key's rows
+    stay spread; the others are joined by shuffling. Null keys never meet.
+    """
+    many = F.lit(max(1, total // 1000))
+    hot, rest = side.filter(F.col(count) > many).drop(count), side.filter(F.col(count) <= many).drop(count)
+    cool = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cool.join(rest, keys))
+
+
 def input_splits(df: DataFrame) -> int:
     """Input splits of df: grows with the data, so that partition counts derived from it do too."""
     return max(1, df.rdd.getNumPartitions())
@@ -90,7 +103,7 @@ def scan_layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for consecutive rows of about `limit` bytes; a longer text is one chunk."""
     buf, offs = scan_layout(column)
     a, n = 0, len(offs) - 1
@@ -111,7 +124,7 @@ _pow = {"n": 0}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _pow["n"] < n:
-        size = 1 << max(21, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         tables = []
         for base in (_P, _PINV):
             t, done, step = np.ones(size, U64), 1, base

@@ -8,11 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, Scratch, chunks, free_names, words
+from .common import LOWER, NOT_SPACE, Scratch, chunks, free_names, input_splits, words
 
 #: Words of a unit that a line without sentence ends may have before it is cut at words chosen by their own hash.
 LONG = 24
@@ -56,6 +57,83 @@ def units(buf: np.ndarray, offs: np.ndarray, kind: str = "sentence") -> tuple[np
     return row[first], start[first], after[last], last - first + 1
 
 
+def _by_document(ids: pa.Array, salt: np.ndarray, place: np.ndarray) -> list[pa.Array]:
+    """(id, salt, places) of units, a row for each document."""
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    order = np.lexsort((place, salt, rank))
+    rank, salt = rank[order], salt[order]
+    first = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (salt[1:] != salt[:-1]))))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(place[order]))
+    return [ids.take(pa.array(order[first])), pa.array(salt[first]), places]
+
+
+def _first_of_each(ids: pa.Array, salt: np.ndarray, place: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Whether each unit is the first with its digest (two columns), by id, salt and place."""
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    order = np.lexsort((place, salt, rank, digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    out = np.zeros(len(order), bool)
+    out[order[np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1)))]] = True
+    return out
+
+
+def _digests(batches: Iterator[pa.RecordBatch], kind: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, salt) -> the first unit of each digest in a batch, packed by shard, and the other units by document."""
+    names, z = ["shard", "packed", "id", "salt", "gone"], pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        parts = []
+        for a, b, buf, offs in chunks(batch.column(1)):
+            row, start, end, _ = units(buf, offs, kind)
+            low = LOWER[buf].tobytes()
+            digest = b"".join(hashlib.md5(b" ".join(low[s:e].split())).digest() for s, e in zip(start.tolist(), end.tolist()))
+            parts.append((row + a, np.arange(len(row)) - np.searchsorted(row, row), np.frombuffer(digest, np.int64).reshape(-1, 2)))
+        row, place, digest = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2 + (np.empty((0, 2), np.int64),)
+        if not len(row):
+            continue
+        ids, salt = batch.column(0).take(pa.array(row)), batch.column(2).to_numpy()[row]
+        first = _first_of_each(ids, salt, place, digest)
+        if not first.all():
+            late = np.flatnonzero(~first)
+            found = _by_document(ids.take(pa.array(late)), salt[late], place[late])
+            n = len(found[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *found], names=names)
+        at = np.flatnonzero(first)
+        to = (digest[at, 0].view(np.uint64) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        at, to = at[by], to[by]
+        cuts = np.searchsorted(to, np.arange(shards + 1)).tolist()
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                i = at[a:b]
+                sink = pa.BufferOutputStream()
+                part = pa.RecordBatch.from_arrays([ids.take(pa.array(i)), *(pa.array(np.ascontiguousarray(x)) for x in (salt[i], place[i], digest[i, 0], digest[i, 1]))], names=list("ispde"))
+                with pa.ipc.new_stream(sink, part.schema, options=z) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))], names=names)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed units by shard -> those that aren't the first with their digest, by document."""
+    last, held = None, []
+
+    def work() -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in held).combine_chunks()
+        ids, salt, place = t.column(0).combine_chunks(), t.column(1).to_numpy(), t.column(2).to_numpy()
+        late = np.flatnonzero(~_first_of_each(ids, salt, place, np.stack([t.column(3).to_numpy(), t.column(4).to_numpy()], axis=1)))
+        if len(late):
+            yield pa.RecordBatch.from_arrays(_by_document(ids.take(pa.array(late)), salt[late], place[late]), names=["id", "salt", "gone"])
+
+    for batch in batches:
+        for s, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if held and s != last:
+                yield from work()
+                held = []
+            last = s
+            held.append(x.as_py())
+    if held:
+        yield from work()
+
+
 def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, keep_text: bool = True) -> DataFrame:
     """Columns `keep` of docs (None: all), then n_units, n_removed, removed_spans, kept_sha256, kept_text (with keep_text).
 
@@ -64,8 +142,9 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 20, id
     passage; passages of at least min_words words are removed. removed_spans holds their (start, end) byte offsets in the original
     text, n_removed their units.
 
-    Digests are grouped with partial sums and only those that repeat are joined back. A digest that holds a thousandth of all units,
-    of which there can be a thousand, is joined by broadcast, so its rows stay where they are. Texts are shuffled once, to meet their repeats.
+    Of the units that an Arrow batch of documents holds, the first with each digest goes to the digest's shard, packed; the others are
+    repeats at once. So a line that most documents hold is one row a batch, and a shard holds bounded arrays. Shards tell the
+    repeats by document; texts are shuffled once, to meet theirs.
 
     Nulls: a null text is empty and has no units; a null id ranks first. Texts of any length are one row. Rows that repeat an id rank
     by a hash of their text, and rows that repeat both are judged together and share a verdict. Columns whose names clash with the
@@ -77,30 +156,14 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 20, id
     carry = [c for c in (docs.columns if keep is None else keep) if c not in new]
     salt, gone_id, gone_salt, gone = free_names(docs.columns, "salt", "gone_id", "gone_salt", "gone")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            salts = batch.column(2).to_numpy()
-            for a, b, buf, offs in chunks(batch.column(1)):
-                row, start, end, _ = units(buf, offs, kind)
-                low = LOWER[buf].tobytes()
-                digest = b"".join(hashlib.md5(b" ".join(low[s:e].split())).digest() for s, e in zip(start.tolist(), end.tolist()))
-                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                ids = batch.column(0).take(pa.array(row + a))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(salts[row + a] << 32 | place), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "u", "d1", "d2"])
-
+    shards = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), salted.alias("salt"))
-    rows = scratch.keep(src.mapInArrow(cut, T.StructType([src.schema["id"]] + [T.StructField(c, T.LongType()) for c in ("u", "d1", "d2")])), "units")
-    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "u")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = scratch.keep(first, "first")
-    scratch.tidy()
-    many = F.lit(max(2, rows.count() // 1000))
-    hot, rest = F.broadcast(first.filter(F.col("n") > many)), first.filter(F.col("n") <= many)
-    again = rows.join(hot, ["d1", "d2"]).unionByName(rows.join(hot, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
-    again = again.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("u") == F.col("first.u"))))
-    spans = again.groupBy("id", F.shiftright("u", 32).alias("salt")).agg(F.collect_set(F.col("u").bitwiseAND(F.lit((1 << 32) - 1))).alias("gone"))
-    spans = scratch.keep(spans, "gone")
+    told = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("packed", T.BinaryType()), src.schema["id"], T.StructField("salt", T.LongType()), T.StructField("gone", T.ArrayType(T.LongType()))])
+    rows = scratch.keep(src.mapInArrow(lambda x: _digests(x, kind, shards), told), "units", "uncompressed")
+    met = rows.filter("packed is not null").select("shard", "packed").repartition(shards, "shard").sortWithinPartitions("shard")
+    again = met.mapInArrow(_meet, T.StructType(told.fields[2:])).unionByName(rows.filter("packed is null").select("id", "salt", "gone"))
+    spans = scratch.keep(again.groupBy("id", "salt").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
     scratch.drop("units")
     scratch.tidy()
 
