@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from probity.llm.automaton import Automaton
 from probity.llm.decontaminate import find_leaks
-from probity.llm.langid import identify, train_text
+from probity.llm.langid import identify, read_markup, text_scores, train_text
 from probity.llm.mixing import leaf_budgets, mix
 from probity.llm.secrets import Scanner, find_secrets
 from probity.llm.toxicity import _gather, held_out, score_documents, train_model
@@ -47,6 +48,23 @@ def test_automaton_is_minimal_and_more_rules_match():
     assert any(k == 4 for _, _, k in found[0])
 
 
+def test_hard_texts_take_linear_time():
+    start, scanner = time.time(), Scanner()
+    jwt = b"eyJ" + b"a" * 20 + b".eyJ" + b"b" * 20 + b".c"
+    for raw, n in ((jwt + b".eyJ" * 300_000, 1), (b"a" * 1_000_000, 1), (b"token=" * 200_000, 1), (b"eyJ" * 300_000, 0), ((jwt + b" ") * 10_000, 10_000)):
+        assert len(scanner.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]) == n
+    for raw in (b"<!--" * 250_000, b"<" * 1_000_000, b"<html" * 200_000, b"<script" * 150_000, b"<html a='" * 100_000, b"<html " + b'"' * 1_000_000):
+        read_markup(raw)
+    assert time.time() - start < 60
+
+
+def test_markup_is_read_as_browsers_do():
+    assert read_markup(b"<!-- <html lang=de> --><HTML data='x > y lang=es'\n Lang = \"pt-BR\">a&nbsp;b<script>if (a<b) c</SCRIPT >d<p>e < f") == (b"  a b d e < f", "pt")
+    assert read_markup(b'<html data="' + b"x" * 5000 + b'" lang="fil"><b>y</b>')[1] == "fil"
+    assert read_markup(b"<html lang=''><html lang='fr'>z<!-- rest")[1] is None
+    assert read_markup(b"") == (b"", None) and read_markup(b"<html lang=en") == (b"<html lang=en", "en")
+
+
 def brute_leaks(docs, items, window=8, least=2):
     def words(t):
         return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
@@ -149,10 +167,10 @@ def test_toxicity_equals_plain_kneser_ney(spark):
 
 def test_toxicity_counts_are_whole_across_batches():
     rng = np.random.default_rng(8)
-    rows = sorted((int(w), int(h), int(c), int(n)) for w, h, c, n in zip(rng.integers(0, 9, 400), rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(1, 4, 400)))
+    rows = sorted((int(w), int(h), int(4 * n + c)) for w, h, c, n in zip(rng.integers(0, 9, 400), rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(1, 4, 400)))
     whole = None
     for step in (400, 1, 13):
-        cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + step])], names=list("abcd")) for s in range(0, 400, step)]
+        cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + step])], names=list("abc")) for s in range(0, 400, step)]
         got = sorted(tuple(r.values()) for b in _gather(iter(cut), 3) for r in b.to_pylist())
         whole = whole or got
         assert got == whole
@@ -201,6 +219,60 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert len({r.score for r in score_documents(d, empty).collect()}) == 1 and score_documents(d.limit(0), model).collect() == []
 
 
+def plain_posteriors(pages, model, strength=4.0):
+    """The posterior of each page (url, html) by its definition, one page at a time."""
+    k, rows = len(model.languages), []
+    for url, html in pages:
+        text, code = read_markup((html or "").encode())
+        m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        host = m[1].lower().rstrip(".") if m else ""
+        part = host.split(".")
+        ll = text_scores(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        t = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum()
+        rows.append((ll, t, code, part[-1] if host else "", ".".join(part[-2:]) if len(part) > 2 else host, host))
+    total = lambda keep: sum((t for _, t, *key in rows if keep(key)), np.zeros(k))
+    base = (total(lambda _: True) + 1) / (len(rows) + k)
+    codes = {c for _, _, c, *_ in rows if c}
+    out = []
+    for ll, t, code, suffix, domain, host in rows:
+        prior = base
+        for keep in (lambda x: x[1] == suffix, lambda x: x[1:3] == [suffix, domain], lambda x: x[3] == host):
+            own = np.maximum(total(keep) - t, 0)
+            prior = (own + strength * prior) / (own.sum() + strength)
+        said = np.zeros(k)
+        if code:
+            column = total(lambda x: x[0])
+            said = np.log((total(lambda x: x[0] == code) + 0.5 + 5.0 * np.array([n == code for n in model.languages])) / (column + 0.5 * (len(codes) + 1) + 5.0))
+        z = ll + said + np.log(prior)
+        out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    return out
+
+
+def test_language_posteriors_equal_their_definition(spark):
+    rng = random.Random(4)
+    words = {"de": "der und nicht eine von mit", "en": "the and of that with", "fil": "ang mga sa ng na at"}
+    model = train_text(spark.createDataFrame([(v * 3, c) for c, v in words.items()], "text string, lang string"))
+    pages = []
+    for i in range(90):
+        c = rng.choice(list(words))
+        host = rng.choice(["a.site.de", "b.site.de", "x.com", "big.com", "big.com", "big.com", "w.v.u.ph"])
+        body = " ".join(rng.choices(words[rng.choice([c, c, "en"])].split(), k=rng.randint(0, 12)))
+        pages.append((f"http://{host}/{i}", rng.choice([f'<html lang="{c}-XX">', "<html>", f"<html lang={rng.choice(['zz', 'eng'])}>"]) + body))
+    pages += [(None, None), ("none", ""), (pages[0][0], pages[0][1])]
+    want = plain_posteriors(pages, model)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in identify(df, model).collect()}
+    assert all(got[i].lang == model.languages[int(q.argmax())] and abs(got[i].confidence - q.max()) < 1e-9 for i, q in enumerate(want))
+
+
+def test_many_languages_and_very_long_pages(spark):
+    docs = spark.createDataFrame([(chr(97 + i % 26) * 3 + chr(97 + i // 26) * 3, f"l{i}") for i in range(80)], "text string, lang string")
+    model = train_text(docs)
+    assert len(model.languages) == 80
+    pages = spark.createDataFrame([(1, "http://a.b", "<p>" + "cccaaa " * 300_000), (2, None, "<!--" * 200_000)], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in identify(pages, model).collect()}[1] == "l2"
+
+
 def test_language_evidence_is_fused(spark):
     d = spark.createDataFrame([("der die und das nicht ein eine zu von mit", "de"), ("the and of to in is that for was with", "en"), (None, "en"), ("x", None)], "text string, lang string")
     model = train_text(d)
