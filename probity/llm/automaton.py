@@ -147,11 +147,12 @@ class _Parser:
 class Automaton:
     """Minimal deterministic automaton of several rules; accepts[state] has bit r set where rule r ends.
 
-    search=True puts an implied "anything" before every rule, so one pass over the bytes finds where any rule ends.
+    search=True puts an implied "anything" before every rule, so one pass over the bytes finds where any rule ends. backward=True reads
+    rules and bytes from right to left, so that a pass finds where any rule's match begins.
     table[state * classes + byte_class[byte]] is the next state, times the number of classes.
     """
 
-    def __init__(self, patterns: Sequence[str], search: bool = True):
+    def __init__(self, patterns: Sequence[str], search: bool = True, backward: bool = False):
         edges: list = []
         eps: list = []
         accept: dict[int, int] = {}
@@ -162,8 +163,16 @@ class Automaton:
             n = len(eps)
             edges += [[(c, t + n) for c, t in e] for e in q.edges]
             eps += [[t + n for t in e] for e in q.eps]
-            entry.append(a + n)
-            accept[b + n] = 1 << r
+            entry.append(b + n if backward else a + n)
+            accept[a + n if backward else b + n] = 1 << r
+        if backward:
+            turned: tuple[list, list] = ([[] for _ in eps], [[] for _ in eps])
+            for s, (e, z) in enumerate(zip(edges, eps)):
+                for c, t in e:
+                    turned[0][t].append((c, s))
+                for t in z:
+                    turned[1][t].append(s)
+            edges, eps = turned
         # bytes that no rule tells apart are one class
         signature: dict[tuple, int] = {}
         sets = list({c for e in edges for c, _ in e})
@@ -225,34 +234,47 @@ class Automaton:
         dead = [s for s in range(len(self.next)) if not self.accepts[s] and (self.next[s] == s).all()]
         self.dead = dead[0] if dead and not search else -1
 
-    def scan(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Bits of the rules that end anywhere in each piece buf[offs[i]:offs[i+1]]. All pieces advance a byte at a time
-        together, longest first; those that have ended leave the front."""
-        out = np.zeros(len(offs) - 1, np.int64)
-        size = np.diff(offs)
+    def begins(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, place in buf, bits of the rules) wherever a match begins in a piece buf[starts[i]:ends[i]], by piece and place
+        (search, backward). One pass: pieces go a byte at a time together, longest first, those that have ended leave; very long ones go alone."""
+        size = ends - starts
         order = np.argsort(-size, kind="stable")
-        size, at = size[order], offs[:-1][order]
-        n = int((size > 0).sum())
-        if not n:
-            return out
-        symbols = self.byte_class[buf].astype(np.int32)
-        state = np.zeros(n, np.int32)
+        long = int((size > 4096).sum())
         hot = self.accepts != 0
-        hot_at = np.zeros(len(self.table) + 1, bool)
-        hot_at[np.flatnonzero(hot) * self.classes] = True
-        got = np.zeros(len(offs) - 1, np.int64)
-        live, t, at = n, 0, at[:n].copy()
-        upto = np.searchsorted(-size[:n], -np.arange(1, int(size[0]) + 1), "right")
+        piece, place, bits = [], [], []
+        symbols = self.byte_class[buf].astype(np.int32)
+        rows, flags = self.table.tolist(), np.repeat(hot, self.classes).tolist()
+        for p in order[:long].tolist():
+            a, state, at = int(starts[p]), 0, []
+            seen = []
+            for i, x in enumerate(reversed(symbols[a : int(ends[p])].tolist()), 1):
+                state = rows[state + x]
+                if flags[state]:
+                    at.append(i)
+                    seen.append(state)
+            piece.append(np.full(len(at), p))
+            place.append(int(ends[p]) - np.array(at, np.int64))
+            bits.append(self.accepts[np.array(seen, np.int64) // self.classes])
+        order = order[long:]
+        size, at = size[order], ends[order] - 1
+        live, t, state = int((size > 0).sum()), 0, np.zeros(len(order), np.int32)
+        hot_at = np.repeat(hot, self.classes)
+        upto = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         while live:
-            state = self.table.take(state[:live] + symbols.take(at[:live] + t))
-            h = hot_at.take(state)
-            if h.any():
-                i = np.flatnonzero(h)
-                got[i] |= self.accepts[state[i] // self.classes]
+            state = self.table.take(state[:live] + symbols.take(at[:live] - t))
+            i = np.flatnonzero(hot_at.take(state))
+            if len(i):
+                piece.append(order[i])
+                place.append(at[i] - t)
+                bits.append(self.accepts[state[i] // self.classes])
             t += 1
             live = int(upto[t]) if t < len(upto) else 0
-        out[order] = got
-        return out
+        if not piece:
+            none = np.empty(0, np.int64)
+            return none, none, none
+        piece, place, bits = np.concatenate(piece), np.concatenate(place), np.concatenate(bits)
+        by = np.argsort(place, kind="stable")
+        return piece[by], place[by], bits[by]
 
     def longest(self, raw: bytes, at: int) -> int:
         """End of the longest match that starts at `at` (search=False), or -1."""

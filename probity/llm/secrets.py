@@ -44,34 +44,28 @@ MORE = (
 
 def _detector(rule: Rule) -> str:
     """The rule's pattern for the byte pass. Long counted runs would multiply the states of the joint automaton, so at most
-    8 bytes of a bare run are asked for; spans are settled on the pieces found."""
+    8 bytes of a bare run are asked for, which is where any long enough match begins as well."""
     return {"hex": "[0-9a-f]{8}"}.get(rule.kind, rule.pattern)
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = BASE + MORE):
         self.rules = rules
-        self.joint = Automaton([_detector(r) for r in rules])
+        self.joint = Automaton([_detector(r) for r in rules], backward=True)
         self.exact = [Automaton([r.pattern], search=False) for r in rules]
         self.heads = [Automaton([r.head], search=False) if r.head else None for r in rules]
-        self.first = [frozenset(np.flatnonzero(a.next[0][a.byte_class] != a.dead).tolist()) for a in self.exact]
-
-    def spans(self, piece: bytes, bits: int) -> Iterator[tuple[int, int, int]]:
-        """(start, end, rule) in a piece in which the rules of `bits` may match."""
-        for k, rule in enumerate(self.rules):
-            if not bits >> k & 1:
-                continue
-            i, first, auto = 0, self.first[k], self.exact[k]
-            while i < len(piece):
-                end = auto.longest(piece, i) if piece[i] in first else -1
-                if end <= i:
-                    i += 1
-                    continue
-                head = self.heads[k]
-                value = head.longest(piece, i) if head else i
-                if end - value >= rule.least:
-                    yield i, end, k
-                i = end
+
+    def spans(self, raw: bytes, begin: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, rule) of rule k in a piece in which its matches begin at `begin`: from each that no match before covers, the
+        longest. A match is read once, so time is linear however many places begin one."""
+        rule, head, auto, i = self.rules[k], self.heads[k], self.exact[k], 0
+        while i < len(begin):
+            at = int(begin[i])
+            end = auto.longest(raw, at)
+            value = head.longest(raw, at) if head else at
+            if end - value >= rule.least:
+                yield at, end, k
+            i = max(i + 1, int(np.searchsorted(begin, end)))
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """Spans (start, end, rule) in code points of every text of a chunk, by start, then rule."""
@@ -87,22 +81,20 @@ class Scanner:
         cuts = np.flatnonzero(edge)
         size = np.diff(cuts)
         some = np.flatnonzero((size > 7) & ~stop[cuts[:-1]])  # no rule matches fewer than 8 bytes
-        # pieces end where the next begins, so only starts and ends that follow each other are used
         starts, ends = cuts[some], cuts[some + 1]
-        order = np.concatenate(([0], np.cumsum(ends - starts)))
-        body = buf[np.repeat(starts - order[:-1], ends - starts) + np.arange(int(order[-1]))]
-        bits = self.joint.scan(body, order)
-        row = np.searchsorted(offs, starts, "right") - 1
-        raw = buf.tobytes()
-        for p in np.flatnonzero(bits).tolist():
-            s, e, r = int(starts[p]), int(ends[p]), int(row[p])
-            out[r] += [(s + a - int(offs[r]), s + b - int(offs[r]), k) for a, b, k in self.spans(raw[s:e], int(bits[p]))]
+        piece, place, bits = self.joint.begins(buf, starts, ends)
+        for p in np.unique(piece).tolist():
+            mine = slice(int(np.searchsorted(place, starts[p])), int(np.searchsorted(place, ends[p])))
+            s, raw = int(starts[p]), buf[starts[p] : ends[p]].tobytes()
+            r = int(np.searchsorted(offs, s, "right")) - 1
+            for k in range(len(self.rules)):
+                begin = place[mine][(bits[mine] >> k & 1) > 0] - s
+                out[r] += [(s + a - int(offs[r]), s + b - int(offs[r]), k) for a, b, k in self.spans(raw, begin, k)]
         for r, found in enumerate(out):
             if found:
                 text = buf[offs[r] : offs[r + 1]]
                 points = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
-                out[r] = sorted((int(points[a]), int(points[b]), k) for a, b, k in found)
-                out[r].sort(key=lambda x: (x[0], x[2]))
+                out[r] = sorted(((int(points[a]), int(points[b]), k) for a, b, k in found), key=lambda x: (x[0], x[2]))
         return out
 
 
@@ -114,8 +106,8 @@ def _compiled(rules: tuple[Rule, ...]) -> Scanner:
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """Columns `keep` of docs (None: all), then secrets: array of (kind, start, end) in code points, by start, then kind.
 
-    One pass of the joint automaton over every byte marks the pieces in which a rule may match; the rule's own
-    automaton then settles leftmost non-overlapping spans there. No shuffle; a task holds one Arrow batch.
+    One pass of the joint automaton over every byte, from right to left, tells where matches of which rules begin; from the leftmost
+    that no match before covers, the rule's own automaton reads the longest match. No shuffle; a task holds one Arrow batch.
 
     Nulls: a null text is empty and has no secrets, as an empty one. Repeated rows each get their spans. Texts of any
     length are scanned whole. A column named secrets is replaced. An empty table gives an empty result.
