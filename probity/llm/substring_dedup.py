@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, input_splits, mix, scan_layout
-from .suffix import maximal_repeats, ranges
+from .suffix import ranges, repeat_tree
 
 U64 = np.uint64
 #: Bytes of the grams whose hashes route strings: long enough that unrelated texts seldom share one.
@@ -262,23 +262,21 @@ def _repeats(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarr
     seq[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + n
     seq[~body] = np.arange(n)
     owner = np.repeat(ids, size + 1)
-    found, first, last, order = maximal_repeats(seq, length, separator=n - 1)
     # the intervals as a tree: each suffix's innermost interval, each interval's parent, the least id inside
-    by = np.lexsort((-last, first))
-    found, inner, parent = found[by], np.full(len(order), -1, np.int64), []
-    for k, (f, t) in enumerate(zip(first[by].tolist(), last[by].tolist())):
-        parent.append(int(inner[f]))
-        inner[f : t + 1] = k
+    found, _, _, parent, inner, order = repeat_tree(seq, length, separator=n - 1)
     own = owner[order]
     inside = np.flatnonzero(inner >= 0)
     least = np.full(len(parent), np.iinfo(np.int64).max)
     np.minimum.at(least, inner[inside], own[inside])
-    lows = least.tolist()
-    for k in range(len(parent) - 1, -1, -1):
-        if parent[k] >= 0 and lows[k] < lows[parent[k]]:
-            lows[parent[k]] = lows[k]
+    lows, above = least.tolist(), parent.tolist()
+    for k in range(len(above) - 1, -1, -1):
+        if above[k] >= 0 and lows[k] < lows[above[k]]:
+            lows[above[k]] = lows[k]
+    for k, p in enumerate(above):  # the nearest interval around that has a smaller least id
+        if p >= 0 and lows[p] == lows[k]:
+            above[k] = above[p]
     # a suffix is covered by its longest repeat that a smaller id holds too: climb from the innermost
-    least, up, todo = np.array(lows, np.int64), np.array(parent, np.int64), inside
+    least, up, todo = np.array(lows, np.int64), np.array(above, np.int64), inside
     while len(todo):
         now = inner[todo]
         alone = least[now] >= own[todo]

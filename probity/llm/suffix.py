@@ -7,7 +7,8 @@ import numpy as np
 
 class SuffixArray:
     """Suffix array by prefix doubling; only suffixes that still tie are sorted again. A suffix's rank is the first place of
-    its group of ties; each level's ranks are kept, so that common prefixes are found without reading the text again."""
+    its group of ties; each level's ranks are kept, 4 bytes a symbol, so that common prefixes are found without reading the text again.
+    Levels are the binary logarithm of the longest repeat."""
 
     def __init__(self, seq: np.ndarray):
         n = self.n = len(seq)
@@ -17,14 +18,14 @@ class SuffixArray:
             return
         value = seq[order]
         head = np.concatenate(([True], value[1:] != value[:-1]))
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         self.levels.append(rank)
         tied, h = np.flatnonzero(~head | ~np.append(head[1:], True)), 1
         while len(tied):
             sub = order[tied]
             after = sub + h
-            key = rank[sub] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            key = rank[sub].astype(np.int64) * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
             by = np.argsort(key)
             key, sub = key[by], sub[by]
             order[tied] = sub
@@ -54,26 +55,62 @@ class SuffixArray:
         return lcp
 
 
-def prefix_intervals(lcp: np.ndarray, least: int):
-    """Nodes (length, first, last) of the common-prefix interval tree with length >= least, children before parents.
+def interval_tree(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first, last, parent) of the nodes of the common-prefix interval tree with length >= least, parents before children, and
+    the innermost node of each suffix; -1 where there is none.
 
-    One scan over the enhanced suffix array with a stack of open intervals; parts whose common prefix is shorter than
-    `least` are skipped without entering the scan.
+    One scan over the enhanced suffix array with a stack of open intervals tells parents as well; parts whose common prefix is shorter
+    than `least` are skipped without entering the scan.
     """
+    length: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
+    parent: list[int] = []
+    top = np.full(len(lcp) + 1, -1, np.int64)  # the node that holds suffixes i - 1 and i
     deep = lcp >= least
-    if not deep.any():
-        return
     edges = np.flatnonzero(np.diff(np.concatenate(([0], deep.astype(np.int8), [0]))))
     for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        stack: list[list[int]] = []
-        values = lcp[s:e].tolist()
-        for i, v in enumerate([*values, 0], s):
-            left = i - 1
-            while stack and stack[-1][0] > v:
-                length, left = stack.pop()
-                yield length, left, i - 1
-            if v and (not stack or stack[-1][0] < v):
-                stack.append([v, left])
+        stack: list[int] = []
+        held = []
+        for i, v in enumerate([*lcp[s:e].tolist(), 0], s):
+            left, child = i - 1, -1
+            while stack and length[stack[-1]] > v:
+                child = stack.pop()
+                last[child], left = i - 1, first[child]
+                if stack and length[stack[-1]] >= v:
+                    parent[child], child = stack[-1], -1
+            if v and (not stack or length[stack[-1]] < v):
+                if child >= 0:
+                    parent[child] = len(length)
+                stack.append(len(length))
+                length.append(v)
+                first.append(left)
+                last.append(-1)
+                parent.append(-1)
+            held.append(stack[-1] if stack else -1)
+        top[s : e + 1] = held
+    up = np.array(parent, np.int64)
+    by = np.lexsort((-np.array(last, np.int64), np.array(first, np.int64)))
+    name = np.full(len(by) + 1, -1, np.int64)  # the last one stands for none
+    name[by] = np.arange(len(by))
+    depth = np.append(lcp, 0)
+    inner = name[np.where(depth[:-1] >= depth[1:], top[:-1], top[1:])]
+    return np.array(length, np.int64)[by], np.array(first, np.int64)[by], np.array(last, np.int64)[by], name[up[by]], inner
+
+
+def repeat_tree(seq: np.ndarray, least: int, separator: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """interval_tree without nodes whose occurrences all have one symbol on their left, and the suffix order. What holds a node left
+    in the tree has more on its left, so it stays as well, and a suffix's node is the innermost that stays."""
+    sa = SuffixArray(seq)
+    length, first, last, parent, inner = interval_tree(sa.common_prefixes(least), least)
+    before = np.where(sa.order > 0, seq[np.maximum(sa.order - 1, 0)], separator - 1)
+    own = before <= separator
+    change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | own[1:] | own[:-1])))
+    stays = change[last] > change[first]
+    new = np.append(np.where(stays, np.cumsum(stays) - 1, -1), -1)
+    for k in np.flatnonzero(~stays).tolist():  # parents come first
+        new[k] = new[parent[k]]
+    return length[stays], first[stays], last[stays], new[parent[stays]], new[inner], sa.order
 
 
 def maximal_repeats(seq: np.ndarray, least: int, separator: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +120,8 @@ def maximal_repeats(seq: np.ndarray, least: int, separator: int = 0) -> tuple[np
     differ in the symbol to their left (a text start or a separator counts as a symbol of its own); to the right they
     differ because the interval ends there. Separators are distinct values up to `separator`, so that no repeat crosses one.
     """
-    sa = SuffixArray(seq)
-    found = np.array(list(prefix_intervals(sa.common_prefixes(least), least)), np.int64).reshape(-1, 3)
-    before = np.where(sa.order > 0, seq[np.maximum(sa.order - 1, 0)], separator - 1)
-    own = before <= separator
-    change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | own[1:] | own[:-1])))
-    length, first, last = found[change[found[:, 2]] > change[found[:, 1]]].T
-    return length, first, last, sa.order
+    length, first, last, _, _, order = repeat_tree(seq, least, separator)
+    return length, first, last, order
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
