@@ -5,60 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, input_splits
+from .common import Scratch, free_names, input_splits
+
+#: A text with over one in so many sampled rows is dealt out by input split; so there are less than that many such texts.
+HEAVY = 200
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, partitions: int | None, carry: list[str], judge: list[str]) -> DataFrame:
+    """Columns `carry` of docs, and under the names in `judge`: the id that stays, the rows with that text, whether this row stays, the
+    text's SHA-256. Without names for the first two, rows that don't stay may be missing."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "exact")
+    n = partitions or max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    i, text, head, h, salt, rank, here, rows_here, sha, whole, heavy = free_names([*docs.columns, *judge], "i", "text", "head", "h", "salt", "rank", "here", "rows_here", "sha", "whole", "heavy")
+    src = docs.select(*carry, F.col(id_col).alias(i), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    src = src.withColumn(head, F.substring(text, 1, 32)).withColumn(h, F.xxhash64(text))
+    seen = scratch.keep(src.select(head, h).sample(False, 0.05, 11).groupBy(head, h).agg(F.count(F.lit(1)).alias("n")).filter("n > 4"), "sample")
+    least = (seen.agg(F.sum("n")).first()[0] or 0) // HEAVY
+    often = F.broadcast(seen.filter(F.col("n") > least).orderBy(F.desc("n")).limit(HEAVY).select(head, h, F.lit(True).alias(heavy)))
+    src = src.join(often, [head, h], "left").withColumn(salt, F.when(F.col(heavy), F.spark_partition_id()).otherwise(-1)).drop(heavy)
+    src = src.repartitionByRange(n, head, h, salt)
+    order = F.col(i).desc_nulls_last() if keep == "largest" else F.col(i).asc_nulls_last()
+    run = Window.partitionBy(head, h, text, salt)
+    first = run.orderBy(order)
+    rows = src.select(
+        *carry,
+        i,
+        salt,
+        F.row_number().over(first).alias(rank),
+        F.first(i).over(first).alias(here),
+        F.count(F.lit(1)).over(run).alias(rows_here),
+        F.sha2(text, 256).alias(sha),
+        text,
+    ).withColumn(whole, F.when((F.col(rank) == 1) & (F.col(salt) >= 0), F.col(text)))
+    if len(judge) < 4:
+        rows = rows.filter(F.col(rank) == 1)
+    rows = scratch.keep(rows.drop(text), "rows")
+    # runs of a heavy text, one for each split, meet by their whole text
+    pick = F.struct(F.col(here).isNotNull().alias("a"), F.col(here).alias("b"), (-F.col(salt)).alias("c"))
+    best = F.max(pick) if keep == "largest" else F.min(F.struct(F.col(here).isNull().alias("a"), F.col(here).alias("b"), F.col(salt).alias("c")))
+    met = rows.filter(F.col(whole).isNotNull()).groupBy(whole).agg(best.alias("best"), F.sum(rows_here).alias("all"), F.first(sha).alias("met_sha"))
+    met = scratch.keep(met.select("met_sha", F.col("best.b").alias("met_keep"), F.abs("best.c").alias("met_salt"), "all"), "met")
+    new = free_names([*rows.columns, *judge], "met_sha", "met_keep", "met_salt", "all")
+    met = F.broadcast(met.toDF(*new))
+    out = rows.join(met, (F.col(sha) == F.col(new[0])) & (F.col(salt) >= 0), "left")
+    own = F.col(new[0]).isNull()
+    values = [
+        F.when(own, F.col(here)).otherwise(F.col(new[1])),
+        F.when(own, F.col(rows_here)).otherwise(F.col(new[3])),
+        (F.col(rank) == 1) & (own | (F.col(salt) == F.col(new[2]))),
+        F.col(sha),
+    ]
+    return out.select(*carry, *(v.alias(c) for v, c in zip(values[-len(judge) :] if len(judge) < 4 else values, judge)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
-    Spark samples splitters over (the text's first 32 characters, input split) and range-partitions the whole texts by them;
-    each partition is sorted externally by head, text and split, so equal texts are neighbours, and the window
-    compares neighbouring texts in full. What is sampled is short whatever the texts are. The input split in the key cuts a text
-    or a common beginning that holds a large share of all rows into pieces no larger than one split; pieces of a text
-    then meet as one row each, keyed by SHA-256. Texts cross the network once.
+    Texts are range-partitioned by their first 32 characters and, among equal ones, by a hash, at splitters that Spark samples (so what
+    is sampled is short); each partition is sorted externally by head, hash and whole text, which puts equal texts next to each other,
+    and the window compares neighbours in full. A text has one key, so its rows meet in one run. Only a text that a sample shows to
+    hold more than one in HEAVY of all rows has a run for each input split; such runs are compared again, one whole text each, and
+    their result is sent to all tasks: at most HEAVY rows. The sample decides where rows lie, never the result. Texts cross the network once.
 
-    Nulls: a null text counts as empty; a null id sorts before all others and is kept only if its group has no other.
-    Empty texts are equal to each other. Repeated ids with one text all count in group_size, and of rows that
-    repeat the kept id one (any, the rows being alike) is kept. An empty table gives an empty result. Other columns are not read.
+    Nulls: a null text counts as empty; a null id sorts behind all others and is kept only if its group has no other.
+    Empty texts are equal to each other; long ones are rows like others. Repeated ids with one text all count in group_size, and of rows
+    that repeat the kept id one (any, the rows being alike) is kept. An empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    n = partitions or max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    best = F.max if keep == "largest" else F.min
-    src = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.spark_partition_id().alias("split"),
-    ).withColumn("head", F.substring("text", 1, 32))
-    src = src.repartitionByRange(n, "head", "split")
-    piece = Window.partitionBy("head", "text", "split")
-    order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    rows = src.select(
-        "id",
-        F.sha2("text", 256).alias("sha"),
-        F.row_number().over(piece.orderBy(order)).alias("rank"),
-        F.count(F.lit(1)).over(piece).alias("n"),
-        "split",
-    )
-    scratch = Scratch(spark, "exact")
-    rows = scratch.keep(rows, "rows")
-    heads = rows.filter("rank = 1").groupBy("sha").agg(best("id").alias("keep_id"), F.sum("n").alias("group_size"), F.min(F.when(F.col("id").isNull(), F.col("split"))).alias("null_split"))
-    # the keeper's own split decides which of repeated keepers stays: ids repeat rarely, so this is one small aggregate
-    keeper = rows.filter("rank = 1").select("sha", F.col("id").alias("keep_id"), "split").groupBy("sha", "keep_id").agg(F.min("split").alias("keep_split"))
-    heads = heads.alias("h").join(keeper.alias("k"), (F.col("h.sha") == F.col("k.sha")) & F.col("h.keep_id").eqNullSafe(F.col("k.keep_id"))).select(
-        F.col("h.sha").alias("sha"), F.col("h.keep_id").alias("keep_id"), "group_size", "keep_split"
-    )
-    return rows.alias("r").join(heads.alias("g"), "sha").select(
-        F.col("r.id").alias(id_col),
-        "keep_id",
-        "group_size",
-        ((F.col("r.rank") == 1) & F.col("r.id").eqNullSafe(F.col("g.keep_id")) & (F.col("r.split") == F.col("g.keep_split"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    (name,) = free_names(["keep_id", "group_size", "kept", "text_sha256"], id_col)
+    found = _judged(docs.select(F.col(id_col).alias(name), F.col(text_col).alias(free_names([name], text_col)[0])), name, free_names([name], text_col)[0], keep, partitions, [name], ["keep_id", "group_size", "kept", "text_sha256"])
+    return found.withColumnRenamed(name, id_col) if name != id_col else found
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns. Ids are taken to be unique here; rows that repeat
-    a kept id with the same text are all returned, and those with another text are judged by their own group."""
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    d = docs.withColumn("__h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return d.join(kept, d[id_col].eqNullSafe(kept["__id"]) & (d["__h"] == kept["__sha"]), "left_semi").drop("__h")
+    """The rows of docs that exact_groups keeps, one for each text, with all their columns, whatever their names.
+
+    Nulls, ties, repeated rows and empty tables are as exact_groups says."""
+    stays, digest = free_names(docs.columns, "stays", "digest")
+    return _judged(docs, id_col, text_col, keep, None, docs.columns, [stays, digest]).filter(stays).select(*docs.columns)
