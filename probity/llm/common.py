@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; one of this machine where that is unset and Spark runs on this machine alone, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return root or f"file://{tempfile.gettempdir()}/probity-scratch"
 
 

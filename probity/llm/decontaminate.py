@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, words
+from .common import LOWER, chunks, free_names, words
 from .suffix import FMIndex
 
 #: Words of the item alphabet: digits, letters after lower-casing A-Z, and every byte of non-ASCII characters.
@@ -21,9 +21,9 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 class PhraseBook:
     """Test phrases of a block of items: every window of `window` words, or the whole of a shorter item."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
-        phrases: dict[tuple[bytes, ...], set[int]] = {}
+        phrases: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             low = LOWER[np.frombuffer(text, np.uint8)] if text else np.empty(0, np.uint8)
             raw = low.tobytes()
@@ -89,7 +89,7 @@ def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator
         if block and size + len(t) > block_bytes:
             yield PhraseBook(block, window)
             block, size = [], 0
-        block.append((r[0], t))
+        block.append(("null" if r[0] is None else str(r[0]), t))
         size += len(t)
     yield PhraseBook(block, window)
 
@@ -114,12 +114,12 @@ def find_leaks(
     come in blocks of block_bytes, each a pass over the documents; nothing else is broadcast. No shuffle.
 
     Nulls: a null text has no words; a null item text has none either, and a null item_id is written as 'null' in the
-    digest. An item of no words never occurs. Repeated documents are judged row by row. Columns of docs whose names clash
-    with the result's are replaced. Empty tables give empty results, an empty benchmark no hits.
+    digest. An item of no words never occurs. Item ids of any type count as their text. Repeated documents are judged row by row. A text
+    longer than a shard is a shard of its own. Columns of docs whose names clash with the result's are replaced; other
+    names are free. Empty tables give empty results, an empty benchmark no hits.
     """
     spark = docs.sparkSession
-    if "__spans" in docs.columns:
-        raise ValueError("__spans is used inside")
+    inner = free_names(docs.columns, "spans", "items")
     keep = [c for c in (docs.columns if keep is None else keep)]
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("leak_spans", T.ArrayType(T.ArrayType(T.LongType())))]
     if cut_text:
@@ -130,9 +130,9 @@ def find_leaks(
     books = list(item_blocks(benchmark, window, block_bytes))
     for k, book in enumerate(books):
         last = k == len(books) - 1
-        old = [f for f in df.schema.fields if not f.name.startswith("__")]
+        old = [f for f in df.schema.fields if f.name not in inner]
         names = [f.name for f in old if not last or f.name in carry]
-        mid = [T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", T.ArrayType(T.LongType()))]
+        mid = [T.StructField(inner[0], T.ArrayType(T.ArrayType(T.LongType()))), T.StructField(inner[1], T.ArrayType(T.StringType()))]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in old if f.name in names] + (new if last else mid))
         sent = spark.sparkContext.broadcast(book)
 
@@ -142,14 +142,14 @@ def find_leaks(
                 text = batch.column(batch.schema.get_field_index(text_col))
                 for a, b, buf, offs in chunks(text, shard_bytes):
                     part = batch.slice(a, b - a)
-                    more = _judge(book, part, buf, offs, min_items, cut_text, last)
+                    more = _judge(book, part, buf, offs, min_items, cut_text, last, inner)
                     yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [x for _, x in more], names=names + [c for c, _ in more])
 
         df = df.mapInArrow(scan, schema)
     return df
 
 
-def _judge(book: PhraseBook, part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, min_items: int, cut_text: bool, last: bool):
+def _judge(book: PhraseBook, part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, min_items: int, cut_text: bool, last: bool, inner: list[str]):
     n = len(offs) - 1
     starts, ends, row, pos, phrase = book.hits(buf, offs)
     length = book.lengths[phrase] if len(phrase) else phrase
@@ -168,15 +168,15 @@ def _judge(book: PhraseBook, part: pa.RecordBatch, buf: np.ndarray, offs: np.nda
     for f, e in zip(first.tolist(), final.tolist()):
         r = int(row[f])
         spans[r].append([int(starts[f] - offs[r]), int(ends[e] - offs[r])])
-    earlier = part.schema.get_field_index("__spans")
+    earlier = part.schema.get_field_index(inner[0])
     if earlier >= 0:
-        was, had = part.column(earlier).to_pylist(), part.column(part.schema.get_field_index("__items")).to_pylist()
+        was, had = part.column(earlier).to_pylist(), part.column(part.schema.get_field_index(inner[1])).to_pylist()
         for r in range(n):
             items[r].update(had[r])
             spans[r] = _merge(spans[r] + was[r])
     kind = pa.list_(pa.list_(pa.int64()))
     if not last:
-        return [("__spans", pa.array(spans, kind)), ("__items", pa.array([list(x) for x in items], pa.list_(pa.int64())))]
+        return [(inner[0], pa.array(spans, kind)), (inner[1], pa.array([list(x) for x in items], pa.list_(pa.string())))]
     n_words = np.bincount(row, minlength=n)
     n_hit = np.zeros(n, np.int64)
     at = starts + 0
@@ -186,7 +186,7 @@ def _judge(book: PhraseBook, part: pa.RecordBatch, buf: np.ndarray, offs: np.nda
             for s, e in spans[r]:
                 x, y = np.searchsorted(at[a:b] - offs[r], [s, e])
                 n_hit[r] += y - x
-    digest = [hashlib.sha256(",".join(sorted("null" if i is None else str(i) for i in x)).encode()).hexdigest() for x in items]
+    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
     out = [("n_words", pa.array(n_words, pa.int64())), ("n_hit", pa.array(n_hit, pa.int64())), ("n_items", pa.array([len(x) for x in items], pa.int64())), ("items_sha256", pa.array(digest, pa.string())), ("contaminated", pa.array([len(x) >= min_items for x in items], pa.bool_())), ("leak_spans", pa.array(spans, kind))]
     if cut_text:
         raw, cleaned = buf.tobytes(), []

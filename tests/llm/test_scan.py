@@ -107,9 +107,9 @@ def test_leak_spans_are_cut_and_empty_tables(spark):
     assert find_leaks(d.limit(0), b).collect() == [] and find_leaks(d, b.limit(0)).first().n_hit == 0
 
 
-def plain_kneser_ney(texts, discount=3, margin=1.0):
-    """Score inputs of [(text, class)] by the definition, with dictionaries."""
-    toks = [[m for m in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))] for t, _ in texts]
+def plain_kneser_ney(texts, discount=3, margin=1.0, others=()):
+    """Score inputs of [(text, class)], then of other texts, by the definition, with dictionaries."""
+    toks = [[m for m in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))] for t in (*(t for t, _ in texts), *others)]
     pairs = [Counter(), Counter()]
     for w, (_, y) in zip(toks, texts):
         pairs[y].update(zip(["start", *w], w) if w else ())
@@ -120,6 +120,10 @@ def plain_kneser_ney(texts, discount=3, margin=1.0):
     for u, p in zip(used, pairs):
         for (_, w), n in p.items():
             u[w] += n
+    kept = [Counter() for _ in pairs]
+    for k, p in zip(kept, pairs):
+        for (h, _), n in p.items():
+            k[h] += max(n - discount, 0)
     seen = [sum(c.values()) for c in cont]
     rest = [1 - sum(max(n - discount, 0) for n in c.values()) / s for c, s in zip(cont, seen)]
     low = lambda w: (either[w] + 0.5) / (sum(either.values()) + 0.5 * (len(either) + 1))
@@ -129,8 +133,7 @@ def plain_kneser_ney(texts, discount=3, margin=1.0):
         n = used[c][h]
         if not n:
             return word(c, w)
-        kept = sum(max(k - discount, 0) for (g, _), k in pairs[c].items() if g == h)
-        return max(pairs[c][h, w] - discount, 0) / n + (1 - kept / n) * word(c, w)
+        return max(pairs[c][h, w] - discount, 0) / n + (1 - kept[c][h] / n) * word(c, w)
 
     out = []
     for w in toks:
