@@ -37,12 +37,14 @@ def hamming(a: Column, b: Column) -> Column:
 def near_pairs(fps: DataFrame, most: int = 5, bits: int = 60) -> DataFrame:
     """(a, b, distance): pairs of different fingerprints' representatives at most `most` bits apart.
 
-    most + 1 bands: two fingerprints within `most` bits agree on one band whole, so an equi-join on bands finds all. Equal
-    fingerprints are one row before (the smallest id stands for them), so a large group of copies makes no pairs.
+    Of most + 2 bands, two fingerprints within `most` bits agree on two whole ones, so an equi-join on pairs of bands finds all, by keys
+    of some 17 bits. Equal fingerprints are one row before (the smallest id stands for them), so a large group of copies makes no pairs.
     """
     rep = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    width = -(-bits // (most + 1))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1)).alias("key")) for k in range(most + 1) if k * width < bits])
+    cuts = [bits * k // (most + 2) for k in range(most + 3)]
+    band = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
+    both = [(i, j) for j in range(most + 2) for i in range(j)]
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(band[i], 31).bitwiseOR(band[j]).alias("key")) for k, (i, j) in enumerate(both)])
     keyed = rep.select("id", "fp", F.explode(bands).alias("b")).select("id", "fp", "b.band", "b.key")
     x, y = keyed.alias("x"), keyed.alias("y")
     j = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))

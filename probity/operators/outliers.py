@@ -109,8 +109,11 @@ def spectral_signatures(df: DataFrame, min_class: int = 12, threshold: float = 2
         for pdf in batches:
             x = _stack(pdf["v"])
             keep = pdf["label"].isin(list(axes)).to_numpy()
-            s = [abs((x[i] - axes[y][0]) @ axes[y][1]) for i, y in enumerate(pdf["label"]) if keep[i]]
-            yield pd.DataFrame({"id": pdf["id"][keep], "label": pdf["label"][keep], "score": np.array(s, float), "explained": np.array([axes[y][2] for y in pdf["label"][keep]], float)})
+            s, explained = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for y in pdf["label"][keep].unique():
+                at = np.flatnonzero((pdf["label"] == y).to_numpy())
+                s[at], explained[at] = np.abs((x[at] - axes[y][0]) @ axes[y][1]), axes[y][2]
+            yield pd.DataFrame({"id": pdf["id"][keep], "label": pdf["label"][keep], "score": s[keep], "explained": explained[keep]})
 
     src = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     d = src.mapInPandas(score, f"id bigint, label {src.schema['label'].dataType.simpleString()}, score double, explained double")

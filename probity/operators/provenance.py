@@ -111,46 +111,69 @@ def find_replays(records: DataFrame, scope: list[str], order: list[str]) -> Data
     return out
 
 
-def merkle_levels(leaves: DataFrame, scratch=None) -> list[DataFrame]:
-    """Levels (pos, hash) from leaves(pos from 0, hash) to the root: a leaf is sha256(00 | text), a node sha256(01 | left | right),
-    and an odd last node is paired with itself. Each level is one aggregation of half the rows below."""
-    level = leaves.select("pos", F.sha2(F.concat(F.unhex(F.lit("00")), F.encode("hash", "UTF-8")), 256).alias("hash"))
-    n, out = leaves.count(), [level]
-    while n > 1:
-        two = level.groupBy((F.col("pos") / 2).cast("bigint").alias("pos")).agg(F.min_by("hash", "pos").alias("l"), F.max_by("hash", "pos").alias("r"))
-        level = two.select("pos", F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex("l"), F.unhex("r")), 256).alias("hash"))
-        if scratch is not None:
-            level = scratch.keep(level, f"level{len(out)}")
-        out.append(level)
-        n = -(-n // 2)
-    return out
+#: Levels of a Merkle tree that one task climbs: subtrees of 2^SUBTREE nodes.
+SUBTREE = 8
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)
+
+
+def _leaves(leaves: DataFrame) -> DataFrame:
+    return leaves.select("pos", F.sha2(F.concat(F.unhex(F.lit("00")), F.encode("hash", "UTF-8")), 256).alias("hash"))
+
+
+def _climb(nodes: DataFrame, n: int, paths: bool) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """From n nodes (pos, hash): the roots of their aligned subtrees, of every node the path to its root, how many roots, levels climbed."""
+    levels = min(SUBTREE, max(n - 1, 0).bit_length())
+    d = nodes.groupBy(F.shiftright("pos", levels).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("nodes"))
+    d = d.withColumn("first", F.col("nodes")[0]["pos"]).withColumn("l0", F.col("nodes.hash"))
+    for k in range(levels):  # an odd last node is paired with itself
+        below = F.col(f"l{k}")
+        at = F.sequence(F.lit(0), ((F.size(below) - 1) / 2).cast("int"))
+        d = d.withColumn(f"l{k + 1}", F.transform(at, lambda i: _pair(F.get(below, 2 * i), F.coalesce(F.get(below, 2 * i + 1), F.get(below, 2 * i)))))  # noqa: B023
+    roots = d.select(F.col("block").alias("pos"), F.col(f"l{levels}")[0].alias("hash"))
+    if not paths:
+        return roots, None, -(-n >> levels) if n else 0, levels
+
+    def step(k: int, i: Column) -> Column:
+        own = F.shiftright(i, k)
+        right = own % 2 == 0
+        return F.struct(F.coalesce(F.get(F.col(f"l{k}"), F.when(right, own + 1).otherwise(own - 1)), F.get(F.col(f"l{k}"), own)).alias("hash"), F.when(right, "right").otherwise("left").alias("position"))
+
+    row = lambda x, i: F.struct(x["pos"].alias("pos"), x["hash"].alias("leaf"), F.array(*(step(k, i) for k in range(levels))).cast("array<struct<hash:string,position:string>>").alias("path"))
+    return roots, d.select("block", F.explode(F.transform("nodes", row)).alias("x")).select("block", "x.*"), -(-n >> levels), levels
 
 
 def merkle_root(leaves: DataFrame) -> DataFrame:
-    """(root, depth, leaves): 64 zeros for no leaves."""
-    levels = merkle_levels(leaves)
-    n = leaves.count()
-    top = levels[-1] if n else levels[-1].limit(0)
-    return top.agg(F.coalesce(F.max("hash"), F.lit(GENESIS)).alias("root")).select("root", F.lit(len(levels) if n else 0).cast("bigint").alias("depth"), F.lit(n).cast("bigint").alias("leaves"))
+    """(root, depth, leaves) of leaves(pos from 0, hash): a leaf is sha256(00 | text), a node sha256(01 | left | right), an odd last node
+    is paired with itself; 64 zeros for no leaves. Every round hashes whole subtrees in a task: one row a subtree moves on."""
+    from probity.sources.tables import Store
+
+    store, n, depth, level = Store(leaves.sparkSession, "merkle"), leaves.count(), 1, _leaves(leaves)
+    left = n
+    while left > 1:
+        level, _, left, up = _climb(level, left, False)
+        level, depth = store.keep(level), depth + up
+    return level.agg(F.coalesce(F.max("hash"), F.lit(GENESIS)).alias("root")).select("root", F.lit(depth if n else 0).cast("bigint").alias("depth"), F.lit(n).cast("bigint").alias("leaves"))
 
 
 def merkle_proofs(leaves: DataFrame) -> DataFrame:
-    """(pos, leaf, path array<struct<hash, position>>, root) for every leaf."""
-    levels = merkle_levels(leaves)
-    out = levels[0].select("pos", F.col("hash").alias("leaf"), F.array().cast("array<struct<hash:string,position:string>>").alias("path"))
-    for k, level in enumerate(levels[:-1]):
-        at = (F.col("pos") / 2**k).cast("bigint")
-        right = at % 2 == 0
-        side = level.select(F.col("pos").alias("__at"), F.col("hash").alias("__h"))
-        own = level.select(F.col("pos").alias("__me"), F.col("hash").alias("__own"))
-        out = out.withColumn("__sib", F.when(right, at + 1).otherwise(at - 1)).withColumn("__cur", at).withColumn("__right", right)
-        out = out.join(side, F.col("__sib") == F.col("__at"), "left").join(own, F.col("__cur") == F.col("__me"))
-        step = F.struct(F.coalesce("__h", "__own").alias("hash"), F.when(F.col("__right"), "right").otherwise("left").alias("position"))
-        out = out.select("pos", "leaf", F.array_append("path", step).alias("path"))
-    return out.crossJoin(F.broadcast(levels[-1].select(F.col("hash").alias("root"))))  # one row
+    """(pos, leaf, path array<struct<hash, position>>, root) for every leaf: its path in its subtree, then that subtree's path above."""
+    from probity.sources.tables import Store
+
+    store, left, level, out = Store(leaves.sparkSession, "merkle"), leaves.count(), _leaves(leaves), None
+    while left > 1 or out is None:
+        roots, paths, left, _ = _climb(level, left, True)
+        level, paths = store.keep(roots), store.keep(paths)
+        if out is None:
+            out = paths.withColumn("at", F.col("block"))
+        else:
+            up = paths.select(F.col("pos").alias("at"), F.col("path").alias("above"), F.col("block").alias("next"))
+            out = out.join(up, "at").select("pos", "leaf", F.concat("path", "above").alias("path"), F.col("next").alias("at"))
+    return out.select("pos", "leaf", "path").crossJoin(F.broadcast(level.select(F.col("hash").alias("root"))))  # one row
 
 
 def verify_proofs(proofs: DataFrame) -> DataFrame:
-    pair = lambda a, b: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)
-    end = F.aggregate("path", F.col("leaf"), lambda h, s: F.when(s["position"] == "right", pair(h, s["hash"])).otherwise(pair(s["hash"], h)))
+    end = F.aggregate("path", F.col("leaf"), lambda h, s: F.when(s["position"] == "right", _pair(h, s["hash"])).otherwise(_pair(s["hash"], h)))
     return proofs.select("pos", (end == F.col("root")).alias("valid"))

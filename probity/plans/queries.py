@@ -130,11 +130,12 @@ def severity_ladder(spark, d):
     return fnd.normalise(made(spark, d).withColumn("severity", F.lit("?")).withColumn("disposition", F.lit(None).cast("string"))).select("finding_id", "severity", "disposition", "module")
 
 
-@query(f"""with {FIND} select contributor, round(1 - product(1 - least(0.999, confidence)), 6) as noisy_or, round(sum({W} * confidence) / sum({W}), 6) as weighted_mean, max(confidence) as worst from f where event_id_mod(e) group by 1""".replace("event_id_mod(e)", "e % 97 = 1"))
+@query(f"""with {FIND} select floor(e / 8)::bigint as batch, round(1 - product(1 - least(0.999, confidence)), 6) as noisy_or, round(sum({W} * confidence) / sum({W}), 6) as weighted_mean, max(confidence) as worst from f group by 1""")
 def noisy_or(spark, d):
-    f = made(spark, d).withColumn("e", F.substring("finding_id", 3, 9).cast("bigint")).filter("e % 97 = 1")  # the aggregate saturates on more
+    """Of every eight events: on more the aggregate is 1."""
+    f = made(spark, d).withColumn("batch", F.floor(F.substring("finding_id", 3, 9).cast("bigint") / 8))
     w = fnd.severity_weight(F.col("severity"))
-    return f.groupBy("contributor").agg(F.round(S.aggregate_risk(F.col("confidence")), 6).alias("noisy_or"), F.round(S.aggregate_risk(F.col("confidence"), w, "weighted_mean"), 6).alias("weighted_mean"), S.aggregate_risk(F.col("confidence"), method="max").alias("worst"))
+    return f.groupBy("batch").agg(F.round(S.aggregate_risk(F.col("confidence")), 6).alias("noisy_or"), F.round(S.aggregate_risk(F.col("confidence"), w, "weighted_mean"), 6).alias("weighted_mean"), S.aggregate_risk(F.col("confidence"), method="max").alias("worst"))
 
 
 @query(f"""with {FIND}, a as (select count(*) total, max({W} * confidence) worst, count(*) filter (severity = 'CRITICAL') critical, count(*) filter (severity = 'HIGH') high, count(*) filter (severity = 'MEDIUM') medium,
@@ -241,11 +242,11 @@ def cosine_pairs(spark, d):
     return x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.round(V.cosine(F.col("x.centroid"), F.col("y.centroid")), 6).alias("cosine"))
 
 
-@query(f"""with {E}, s as (select *, (vec_id % 2)::int side, md5(vec_id::varchar) k from e), few as (select * from s qualify row_number() over (partition by side order by k) <= 100),
+@query(f"""with {E}, s as (select *, (vec_id % 2)::int side, md5(vec_id::varchar) k from e), few as (select * from s qualify row_number() over (partition by side order by k) <= 500),
 p as (select a.side s, b.side t, power(list_distance(a.v, b.v), 2) d from few a join few b on a.vec_id < b.vec_id), g as (select 1 / median(d) g from p), k as (select s, t, exp(-g * d) k from p, g)
 select round(sqrt(greatest(0, avg(k) filter (s = 0 and t = 0) + avg(k) filter (s = 1 and t = 1) - 2 * avg(k) filter (s <> t))), 5) as mmd, round((select g from g), 6) as gamma from k""")
 def mmd(spark, d):
-    m = drift.mmd(t(spark, d, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int")), cap=100)
+    m = drift.mmd(t(spark, d, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int")))
     return m.select(F.round("mmd", 5).alias("mmd"), *r6("gamma"))
 
 
@@ -273,7 +274,8 @@ def activation_kmeans(spark, d):
 
 @query()
 def fused_ood(spark, d):
-    emb = t(spark, d, "embeddings")
+    """Every ninety-seventh row moved far from its class, so that both detectors see it."""
+    emb = t(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 97 == 3, F.transform("embedding", lambda x, i: (x + 0.2 * (1 - 2 * (i % 2))) * 6)).otherwise(F.transform("embedding", lambda x: x.cast("double"))))
     return outliers.fuse_ood(outliers.mahalanobis_ood(emb), outliers.energy_ood(outliers.centroid_logits(emb)))
 
 
@@ -334,7 +336,7 @@ def event_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REC = """rec as (select user_id chain, event_id, 'rec-' || event_id record_id, sha256(event_type) input_hash, sha256('model') model_hash, sha256('config') config_hash, sha256(coalesce(props, '')) output_hash, sha256(event_id || '|' || user_id) nonce,
+REC = """rec as (select user_id chain, event_id, 'rec-' || event_id record_id, sha256(event_type) input_hash, sha256('model') model_hash, sha256('config') config_hash, sha256(coalesce(props, '')) output_hash, coalesce(props, '') payload, sha256(event_id || '|' || user_id) nonce,
  epoch_us(ts) * 1000 timestamp_ns, row_number() over (partition by user_id order by event_id) - 1 seq from events)"""
 CANON = """'{"config_hash":"' || config_hash || '","input_hash":"' || input_hash || '","model_hash":"' || model_hash || '","nonce":"' || nonce || '","output_hash":"' || output_hash || '","prev_record_hash":"' || %s || '","record_id":"' || record_id || '","sequence_number":' || %s || ',"timestamp_ns":' || timestamp_ns || '}'"""
 LINK = f"""recursive {REC}, ch as (select rec.*, repeat('0', 64) prev, sha256({CANON % ("repeat('0', 64)", "seq")}) h from rec where seq = 0
@@ -362,12 +364,25 @@ def tampered_records(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(again)
 
 
-@query()
+BROKEN = f"""{LINK}, tam as (select chain, event_id, record_id, input_hash, model_hash, config_hash, nonce, timestamp_ns, seq, prev, h, case when event_id % 101 = 7 or event_id % 103 = 9 then payload || '!' else payload end o,
+ case when event_id % 103 = 9 then sha256(payload || '!') else output_hash end output_hash from ch where event_id % 107 <> 11),
+al as (select * from tam union all select chain, event_id + 1000000000, record_id || '-again', input_hash, model_hash, config_hash, nonce, timestamp_ns, seq, prev, h, o, output_hash from tam where event_id % 109 = 13),
+ca as (select *, sha256({CANON % ("prev", "seq")}) calc, row_number() over (partition by chain order by event_id) - 1 idx, repeat('0', 64) zero from al),
+vi as (select *, coalesce(lag(h) over w, zero) pv, lag(seq) over w ps, lag(timestamp_ns) over w pt, min(idx) over (partition by chain, nonce) fn, min(idx) over (partition by chain, seq) fs from ca window w as (partition by chain order by event_id)),
+br as (select chain, idx, record_id, 'MISSING_GENESIS' t, zero e, prev f from vi where idx = 0 and prev <> zero union all select chain, idx, record_id, 'BROKEN_LINK', pv, prev from vi where not (idx = 0 and prev <> zero) and prev <> pv
+ union all select chain, idx, record_id, 'HASH_MISMATCH', calc, h from vi where h <> calc union all select chain, idx, record_id, 'DUPLICATE_NONCE', 'unique nonce', nonce from vi where idx > fn
+ union all select chain, idx, record_id, 'DUPLICATE_SEQUENCE', 'unique sequence', seq::varchar from vi where idx > fs union all select chain, idx, record_id, 'SEQUENCE_REGRESSION', '>' || ps, seq::varchar from vi where seq <= ps
+ union all select chain, idx, record_id, 'SEQUENCE_GAP', (ps + 1)::varchar, seq::varchar from vi where seq > ps + 1 union all select chain, idx, record_id, 'TIMESTAMP_REGRESSION', '>=' || pt, timestamp_ns::varchar from vi where timestamp_ns < pt - 1000000000
+ union all select chain, idx, record_id, 'PAYLOAD_MISMATCH', sha256(o), output_hash from vi where sha256(o) <> output_hash)"""
+
+
+@query(f"with {BROKEN} select chain, idx::bigint as index, record_id, t as break_type, e as expected, f as found from br")
 def chain_verify(spark, d):
     return provenance.verify_chain(tampered_records(spark, d), "chain", ["event_id"])
 
 
-@query()
+@query(f"""with {BROKEN}, hd as (select chain, count(*) n, arg_max(h, event_id) h from al group by 1), bk as (select chain, count(*) n, min(idx) f from br group by 1)
+select chain, hd.n as records, bk.n is null as chain_valid, coalesce(f, -1)::bigint as first_break_index, coalesce(bk.n, 0)::bigint as breaks, h as head_hash from hd left join bk using (chain)""")
 def chain_summaries(spark, d):
     r = tampered_records(spark, d)
     return provenance.chain_summary(r, provenance.verify_chain(r, "chain", ["event_id"]), "chain", ["event_id"])
@@ -407,11 +422,11 @@ def merkle_root(spark, d):
     return provenance.merkle_root(leaves)
 
 
-@query("select event_id - (select min(event_id) from events) as pos, true as valid from events where event_id - (select min(event_id) from events) < 37")
+@query("select event_id - (select min(event_id) from events) as pos, true as valid from events ")
 def merkle_proofs(spark, d):
     e = t(spark, d, "events")
     low = e.agg(F.min("event_id").alias("low"))
-    leaves = e.crossJoin(F.broadcast(low)).select((F.col("event_id") - F.col("low")).alias("pos"), F.sha2(F.concat(F.lit("e"), "event_id"), 256).alias("hash")).filter("pos < 37")  # a tree of odd levels
+    leaves = e.crossJoin(F.broadcast(low)).select((F.col("event_id") - F.col("low")).alias("pos"), F.sha2(F.concat(F.lit("e"), "event_id"), 256).alias("hash"))  # one row
     return provenance.verify_proofs(provenance.merkle_proofs(leaves))
 
 
@@ -580,27 +595,28 @@ def cover_up(spark, d):
 
 
 PILL = f"""{FIND}, dm as (select *, case module when 'data_scanner' then 'data_integrity' when 'model_auditor' then 'model_integrity' when 'crypto_chain' then 'provenance' when 'drift_detector' then 'drift_stability' end pillar,
- case severity when 'CRITICAL' then 1.0 when 'HIGH' then 0.55 when 'MEDIUM' then 0.22 when 'LOW' then 0.07 else 0.02 end::double * confidence d from f where e % 211 = 5), rk as (select *, row_number() over (partition by pillar order by d desc) r from dm),
+ case severity when 'CRITICAL' then 1.0 when 'HIGH' then 0.55 when 'MEDIUM' then 0.22 when 'LOW' then 0.07 else 0.02 end::double * confidence d from f), rk as (select *, row_number() over (partition by pillar order by d desc) r from dm),
 pg as (select pillar, max(d) w, coalesce(sum(d / r) filter (r > 1), 0) tl, count(*) n from rk group by 1),
 ps as (select p pillar, coalesce(n, 0) n, case when n is null then 100.0 else round(100 * (1 - least(0.98, 0.55 * w + 0.45 * (1 - exp(-tl / 6)))), 1) end score from (select unnest(['data_integrity', 'model_integrity', 'provenance', 'drift_stability']) p) left join pg on pillar = p)"""
 
 
-def _few(spark, d):
-    return made(spark, d).filter(F.substring("finding_id", 3, 9).cast("bigint") % 211 == 5)  # the score saturates on more
-
-
 def _modules(spark):
     return spark.createDataFrame([(m,) for m in ("data_scanner", "model_auditor", "crypto_chain", "drift_detector")], "module string")
 
 
 @query(f"with {PILL} select pillar, n as findings, score from ps")
 def immunity_pillars(spark, d):
-    return correlate.pillar_scores(_few(spark, d), _modules(spark)).select("pillar", "findings", "score")
+    return correlate.pillar_scores(made(spark, d), _modules(spark)).select("pillar", "findings", "score")
 
 
-@query()
+PATTERNS = " union all ".join(f"select * from ({ORACLES[k]})" for k in ("kill_chain", "target_class", "coordinated_signature", "cover_up"))
+
+
+@query(f"""with c as (select least(25, 8 * max(confidence) + 2 * count(distinct pattern)) penalty from ({PATTERNS})), p as (select sum(score * case pillar when 'provenance' then 0.25 when 'drift_stability' then 0.15 else 0.30 end::double) base from (with {PILL} select * from ps)),
+s as (select round(least(100, greatest(0, base - coalesce(penalty, 0))), 1) score, coalesce(penalty, 0) penalty from p, c)
+select score, case when score >= 85 then 'HARDENED' when score >= 70 then 'ADEQUATE' when score >= 50 then 'MARGINAL' else 'COMPROMISED' end as band, 1.0::double as confidence, round(penalty, 4) as penalty from s""")
 def immunity_score(spark, d):
-    f = _few(spark, d)
+    f = made(spark, d)
     return correlate.immunity(correlate.pillar_scores(f, _modules(spark)), correlate.stories(f))
 
 

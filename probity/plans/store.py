@@ -36,12 +36,49 @@ def get_findings(findings: DataFrame, attack_class: str | None = None, severity:
     return d.orderBy(F.col("confidence").desc(), "finding_id").limit(limit)
 
 
-def accept_records(store: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New records that may be inserted: id and nonce both unseen in the store, first of their kind among the new."""
-    d = new.join(store.select("record_id"), "record_id", "left_anti").join(store.select("nonce"), "nonce", "left_anti")
-    first = lambda c: d.groupBy(c).agg(F.min(order).alias(f"__{c}"))
-    d = d.join(first("record_id"), "record_id").join(first("nonce"), "nonce")
-    return d.filter((F.col(order) == F.col("__record_id")) & (F.col(order) == F.col("__nonce"))).drop("__record_id", "__nonce")
+def accept_records(store: DataFrame, new: DataFrame, order: str, keep=None) -> DataFrame:
+    """The rows of new that inserting one by one, by `order` (unique), would accept: neither the id nor the nonce is in the store or was
+    accepted before. Null ids and nonces clash with nothing.
+
+    In each round those that are first of all rows left by id and by nonce are accepted, and rows that clash with them go; so many
+    rounds as the longest run of clashes that hang on one another. `keep` writes a table and reads it again.
+    """
+    from probity.sources.tables import Store
+
+    keep = keep or Store(new.sparkSession, "accept").keep
+    left = keep(new.join(store.select("record_id"), "record_id", "left_anti").join(store.select("nonce"), "nonce", "left_anti").select(new.columns))
+    out = left.limit(0)
+    while not left.isEmpty():
+        first = lambda c: left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(f"__{c}"))  # noqa: B023, E731
+        d = left.join(first("record_id"), "record_id", "left").join(first("nonce"), "nonce", "left")
+        free = lambda c: F.col(c).isNull() | (F.col(order) == F.col(f"__{c}"))
+        yes = keep(d.filter(free("record_id") & free("nonce")).select(new.columns))
+        out = out.unionByName(yes)
+        left = keep(left.join(yes.select(order), order, "left_anti").join(yes.select("record_id"), "record_id", "left_anti").join(yes.select("nonce"), "nonce", "left_anti").select(new.columns))
+    return out
+
+
+def get_scan(scans: DataFrame, scan_id: str) -> DataFrame:
+    """The scan of that id: one row or none."""
+    return scans.filter(F.col("scan_id") == scan_id)
+
+
+def get_contributor_risks(risks: DataFrame, scan_id: str | None = None) -> DataFrame:
+    """Risks of contributors, of one scan or all, the highest first."""
+    d = risks if scan_id is None else risks.filter(F.col("scan_id") == scan_id)
+    return d.orderBy(F.col("risk_score").desc(), "name")
+
+
+def get_provenance_records(records: DataFrame, model_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Records in sequence, of one model or all."""
+    d = records if model_id is None else records.filter(F.col("model_id") == model_id)
+    d = d.orderBy("sequence_number", "timestamp_ns", "record_id")
+    return d if limit is None else d.limit(limit)
+
+
+def find_model(registry: DataFrame, weight_hash: str) -> DataFrame:
+    """The registered model with these weights: one row or none."""
+    return registry.filter(F.col("weight_hash") == weight_hash).limit(1)
 
 
 def nonce_exists(store: DataFrame, probes: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 class Store:
     def __init__(self, spark: SparkSession, tag: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/probity-scratch"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = root or f"file://{tempfile.gettempdir()}/probity-scratch"
         self.spark, self.root, self.n = spark, f"{root}/{tag}-{uuid.uuid4().hex}", 0
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
