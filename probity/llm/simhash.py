@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Scratch, chunks, input_splits, mix, scan_layout, words
+from .common import NOT_SPACE, Scratch, chunks, input_splits, join_spread, mix, scan_layout, words
 from .components import connected_components
 
 U64 = np.uint64
@@ -302,20 +302,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nulls: a null text has no words; its fingerprint is zero, as is that of an empty text, and links like any other. A null
     id is ordered before no id (it names a component only if all its ids are null). Texts of fewer words than a shingle are
-    one shingle. Repeated rows stay rows of their component. An empty table gives an empty result.
+    one shingle; long ones are one row. Repeated rows stay rows of their component. Other columns are not read, whatever their names. An
+    empty table gives an empty result.
     """
     if most > 4:
         raise ValueError("the key scheme proves links up to 4 bits")
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.keep(fingerprint_table(docs, id_col, text_col, shingle, seed), "fps")
-    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     roots = connected_components(link_fingerprints(nodes, scratch, most, parts), scratch)
-    owner = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    owner = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(owner.join(comp, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.keep(owner.join(comp, "root").select("fp", "n", "component_id"), "named")
+    return join_spread(fps, named, ["fp"], "n", fps.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -507,29 +508,16 @@ def search_keys(sets: DataFrame, count: int = 8) -> DataFrame:
     return sets.select("node", "fp", "hs").mapInArrow(scan, "key bigint, other bigint, size bigint, node bigint, fp bigint")
 
 
-def _next_of_key(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, other, size, node, fp) sorted -> each node of a key with the next one, where sizes allow the similarity; fingerprints
+def _next_of_key(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int = 2) -> Iterator[pa.RecordBatch]:
+    """Rows (key, other, size, node, fp) sorted -> each node of a key with the next ones, where sizes allow the similarity; fingerprints
     that met under a Golay key must be near as well."""
-    for c, _ in _columns(batches, 1):
-        key, _, size, node, fp = c
-        ok = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]) - 1e-6)
-        i = np.flatnonzero(ok)
-        i = i[(key[i] < 1 << 60) | (np.bitwise_count((fp[i] ^ fp[i + 1]).view(U64)) <= 12)]
-        if len(i):
-            yield _pairs(node[i], node[i + 1])
-
-
-def _next_apart(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int = 4) -> Iterator[pa.RecordBatch]:
-    """Rows (key, size, node, root) sorted -> each node of a key with the next few by size that have other roots."""
     for c, seen in _columns(batches, gaps):
-        key, size, node, root = c
+        key, _, size, node, fp = c
         for gap in range(1, gaps + 1):
-            ok = (key[gap:] == key[:-gap]) & (root[gap:] != root[:-gap]) & (size[:-gap] >= similarity * size[gap:] - 1e-6)
+            ok = (key[gap:] == key[:-gap]) & (node[gap:] != node[:-gap]) & (np.minimum(size[gap:], size[:-gap]) >= similarity * np.maximum(size[gap:], size[:-gap]) - 1e-6)
             i = np.flatnonzero(ok)
-            i = i[i + gap >= seen]
-            if len(i):  # one pair of nodes for each pair of roots
-                ends = np.sort(np.stack([root[i], root[i + gap]]), axis=0)
-                i = i[np.unique(ends, axis=1, return_index=True)[1]]
+            i = i[(i + gap >= seen) & ((key[i] < 1 << 60) | (np.bitwise_count((fp[i] ^ fp[i + gap]).view(U64)) <= 12))]
+            if len(i):
                 yield _pairs(node[i], node[i + gap])
 
 
@@ -654,16 +642,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id_col, fingerprint, component_id, for copies whose sets of word shingles are `similarity` alike (Jaccard).
 
     All pairs count, whatever was edited. A text's rarest shingles, its prefix, hold one of every text as alike as that; texts whose
-    prefixes share nothing with others' are left out first. Then, in three rounds, pairs are compared on their whole sets and
-    those found alike joined into groups:
+    prefixes share nothing with others' are left out first. Then pairs are compared on their whole sets, and those found alike are
+    joined into groups, in two rounds:
 
     1. neighbours under the Golay keys of their fingerprints and under least hashes of their shingles;
-    2. neighbours in size under a shared prefix shingle that are not yet in one group;
-    3. every pair that shares a prefix shingle, is not yet in one group and isn't ruled out by what bounds its similarity from
+    2. every pair that shares a prefix shingle, is not yet in one group and isn't ruled out by what bounds its similarity from
        above: sizes, the shingle's places, bitmaps.
 
-    Rounds 1 and 2 make at most a few pairs for each text and key; they only save work for the third, which passes over no pair but
-    those in one group or proven apart. Keys of over `block` texts are compared in blocks.
+    Round 1 makes two pairs at most for each text and key; it only saves work for the other, which passes over no pair but those in
+    one group or proven apart. Keys of over `block` texts are compared in blocks.
 
     Rows with equal sets of shingles are one node. A null id is ordered before no id; a null text has no words, as an empty
     one. Documents without words are alike only to each other. Long texts are one row of 4 bytes a word. Repeated rows stay rows
@@ -673,7 +660,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "copies")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = scratch.keep(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "rows")
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     common = spark.sparkContext.broadcast(common_shingles(rows))
     twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
     twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
@@ -689,30 +676,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scratch.tidy()
         return links
 
-    def joined() -> DataFrame:
-        return connected_components(sure, Scratch(spark, "copies")).select("node", "root")
-
-    def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
-        return part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
     near = search_keys(sets).repartition(parts, "key").sortWithinPartitions("key", "other", "size", "node")
     sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
-    keys = sets.select("node", F.size("hs").cast("bigint").alias("size"), "keys")
-    keyed = rooted(keys, joined()).select(F.explode("keys").alias("key"), "size", "node", "root")
-    keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "size", "node")
-    sure = sure.unionByName(compared(keyed.mapInArrow(lambda x: _next_apart(x, similarity), "a bigint, b bigint"), "second"))
-    roots = joined()
-    keyed = rooted(keys, roots).select(F.explode("keys").alias("key"), "root", "node").withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
+    roots = connected_components(sure, Scratch(spark, "copies")).select("node", "root")
+    rooted = lambda part: part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = rooted(sets.select("node", "keys")).select(F.explode("keys").alias("key"), "root", "node")
+    keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
     apart = scratch.keep(keyed.mapInArrow(_held_apart, "node bigint, key bigint"), "apart")
     crowded = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1")
-    chosen = rooted(sets.select("node", "hs", *BITS).join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node"), roots)
+    chosen = rooted(sets.select("node", "hs", *BITS).join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node"))
     wide = chosen.select("node", "root", "hs", "keys", *BITS).mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
     wide = wide.join(crowded, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "node", "root", *WIDE)
     wide = wide.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     sure = sure.unionByName(compared(wide.mapInArrow(lambda x: _apart(x, similarity), "a bigint, b bigint"), "rest"))
     roots = connected_components(sure, scratch)
-    owner = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    owner = nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(owner.join(comp, "root").select("node", "component_id"), "named")
-    return rows.select("id", "fp", "node").join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.keep(owner.join(comp, "root").select("node", "n", "component_id"), "named")
+    return join_spread(rows.select("id", "fp", "node"), named, ["node"], "n", rows.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, input_splits, mix, scan_layout
+from .common import Scratch, input_splits, join_spread, mix, scan_layout
 from .suffix import ranges, repeat_tree
 
 U64 = np.uint64
@@ -473,8 +473,8 @@ def remove_repeats(
 
     known = blocks.select("block", "ids", "digests").mapInArrow(listed, "block bigint, id bigint, digest binary")
     known = scratch.keep(known, "known")
-    first = known.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("digest", "least")
-    copies = known.join(first, "digest").filter("id > least").groupBy("block").agg(F.collect_set("id").alias("copies"))
+    first = known.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").select("digest", "least", "n")
+    copies = join_spread(known, scratch.keep(first, "first"), ["digest"], "n", known.count()).filter("id > least").groupBy("block").agg(F.collect_set("id").alias("copies"))
     copies = scratch.keep(copies, "copies")
 
     anchors = blocks.select("block", "ids", "offsets", "z").mapInArrow(lambda x: _anchors(x, length, shards), ROW)

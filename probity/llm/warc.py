@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, input_splits
+from .common import Scratch, input_splits, join_spread
 from .ziparchive import Remote, Source, ZipReader, ZipWriter
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -66,12 +66,13 @@ def read_archive(source: Source) -> Iterator[tuple[dict, dict[str, str], bytes,
 
 
 def classify(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
-    """pages(id, url, html) with record_type and refers_to; one payload's largest id is its response."""
+    """pages(id, url, html) with record_type and refers_to; one payload's largest id is its response. html isn't null; null ids are below
+    all others; a payload of very many pages is joined by broadcast; an empty table gives none."""
     keyed = pages.withColumn("sha", F.sha2("html", 256))
     facts = scratch.keep(keyed.select("id", F.octet_length("html").alias("size"), "sha").distinct(), "facts")
-    owner = facts.groupBy("sha", "size").agg(F.max("id").alias("own"))
+    owner = scratch.keep(facts.groupBy("sha", "size").agg(F.max("id").alias("own"), F.count(F.lit(1)).alias("n")), "owner")
     again = (F.col("size") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("own"))
-    kinds = facts.join(owner, ["sha", "size"]).select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("own")).alias("refers_to"))
+    kinds = join_spread(facts, owner, ["sha", "size"], "n", facts.count()).select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("own")).alias("refers_to"))
     kinds = scratch.keep(kinds, "kinds")
     return keyed.join(kinds, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("id", "url", "html", "record_type", "refers_to")
 
@@ -149,7 +150,8 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, archive_bytes: int
     archives hold gzip members, so that a record is one range of a stored ZIP member.
 
     Nulls: a null html is an empty payload; a null url an empty target; a null page_id is below all others and
-    stays null. Empty payloads are equal to each other. Rows that repeat a page_id with one payload are records of one kind. An empty table writes no archive and gives no rows.
+    stays null. Empty payloads are equal to each other. Rows that repeat a page_id with one payload are records of one kind. Ids must be
+    integers. Long payloads are one record. Other columns are not read. An empty table writes no archive and gives no rows.
     """
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
