@@ -705,6 +705,45 @@ def text_helpers(spark, d):
     return e.select("event_id", X.ns_to_iso(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("iso"), raw.alias("raw"), X.normalise_label(raw).alias("label"), X.short_hash(F.sha2("event_type", 256)).alias("short"))
 
 
+FLIPPED = FLIP.replace("select vec_id, label, embedding", "select vec_id, case when vec_id % 9 = 4 then (label + 3) % 10 else label end as label, embedding", 1)
+
+
+@query(f"""with {FLIPPED}, c as (select count(*) filter (vec_id % 9 = 4) gt, count(f.vec_id) fl, count(f.vec_id) filter (vec_id % 9 = 4) tp, count(*) u from e left join (select distinct vec_id from flips) f using (vec_id))
+select gt as ground_truth, fl as flagged, tp as true_positives, fl - tp as false_positives, gt - tp as false_negatives, u - fl - gt + tp as true_negatives, round(tp / fl, 4) as precision, round(tp / gt, 4) as recall,
+ round(2 * (tp / fl) * (tp / gt) / ((tp / fl) + (tp / gt)), 4) as f1, round((fl - tp) / (u - gt), 4) as false_positive_rate from c""")
+def flip_detection(spark, d):
+    """How well planted label flips, one row in nine, are found."""
+    from probity.operators.generators import precision_recall as score
+
+    emb = t(spark, d, "embeddings")
+    hit = F.col("vec_id") % 9 == 4
+    found = labels.label_flips(emb.withColumn("label", F.when(hit, (F.col("label") + 3) % 10).otherwise(F.col("label"))))
+    return score(emb.filter(hit).select(F.col("vec_id").alias("id")), found.select("id"), emb.count())
+
+
+@query()
+def flood_detection(spark, d):
+    """How well a planted flood, seven jittered copies of two documents, is found; floods that are there without it aren't held against
+    the detector."""
+    from probity.operators.generators import flood_duplicates
+    from probity.operators.generators import precision_recall as score
+    from probity.plans.scan import Thresholds
+    from probity.sources.tables import Store
+
+    docs, store, th = t(spark, d, "documents").select("doc_id", "text").filter("length(text) > 400"), Store(spark, "floods"), Thresholds()
+
+    def flooded(rows):
+        fps = store.keep(duplicates.fingerprints(rows))
+        pairs = store.keep(duplicates.jaccard(rows, duplicates.near_pairs(fps, th.hamming)).filter(F.col("jaccard") >= th.jaccard))
+        members = store.keep(duplicates.clusters(fps, duplicates.components(pairs, store.keep)))
+        return members.join(duplicates.flood_clusters(members, pairs).filter("flood").select("cluster"), "cluster").select("id")
+
+    more = store.keep(flood_duplicates(docs))
+    found, natural = flooded(more.select("doc_id", "text")), flooded(docs)
+    planted = more.filter("copy_of is not null").select(F.explode(F.array("doc_id", "copy_of")).alias("id"))
+    return score(planted, found, more.count(), baseline=natural)
+
+
 @query()
 def full_data_scan(spark, d):
     from probity.plans.scan import scan_data

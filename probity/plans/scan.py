@@ -44,8 +44,13 @@ def _finding(d: DataFrame, attack: str, asset: str, module: str, detector: str,
     return d.select(F.lit(attack).alias("attack_class"), F.col(asset).cast("string").alias("affected_asset"), fnd.severity(F.col("confidence")).alias("severity"), F.col("confidence").cast("double").alias("confidence"), fnd.disposition(F.col("confidence")).alias("disposition"), ev.alias("evidence"), F.lit(module).alias("module"), F.lit(detector).alias("detector"))
 
 
-def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds()) -> Assessment:
-    """Label flips, mislabelling, out-of-distribution rows and spectral outliers of embeddings(vec_id, embedding, label)."""
+def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds(), images: DataFrame | None = None, docs: DataFrame | None = None) -> Assessment:
+    """Label flips, mislabelling, out-of-distribution rows and spectral outliers of embeddings(vec_id, embedding, label).
+
+    With images(id, high_freq_ratio, patch_score, patch_uniformity, spectral_peak_ratio) the triggers are fused with what the images
+    show; with docs(doc_id, text) near-duplicate floods are found; with contributors(id, contributor) each finding gets
+    its contributor, and contributors of high risk get a finding.
+    """
     emb = emb.filter("embedding is not null and label is not null and not exists(embedding, x -> x is null or isnan(x))")
     size = emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= th.min_class).count()
     empty = emb.sparkSession.createDataFrame([], "attack_class string, affected_asset string, severity string, confidence double, disposition string, evidence map<string,string>, module string, detector string")
@@ -62,13 +67,26 @@ def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresho
     if "spectral" in th.detectors:
         from probity.functions.stats import confidence_from_zscore
 
-        s = outliers.spectral_signatures(emb, th.spectral_min_class).filter("flagged").withColumn("confidence", F.least(confidence_from_zscore(F.col("z"), 2.0), F.lit(0.45)))
-        parts.append(_finding(s, "TRIGGER_INJECTION", "id", "data_scanner", "spectral", {"spectral_class": "label", "z": "z"}))
+        s = outliers.spectral_signatures(emb, th.spectral_min_class)
+        if images is None:
+            notes.append("no images: triggers are judged by spectral signatures alone")
+            s = s.filter("flagged").withColumn("confidence", F.least(confidence_from_zscore(F.col("z"), 2.0), F.lit(0.45)))
+            parts.append(_finding(s, "TRIGGER_INJECTION", "id", "data_scanner", "spectral", {"spectral_class": "label", "z": "z"}))
+        else:
+            from probity.operators import triggers
+
+            parts.append(_finding(triggers.detect_triggers(images, s), "TRIGGER_INJECTION", "id", "data_scanner", "trigger", {"detection_methods_agreed": "signals"}))
+    if docs is not None:
+        from probity.sources.tables import Store
+
+        parts.append(scan_texts(docs, Store(emb.sparkSession, "scan"), th).findings)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     if contributors is not None:
         out = out.join(contributors.select(F.col("id").cast("string").alias("affected_asset"), "contributor"), "affected_asset", "left")
+        risky = fnd.contributor_findings(fnd.contributor_risk(out, contributors))
+        out = out.unionByName(risky.withColumn("evidence", F.create_map(F.lit("risk_score"), F.col("confidence").cast("string"))).withColumns({"module": F.lit("data_scanner"), "detector": F.lit("contributor")}))
     return Assessment(out, "ASSESSED", notes)
 
 
