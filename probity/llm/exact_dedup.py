@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_names, input_splits
 
-#: A text with over one in so many sampled rows is dealt out by input split; so there are less than that many such texts.
+#: A text with over one in so many sampled rows is dealt out by a hash of its ids; so there are less than that many such texts.
 HEAVY = 200
 
 
@@ -17,43 +17,38 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, partitions:
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     n = partitions or max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    i, text, head, h, salt, rank, here, rows_here, sha, whole, heavy = free_names([*docs.columns, *judge], "i", "text", "head", "h", "salt", "rank", "here", "rows_here", "sha", "whole", "heavy")
+    i, text, head, h, salt, rank, here, rows_here, sha, heavy = free_names([*docs.columns, *judge], "i", "text", "head", "h", "salt", "rank", "here", "rows_here", "sha", "heavy")
     src = docs.select(*carry, F.col(id_col).alias(i), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     src = src.withColumn(head, F.substring(text, 1, 32)).withColumn(h, F.xxhash64(text))
     seen = scratch.keep(src.select(head, h).sample(False, 0.05, 11).groupBy(head, h).agg(F.count(F.lit(1)).alias("n")).filter("n > 4"), "sample")
     least = (seen.agg(F.sum("n")).first()[0] or 0) // HEAVY
     often = F.broadcast(seen.filter(F.col("n") > least).orderBy(F.desc("n")).limit(HEAVY).select(head, h, F.lit(True).alias(heavy)))
-    src = src.join(often, [head, h], "left").withColumn(salt, F.when(F.col(heavy), F.spark_partition_id()).otherwise(-1)).drop(heavy)
+    src = src.join(often, [head, h], "left").withColumn(salt, F.when(F.col(heavy), F.pmod(F.xxhash64(i), F.lit(n))).otherwise(-1)).drop(heavy)
+    # a heavy text is summed where its rows lie; those sums meet by their whole text
+    pick = F.max(F.struct(F.col(i).isNotNull().alias("a"), F.col(i).alias("b"))) if keep == "largest" else F.min(F.struct(F.col(i).isNull().alias("a"), F.col(i).alias("b")))
+    met = src.filter(F.col(salt) >= 0).groupBy(text).agg(pick.alias("best"), F.count(F.lit(1)).alias("all"))
+    new = free_names([*docs.columns, *judge, i, text, head, h, salt], "met_sha", "met_keep", "all")
+    met = scratch.keep(met.select(F.sha2(text, 256).alias(new[0]), F.col("best.b").alias(new[1]), F.col("all").alias(new[2])), "met")
     src = src.repartitionByRange(n, head, h, salt)
     order = F.col(i).desc_nulls_last() if keep == "largest" else F.col(i).asc_nulls_last()
     run = Window.partitionBy(head, h, text, salt)
     first = run.orderBy(order)
     rows = src.select(
         *carry,
-        i,
         salt,
         F.row_number().over(first).alias(rank),
         F.first(i).over(first).alias(here),
         F.count(F.lit(1)).over(run).alias(rows_here),
         F.sha2(text, 256).alias(sha),
-        text,
-    ).withColumn(whole, F.when((F.col(rank) == 1) & (F.col(salt) >= 0), F.col(text)))
+    )
     if len(judge) < 4:
         rows = rows.filter(F.col(rank) == 1)
-    rows = scratch.keep(rows.drop(text), "rows")
-    # runs of a heavy text, one for each split, meet by their whole text
-    pick = F.struct(F.col(here).isNotNull().alias("a"), F.col(here).alias("b"), (-F.col(salt)).alias("c"))
-    best = F.max(pick) if keep == "largest" else F.min(F.struct(F.col(here).isNull().alias("a"), F.col(here).alias("b"), F.col(salt).alias("c")))
-    met = rows.filter(F.col(whole).isNotNull()).groupBy(whole).agg(best.alias("best"), F.sum(rows_here).alias("all"), F.first(sha).alias("met_sha"))
-    met = scratch.keep(met.select("met_sha", F.col("best.b").alias("met_keep"), F.abs("best.c").alias("met_salt"), "all"), "met")
-    new = free_names([*rows.columns, *judge], "met_sha", "met_keep", "met_salt", "all")
-    met = F.broadcast(met.toDF(*new))
-    out = rows.join(met, (F.col(sha) == F.col(new[0])) & (F.col(salt) >= 0), "left")
+    out = rows.join(F.broadcast(met), (F.col(sha) == F.col(new[0])) & (F.col(salt) >= 0), "left")
     own = F.col(new[0]).isNull()
     values = [
         F.when(own, F.col(here)).otherwise(F.col(new[1])),
-        F.when(own, F.col(rows_here)).otherwise(F.col(new[3])),
-        (F.col(rank) == 1) & (own | (F.col(salt) == F.col(new[2]))),
+        F.when(own, F.col(rows_here)).otherwise(F.col(new[2])),
+        (F.col(rank) == 1) & (own | F.col(here).eqNullSafe(F.col(new[1]))),
         F.col(sha),
     ]
     return out.select(*carry, *(v.alias(c) for v, c in zip(values[-len(judge) :] if len(judge) < 4 else values, judge)))
@@ -65,8 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are range-partitioned by their first 32 characters and, among equal ones, by a hash, at splitters that Spark samples (so what
     is sampled is short); each partition is sorted externally by head, hash and whole text, which puts equal texts next to each other,
     and the window compares neighbours in full. A text has one key, so its rows meet in one run. Only a text that a sample shows to
-    hold more than one in HEAVY of all rows has a run for each input split; such runs are compared again, one whole text each, and
-    their result is sent to all tasks: at most HEAVY rows. The sample decides where rows lie, never the result. Texts cross the network once.
+    hold more than one in HEAVY of all rows is dealt over several runs by a hash of the id; such texts are summed where they lie, compared
+    whole, and their result is sent to all tasks: at most HEAVY rows. The sample decides where rows lie, never the result. Texts cross the network once.
 
     Nulls: a null text counts as empty; a null id sorts behind all others and is kept only if its group has no other.
     Empty texts are equal to each other; long ones are rows like others. Repeated ids with one text all count in group_size, and of rows

@@ -230,28 +230,6 @@ def test_a_very_long_line(spark):
     assert got[1].n_removed == 0 and len(got[2].kept_text) < 701_000 and got[3].n_units == 1
 
 
-def test_near_copies_at_a_similarity(spark):
-    random.seed(12)
-    vocab = [f"w{i}" for i in range(3000)]
-    rows, origin = [], {}
-    for k in range(60):
-        base = random.choices(vocab, k=random.randint(200, 500))
-        for c in range(4):
-            w = list(base)
-            for _ in range(c * len(w) // 150):  # up to 2 % of the words: shingles at least 0.8 alike
-                w[random.randrange(len(w))] = random.choice(vocab)
-            origin[len(rows)] = k
-            rows.append((len(rows), " ".join(w)))
-    rows += [(900, None), (901, ""), (0, rows[0][1])]
-    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
-    assert got[900] == got[901] == 900
-    for i, k in origin.items():
-        assert origin[got[i]] == k, "unrelated texts were joined"
-    found = sum(got[i] == min(j for j in origin if origin[j] == k) for i, k in origin.items())
-    assert found / len(origin) > 0.9
-    assert near_copies(frame(spark, [])).collect() == []
-
-
 def test_alike_decides_exactly_and_deals_hubs(spark):
     base = list(range(100))
     sets = [(0, base)] + [(k, base[: 100 - k % 40]) for k in range(1, 700)] + [(1000, [])]
@@ -277,9 +255,11 @@ def test_near_copies_are_as_alike_as_said(spark):
     for i, c in got.items():
         assert c == i or any(i in e and got[e[0]] == got[e[1]] for e in linked)
     assert sum(got[i] == got[j] for i, j in linked) / len(linked) > 0.9
-    odd = [(None, rows[0][1]), (None, rows[0][1] + " more"), (3, rows[5][1]), (3, rows[10][1])]
+    odd = [(None, rows[0][1]), (None, rows[0][1] + " more"), (3, rows[5][1]), (3, rows[10][1]), (900, None), (901, "")]
     out = near_copies(frame(spark, [(7, rows[0][1]), *odd])).collect()
-    assert {r.component_id for r in out if r.doc_id is None} == {7} and len(out) == 5
+    assert {r.component_id for r in out if r.doc_id is None} == {7} and len(out) == 7
+    assert {r.component_id for r in out if r.doc_id in (900, 901)} == {900}
+    assert near_copies(frame(spark, [])).collect() == []
 
 
 def test_near_copies_that_are_cut_or_appended_to(spark):
@@ -351,3 +331,17 @@ def test_shared_keys_are_found_across_batches():
             got = sorted((r["key"], r["node"]) for b in name(iter(cut)) for r in b.to_pylist())
             keys = {k: {pick(r) for r in some if r[0] == k} for k in {r[0] for r in some}}
             assert got == sorted((r[0], r[2]) for r in some if len(keys[r[0]]) > 1)
+
+
+def test_exact_groups_with_heavy_texts(spark):
+    rows = [(i if i % 50 else None, ("same" if i % 3 else "other") if i % 4 else f"t{i}") for i in range(3000)] + [(7, "same")] * 3
+    df = frame(spark, rows).repartition(5)
+    for keep, best in (("smallest", min), ("largest", max)):
+        got = exact_groups(df, keep=keep).collect()
+        assert len(got) == len(rows)
+        for text in ("same", "other", "t4"):
+            own = [i for i, t in rows if t == text]
+            mine = [r for r in got if r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()]
+            assert {(r.keep_id, r.group_size) for r in mine} == {(best(i for i in own if i is not None), len(own))}
+            assert [r.doc_id for r in mine if r.kept] == [mine[0].keep_id]
+        assert sorted(t for _, t in [(r.doc_id, r.text) for r in drop_exact_copies(df, keep=keep).collect()]) == sorted({t for _, t in rows})
