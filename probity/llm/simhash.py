@@ -660,13 +660,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "copies")
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = scratch.keep(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "rows")
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    ids = scratch.keep(rows.select("id", "fp", "node"), "ids")
+    nodes = scratch.keep(ids.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     common = spark.sparkContext.broadcast(common_shingles(rows))
     twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
     twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
     scratch.tidy()
     sets = scratch.keep(rows.select("node", "fp", "hs", *BITS).join(twice, "node").dropDuplicates(["node"]), "sets")
     scratch.drop("twice")
+    scratch.drop("rows")
     scratch.tidy()
     sketches = sets.select("node", F.size("hs").cast("bigint").alias("size"), *BITS)
 
@@ -694,4 +696,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(owner.join(comp, "root").select("node", "n", "component_id"), "named")
-    return join_spread(rows.select("id", "fp", "node"), named, ["node"], "n", rows.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    for name in ("sets", "nodes", "apart", "first_pairs", "first_links", "rest_pairs", "rest_links"):
+        scratch.drop(name)
+    scratch.tidy()
+    return join_spread(ids, named, ["node"], "n", ids.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
