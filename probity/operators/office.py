@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.text import normalise_label
@@ -17,18 +17,22 @@ TARGETING = ("LABEL_FLIPPING", "SYSTEMATIC_MISLABELING", "TRIGGER_INJECTION", "M
 def disparity(risks: DataFrame, ratio_limit: float = 1.8, floor: float = 0.45, z_limit: float = 1.5) -> DataFrame:
     """risks(contributor, risk_score), one row a contributor -> every contributor with peer median, ratio, z-scores, trigger, confidence.
 
-    attainable_max_zscore is (n - 1) / sqrt(n). The median of a contributor's peers is read off the sorted scores at its rank,
-    so contributors are never paired with each other.
+    attainable_max_zscore is (n - 1) / sqrt(n). The median of a contributor's peers is one of the three middle scores, which depends on
+    its rank; ranks come from counts of different scores (four decimals: ten thousand at most), so contributors are never paired.
     """
     r = risks.select("contributor", F.col("risk_score").cast("double").alias("risk"))
-    s = r.agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean"), F.stddev_pop("risk").alias("sd"), F.median("risk").alias("med"), F.array_sort(F.collect_list("risk")).alias("all"))  # one row, contributors only
+    s = r.agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean"), F.stddev_pop("risk").alias("sd"), F.median("risk").alias("med"))  # one row
     mad = r.crossJoin(F.broadcast(s.select("med"))).agg((F.median(F.abs(F.col("risk") - F.col("med"))) * 1.4826).alias("mad"))
     r = r.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(mad))
-    own = F.array_position("all", F.col("risk")).cast("int") - 1  # of equal scores any one may be left out
-    at = lambda i: F.get("all", F.when(i >= own, i + 1).otherwise(i))
-    m = (F.col("n") - 1).cast("int")
-    peers = F.when(m < 1, 0.0).when(m % 2 == 1, at(F.floor(m / 2).cast("int"))).otherwise((at(F.floor(m / 2).cast("int") - 1) + at(F.floor(m / 2).cast("int"))) / 2)
-    r = r.withColumn("peer_median", peers)
+    up = risks.select(F.col("risk_score").cast("double").alias("risk")).groupBy("risk").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("risk")))
+    rank = F.col("upto") - F.col("c")  # of equal scores any one may be left out
+    k = F.floor((F.col("n") - 1) / 2)
+    value = lambda q: F.max(F.when((rank <= q) & (q < F.col("upto")), F.col("risk")))
+    mid = up.crossJoin(F.broadcast(s.select("n"))).agg(value(k - 1).alias("m0"), value(k).alias("m1"), value(k + 1).alias("m2"))  # one row
+    r = r.join(up.select("risk", rank.alias("own")), "risk").crossJoin(F.broadcast(mid))
+    at_k, before_k = F.when(k >= F.col("own"), F.col("m2")).otherwise(F.col("m1")), F.when(k - 1 >= F.col("own"), F.col("m1")).otherwise(F.col("m0"))
+    m = F.col("n") - 1
+    r = r.withColumn("peer_median", F.when(m < 1, 0.0).when(m % 2 == 1, at_k).otherwise((before_k + at_k) / 2))
     z = F.when(F.col("sd") > 1e-9, (F.col("risk") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     rz = F.when(F.col("mad") > 1e-9, (F.col("risk") - F.col("med")) / F.col("mad")).otherwise(0.0)
     ratio = F.when(F.col("peer_median") > 1e-9, F.col("risk") / F.col("peer_median"))

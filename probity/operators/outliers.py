@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from probity.functions.stats import energy_score, modified_zscore, percentile_threshold
 from probity.functions.vectors import centroids, squared_distance
 
-#: Rows of a class, at most, that its activation clusters are computed from.
-CLUSTER_ROWS = 20000
+#: Rows of a class, at most, that its silhouette is computed from.
+SILHOUETTE_ROWS = 2000
 
 
 def _stack(v: pd.Series) -> np.ndarray:
@@ -164,46 +164,95 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
     return d.crossJoin(F.broadcast(limit_row)).select("id", "score", (F.col("score") > F.col("limit")).alias("flagged"))  # one row
 
 
-def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10, limit: float = 0.70, label: str = "label", vector: str = "embedding") -> DataFrame:
+def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10, limit: float = 0.70, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """Per class: two-means on its PCA scores; (label, n, imbalance, silhouette, confidence, flagged).
 
-    A class is judged by at most CLUSTER_ROWS of its rows in hash order (silhouettes are quadratic).
+    Axes come from summed moments and each two-means step is one pass with sums a batch, so all rows of a class of any size count in
+    n and imbalance. The silhouette, which is quadratic, is the mean over SILHOUETTE_ROWS rows a class in the order of a hash of
+    their ids, against each other.
     """
-    d = df.select(F.col(label).alias("label"), F.col(vector).alias("v"), F.xxhash64(F.col(vector)).alias("h"))
-    n = d.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    # a class is thinned by hash where it lies, to a little over the bound, before its rows meet
-    share = F.least(F.lit(1_000_000), F.ceil(1_200_000 * CLUSTER_ROWS / F.col("rows")))
-    d = d.join(n, "label").filter(F.pmod("h", F.lit(1_000_000)) < share)
-    bounded = d.select("label", "v", F.row_number().over(Window.partitionBy("label").orderBy("h")).alias("r")).filter(F.col("r") <= CLUSTER_ROWS)
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _stack(pdf.sort_values("r")["v"])
-        if len(x) < min_class:
-            return pd.DataFrame({"label": [key[0]], "n": [len(x)], "imbalance": [np.nan], "silhouette": [np.nan]})
-        x = x - x.mean(0)
-        y = x @ np.linalg.svd(x, full_matrices=False)[2][: min(components, len(x) - 1)].T
-        centre = y[[int(y[:, 0].argmin()), int(y[:, 0].argmax())]]
-        for _ in range(100):
-            side = ((y[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-            new = np.stack([y[side == s].mean(0) if (side == s).any() else centre[s] for s in (0, 1)])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        few = np.arange(len(y))[: min(len(y), 2000)]
-        d = np.sqrt(((y[few, None] - y[None, few]) ** 2).sum(2))
-        sil = []
-        for i in range(len(few)):
-            mine, other = side[few] == side[few[i]], side[few] != side[few[i]]
-            if mine.sum() < 2 or not other.any():
-                sil.append(0.0)
-                continue
-            a, b = d[i, mine].sum() / (mine.sum() - 1), d[i, other].mean()
-            sil.append((b - a) / max(a, b, 1e-12))
-        return pd.DataFrame({"label": [key[0]], "n": [len(x)], "imbalance": [max(side.mean(), 1 - side.mean())], "silhouette": [float(np.mean(sil))]})
-
-    out = bounded.groupBy("label").applyInPandas(one, f"label {bounded.schema['label'].dataType.simpleString()}, n bigint, imbalance double, silhouette double")
+    from probity.sources.tables import Store
+
+    store = Store(df.sparkSession, "clusters")
+    src = df.select(F.col(label).alias("label"), F.col(vector).alias("v"), F.xxhash64(F.col(id_col)).alias("h"))
+    kind = src.schema["label"].dataType.simpleString()
+    axes, rows = {}, []
+    for r in class_moments(df, label, vector).toLocalIterator():  # one row a class
+        n, mean = r["n"], np.asarray(r["sums"]) / r["n"]
+        rows.append((r["label"], n))
+        if n >= min_class:
+            vec = np.linalg.eigh(np.asarray(r["cross"]).reshape(len(mean), -1) - n * np.outer(mean, mean))[1]
+            axes[r["label"]] = (mean, vec[:, ::-1][:, : min(components, n - 1)])
+
+    def by_class(pdf: pd.DataFrame, known: dict):
+        for key in pdf["label"].unique():
+            if key in known:
+                yield key, pdf[pdf["label"] == key]
+
+    def project(batches):
+        for pdf in batches:
+            for key, g in by_class(pdf, axes):
+                y = (_stack(g["v"]) - axes[key][0]) @ axes[key][1]
+                yield pd.DataFrame({"label": g["label"], "h": g["h"], "y": list(y)})
+
+    scores = store.keep(src.mapInPandas(project, f"label {kind}, h bigint, y array<double>"))
+    order = F.struct(F.col("y")[0].alias("a"), "h")
+    ends = scores.groupBy("label").agg(F.min_by("y", order).alias("low"), F.max_by("y", order).alias("high")).collect()  # one row a class
+    centre = {r["label"]: np.array([r["low"], r["high"]]) for r in ends}
+    nearest = lambda y, c: ((y[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    share, moving = {}, set(centre)
+    for _ in range(100):
+        if not moving:
+            break
+
+        def sums(batches, centre=dict(centre)):
+            for pdf in batches:
+                for key, g in by_class(pdf, centre):
+                    y = _stack(g["y"])
+                    side = nearest(y, centre[key])
+                    for s in (0, 1):
+                        yield pd.DataFrame({"label": [key], "side": [s], "n": [int((side == s).sum())], "s": [y[side == s].sum(0).tolist()]})
+
+        part = scores.mapInPandas(sums, f"label {kind}, side int, n bigint, s array<double>")
+        total = part.select("label", "side", "n", F.posexplode("s").alias("p", "x")).groupBy("label", "side", "p").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toPandas()  # two short vectors a class
+        for key, g in total.groupby("label"):
+            new = centre[key].copy()
+            for s, x in g.sort_values("p").groupby("side"):
+                if x["n"].iloc[0]:
+                    new[s] = x["x"].to_numpy() / x["n"].iloc[0]
+            n = g[g["p"] == 0].set_index("side")["n"]
+            share[key] = float(n.max() / n.sum())
+            if np.allclose(new, centre[key]):
+                moving.discard(key)
+            centre[key] = new
+    size = dict(rows)
+    few = [(k, min(1.0, 1.2 * SILHOUETTE_ROWS / size[k])) for k in centre]
+
+    def sampled(batches):
+        keep = dict(few)
+        for pdf in batches:
+            u = pdf["h"].to_numpy().view(np.uint64) / 2.0**64
+            yield pdf[u < pdf["label"].map(keep).to_numpy()]
+
+    picked = scores.mapInPandas(sampled, f"label {kind}, h bigint, y array<double>")
+
+    def silhouette(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = _stack(pdf.sort_values("h")["y"])[:SILHOUETTE_ROWS]
+        side, d = nearest(y, centre[key[0]]), np.sqrt(np.maximum(((y[:, None] - y[None]) ** 2).sum(2), 0)) if len(y) <= 500 else np.stack([np.sqrt(((y - x) ** 2).sum(1)) for x in y])
+        mine, n = np.stack([side == 0, side == 1]).astype(float), np.array([(side == 0).sum(), (side == 1).sum()])
+        if n.min() == 0:
+            return pd.DataFrame({"label": [key[0]], "silhouette": [0.0]})
+        to = d @ mine.T
+        own, other = to[np.arange(len(y)), side], to[np.arange(len(y)), 1 - side]
+        a, b = own / np.maximum(n[side] - 1, 1), other / n[1 - side]
+        return pd.DataFrame({"label": [key[0]], "silhouette": [float(np.where(n[side] < 2, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())]})
+
+    sil = picked.groupBy("label").applyInPandas(silhouette, f"label {kind}, silhouette double")
+    table = df.sparkSession.createDataFrame([(k, n, share.get(k, float("nan"))) for k, n in rows], f"label {kind}, n bigint, imbalance double")
+    out = table.join(sil, "label", "left").withColumn("silhouette", F.coalesce("silhouette", F.lit(float("nan"))))
+    flagged = F.coalesce(~F.isnan("imbalance") & (F.col("imbalance") >= limit), F.lit(False))
     c = F.greatest(F.lit(0.0), F.least(F.lit(0.90), 0.35 + 0.9 * (F.col("imbalance") - limit) + 0.3 * F.greatest("silhouette", F.lit(0.0))))
-    return out.withColumn("flagged", F.coalesce(F.col("imbalance") >= limit, F.lit(False))).withColumn("confidence", F.when(F.col("flagged"), c))
+    return out.withColumn("flagged", flagged).withColumn("confidence", F.when(F.col("flagged"), c))
 
 
 def centroid_logits(df: DataFrame, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:

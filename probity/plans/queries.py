@@ -782,9 +782,19 @@ def office_label_flips(spark, d):
     return labels.label_flips(emb, within="contributor").select(F.col("id").alias("vec_id"), "label", "suggested")
 
 
-@query()
+OFFICE = FLIP.replace("select vec_id, label, embedding", "select vec_id, (vec_id % 5) * 100 + label as label, embedding", 1).replace("on a.vec_id <> b.vec_id)", "on a.vec_id <> b.vec_id and a.vec_id % 5 = b.vec_id % 5)").replace("c * 1000 - nl", "c * 10000 - nl")
+LADDER = "case when confidence >= 0.85 then 1.0 when confidence >= 0.65 then 0.7 when confidence >= 0.40 then 0.4 else 0.15 end::double"
+
+
+@query(f"""with {OFFICE}, rt as (with {RISK.format(samples="(select 'contributor_' || (vec_id % 5) contributor from e)", findings=f"select 'contributor_' || (vec_id % 5) contributor, confidence, 'LABEL_FLIPPING' attack_class, vec_id affected_asset, {LADDER} w from flips")}),
+s as (select count(*) n, avg(risk_score) m, stddev_pop(risk_score) sd, median(risk_score) med from rt), ma as (select median(abs(risk_score - med)) * 1.4826 mad from rt, s), pm as (select a.contributor, median(b.risk_score) pm from rt a join rt b on a.contributor <> b.contributor group by 1),
+x as (select contributor, risk_score risk, pm, case when pm > 1e-9 then risk_score / pm end ratio, case when sd > 1e-9 then (risk_score - m) / sd else 0 end z, case when mad > 1e-9 then (risk_score - med) / mad else 0 end rz, (n - 1) / sqrt(n) top from rt join pm using (contributor), s, ma),
+y as (select *, case when ratio is not null then ratio >= 1.8 else risk > 0.45 end and risk >= 0.45 br, z >= 1.5 and risk >= 0.45 bz from x)
+select contributor, round(risk, 4) as risk_score, round(pm, 4) as peer_median, round(ratio, 4) as ratio, round(z, 4) as zscore, round(rz, 3) as robust_zscore, round(top, 6) as attainable_max_zscore, case when br then 'median_ratio' when bz then 'zscore' end as triggered_by,
+ case when br or bz then round(least(0.90, 0.45 + 0.35 * least(1.0, (risk - pm) / greatest(pm, 0.15)) + case when bz then 0.10 else 0.0 end), 4) end as confidence from y""")
 def office_disparity(spark, d):
     from probity.plans.scan import scan_office
 
     emb = t(spark, d, "embeddings").withColumn("contributor", F.concat(F.lit("contributor_"), F.col("vec_id") % 5))
-    return scan_office(emb)["disparity"]
+    o = scan_office(emb)["disparity"]
+    return o.select("contributor", *(F.round(c, k).alias(c) for c, k in (("risk_score", 4), ("peer_median", 4), ("ratio", 4), ("zscore", 4), ("robust_zscore", 3), ("attainable_max_zscore", 6))), "triggered_by", F.round("confidence", 4).alias("confidence"))

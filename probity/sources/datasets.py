@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.functions.text import contributor_from_path
@@ -110,8 +110,8 @@ def find_coco(spark: SparkSession, candidates: list[str]) -> str | None:
     """The annotation document among JSON files: the usual names first, then the first that has images and annotations."""
     order = sorted(candidates, key=lambda p: (not p.rsplit("/", 1)[-1].lower().startswith(("annotations", "instances", "_annotations")), p))
     for p in order:
-        head = spark.read.text(p, wholetext=True).select(F.substring("value", 1, 4096)).first()
-        if head and '"images"' in head[0] or head and '"annotations"' in head[0]:
+        keys = spark.read.text(p, wholetext=True).select(F.json_object_keys("value")).first()
+        if keys and {"images", "annotations"} & set(keys[0] or ()):
             return p
     return None
 
@@ -121,7 +121,7 @@ def load_dataset(spark: SparkSession, root: str, fmt: str | None = None) -> tupl
     fmt = fmt or detect_format(spark, root)
     if fmt == "coco":
         names = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path").collect()]
-        return load_coco(spark, find_coco(spark, names) or names[0]), fmt, []
+        return load_coco(spark, find_coco(spark, names)), fmt, []
     if fmt == "yolo":
         return load_yolo(spark, root), fmt, []
     d = list_images(spark, root).select("path", contributor_from_path(F.col("path")).alias("contributor"), F.array().cast("array<int>").alias("labels"))
@@ -129,14 +129,25 @@ def load_dataset(spark: SparkSession, root: str, fmt: str | None = None) -> tupl
 
 
 def coco_document(samples: DataFrame, names: DataFrame) -> DataFrame:
-    """One row with a COCO document of samples(path, width, height, labels, boxes): new ids, area = w * h, iscrowd 0.
+    """One row with a COCO document of samples(path, width, height, labels, boxes): ids from 1 in the order of paths, for annotations
+    in that order too; area = w * h, iscrowd 0.
 
     The document is one value by its format, so this is for collections that fit one file.
     """
-    img = samples.select("path", "width", "height", "labels", "boxes").withColumn("id", F.hash("path").cast("bigint") + 2**31)
-    ann = img.select("id", F.posexplode(F.arrays_zip("labels", "boxes")).alias("k", "x"))
+    from probity.sources.tables import Store
+
+    img = samples.select("path", "width", "height", "labels", "boxes", F.coalesce(F.greatest(F.size("boxes"), F.lit(0)), F.lit(0)).cast("bigint").alias("boxes_n"))
+    img = Store(samples.sparkSession, "coco").keep(img.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
+    here = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    parts = img.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("boxes_n").alias("boxes_all"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    base = parts.select("part", zero(F.sum("rows").over(before)).alias("row_base"), zero(F.sum("boxes_all").over(before)).alias("box_base"))  # one row a partition
+    img = img.withColumns({"row_here": zero(F.count(F.lit(1)).over(here)), "box_here": zero(F.sum("boxes_n").over(here))}).join(F.broadcast(base), "part")
+    img = img.withColumns({"id": F.col("row_base") + F.col("row_here") + 1, "first_box": F.col("box_base") + F.col("box_here") + 1})
+    ann = img.select("id", "first_box", F.posexplode(F.arrays_zip("labels", "boxes")).alias("k", "x"))
     b = F.col("x.boxes")
-    ann = ann.select((F.col("id") * 1000 + F.col("k")).alias("id"), F.col("id").alias("image_id"), F.col("x.labels").alias("category_id"), b.alias("bbox"), (b[2] * b[3]).alias("area"), F.lit(0).alias("iscrowd"))
+    ann = ann.select((F.col("first_box") + F.col("k")).alias("id"), F.col("id").alias("image_id"), F.col("x.labels").alias("category_id"), b.alias("bbox"), (b[2] * b[3]).alias("area"), F.lit(0).alias("iscrowd"))
     one = lambda d, name: d.agg(F.array_sort(F.collect_list(F.struct(*d.columns))).alias(name))
     doc = one(img.select("id", F.col("path").alias("file_name"), "width", "height"), "images").crossJoin(one(ann, "annotations")).crossJoin(one(names.select(F.col("class_id").alias("id"), "name"), "categories"))  # one row each
     return doc.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))

@@ -29,7 +29,7 @@ def found(spark, rows):
     return spark.createDataFrame(full, F6)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.ORACLES) - {"near_duplicate_pairs", "flood_threshold"}))
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "events", "documents", "embeddings", "labels"):
@@ -47,6 +47,79 @@ def test_query_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_records_are_accepted_as_if_inserted_one_by_one(spark):
+    from probity.plans import store
+
+    rng = np.random.default_rng(5)
+    pick = lambda k: None if rng.random() < 0.1 else f"{k}{rng.integers(12)}"
+    kept = [(0, "r1", "n1")]
+    new = [(1, "r2", "n2"), (2, "r2", "n3"), (3, "r3", "n3"), *((k, pick("r"), pick("n")) for k in range(4, 60))]
+    ids, nonces, want = {"r1"}, {"n1"}, []
+    for k, r, n in new:
+        if r not in ids and n not in nonces:
+            want.append(k)
+            ids |= {r} - {None}
+            nonces |= {n} - {None}
+    cols = "seq long, record_id string, nonce string"
+    got = store.accept_records(spark.createDataFrame(kept, cols), spark.createDataFrame(new, cols), "seq")
+    assert sorted(r.seq for r in got.collect()) == want and {1, 3} <= set(want)
+
+
+def test_lookups(spark):
+    from probity.plans import store
+
+    scans = spark.createDataFrame([("a", 1), ("b", 2)], "scan_id string, started_ns long")
+    assert [r.started_ns for r in store.get_scan(scans, "b").collect()] == [2] and store.get_scan(scans, "c").collect() == []
+    risks = spark.createDataFrame([("a", "x", 0.2), ("a", "y", 0.9), ("b", "x", 0.5)], "scan_id string, name string, risk_score double")
+    assert [r.name for r in store.get_contributor_risks(risks, "a").collect()] == ["y", "x"] and store.get_contributor_risks(risks).count() == 3
+    records = spark.createDataFrame([("r2", "m", 2, 5), ("r1", "m", 1, 9), ("r3", "k", 0, 1)], "record_id string, model_id string, sequence_number long, timestamp_ns long")
+    assert [r.record_id for r in store.get_provenance_records(records, "m").collect()] == ["r1", "r2"] and store.get_provenance_records(records, limit=1).first().record_id == "r3"
+    models_ = spark.createDataFrame([("h", "one")], "weight_hash string, name string")
+    assert store.find_model(models_, "h").first().name == "one" and store.find_model(models_, "g").collect() == []
+
+
+def test_merkle_proofs_of_odd_trees(spark):
+    import hashlib
+
+    for n in (0, 1, 2, 3, 255, 257, 300):
+        leaves = spark.createDataFrame([(k, f"x{k}") for k in range(n)], "pos long, hash string")
+        level = [hashlib.sha256(b"\x00" + f"x{k}".encode()).digest() for k in range(n)]
+        depth = 1 if n else 0
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\x01" + level[k] + level[min(k + 1, len(level) - 1)]).digest() for k in range(0, len(level), 2)]
+            depth += 1
+        top = provenance.merkle_root(leaves).first()
+        assert (top.root, top.depth, top.leaves) == (level[0].hex() if n else "0" * 64, depth, n)
+        proofs = provenance.merkle_proofs(leaves)
+        assert provenance.verify_proofs(proofs).filter("valid").count() == n
+        assert n == 0 or {r.root for r in proofs.collect()} == {top.root}
+
+
+def test_activation_clusters_count_whole_classes(spark):
+    rng = np.random.default_rng(9)
+    one, two = rng.normal(0, 1, (300, 12)), rng.normal(0, 1, (260, 12))
+    one[:60] += 9.0
+    rows = [(i, 0, [float(x) for x in v]) for i, v in enumerate(one)] + [(1000 + i, 1, [float(x) for x in v]) for i, v in enumerate(two)] + [(5000 + i, 2, [0.0] * 12) for i in range(5)]
+    got = {r.label: r for r in outliers.activation_clusters(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)).collect()}
+    assert (got[0].n, got[1].n, got[2].n) == (300, 260, 5) and got[0].imbalance == 0.8 and got[0].silhouette > 0.5 and got[0].flagged
+    assert got[1].imbalance < 0.7 and not got[1].flagged and not got[2].flagged and math.isnan(got[2].imbalance)
+
+
+def test_data_scan_finds_what_is_planted(spark):
+    from probity.plans.scan import scan_data
+
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    images = emb.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") == 7, 0.6).otherwise(0.1 + 0.001 * (F.col("vec_id") % 9)).alias("high_freq_ratio"), F.when(F.col("vec_id") == 7, 50.0).otherwise(1.0 + 0.1 * (F.col("vec_id") % 7)).alias("patch_score"), F.lit(0.9).alias("patch_uniformity"), (5.0 + F.col("vec_id") % 5).alias("spectral_peak_ratio"))
+    docs = spark.createDataFrame([(k, f"only text number {k} about thing{k} and item{k}") for k in range(30)] + [(100 + k, "the same words in every copy of this text, again and again") for k in range(9)] + [(200, "the same words in every copy of this text, again and yet")], "doc_id long, text string")
+    who = emb.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("contributor"))
+    hit = emb.withColumn("label", F.when(F.col("vec_id") % 10 == 1, (F.col("label") + 3) % 10).otherwise(F.col("label")))
+    got = scan_data(hit, who, images=images, docs=docs).findings.collect()
+    kinds = {r.attack_class for r in got}
+    assert {"LABEL_FLIPPING", "TRIGGER_INJECTION", "NEAR_DUPLICATE_FLOODING"} <= kinds
+    assert "7" in {r.affected_asset for r in got if r.attack_class == "TRIGGER_INJECTION"}
+    assert [r.affected_asset for r in got if r.attack_class == "NEAR_DUPLICATE_FLOODING"] == ["100"]
+
+
 def test_documented_vectors(spark):
     one = fnd.summarise(found(spark, [("LABEL_FLIPPING", "a", "CRITICAL", 0.95)])).first()
     many = fnd.summarise(found(spark, [("LABEL_FLIPPING", "a", "LOW", 0.25)] * 100)).first()
