@@ -338,11 +338,25 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.
 #: Words of a set's bitmap: one bit for the parity of the hashes in each of its buckets.
 BITMAP = 8
 BITS = [f"b{k}" for k in range(BITMAP)]
+#: Words of the longer bitmap that pairs are judged by before their sets meet.
+SKETCH = 64
+
+
+def _parities(values: np.ndarray, cut: np.ndarray, factor: int, words_: int) -> np.ndarray:
+    """A row of `words_` 64-bit words for each set values[cut[i]:cut[i+1]]: the parity of the number of hashes in each bucket."""
+    width, out = 64 * words_, []
+    bucket = (values.astype(U64) * U64(factor) >> U64(65 - width.bit_length())).astype(np.int64)
+    for s in range(0, len(cut) - 1, 256):
+        c = cut[s : s + 257]
+        row = np.repeat(np.arange(len(c) - 1), np.diff(c))
+        odd = (np.bincount(bucket[c[0] : c[-1]] + row * width, minlength=(len(c) - 1) * width) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(-1, width), axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(out)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, fp, node, hs, b0, b1, ...) for docs(id, text): SimHash of the shingles, hash of the shingle set, the distinct 32-bit hashes of
-    the shingles, sorted, and their bitmap."""
+    """(id, fp, node, hs, sketch, b0, b1, ...) for docs(id, text): SimHash of the shingles, hash of the shingle set, the distinct 32-bit
+    hashes of the shingles, sorted, and their bitmaps."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,13 +368,12 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 values = flat.astype(np.uint32)
                 node = np.array([xxhash.xxh64_intdigest(values[s:e].tobytes()) for s, e in zip(cut.tolist(), cut[1:].tolist())], U64)
                 hs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.view(np.int32)))
-                bucket = (values.astype(U64) * U64(0xD6E8FEB86659FD93) >> U64(64 - 9) | flat >> U64(32) << U64(9)).astype(np.int64)
-                odd = (np.bincount(bucket, minlength=(b - a) << 9) & 1).astype(np.uint8)
-                bits = np.packbits(odd.reshape(b - a, 64 * BITMAP), axis=1, bitorder="little").view(np.int64)
-                cols = [batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs, *(pa.array(np.ascontiguousarray(x)) for x in bits.T)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "node", "hs", *BITS])
+                bits, long = _parities(values, cut, 0xD6E8FEB86659FD93, BITMAP), _parities(values, cut, 0xA0761D6478BD642F, SKETCH)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH), pa.array(long.ravel()))
+                cols = [batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), hs, sketch, *(pa.array(np.ascontiguousarray(x)) for x in bits.T)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "node", "hs", "sketch", *BITS])
 
-    schema = [docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType()))]
+    schema = [docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
     return docs.mapInArrow(scan, T.StructType([*schema, *(T.StructField(c, T.LongType()) for c in BITS)]))
 
 
@@ -612,11 +625,11 @@ def _apart(batches: Iterator[pa.RecordBatch], similarity: float, least: int = 1
 
 
 def maybe_alike(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) that the sizes and bitmaps of sketches(node, size, BITS) don't rule out; see _can_be_alike."""
-    side = lambda end, tag: sketches.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{tag}") for c in ("size", *BITS)))
+    """The links (a, b) that the sizes and bitmaps of sketches(node, size, sketch) don't rule out; see _can_be_alike."""
+    side = lambda end, tag: sketches.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{tag}") for c in ("size", "sketch")))
     both = links.join(side("a", "_a"), "a").join(side("b", "_b"), "b")
     total = F.col("size_a") + F.col("size_b")
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS[1:]), F.bit_count(F.col(f"{BITS[0]}_a").bitwiseXOR(F.col(f"{BITS[0]}_b"))))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.filter((total - differ) / 2 >= similarity / (1 + similarity) * total - 1e-6).select("a", "b")
 
 
@@ -666,11 +679,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
     twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
     scratch.tidy()
-    sets = scratch.keep(rows.select("node", "fp", "hs", *BITS).join(twice, "node").dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(rows.select("node", "fp", "hs", "sketch", *BITS).join(twice, "node").dropDuplicates(["node"]), "sets")
     scratch.drop("twice")
     scratch.drop("rows")
     scratch.tidy()
-    sketches = sets.select("node", F.size("hs").cast("bigint").alias("size"), *BITS)
+    sketches = sets.select("node", F.size("hs").cast("bigint").alias("size"), "sketch")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         some = scratch.keep(maybe_alike(pairs.distinct(), sketches, similarity), f"{name}_pairs")
@@ -685,7 +698,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rooted(sets.select("node", "keys")).select(F.explode("keys").alias("key"), "root", "node")
     keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
     apart = scratch.keep(keyed.mapInArrow(_held_apart, "node bigint, key bigint"), "apart")
-    crowded = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1")
+    crowded = scratch.keep(apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1"), "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= 1 << 20 else crowded
     chosen = rooted(sets.select("node", "hs", *BITS).join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node"))
     wide = chosen.select("node", "root", "hs", "keys", *BITS).mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
     wide = wide.join(crowded, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
@@ -696,7 +710,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(owner.join(comp, "root").select("node", "n", "component_id"), "named")
-    for name in ("sets", "nodes", "apart", "first_pairs", "first_links", "rest_pairs", "rest_links"):
+    for name in ("sets", "nodes", "apart", "crowded", "first_pairs", "first_links", "rest_pairs", "rest_links"):
         scratch.drop(name)
     scratch.tidy()
     return join_spread(ids, named, ["node"], "n", ids.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
