@@ -57,7 +57,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of 8 benchmark words occurs. Null texts have no words; an empty benchmark or table removes nothing."""
     rows, back = _set_aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "leak_spans")
-    return back(find_leaks(rows, table(spark, sf_dir, "benchmark"), window=8).filter("n_hit = 0"))
+    return back(find_leaks(rows, table(spark, sf_dir, "benchmark"), window=8, shard_bytes=1 << 20).filter("n_hit = 0"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
