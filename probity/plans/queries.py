@@ -705,17 +705,18 @@ def text_helpers(spark, d):
     return e.select("event_id", X.ns_to_iso(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("iso"), raw.alias("raw"), X.normalise_label(raw).alias("label"), X.short_hash(F.sha2("event_type", 256)).alias("short"))
 
 
-FLIPPED = FLIP.replace("select vec_id, label, embedding", "select vec_id, case when vec_id % 9 = 4 then (label + 3) % 10 else label end as label, embedding", 1)
+FLIPPED = FLIP.replace("select vec_id, label, embedding::double[] v", "select vec_id, case when vec_id % 9 = 4 then (label + 3) % 10 else label end as label, list_transform(embedding::double[], lambda x, i: x + case when (i - 1) % 10 = label then 0.25 else 0 end) v", 1)
 
 
-@query(f"""with {FLIPPED}, c as (select count(*) filter (vec_id % 9 = 4) gt, count(f.vec_id) fl, count(f.vec_id) filter (vec_id % 9 = 4) tp, count(*) u from e left join (select distinct vec_id from flips) f using (vec_id))
+@query(f"""with {FLIPPED}, score as (select count(*) filter (vec_id % 9 = 4) gt, count(f.vec_id) fl, count(f.vec_id) filter (vec_id % 9 = 4) tp, count(*) u from e left join (select distinct vec_id from flips) f using (vec_id))
 select gt as ground_truth, fl as flagged, tp as true_positives, fl - tp as false_positives, gt - tp as false_negatives, u - fl - gt + tp as true_negatives, round(tp / fl, 4) as precision, round(tp / gt, 4) as recall,
- round(2 * (tp / fl) * (tp / gt) / ((tp / fl) + (tp / gt)), 4) as f1, round((fl - tp) / (u - gt), 4) as false_positive_rate from c""")
+ round(2 * (tp / fl) * (tp / gt) / ((tp / fl) + (tp / gt)), 4) as f1, round((fl - tp) / (u - gt), 4) as false_positive_rate from score""")
 def flip_detection(spark, d):
     """How well planted label flips, one row in nine, are found."""
     from probity.operators.generators import precision_recall as score
 
-    emb = t(spark, d, "embeddings")
+    emb = t(spark, d, "embeddings")  # vectors of a class drawn together, so that there is something to find
+    emb = emb.withColumn("embedding", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 10 == F.col("label"), 0.25).otherwise(0.0)))
     hit = F.col("vec_id") % 9 == 4
     found = labels.label_flips(emb.withColumn("label", F.when(hit, (F.col("label") + 3) % 10).otherwise(F.col("label"))))
     return score(emb.filter(hit).select(F.col("vec_id").alias("id")), found.select("id"), emb.count())
