@@ -110,7 +110,7 @@ def test_data_scan_finds_what_is_planted(spark):
 
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     images = emb.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") == 7, 0.6).otherwise(0.1 + 0.001 * (F.col("vec_id") % 9)).alias("high_freq_ratio"), F.when(F.col("vec_id") == 7, 50.0).otherwise(1.0 + 0.1 * (F.col("vec_id") % 7)).alias("patch_score"), F.lit(0.9).alias("patch_uniformity"), (5.0 + F.col("vec_id") % 5).alias("spectral_peak_ratio"))
-    docs = spark.createDataFrame([(k, f"only text number {k} about thing{k} and item{k}") for k in range(30)] + [(100 + k, "the same words in every copy of this text, again and again") for k in range(9)] + [(200, "the same words in every copy of this text, again and yet")], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, f"only text number {k} about thing{k} and item{k}") for k in range(30)] + [(100 + k, "the same words in every copy of this text, again and again") for k in range(9)] + [(200, "the same words in every copy of this text, again and yet")] + [(300 + k, f"pair number{k // 2} says thing{k // 2} twice over again{k // 2}") for k in range(10)], "doc_id long, text string")
     who = emb.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("contributor"))
     hit = emb.withColumn("label", F.when(F.col("vec_id") % 10 == 1, (F.col("label") + 3) % 10).otherwise(F.col("label")))
     got = scan_data(hit, who, images=images, docs=docs).findings.collect()
