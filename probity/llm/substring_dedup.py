@@ -52,9 +52,10 @@ def window_minima(buf: np.ndarray, length: int) -> np.ndarray:
 
 
 class Runs:
-    """Maximal runs of starts with one minimum inside one text: row, first start in the text, number of starts, minimum."""
+    """Maximal runs of starts with one minimum inside one text: row, first start in the text, number of starts, minimum; with `looks` also
+    a hash of the run's length and of its text's first and last gram, which tells how a minimum's texts differ."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, step: int = 1 << 20):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, step: int = 1 << 20, looks: bool = False):
         parts: list[tuple[np.ndarray, ...]] = []
         n, a = len(offs) - 1, 0
         while a < n:
@@ -74,9 +75,13 @@ class Runs:
                 s = np.flatnonzero(first)
                 row = np.searchsorted(o, s, "right") - 1
                 stop = np.minimum(np.append(s[1:], len(m)), o[row + 1] - length + 1)
-                parts.append((row + a, s - o[row], stop - s, m[s]))
+                look = m[:0]
+                if looks:
+                    g = gram_hashes(buf[offs[a] : offs[b]])
+                    look = mix(g[s] + mix(g[stop + length - 1 - GRAM] + (stop - s).astype(U64)))
+                parts.append((row + a, s - o[row], stop - s, m[s], look))
             a = b
-        self.row, self.start, self.count, self.low = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3 + (np.empty(0, U64),)
+        self.row, self.start, self.count, self.low, self.look = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3 + (np.empty(0, U64),) * 2
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -127,21 +132,25 @@ def _anchor_keys(runs: Runs, shards: int) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """A block's distinct minima, 4 bytes each by shard, with a bit for those that two of its documents hold."""
+    """A block's distinct minima by shard, 5 bytes each: a byte that says whether two of its documents hold it (1), whether it has several
+    texts (2) and six bits of a text's hash, then four of the minimum."""
     for row in _each(batches):
         ids, offs, buf = _open(row)
-        runs = Runs(buf, offs, length)
+        runs = Runs(buf, offs, length, looks=True)
         if not len(runs.row):
             continue
         key, doc = _anchor_keys(runs, shards), ids[runs.row]
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, doc, look = key[order], doc[order], runs.look[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         twice = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
+        one = np.minimum.reduceat(look, first)
+        several = np.maximum.reduceat(look, first) != one
+        note = twice.astype(np.uint8) | several.astype(np.uint8) << 1 | (one & U64(63)).astype(np.uint8) << 2
         key = key[first]
         cuts = np.searchsorted(key, np.arange(shards + 1, dtype=U64) << U64(32))
         low = key.astype(np.uint32)
-        out = [(0, s, row["block"], np.packbits(twice[a:b]).tobytes() + low[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+        out = [(0, s, row["block"], note[a:b].tobytes() + low[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
         yield _rows(out)
 
 
@@ -161,22 +170,27 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 
 def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Of a shard's minima, which are in more than one document, and which are in `hot` blocks or more: bits for each block."""
+    """Of a shard's minima, which are in more than one document, and which have other texts than their commonest one in `hot` blocks or
+    more: bits for each block. A minimum of one text is one segment a block, wherever it is found."""
     for shard, rows in _grouped(batches):
-        sizes, flags, values = [], [], []
+        sizes, notes, values = [], [], []
         for _, _, data in rows:
-            n = next(n for n in ((len(data) * 8 // 33) + d for d in (-1, 0, 1)) if n >= 0 and 4 * n + (n + 7) // 8 == len(data))
+            n = len(data) // 5
             sizes.append(n)
-            flags.append(np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8), count=n))
-            values.append(np.frombuffer(data, np.uint32, n, (n + 7) // 8))
-        value, flag = np.concatenate(values), np.concatenate(flags)
-        order = np.argsort(value, kind="stable")
-        v = value[order]
-        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            notes.append(np.frombuffer(data, np.uint8, n))
+            values.append(np.frombuffer(data, np.uint32, n, n))
+        value, note = np.concatenate(values), np.concatenate(notes)
+        order = np.argsort(value.astype(U64) << U64(6) | (note >> 2), kind="stable")
+        v, note = value[order], note[order]
+        new = np.concatenate(([True], v[1:] != v[:-1]))
+        first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(v)))
-        yes = (count > 1) | (np.maximum.reduceat(flag[order], first) > 0)
+        yes = (count > 1) | (np.maximum.reduceat(note & 1, first) > 0)
+        text = np.flatnonzero(new | np.concatenate(([True], note[1:] >> 2 != note[:-1] >> 2)))
+        alike = np.add.reduceat((note & 2 == 0).astype(np.int64), text)
+        odd = count - np.maximum.reduceat(alike, np.searchsorted(text, first))
         shared, often = np.empty(len(v), bool), np.empty(len(v), bool)
-        shared[order], often[order] = np.repeat(yes, count), np.repeat(count >= hot, count)
+        shared[order], often[order] = np.repeat(yes, count), np.repeat(odd >= hot, count)
         cut, out = np.concatenate(([0], np.cumsum(sizes))).tolist(), []
         for (_, block, _), a, b in zip(rows, cut, cut[1:]):
             out.append((0, shard, block, np.packbits(shared[a:b]).tobytes() + np.packbits(often[a:b]).tobytes()))
@@ -196,8 +210,42 @@ def _unpacked_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(doc), start, start + size
 
 
+def _alike(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal rows of a byte matrix are neighbours, where each group of them begins, and a hash of each row. Neighbours
+    are compared in full; should different rows share a hash, the order is that of the bytes."""
+    n, width = strings.shape
+    h = np.zeros(n, U64)
+    for at in (*range(0, width - 7, 8), width - 8):
+        h = mix(h ^ np.ndarray((n,), "<u8", strings, at, (width,)))
+    order = np.argsort(h, kind="stable")
+    differ = (strings[order[1:]] != strings[order[:-1]]).any(axis=1)
+    if (differ & (h[order[1:]] == h[order[:-1]])).any():
+        order = np.argsort(strings.view(f"V{width}").ravel(), kind="stable")
+        differ = (strings[order[1:]] != strings[order[:-1]]).any(axis=1)
+    return order, np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), differ))), h
+
+
+def _late(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of ids in groups that begin at `first`, which are over the least of their group."""
+    return ids > np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
+
+
+def _strings(buf: np.ndarray, offs: np.ndarray, start: np.ndarray, row: np.ndarray, count: np.ndarray, length: int, unit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start in the text, bytes) of every string of `length` bytes that starts in the given runs, `unit` at a time."""
+    if not len(row):
+        return
+    end = np.cumsum(count)
+    window = np.lib.stride_tricks.sliding_window_view(buf, length)
+    for a in range(0, int(end[-1]), unit):
+        k = np.arange(a, min(a + unit, int(end[-1])))
+        run = np.searchsorted(end, k, "right")
+        q = start[run] + k - (end[run] - count[run])
+        yield row[run], q, np.ascontiguousarray(window[offs[row[run]] + q])
+
+
 def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Text around shared minima, to the minima's shards (kind 0); spans settled inside the block (kind 1).
+    """Text around shared minima, to the minima's shards (kind 0); spans settled inside the block (kind 1); the strings around hot
+    minima, one by one, to shards by their own bytes (kind 2).
 
     A run of starts with one minimum is one segment: all strings of `length` bytes that start there. Segments with equal bytes
     in a block need only the smallest id to travel; the others are covered by it.
@@ -209,6 +257,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> It
         copies = set(row["copies"] or ())
         settled: tuple[list, list, list] = ([], [], [])
         ship: dict[int, list] = {}
+        hot = np.empty(0, np.int64)
         if len(runs.row) and row["bits"]:
             key = _anchor_keys(runs, shards)
             distinct, back = np.unique(key, return_inverse=True)
@@ -222,15 +271,12 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> It
             take = np.flatnonzero(shared[back] & ~skip[runs.row])
             raw, base = buf.tobytes(), offs
             owner: dict[bytes, list] = {}
-            rows_, starts, counts, hots, homes = runs.row[take].tolist(), runs.start[take].tolist(), runs.count[take].tolist(), often[back][take].tolist(), (key[take] >> U64(32)).tolist()
+            hot, take = take[often[back][take]], take[~often[back][take]]
+            rows_, starts, counts, homes = runs.row[take].tolist(), runs.start[take].tolist(), runs.count[take].tolist(), (key[take] >> U64(32)).tolist()
             id_list, base_list = ids.tolist(), base.tolist()
-            for r, s, c, hot, home in zip(rows_, starts, counts, hots, homes):
+            for r, s, c, home in zip(rows_, starts, counts, homes):
                 p = base_list[r] + s
-                pieces = [(s, raw[p : p + c + length - 1], home)]
-                if hot:  # one string each, spread by its own bytes: a common minimum never meets in one shard
-                    pieces = [(s + k, t, int.from_bytes(hashlib.md5(t).digest()[:6], "little") % shards) for k in range(c) for t in (raw[p + k : p + k + length],)]
-                for q, text, shard in pieces:
-                    owner.setdefault(text, [shard]).append((id_list[r], r, q))
+                owner.setdefault(raw[p : p + c + length - 1], [home]).append((id_list[r], r, s))
             for text, (shard, *seen) in owner.items():
                 least = min(seen)[0]
                 for i, r, q in seen:
@@ -244,6 +290,20 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> It
         for shard, found in ship.items():
             head = np.array([[i, r, q, len(t)] for i, r, q, t in found], np.int64)
             out.append((0, shard, row["block"], z.compress(np.int64(len(head)).tobytes() + np.ascontiguousarray(head.T).tobytes() + b"".join(x[3] for x in found))))
+        # one string each, spread by its own bytes: a common minimum of many texts never meets in one shard
+        for r, q, strings in _strings(buf, offs, runs.start[hot], runs.row[hot], runs.count[hot], length):
+            order, first, h = _alike(strings)
+            late = _late(ids[r[order]], first)
+            gone, stay = order[late], order[~late]
+            if len(gone):
+                out.append((1, row["block"] % shards, row["block"], _spans(r[gone], q[gone], q[gone] + length)))
+            home = (h[stay] >> U64(32)) % U64(shards)
+            by = np.argsort(home, kind="stable")
+            stay, home = stay[by], home[by]
+            cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                k = stay[a:b]
+                out.append((2, int(home[a]), row["block"], z.compress(np.stack([ids[r[k]], r[k], q[k]]).tobytes() + strings[k].tobytes())))
         if settled[0]:
             out.append((1, row["block"] % shards, row["block"], _spans(*map(np.array, settled))))
         if out:
@@ -313,6 +373,7 @@ def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 18
         if through:
             yield _rows(through)
         heads, bodies, lows, blocks = [], [], [], []
+        yield from _met([(b, d) for k, b, d in rows if k == 2], length)
         for kind, block, data in rows:
             if kind == 0:
                 raw = z.decompress(data)
@@ -339,12 +400,32 @@ def _covered(batches: Iterator[pa.RecordBatch], length: int, unit: int = 1 << 18
         for a, b in zip(cuts, cuts[1:]):
             part = order[a:b]
             spans.append(_settle(part, group[a:b], body, at, size, ids, row, start, block, length))
-        where, r, s, e = (np.concatenate(x) for x in zip(*spans))
-        by = np.argsort(where, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], where[by][1:] != where[by][:-1], [True]))).tolist() if len(by) else [0]
-        for a, b in zip(edges, edges[1:]):
-            k = by[a:b]
-            yield _rows([(1, 0, int(where[k[0]]), _spans(r[k], s[k], e[k]))])
+        yield from _by_block(*(np.concatenate(x) for x in zip(*spans)))
+
+
+def _by_block(where: np.ndarray, r: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    by = np.argsort(where, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], where[by][1:] != where[by][:-1], [True]))).tolist() if len(by) else [0]
+    for a, b in zip(edges, edges[1:]):
+        k = by[a:b]
+        yield _rows([(1, 0, int(where[k[0]]), _spans(r[k], s[k], e[k]))])
+
+
+def _met(rows: list[tuple[int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the single strings sent to a shard that one with a smaller id equals."""
+    if not rows:
+        return
+    z, heads, bodies, blocks = zstandard.ZstdDecompressor(), [], [], []
+    for block, data in rows:
+        raw = z.decompress(data)
+        n = len(raw) // (24 + length)
+        heads.append(np.frombuffer(raw, np.int64, 3 * n).reshape(3, n))
+        bodies.append(np.frombuffer(raw, np.uint8, n * length, 24 * n).reshape(n, length))
+        blocks.append(np.full(n, block, np.int64))
+    (ids, row, start), strings, block = np.concatenate(heads, axis=1), np.concatenate(bodies), np.concatenate(blocks)
+    order, first, _ = _alike(strings)
+    late = order[_late(ids[order], first)]
+    yield from _by_block(block[late], row[late], start[late], start[late] + length)
 
 
 def _settle(part, group, body, at, size, ids, row, start, block, length) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -442,15 +523,16 @@ def remove_repeats(
     Removed is every byte covered by a `length`-byte string of the document's UTF-8 text that a document with a smaller id holds
     too. Strings are sent to shards by the least hash of the 24-byte grams in them, so all occurrences of one meet:
 
-    1. texts are packed into compressed blocks; 4 bytes of each distinct minimum say in which shard's tables
-       it is shared by two documents (a false alarm costs time only);
+    1. texts are packed into compressed blocks; 5 bytes of each distinct minimum say in which shard's tables
+       it is shared by two documents (a false alarm costs time only) and whether its texts differ;
     2. around shared minima, text is sent to the minimum's shard, once per block for equal pieces, and not at
        all for documents that are whole copies of one with a smaller id;
     3. a shard builds the enhanced suffix array of the different pieces with equal minima, scans the tree of its
        common-prefix intervals with a stack, and reports left-diverse intervals: maximal repeats with all their occurrences;
     4. spans go back to their blocks, where the bytes are cut.
 
-    Minima found in hot_blocks blocks or more are spread over all shards string by string.
+    Minima whose text differs from their commonest one in hot_blocks blocks or more are spread over all shards string by string; one with
+    the same text everywhere sends one segment a block to its shard, where the copies are settled by comparing bytes.
 
     Nulls: a null text is empty; a null id is smaller than all others. Texts shorter than `length` lose nothing. Rows that
     repeat an id count as one document: neither makes the other lose a byte. Ids must be integers. Other columns are not

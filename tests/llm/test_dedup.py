@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from probity.llm import substring_dedup
 from probity.llm.components import connected_components
 from probity.llm.common import Scratch
 from probity.llm.exact_dedup import drop_exact_copies, exact_groups
@@ -80,6 +81,45 @@ def test_substring_dedup(spark, options):
     assert got == brute_repeats(rows, 50)
 
 
+def test_passages_of_one_text_are_not_dealt_string_by_string(spark, monkeypatch):
+    """A passage in every block needs one segment a block; only minima with many texts are spread, and these in whole arrays."""
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, passage = own(45), own(400)
+    rows = [(i, own(rng.randint(30, 90)) + (passage if i % 2 else line) + own(rng.randint(30, 90))) for i in range(120)]
+    dealt = []
+    for k in range(0, 120, 6):
+        ids, texts = zip(*rows[k : k + 6])
+        offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        block = {"block": k, "ids": np.array(ids).tobytes(), "offsets": offs.tobytes(), "z": substring_dedup.zstandard.ZstdCompressor().compress("".join(texts).encode())}
+        dealt.append(pa.RecordBatch.from_pylist([block]))
+    found = [tuple(r.values()) for b in substring_dedup._anchors(iter(dealt), 50, 1) for r in b.to_pylist()]
+    shared = [r for b in substring_dedup._shared(iter([substring_dedup._rows(found)]), 10) for r in b.to_pylist()]
+    spread = in_passage = 0
+    for block, (_, _, _, data), bits in zip(dealt, found, shared):
+        row = block.to_pylist()[0]
+        ids, offs, buf = substring_dedup._open(row)
+        runs = substring_dedup.Runs(buf, offs, 50)
+        keys, back = np.unique(substring_dedup._anchor_keys(runs, 1), return_inverse=True)
+        often = np.unpackbits(np.frombuffer(bits["data"], np.uint8)[(len(keys) + 7) // 8 :], count=len(keys))[back] > 0
+        text = buf.tobytes()
+        for r, s, c, hot in zip(runs.row.tolist(), runs.start.tolist(), runs.count.tolist(), often.tolist()):
+            whole = text[offs[r] + s : offs[r] + s + c + 49].decode() in passage
+            in_passage += whole
+            spread += hot
+            assert not (whole and hot)
+    assert spread > 100 and in_passage > 500
+    want = brute_repeats(rows, 50)
+    options = {"block_bytes": 1500, "hot_blocks": 2}
+    assert sorted(tuple(r) for r in remove_repeats(frame(spark, rows).repartition(2), 50, **options).collect()) == want
+    # strings that share a hash are told apart by their bytes
+    some = np.frombuffer(b"".join(rng.choice([b"x", b"y", b"\0"]) * 50 for _ in range(99)), np.uint8).reshape(99, 50)
+    plain = len(substring_dedup._alike(some)[1])
+    monkeypatch.setattr(substring_dedup, "mix", np.zeros_like)
+    order, first, _ = substring_dedup._alike(some)
+    assert plain == len(first) == 3 and all(len({bytes(x) for x in part}) == 1 for part in np.split(some[order], first[1:]))
+
+
 def test_substring_dedup_spans_text_and_empty_table(spark):
     p = "0123456789" * 6
     got = {r.doc_id: r for r in remove_repeats(frame(spark, [(2, "A" + p + "B"), (1, p), (None, "q")]), 50, with_text=True, with_spans=True).collect()}
