@@ -15,7 +15,7 @@ from .secrets import BASE, find_secrets
 from .settings import DOMAINS, WEIGHTS
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
-from .toxicity import held_out, score_documents, train_model
+from .toxicity import SHARE, held_out, score_documents, train_model
 from .warc import archive_round_trip
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train_model(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    model = train_model(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")), share=SHARE)
     scored = score_documents(docs, model, threshold=0.3, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 

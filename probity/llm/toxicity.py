@@ -23,6 +23,10 @@ FILTER, SLOTS = 1 << 21, 1 << 22
 DISCOUNT = 3
 #: What the log-likelihoods of a word must differ by before it counts, beyond what unseen words differ by.
 MARGIN = 1.0
+#: Share of a toxic text's words that the toxic model speaks for; the others follow the ordinary one.
+SHARE = 0.01
+#: Rows of the model's tables that are sent to tasks at once; more of them are more passes over the texts.
+PART = 2_000_000
 #: The word before a text's first.
 START = 1
 _COUNTS = ("a0", "a1", "b0", "b1", "c0", "c1", "d0", "d1", "ba", "bb")
@@ -37,6 +41,10 @@ class Model:
     marks: tuple[np.ndarray, np.ndarray]  # slots of such words, and of pairs over the margin
     margin: float
     weights: tuple[float, float]  # calibration: slope and intercept
+    # with a share, ev are ratios of the classes' likelihoods, of all words and pairs seen more often than the discount
+    share: float | None = None
+    contexts: DataFrame | None = None  # (h, ev): ratio of what the classes leave to the counts below after a word
+    unseen: float = 1.0  # ratio of other words
 
 
 def _fold(id_col: Column, k: int) -> Column:
@@ -174,7 +182,7 @@ def _gather(batches: Iterator[pa.RecordBatch], discount: int) -> Iterator[pa.Rec
     yield out(2, total[10:11], total[11:12], total[:10, None])
 
 
-def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: int = DISCOUNT, margin: float = MARGIN) -> Model:
+def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: int = DISCOUNT, margin: float = MARGIN, share: float | None = None) -> Model:
     """Interpolated Kneser-Ney from gathered counts: pair -> class continuation -> continuation shared by both classes.
 
     Everything is a table of the corpus's words and pairs; only the totals and the slots of what counts, bits of a fixed number, come to
@@ -196,6 +204,13 @@ def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: in
     pairs = counts.filter("kind = 1").select("w", "h", F.col(u[0]).alias("n0"), F.col(u[1]).alias("n1")).filter(F.greatest("n0", "n1") > discount)
     left = pairs.groupBy("h").agg(F.sum(over("n0")).alias("k0"), F.sum(over("n1")).alias("k1"))
     left = left.join(known.select(F.col("w").alias("h"), F.col("u0").alias("t0"), F.col("u1").alias("t1")), "h")
+    if share is not None:
+        rest_of = lambda k: F.when(F.col(f"t{k}") > 0, 1 - F.col(f"k{k}") / F.col(f"t{k}")).otherwise(F.lit(1.0))
+        q = [F.when(F.col(f"t{k}") > 0, over(f"n{k}") / F.col(f"t{k}")).otherwise(F.lit(0.0)) + rest_of(k) * F.col(f"p{k}") for k in (0, 1)]
+        full = pairs.join(left, "h").join(known.select("w", "p0", "p1"), "w").select("w", "h", (q[1] / q[0]).alias("ev"))
+        contexts = left.select("h", (rest_of(1) / rest_of(0)).alias("ev"))
+        tables = [scratch.keep(df, f"{name}_{what}") for df, what in ((known.select("w", (F.col("p1") / F.col("p0")).alias("ev")), "words"), (full, "pairs"), (contexts, "contexts"))]
+        return Model(tables[0], tables[1], (np.zeros(0, bool),) * 2, margin, (0.0, 0.0), share, tables[2], rest[1] / rest[0] if ready else 1.0)
     q = [F.when(F.col(f"t{k}") > 0, over(f"n{k}") / F.col(f"t{k}") + (1 - F.col(f"k{k}") / F.col(f"t{k}")) * F.col(f"p{k}")).otherwise(F.col(f"p{k}")) for k in (0, 1)]
     full = pairs.join(left, "h").join(known.select("w", "p0", "p1", F.col("ev").alias("own")), "w").select("w", "h", "own", ev(*q).alias("ev"))
     full = scratch.keep(full.filter((F.col("ev") > margin) | (F.col("own") > margin)).select("w", "h", "ev"), f"{name}_pairs")
@@ -246,17 +261,83 @@ def evidence(texts: DataFrame, model: Model) -> DataFrame:
     return total.select("t1", "t2", (F.col("mass") / F.sqrt("n")).alias("x")).filter("x > 0")
 
 
+def _ratios(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
+    """values at the wanted ones of sorted keys, `other` for those that are none."""
+    if not len(keys):
+        return np.full(len(wanted), other)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+def _pair_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(h.view(np.uint64) * np.uint64(4)) ^ w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PART) -> DataFrame:
+    """(t1, t2, x) of texts(t1, t2, text) with words: the log-likelihood of the whole text by the toxic model, interpolated with the
+    ordinary one, less that by the ordinary model, normalised by length: nats in 1000 words.
+
+    Every word counts: by its pair's ratio, or its own times what its context leaves to it, or that of unseen words. Tables of over
+    `part` rows are dealt by word, and each part is a pass over the texts; contexts, of the words' number at most, go with each.
+    """
+    sc, share, unseen = texts.sparkSession.sparkContext, model.share, model.unseen
+    parts = max(1, -(-(model.words.count() + model.pairs.count()) // part))
+    fetched = lambda df, *names: [x.to_numpy() for x in df.select(*names).toArrow().columns]
+
+    def ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(keys)
+        return keys[by], values[by]
+
+    contexts = sc.broadcast(ordered(*fetched(model.contexts, "h", "ev")))
+
+    def one(k: int) -> DataFrame:
+        mine = F.pmod(F.col("w"), F.lit(parts)) == k
+        w, h, ev = fetched(model.pairs.filter(mine), "w", "h", "ev")
+        sent = sc.broadcast((*ordered(*fetched(model.words.filter(mine), "w", "ev")), *ordered(_pair_key(w, h), ev)))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words_, word_ev, pairs_, pair_ev = sent.value
+            for batch in batches:
+                t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for a, b, buf, offs in chunks(batch.column(2)):
+                    w, h, row = _tokens(buf, offs)
+                    size = np.bincount(row, minlength=b - a)
+                    if parts > 1:
+                        at = np.flatnonzero(np.mod(w, parts) == k)
+                        w, h, row = w[at], h[at], row[at]
+                    # a chunk's pairs are looked up once each, in order
+                    key, first, back = np.unique(_pair_key(w, h), return_index=True, return_inverse=True)
+                    ratio = _ratios(pairs_, pair_ev, key, 0.0)
+                    weak = np.flatnonzero(ratio == 0)
+                    ratio[weak] = _ratios(words_, word_ev, w[first[weak]], unseen) * _ratios(*contexts.value, h[first[weak]], 1.0)
+                    total = np.bincount(row, np.log(1 - share + share * ratio)[back], minlength=b - a)
+                    full = np.flatnonzero(size)
+                    cols = (t1[a + full], t2[a + full], total[full], size[full])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", "s", "n"])
+
+        sums = texts.select("t1", "t2", "text").mapInArrow(scan, "t1 bigint, t2 bigint, s double, n bigint")
+        return sums.groupBy("t1", "t2").agg(F.max("s").alias("s"), F.max("n").alias("n"))  # copies add up alike
+
+    sums = one(0)
+    if parts > 1:
+        sums = scratch.keep(sums, "sums_0")
+        for k in range(1, parts):
+            sums = sums.unionByName(scratch.keep(one(k), f"sums_{k}"))
+        sums = sums.groupBy("t1", "t2").agg(F.sum("s").alias("s"), F.max("n").alias("n"))
+    return sums.select("t1", "t2", (1000 * F.col("s") / F.col("n")).alias("x"))
+
+
 def _hashed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression of y on log(1 + x), by Newton steps; the slope is never negative."""
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, curve=np.log1p) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of y on log(1 + x) or another curve, by Newton steps; the slope is never negative."""
     prior = (y.sum() + 0.5) / (len(y) + 5.0)
     w = np.array([0.0, np.log(prior / (1 - prior))])
     if len(y) < 8 or y.min() == y.max():
         return 0.0, float(w[1])
-    z, start = np.stack([np.log1p(x), np.ones(len(x))], axis=1), w.copy()
+    z, start = np.stack([curve(x), np.ones(len(x))], axis=1), w.copy()
     reg = np.diag([ridge, 1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -267,9 +348,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(start[1]))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", share: float | None = None) -> Model:
     """Counts of all labelled rows that may be used; calibrated on at most CALIBRATION_ROWS of a quarter of them, under counts without
-    that quarter.
+    that quarter. With a `share`, texts are judged by the whole length-normalised difference (`difference`), else by `evidence`.
 
     Null labels are none; of several labels of a document the highest counts; null texts are empty. Repeated rows count each.
     Empty tables or one class give a model in which nothing counts and every score is the smoothed share of toxic rows.
@@ -295,10 +376,12 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
 
     bounded = rows.filter("held = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("z", "y").mapInArrow(texts, "text string, y int")
     bounded = scratch.keep(bounded.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text", "y"), "calibration")
-    x = bounded.join(evidence(bounded, fit(counts, scratch, "part", False)), ["t1", "t2"], "left").select(F.coalesce("x", F.lit(0.0)).alias("x"), "y").toArrow()
-    model = fit(counts, scratch, "all", True)
-    model.weights = calibrate(x.column("x").to_numpy(), x.column("y").to_numpy().astype(float))
-    for name in ("labels", "rows", "counts", "calibration", "part_known", "part_words", "part_pairs", "all_known"):
+    part = fit(counts, scratch, "part", False, share=share)
+    found = evidence(bounded, part) if share is None else difference(bounded, part, scratch)
+    x = bounded.join(found, ["t1", "t2"], "left").select(F.coalesce("x", F.lit(0.0)).alias("x"), "y").toArrow()
+    model = fit(counts, scratch, "all", True, share=share)
+    model.weights = calibrate(x.column("x").to_numpy(), x.column("y").to_numpy().astype(float), curve=np.log1p if share is None else np.arcsinh)
+    for name in ("labels", "rows", "counts", "calibration", "part_known", "part_words", "part_pairs", "part_contexts", "all_known"):
         scratch.drop(name)
     return model
 
@@ -314,10 +397,13 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     t1, t2, x = free_names(docs.columns, "t1", "t2", "x")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = evidence(_hashed(docs, text), model).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("x").alias(x))
+    hashed = _hashed(docs, text)
+    found = evidence(hashed, model) if model.share is None else difference(hashed, model, Scratch(docs.sparkSession, "toxic_sums"))
+    found = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("x").alias(x))
     d = docs.select(*keep, F.xxhash64(text).alias(t1), F.xxhash64(text, F.lit(1)).alias(t2)).join(found, [t1, t2], "left")
     slope, base = model.weights
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.log1p(F.coalesce(F.col(x), F.lit(0.0))) + F.lit(base))))
+    z = F.coalesce(F.col(x), F.lit(0.0))
+    score = 1 / (1 + F.exp(-(F.lit(slope) * (F.log1p(z) if model.share is None else F.asinh(z)) + F.lit(base))))
     return d.withColumn(x, score).select(*keep, F.col(x).alias("score"), (F.col(x) >= threshold).cast("int").alias("predicted"))
 
 

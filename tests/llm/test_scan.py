@@ -20,7 +20,8 @@ from probity.llm.decontaminate import find_leaks
 from probity.llm.langid import identify, read_markup, text_scores, train_text
 from probity.llm.mixing import leaf_budgets, mix
 from probity.llm.secrets import Scanner, find_secrets
-from probity.llm.toxicity import _gather, held_out, score_documents, train_model
+from probity.llm.toxicity import SHARE, _gather, _hashed, difference, held_out, score_documents, train_model
+from probity.llm.common import Scratch
 from probity.llm.warc import archive_round_trip, build_record, digest, parse_record
 from probity.llm.ziparchive import Bytes, ZipReader, ZipWriter
 
@@ -168,6 +169,54 @@ def test_toxicity_equals_plain_kneser_ney(spark):
     assert all(abs(got[i] - score(x)) < 1e-9 for i, x in enumerate(want))
 
 
+def plain_difference(texts, discount=3, share=SHARE):
+    """Nats in 1000 words by which the toxic model, interpolated with the ordinary one, finds texts likelier, with dictionaries."""
+    toks = [re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode()) for t, _ in texts]
+    pairs = [Counter(), Counter()]
+    for w, (_, y) in zip(toks, texts):
+        pairs[y].update(zip(["start", *w], w) if w else ())
+        pairs[y].update([("nothing", "start")] if w else ())
+    used, kept = [Counter() for _ in pairs], [Counter() for _ in pairs]
+    for c, p in enumerate(pairs):
+        for (h, w), n in p.items():
+            used[c][w] += n
+            kept[c][h] += max(n - discount, 0)
+    cont = [Counter(w for _, w in p) for p in pairs]
+    either = Counter(w for _, w in pairs[0] | pairs[1])
+    seen = [sum(c.values()) for c in cont]
+
+    def word(c, w):
+        low = (either[w] + 0.5) / (sum(either.values()) + 0.5 * (len(either) + 1))
+        return max(cont[c][w] - discount, 0) / seen[c] + (1 - sum(max(n - discount, 0) for n in cont[c].values()) / seen[c]) * low
+
+    def pair(c, h, w):
+        n = used[c][h]
+        return max(pairs[c][h, w] - discount, 0) / n + (1 - kept[c][h] / n) * word(c, w) if n else word(c, w)
+
+    return [1000 * sum(math.log(1 - share + share * pair(1, h, x) / pair(0, h, x)) for h, x in zip(["start", *w], w)) / len(w) if w else 0.0 for w in toks]
+
+
+def test_toxicity_by_the_whole_normalised_difference(spark):
+    """Every word of a text counts, for either class, by the length: words of ordinary texts lower the score, which a margin hides."""
+    rng, texts = random.Random(9), []
+    for i in range(240):
+        w = [f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 40))] + ["kind"] * (i % 4 > 1)
+        for _ in range(3 if i % 4 == 0 else 0):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["vile", "foul", "vile w1", "Grim"]))
+        texts.append((" ".join(w), int(i % 4 == 0)))
+    texts += [("", 0), texts[0], ("unheard of", 0)]
+    want = plain_difference(texts)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = train_model(docs, labels, share=SHARE)
+    score = lambda x: 1 / (1 + math.exp(-(model.weights[0] * math.asinh(x) + model.weights[1])))
+    got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
+    assert model.weights[0] > 0 and min(want) < 0 < max(want)
+    assert all(abs(got[i] - score(x)) < 1e-9 for i, x in enumerate(want))
+    few = difference(_hashed(docs, F.col("text")), model, Scratch(spark, "t"), part=20).collect()
+    assert sorted(round(r.x, 9) for r in few) == sorted({t: round(x, 9) for (t, _), x in zip(texts, want) if t}.values())
+
+
 def test_toxicity_counts_are_whole_across_batches():
     rng = np.random.default_rng(8)
     rows = sorted((int(w), int(h), int(4 * n + c)) for w, h, c, n in zip(rng.integers(0, 9, 400), rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(1, 4, 400)))
