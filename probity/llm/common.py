@@ -53,10 +53,13 @@ class Scratch:
         path, fs = self._fs(name)
         fs.delete(path, True)
 
-    def tidy(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of stages whose results are already written."""
+    def tidy(self, last: bool = False) -> None:
+        """Lets Spark's cleaner remove the shuffle files of stages whose results are already written. Spark holds on to the last
+        query until another has run, so those of the last written table only go with `last`, which runs one on a single row."""
         import gc
 
+        if last:
+            self.spark.range(0, 1, 1, 1).count()
         gc.collect()
         self.spark._jvm.System.gc()
 

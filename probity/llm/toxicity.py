@@ -93,7 +93,8 @@ def _unpacked(column: pa.Array) -> pa.Array:
 
 def count_pairs(train: DataFrame) -> DataFrame:
     """(w, h, n) counts of words w after words h over train(z, y, held), all rows, summed per task before the shuffle; n is four times the
-    count, 1 more for toxic rows and 2 more for held ones. Each text with words also has its start, after nothing."""
+    count, 1 more for toxic rows and 2 more for held ones. Each text with words also has its start, after nothing. A batch is in order of
+    w: rows of a word lie together, so that the shuffle's compression stores it about once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
@@ -104,6 +105,8 @@ def count_pairs(train: DataFrame) -> DataFrame:
             u = mix(h.view(np.uint64) * np.uint64(4) + code)
             u ^= w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             _, at, n = np.unique(u, return_index=True, return_counts=True)
+            by = np.argsort(w[at])
+            at, n = at[by], n[by]
             return pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(h[at]), pa.array(n << 2 | code[at])], names=["w", "h", "n"])
 
         for batch in batches:
@@ -364,11 +367,11 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
     marks[y.select(_slot("id").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
     rows = _packed(d, marks).hint("merge").join(y.hint("merge"), "id").select("id", "z", "y", (_fold(F.col("id"), 4) == 0).cast("int").alias("held"))
     rows = scratch.keep(rows, "rows", "uncompressed")
-    scratch.tidy()
+    scratch.tidy(last=True)
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = count_pairs(rows).repartition(parts, "w").sortWithinPartitions("w", "h")
     counts = scratch.keep(counts.mapInArrow(lambda x: _gather(x, DISCOUNT), "kind int, w bigint, h bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)), "counts")
-    scratch.tidy()
+    scratch.tidy(last=True)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -376,6 +379,7 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
 
     bounded = rows.filter("held = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("z", "y").mapInArrow(texts, "text string, y int")
     bounded = scratch.keep(bounded.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text", "y"), "calibration")
+    scratch.tidy()  # once more, should the shuffled pairs still have been in use
     part = fit(counts, scratch, "part", False, share=share)
     found = evidence(bounded, part) if share is None else difference(bounded, part, scratch)
     x = bounded.join(found, ["t1", "t2"], "left").select(F.coalesce("x", F.lit(0.0)).alias("x"), "y").toArrow()

@@ -9,18 +9,21 @@ import re
 import time
 import zipfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
+from probity.llm import toxicity
 from probity.llm.automaton import Automaton
 from probity.llm.decontaminate import find_leaks
 from probity.llm.langid import identify, read_markup, text_scores, train_text
 from probity.llm.mixing import leaf_budgets, mix
 from probity.llm.secrets import Scanner, find_secrets
-from probity.llm.toxicity import SHARE, _gather, _hashed, difference, held_out, score_documents, train_model
+from probity.llm.toxicity import SHARE, _gather, _hashed, count_pairs, difference, held_out, score_documents, train_model
 from probity.llm.common import Scratch
 from probity.llm.warc import archive_round_trip, build_record, digest, parse_record
 from probity.llm.ziparchive import Bytes, ZipReader, ZipWriter
@@ -217,6 +220,42 @@ def test_toxicity_by_the_whole_normalised_difference(spark):
     assert sorted(round(r.x, 9) for r in few) == sorted({t: round(x, 9) for (t, _), x in zip(texts, want) if t}.values())
 
 
+def test_toxicity_keeps_no_shuffled_pairs_while_it_fits(spark, monkeypatch):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+    rng, before, left, fit = random.Random(2), files(), [], toxicity.fit
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(1000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(1000)], "doc_id long, toxic int")
+
+    def size(f):
+        try:
+            return f.stat().st_size
+        except FileNotFoundError:  # the cleaner works beside the query
+            return 0
+
+    def watched(*args, **more):
+        end = time.time() + 5
+        while sum(map(size, files() - before)) > 500_000 and time.time() < end:
+            time.sleep(0.1)
+        left.append(sum(map(size, files() - before)))
+        return fit(*args, **more)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    train_model(docs, labels, share=SHARE)
+    assert len(left) == 2 and max(left) < 500_000
+
+
+def test_toxicity_counts_leave_tasks_by_word(spark):
+    """Rows of a word lie together, which is what the shuffle's compression saves by."""
+    z, rng = zstandard.ZstdCompressor(), random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame([(bytearray(z.compress(t.encode())), i % 2, 0) for i, t in enumerate(texts)], "z binary, y int, held int").coalesce(1)
+    got = count_pairs(rows).toArrow()
+    w = got["w"].to_numpy()
+    assert (w[1:] >= w[:-1]).all() and len(set(w)) == 51
+    assert sum(n >> 2 for n in got["n"].to_pylist()) == 41 * 300
+
+
 def test_toxicity_counts_are_whole_across_batches():
     rng = np.random.default_rng(8)
     rows = sorted((int(w), int(h), int(4 * n + c)) for w, h, c, n in zip(rng.integers(0, 9, 400), rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(1, 4, 400)))
