@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_groups
+from . import chat, filter_audit, trie
 from .langid import identify, train_text
 from .lines import dedup_units
 from .mixing import mix, mix_sql
@@ -69,15 +70,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("leak_spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_secrets, op3_toxicity, op4_warc, op5_simhash, op6_exact, op7_langid, op8_lines, op9_mixture, op10_decontaminate, op11_filter_audit, op12_chat, op13_prefix_trie, pipeline)}
 
 ORACLES = {
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_chat": chat.SQL,
+    "op13_prefix_trie": trie.SQL,
     "op8_lines": """with t as (select doc_id, coalesce(text, '') s from documents),
 p as (select doc_id, s, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') ps from t),
 w as (select doc_id, strlen(s) size, unnest(ps) p, unnest(range(1, len(ps) + 1)) i from p),

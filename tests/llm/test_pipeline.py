@@ -90,7 +90,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         want = con.sql(sql).df()
@@ -100,4 +100,4 @@ def test_queries_match_their_sql(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 14))
