@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions import scans, selection
+from probity.sources.tables import Store
+
 TINY = 1e-12
 
 
@@ -81,58 +84,95 @@ def zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "zscore
     return j.withColumn(out, F.when(F.col("__s") < TINY, 0.0).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
-def modified_zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "modified_z") -> DataFrame:
-    """0.6745 * (x - median) / MAD; where the MAD is 0, (x - median) / (1.253314 * mean absolute deviation); else 0."""
+def modified_zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "modified_z", least: int = selection.LEAST) -> DataFrame:
+    """0.6745 * (x - median) / MAD; where the MAD is 0, (x - median) / (1.253314 * mean absolute deviation); else 0.
+
+    Medians are of the finite values and exact; groups of over `least` rows are selected from by counting passes, so none is sorted or
+    mapped in one task. A null group is a group; null where x is null or its group has no finite value."""
+    med, dev, mad, mean = scans.free(df, "med", "dev", "mad", "mean")
+    d = scans.join_on(df, selection.quantiles(df, value, by, {med: 0.5}, least), by, "left") if by else _one(df, selection.quantiles(df, value, (), {med: 0.5}, least))
+    d = d.withColumn(dev, F.col(value) - F.col(med))
+    size = F.abs(F.col(dev))
+    means = d.filter(~F.isnan(dev) & (size < float("inf"))).groupBy(*by).agg(F.avg(size).alias(mean))
+    mads = selection.quantiles(d, size, by, {mad: 0.5}, least)
+    d = scans.join_on(scans.join_on(d, mads, by, "left"), means, by, "left") if by else _one(_one(d, mads), means)
+    z = F.when(F.col(dev).isNull(), None).when(F.col(mad) >= TINY, 0.6745 * F.col(dev) / F.col(mad)).when(F.col(mean) >= TINY, F.col(dev) / (1.253314 * F.col(mean))).otherwise(0.0)
+    return d.drop(out).withColumn(out, z).drop(med, dev, mad, mean)
 
-    def back(d: DataFrame, s: DataFrame) -> DataFrame:
-        return d.join(s, list(by)) if by else d.crossJoin(F.broadcast(s))  # one row
 
-    d = back(df, df.groupBy(*by).agg(F.median(value).alias("__med")))
-    d = d.withColumn("__dev", F.col(value) - F.col("__med"))
-    d = back(d, d.groupBy(*by).agg(F.median(F.abs("__dev")).alias("__mad"), F.avg(F.abs("__dev")).alias("__mean")))
-    z = F.when(F.col("__mad") >= TINY, 0.6745 * F.col("__dev") / F.col("__mad")).when(F.col("__mean") >= TINY, F.col("__dev") / (1.253314 * F.col("__mean"))).otherwise(0.0)
-    return d.withColumn(out, z).drop("__med", "__dev", "__mad", "__mean")
+def _one(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of row, a table of one row or none, where they are null."""
+    return df.join(F.broadcast(row), F.lit(True), "left")
 
 
-def robust_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean, population sd, median, mad, min, max, q1, q3, iqr, skewness, kurtosis (excess) of the finite values."""
+def robust_stats(df: DataFrame, value: str, by: Sequence[str] = (), least: int = selection.LEAST) -> DataFrame:
+    """n, mean, population sd, median, mad, min, max, q1, q3, iqr, skewness, kurtosis (excess) of the finite values.
+
+    Order statistics are exact and selected by counting in groups of over `least` rows. A null group is a group."""
     d = df.select(*by, finite(F.col(value)).alias("x")).filter("x is not null")
-    med = d.groupBy(*by).agg(F.median("x").alias("m"))
-    d = d.join(med, list(by)) if by else d.crossJoin(F.broadcast(med))  # one row
+    ranks = selection.quantiles(d, "x", by, {"median": 0.5, "q1": 0.25, "q3": 0.75}, least)
+    meds = ranks.select(*by, F.col("median").alias("m"))
+    dev = scans.join_on(d, meds, by) if by else _one(d, meds)
+    mads = selection.quantiles(dev, F.abs(F.col("x") - F.col("m")), by, {"mad": 0.5}, least)
     flat = F.stddev_pop("x") < TINY
-    return d.groupBy(*by).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.median("x").alias("median"), F.median(F.abs(F.col("x") - F.col("m"))).alias("mad"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"),
-        (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"),
+    sums = d.groupBy(*by).agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
         F.when((F.count("x") < 3) | flat, 0.0).otherwise(F.skewness("x")).alias("skewness"), F.when((F.count("x") < 4) | flat, 0.0).otherwise(F.kurtosis("x")).alias("kurtosis"),
     )
+    both = scans.join_on(scans.join_on(sums, ranks, by, "left"), mads, by, "left") if by else _one(_one(sums, ranks), mads)
+    return both.select(*by, "n", "mean", "std", "median", "mad", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "skewness", "kurtosis")
 
 
 def percentile_threshold(value: str, p: float) -> Column:
-    """Exact percentile with linear interpolation, p held to [0, 100]; 0 for no rows."""
+    """Exact percentile with linear interpolation, p held to [0, 100]; 0 for no rows. For groups that fit a task; percentile_limits for others."""
     return F.coalesce(F.percentile(value, F.lit(min(100.0, max(0.0, p)) / 100)), F.lit(0.0))
 
 
-def ks_two_sample(df: DataFrame, value: str, side: str, by: Sequence[str] = ()) -> DataFrame:
-    """Largest gap between the distributions of side 0 and side 1, with the asymptotic p-value. Ties are counted once each."""
+def percentile_limits(df: DataFrame, value: str, p: float, by: Sequence[str] = (), out: str = "limit", least: int = selection.LEAST) -> DataFrame:
+    """One row a group with that percentile, for groups of any size; without `by` one row, 0 where there are no values."""
+    q = selection.quantiles(df, value, by, {out: min(100.0, max(0.0, p)) / 100}, least)
+    return q if by else q.agg(F.coalesce(F.max(out), F.lit(0.0)).alias(out))
+
+
+def ks_two_sample(df: DataFrame, value: str, side: str, by: Sequence[str] = (), least: int = scans.LEAST) -> DataFrame:
+    """Largest gap between the distributions of side 0 and side 1, with the asymptotic p-value. Ties are counted once each.
+
+    A group with rows of one side only has neither. Equal values are summed first. Groups of over `least` different values are scanned in two levels (scans.Scan), so none is one task's."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(side) == 0).cast("bigint")).alias("a"), F.sum((F.col(side) == 1).cast("bigint")).alias("b"))
-    run = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    c = counts.select(*by, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    out = c.groupBy(*by).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("statistic"), F.max("na").alias("n_baseline"), F.max("nb").alias("n_current"))
+    store = Store(df.sparkSession, "ks")
+    counts = store.keep(counts)
+    if scans.largest_group(counts, by) > least:
+        scan = scans.Scan(counts, by, [F.col(value).asc_nulls_first()], store)
+        whole = counts.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+        c = scans.join_on(scan.clean(scan.sums(ca=F.col("a"), cb=F.col("b"))), whole, by)
+        c = c.select(*by, (F.col("ca") + F.col("a")).alias("ca"), (F.col("cb") + F.col("b")).alias("cb"), "na", "nb")
+    else:
+        run, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
+        c = counts.select(*by, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
+    out = c.groupBy(*by).agg(F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("statistic"), F.max("na").alias("n_baseline"), F.max("nb").alias("n_current"))
     lam = F.sqrt(F.col("n_baseline") * F.col("n_current") / (F.col("n_baseline") + F.col("n_current"))) * F.col("statistic")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + 2 * F.pow(F.lit(-1.0), k - 1) * F.exp(-2 * lam * lam * k * k))
-    return out.withColumn("p_value", F.when(lam < 0.2, 1.0).otherwise(clamp(series)))
+    return out.withColumn("p_value", F.when(lam < 0.2, 1.0).when(F.col("statistic").isNotNull(), clamp(series)))
 
 
-def bimodality(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def bimodality(df: DataFrame, value: str, by: Sequence[str] = (), least: int = scans.LEAST) -> DataFrame:
     """Best split of a group's sorted values between its 10th and 90th percentile: the distance of the sides' means over their
-    pooled sd. Bimodal above 5 with over 8 % on the smaller side; groups of fewer than 8 are never. The earliest best wins."""
+    pooled sd. Bimodal above 5 with over 8 % on the smaller side; groups of fewer than 8 are never. The earliest best wins.
+
+    Groups of over `least` rows are scanned in two levels (scans.Scan), so none is one task's."""
     d = df.select(*by, F.col(value).cast("double").alias("x")).filter("x is not null")
-    w = Window.partitionBy(*by)
-    upto = w.orderBy("x", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__tie", F.monotonically_increasing_id())
-    d = d.select(*by, "x", F.row_number().over(w.orderBy("x", "__tie")).alias("k"), F.count("x").over(w).alias("n"), F.sum("x").over(upto).alias("s"), F.sum(F.col("x") * F.col("x")).over(upto).alias("q"), F.sum("x").over(w).alias("ts"), F.sum(F.col("x") * F.col("x")).over(w).alias("tq"))
+    square = F.col("x") * F.col("x")
+    store = Store(df.sparkSession, "split")
+    d = store.keep(d)
+    if scans.largest_group(d, by) > least:
+        scan = scans.Scan(d, by, [F.col("x").asc()], store)
+        whole = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("ts"), F.sum(square).alias("tq"))
+        d = scans.join_on(scan.clean(scan.sums(k=F.lit(1).cast("bigint"), s=F.col("x"), q=square)), whole, by).withColumn("k", F.col("k") + 1)
+    else:
+        w = Window.partitionBy(*by)
+        upto = w.orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("tie", F.monotonically_increasing_id())
+        d = d.select(*by, "x", F.row_number().over(w.orderBy("x", "tie")).alias("k"), F.count("x").over(w).alias("n"), F.sum("x").over(upto).alias("s"), F.sum(square).over(upto).alias("q"), F.sum("x").over(w).alias("ts"), F.sum(square).over(w).alias("tq"))
     left, right = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k") + 1).cast("double")
     ml, mr = F.col("s") / left, (F.col("ts") - F.col("s")) / right
     vl, vr = F.greatest(F.col("q") / left - ml * ml, F.lit(0.0)), F.greatest((F.col("tq") - F.col("q")) / right - mr * mr, F.lit(0.0))

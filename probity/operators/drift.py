@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.selection import quantiles
 from probity.functions.stats import bimodality, clamp, ks_two_sample
 from probity.functions.vectors import centroids, cosine, norm, squared_distance
+from probity.operators import kernels
 
-#: Co-movements with a physical explanation: name, direction of each property (0: either), required ones, matches needed (fixed values).
+#: Movements that go together for a physical reason: code, direction of each property (0: either), required ones, matches needed (fixed values but for the codes).
 SIGNATURES = (
-    ("failing daylight or dusk (illumination loss)", {"brightness": -1, "contrast": -1, "sharpness": -1, "color_warmth": 0}, ("brightness",), 2),
-    ("atmospheric attenuation (haze, dust, rain)", {"brightness": 1, "contrast": -1, "edge_density": -1, "sharpness": -1}, ("contrast", "edge_density", "sharpness"), 2),
-    ("sensor or optics change (focus, resolution)", {"sharpness": 1, "edge_density": 1, "contrast": 0}, ("sharpness",), 1),
-    ("seasonal or theatre change (vegetation, terrain colour)", {"color_warmth": 0, "brightness": 0, "contrast": 0}, ("color_warmth",), 2),
+    ("LOW_LIGHT", {"brightness": -1, "contrast": -1, "sharpness": -1, "color_warmth": 0}, ("brightness",), 2),
+    ("HAZE", {"brightness": 1, "contrast": -1, "edge_density": -1, "sharpness": -1}, ("contrast", "edge_density", "sharpness"), 2),
+    ("OPTICS_CHANGE", {"sharpness": 1, "edge_density": 1, "contrast": 0}, ("sharpness",), 1),
+    ("SEASON", {"color_warmth": 0, "brightness": 0, "contrast": 0}, ("color_warmth",), 2),
 )
 
 
@@ -26,8 +28,8 @@ def property_drift(df: DataFrame, properties: list[str], side: str = "side", mat
     """Per property: means, z of the mean's move in baseline sds (1.4826 MAD where the sd is 0), relative change, direction, flags, KS."""
     d = long_form(df, properties, side)
     base = d.filter("side = 0")
-    med = base.groupBy("property").agg(F.median("value").alias("med"))
-    mad = base.join(med, "property").groupBy("property").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    med = quantiles(base, "value", ["property"], {"med": 0.5})
+    mad = quantiles(base.join(med, "property"), F.abs(F.col("value") - F.col("med")), ["property"], {"mad": 0.5})
     one = lambda s: F.col("side") == s
     a = d.groupBy("property").agg(F.avg(F.when(one(0), F.col("value"))).alias("baseline_mean"), F.stddev_pop(F.when(one(0), F.col("value"))).alias("sd"), F.avg(F.when(one(1), F.col("value"))).alias("current_mean"), F.count_if(one(0)).alias("n0"), F.count_if(one(1)).alias("n1"))
     a = a.filter("n0 > 0 and n1 > 0").join(mad, "property").join(ks_two_sample(d, "value", "side", ["property"]).select("property", "statistic", "p_value"), "property")
@@ -78,26 +80,15 @@ def projection_bimodality(df: DataFrame, vector: str = "embedding", side: str =
     return b.withColumn("concentrated", F.col("bimodal") & (F.col("minority_fraction") > 0.02) & (F.col("minority_fraction") < 0.80))
 
 
-def mmd(df: DataFrame, vector: str = "embedding", side: str = "side", cap: int = 500, id_col: str = "vec_id") -> DataFrame:
-    """(mmd, gamma, n0, n1): unbiased RBF maximum mean discrepancy with the median heuristic, on at most `cap` rows a side.
+def mmd(df: DataFrame, vector: str = "embedding", side: str = "side", id_col: str = "vec_id", features: int | None = None) -> DataFrame:
+    """(mmd, gamma, n0, n1, error_bound): RBF maximum mean discrepancy with the median heuristic, of all rows that have a vector.
 
-    The cap is the measure's own (it is quadratic); rows are taken in the order of a hash of the id, which any engine can do.
+    Exact over all pairs, by tiles (kernels.mmd_exact), with error_bound 0; its work is quadratic. With `features` one pass over the rows by
+    that many random features, for tables where pairs are too many: error_bound then bounds what mmd^2 can be off by, at 99 %.
     """
-    d = df.select(F.col(side).alias("side"), F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    key = F.struct(F.md5(F.col("id").cast("string")).alias("k"), "id", "v")
-    few = None
-    for s in (0, 1):
-        top = d.filter(F.col("side") == s).select("side", key.alias("r")).orderBy("r.k").limit(cap)
-        few = top if few is None else few.unionByName(top)
-    few = few.select("side", "r.id", "r.v")
-    a, b = few.alias("a"), few.alias("b")
-    p = a.crossJoin(F.broadcast(b)).filter(F.col("a.id") < F.col("b.id")).select(F.col("a.side").alias("s"), F.col("b.side").alias("t"), squared_distance(F.col("a.v"), F.col("b.v")).alias("d"))  # at most (2 cap)^2 pairs
-    g = p.agg(F.median("d").alias("med")).select((1 / F.when(F.col("med") > 0, F.col("med")).otherwise(1.0)).alias("gamma"))
-    k = p.crossJoin(F.broadcast(g)).withColumn("k", F.exp(-F.col("gamma") * F.col("d")))
-    part = lambda cond: F.avg(F.when(cond, F.col("k")))
-    out = k.agg(part((F.col("s") == 0) & (F.col("t") == 0)).alias("xx"), part((F.col("s") == 1) & (F.col("t") == 1)).alias("yy"), part(F.col("s") != F.col("t")).alias("xy"), F.first("gamma").alias("gamma"))
-    n = few.agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    return out.crossJoin(n).select(F.sqrt(F.greatest(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(0.0))).alias("mmd"), "gamma", "n0", "n1")  # one row each
+    d = df.filter(F.col(vector).isNotNull() & F.col(side).isin(0, 1)).select(F.col(side).cast("int").alias("side"), F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    value, gamma, n, bound = (*kernels.mmd_exact(d), 0.0) if features is None else kernels.mmd_features(d, features)
+    return df.sparkSession.createDataFrame([(value, gamma, n.get(0, 0), n.get(1, 0), bound)], "mmd double, gamma double, n0 bigint, n1 bigint, error_bound double")
 
 
 def characterise(props: DataFrame, features: DataFrame | None, signatures: DataFrame, mmd_limit: float = 0.05, centroid_limit: float = 0.15) -> DataFrame:

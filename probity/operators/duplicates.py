@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.selection import quantiles
 from probity.functions.stats import clamp
 
 
@@ -89,8 +90,8 @@ def flood_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     far = pairs.join(members.select(F.col("id").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.max("distance").alias("most"))
     s = size.join(far, "cluster", "left").select("cluster", "size", (F.coalesce("most", F.lit(0)) == 0).alias("exact"))
-    med = s.agg(F.median("size").alias("med"))
-    mad = s.crossJoin(F.broadcast(med)).agg(F.first("med").alias("med"), F.median(F.abs(F.col("size") - F.col("med"))).alias("mad"))  # one row
+    med = quantiles(s, "size", (), {"med": 0.5})
+    mad = quantiles(s.crossJoin(F.broadcast(med)), F.abs(F.col("size") - F.col("med")), (), {"mad": 0.5}).crossJoin(med)  # one row
     s = s.crossJoin(F.broadcast(mad)).withColumn("threshold", F.greatest(F.lit(4), F.ceil(F.col("med") + 3 * F.greatest(1.4826 * F.col("mad"), F.lit(1.0)))).cast("bigint"))
     flood = F.col("size") >= F.col("threshold")
     c = clamp(0.55 + 0.06 * (F.col("size") - F.col("threshold")), 0.0, 0.95)

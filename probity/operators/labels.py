@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.selection import quantiles
 from probity.functions.stats import clamp, softmax
 from probity.functions.vectors import centroids, squared_distance
 from probity.operators.neighbours import nearest
@@ -21,11 +24,12 @@ def centroid_distances(df: DataFrame, min_class: int = 8, std_multiplier: float
     return d.select("id", "label", "n", "distance", "threshold", (big & (F.col("sd") >= 1e-9) & (F.col("distance") > F.col("threshold"))).alias("distance_flag"))
 
 
-def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier: float = 2.0, disagreement: float = 0.6, majority: float = 0.5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", within: str | None = None) -> DataFrame:
+def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier: float = 2.0, disagreement: float = 0.6, majority: float = 0.5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", within: str | None = None, neighbours: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Rows whose label its neighbours or its class's centroid contradict, with a confidence.
 
     Of the k nearest rows of all classes: agreement is the share with the row's own label; the suggested label is the most
     frequent one (the smallest of ties). With `within` (a contributor, say) each of its values is a population of its own.
+    `neighbours(df, k)` gives (id, neighbour), such as cells.indexed for tables too large for all pairs; without it they are exact.
     """
     if within is None:
         dist = centroid_distances(df, min_class, std_multiplier, id_col, label, vector)
@@ -33,7 +37,7 @@ def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier:
         own_class = df.withColumn("__class", F.struct(F.col(within).alias("g"), F.col(label).alias("label")))
         dist = centroid_distances(own_class, min_class, std_multiplier, id_col, "__class", vector).withColumn("label", F.col("label.label"))
     labels = df.select(F.col(id_col).alias("neighbour"), F.col(label).alias("nl"))
-    votes = nearest(df, k, id_col, vector, within=within).join(labels, "neighbour").groupBy("id", "nl").agg(F.count(F.lit(1)).alias("c"))
+    votes = (neighbours(df, k) if neighbours else nearest(df, k, id_col, vector, within=within)).join(labels, "neighbour").groupBy("id", "nl").agg(F.count(F.lit(1)).alias("c"))
     own = df.select(F.col(id_col).alias("id"), F.col(label).alias("own"))
     votes = votes.join(own, "id").groupBy("id").agg(F.sum("c").alias("k"), F.coalesce(F.sum(F.when(F.col("nl") == F.col("own"), F.col("c"))), F.lit(0)).alias("same"), F.max_by(F.struct("nl", "c"), F.struct("c", -F.col("nl"))).alias("top"))
     j = dist.filter("threshold is not null").join(votes, "id")
@@ -54,7 +58,7 @@ def class_probabilities(df: DataFrame, min_class: int = 8, id_col: str = "vec_id
     c = centroids(d, "label", "v", min_class)
     table = c.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("c"))  # one row: a class each
     d2 = d.crossJoin(F.broadcast(table)).select("id", "label", F.transform("c", lambda x: x["label"]).alias("classes"), F.transform("c", lambda x: squared_distance(F.col("v"), x["centroid"])).alias("d2"))
-    scale = d2.select(F.explode("d2").alias("x")).agg(F.median("x").alias("scale"))
+    scale = quantiles(d2.select(F.explode("d2").alias("x")), "x", (), {"scale": 0.5})
     p = d2.crossJoin(F.broadcast(scale)).select("id", "label", "classes", softmax(F.transform("d2", lambda x: -x / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))).alias("probs"))
     return p, c.select("label", "n")
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.functions.stats import energy_score, modified_zscore, percentile_threshold
+from probity.functions.stats import energy_score, modified_zscore, percentile_limits
 from probity.functions.vectors import centroids, squared_distance
 
 #: Rows of a class, at most, that its silhouette is computed from.
@@ -75,7 +75,7 @@ def mahalanobis(df: DataFrame, min_class: int = 8, shrink: float = 0.1, id_col:
 def mahalanobis_ood(df: DataFrame, percentile: float = 99.0, **names) -> DataFrame:
     """mahalanobis with a robust z over all rows; flagged strictly above its class's percentile (class scope only)."""
     d = modified_zscore(mahalanobis(df, **names), "distance", out="z")
-    limit = d.filter("scope = 'class'").groupBy("label").agg(percentile_threshold("distance", percentile).alias("limit"))
+    limit = percentile_limits(d.filter("scope = 'class'"), "distance", percentile, ["label"])
     return d.join(limit, "label", "left").select("id", "label", "distance", "z", F.coalesce((F.col("scope") == "class") & (F.col("distance") > F.col("limit")), F.lit(False)).alias("flagged"))
 
 
@@ -160,7 +160,7 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
             yield pd.DataFrame({"id": pdf["id"], "score": 2 ** (-total / max(trees, 1) / max(norm(size), 1e-9))})
 
     d = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(score, "id bigint, score double")
-    limit_row = d.agg(percentile_threshold("score", 100 * (1 - contamination)).alias("limit"))
+    limit_row = percentile_limits(d, "score", 100 * (1 - contamination))
     return d.crossJoin(F.broadcast(limit_row)).select("id", "score", (F.col("score") > F.col("limit")).alias("flagged"))  # one row
 
 

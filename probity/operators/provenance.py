@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions import scans
 from probity.functions.text import CHAINED, GENESIS, record_hash
+from probity.sources.tables import Store
 
 #: Confidence and severity by break type (fixed values).
 BREAKS = {
@@ -40,31 +42,36 @@ def link_records(records: DataFrame, chain: str, order: list[str], reseal: bool
 def verify_chain(records: DataFrame, chain: str, order: list[str], skew_ns: int = 1_000_000_000) -> DataFrame:
     """One row per break: chain, index, record_id, break_type, expected, found. A record can have several.
 
-    Stored hashes are compared with their predecessor's stored hash, so every record is checked on its own and a chain is
-    one window. Firsts (nonce, sequence number) are found by aggregates that are joined back.
+    Stored hashes are compared with their predecessor's stored hash, so every record is checked on its own. What comes before a record
+    (its place, the last hash, sequence number and time) is scanned in two levels (scans.Scan): ranges of records, then one row a
+    range, so that a chain of all records is spread like any other. Firsts (nonce, sequence number) are aggregates that are joined back, so
+    neither a chain nor one nonce in very many records meets in a task. Records that tie in `order` keep one order.
     """
-    w = Window.partitionBy(chain).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    d = records.withColumn("__calc", record_hash()).withColumn("__own", F.when(txt("record_hash") != "", txt("record_hash")).otherwise(F.col("__calc")))
-    d = d.withColumn("__ts", F.coalesce(F.col("timestamp_ns"), F.lit(0))).withColumn("index", F.row_number().over(w) - 1).withColumn("__seq", F.coalesce("sequence_number", F.col("index").cast("bigint")))
-    d = d.withColumns({
-        "__prev": F.coalesce(F.lag("__own").over(w), F.lit(GENESIS)), "__pseq": F.lag("__seq").over(w),
-        "__pts": F.last(F.when(F.col("__ts") > 0, F.col("__ts")), ignorenulls=True).over(before),
-        "__fn": F.min("index").over(Window.partitionBy(chain, "nonce")), "__fs": F.min("index").over(Window.partitionBy(chain, "__seq")),
-    })
+    store = Store(records.sparkSession, "chain")
+    calc, own, ts, seq, prev, pseq, pts, fn, fs = scans.free(records, "calc", "own", "ts_of", "seq_of", "prev_of", "seq_before", "ts_before", "first_nonce", "first_seq")
+    d = records.withColumn(calc, record_hash()).withColumn(own, F.when(txt("record_hash") != "", txt("record_hash")).otherwise(F.col(calc)))
+    d = d.withColumn(ts, F.coalesce(F.col("timestamp_ns"), F.lit(0)))
+    scan = scans.Scan(d, [chain], [F.col(c).asc_nulls_first() for c in order], store)
+    d = scan.sums(index=F.lit(1).cast("bigint")).withColumn(seq, F.coalesce(F.col("sequence_number").cast("bigint"), F.col("index")))
+    d = store.keep(d)
+    first_nonce = d.filter(txt("nonce") != "").groupBy(chain, "nonce").agg(F.min("index").alias(fn), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first_seq = d.groupBy(chain, seq).agg(F.min("index").alias(fs), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    d = scan.lasts(d, **{prev: F.col(own), pseq: F.col(seq), pts: F.when(F.col(ts) > 0, F.col(ts))})
+    d = scans.join_on(d, first_nonce, [chain, "nonce"], "left")
+    d = scans.join_on(d, first_seq, [chain, seq], "left").withColumn(prev, F.coalesce(prev, F.lit(GENESIS)))
     said = txt("prev_record_hash")
     genesis = (F.col("index") == 0) & ~said.isin(GENESIS, "")
     item = lambda t, cond, exp, got: F.when(cond, F.struct(F.lit(t).alias("break_type"), exp.cast("string").alias("expected"), got.cast("string").alias("found")))
     checks = [
         item("MISSING_GENESIS", genesis, F.lit(GENESIS), said),
-        item("BROKEN_LINK", ~genesis & (said != F.col("__prev")), F.col("__prev"), said),
-        item("HASH_MISMATCH", (txt("record_hash") != "") & (F.col("record_hash") != F.col("__calc")), F.col("__calc"), F.col("record_hash")),
-        item("DUPLICATE_NONCE", (txt("nonce") != "") & (F.col("index") > F.col("__fn")), F.lit("unique nonce"), F.col("nonce")),
-        item("DUPLICATE_SEQUENCE", F.col("index") > F.col("__fs"), F.lit("unique sequence"), F.col("__seq")),
-        item("SEQUENCE_REGRESSION", F.col("__seq") <= F.col("__pseq"), F.concat(F.lit(">"), F.col("__pseq").cast("string")), F.col("__seq")),
-        item("SEQUENCE_GAP", F.col("__seq") > F.col("__pseq") + 1, F.col("__pseq") + 1, F.col("__seq")),
-        item("TIMESTAMP_REGRESSION", (F.col("__ts") > 0) & (F.col("__ts") < F.col("__pts") - skew_ns), F.concat(F.lit(">="), F.col("__pts").cast("string")), F.col("__ts")),
+        item("BROKEN_LINK", ~genesis & (said != F.col(prev)), F.col(prev), said),
+        item("HASH_MISMATCH", (txt("record_hash") != "") & (F.col("record_hash") != F.col(calc)), F.col(calc), F.col("record_hash")),
+        item("DUPLICATE_NONCE", (txt("nonce") != "") & (F.col("index") > F.col(fn)), F.lit("unique nonce"), F.col("nonce")),
+        item("DUPLICATE_SEQUENCE", F.col("index") > F.col(fs), F.lit("unique sequence"), F.col(seq)),
+        item("SEQUENCE_REGRESSION", F.col(seq) <= F.col(pseq), F.concat(F.lit(">"), F.col(pseq).cast("string")), F.col(seq)),
+        item("SEQUENCE_GAP", F.col(seq) > F.col(pseq) + 1, F.col(pseq) + 1, F.col(seq)),
+        item("TIMESTAMP_REGRESSION", (F.col(ts) > 0) & (F.col(ts) < F.col(pts) - skew_ns), F.concat(F.lit(">="), F.col(pts).cast("string")), F.col(ts)),
     ]
     if "output" in records.columns:
         calc = F.sha2(F.col("output"), 256)
@@ -148,8 +155,6 @@ def _climb(nodes: DataFrame, n: int, paths: bool) -> tuple[DataFrame, DataFrame
 def merkle_root(leaves: DataFrame) -> DataFrame:
     """(root, depth, leaves) of leaves(pos from 0, hash): a leaf is sha256(00 | text), a node sha256(01 | left | right), an odd last node
     is paired with itself; 64 zeros for no leaves. Every round hashes whole subtrees in a task: one row a subtree moves on."""
-    from probity.sources.tables import Store
-
     store, n, depth, level = Store(leaves.sparkSession, "merkle"), leaves.count(), 1, _leaves(leaves)
     left = n
     while left > 1:
@@ -160,8 +165,6 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
 
 def merkle_proofs(leaves: DataFrame) -> DataFrame:
     """(pos, leaf, path array<struct<hash, position>>, root) for every leaf: its path in its subtree, then that subtree's path above."""
-    from probity.sources.tables import Store
-
     store, left, level, out = Store(leaves.sparkSession, "merkle"), leaves.count(), _leaves(leaves), None
     while left > 1 or out is None:
         roots, paths, left, _ = _climb(level, left, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probity.functions import stats as S
 from probity.functions import text as X
 from probity.functions import vectors as V
-from probity.operators import correlate, drift, duplicates, labels, models, office, outliers, provenance
+from probity.operators import cells, correlate, drift, duplicates, labels, models, office, outliers, provenance
 from probity.operators import findings as fnd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ def entropy(spark, d):
 @query("""with p as (select event_type, quantile_cont(value, 0.99) lim from events group by 1) select event_id, event_type, value from events join p using (event_type) where value > lim""")
 def percentile_outliers(spark, d):
     e = t(spark, d, "events")
-    lim = e.groupBy("event_type").agg(S.percentile_threshold("value", 99).alias("lim"))
+    lim = S.percentile_limits(e, "value", 99, ["event_type"], "lim")
     return e.join(lim, "event_type").filter("value > lim").select("event_id", "event_type", "value")
 
 
@@ -209,6 +209,15 @@ def knn_label_flip(spark, d):
     return f.select(F.col("id").alias("vec_id"), "label", "suggested", *r6("agreement", "ratio"), "distance_flag", "neighbour_flag", *r6("confidence"))
 
 
+@query(f"""with {E}, nn as (select a.vec_id, b.vec_id neighbour, power(list_distance(a.v, b.v), 2) d, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) r from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
+select vec_id, neighbour, r::int as rank, round(d, 6) as distance2 from nn where r <= 10""")
+def knn_index(spark, d):
+    """The ten nearest of all rows for every row whose id is divisible by 100, by the cell index in its exact form."""
+    e = t(spark, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return cells.CellIndex(e).search(q, k=10, exact=True).select(F.col("id").alias("vec_id"), "neighbour", "rank", *r6("distance2"))
+
+
 @query(f"with {FLIP}, " + RISK.format(samples="(select 'contributor_' || (vec_id % 5) contributor from e)", findings="select 'contributor_' || (vec_id % 5) contributor, confidence, 'LABEL_FLIPPING' attack_class, vec_id affected_asset, case when confidence >= 0.85 then 1.0 when confidence >= 0.65 then 0.7 when confidence >= 0.40 then 0.4 else 0.15 end::double w from flips"))
 def contributor_risk(spark, d):
     emb = t(spark, d, "embeddings")
@@ -242,8 +251,8 @@ def cosine_pairs(spark, d):
     return x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.round(V.cosine(F.col("x.centroid"), F.col("y.centroid")), 6).alias("cosine"))
 
 
-@query(f"""with {E}, s as (select *, (vec_id % 2)::int side, md5(vec_id::varchar) k from e), few as (select * from s qualify row_number() over (partition by side order by k) <= 500),
-p as (select a.side s, b.side t, power(list_distance(a.v, b.v), 2) d from few a join few b on a.vec_id < b.vec_id), g as (select 1 / median(d) g from p), k as (select s, t, exp(-g * d) k from p, g)
+@query(f"""with {E}, s as (select *, (vec_id % 2)::int side, md5(vec_id::varchar) k from e),
+p as (select a.side s, b.side t, power(list_distance(a.v, b.v), 2) d from s a join s b on a.vec_id < b.vec_id), g as (select 1 / median(d) g from p), k as (select s, t, exp(-g * d) k from p, g)
 select round(sqrt(greatest(0, avg(k) filter (s = 0 and t = 0) + avg(k) filter (s = 1 and t = 1) - 2 * avg(k) filter (s <> t))), 5) as mmd, round((select g from g), 6) as gamma from k""")
 def mmd(spark, d):
     m = drift.mmd(t(spark, d, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int")))
@@ -291,12 +300,20 @@ def layer_weight_stats(spark, d):
     return models.layer_stats(w).select("layer", "n", *r6("mean", "std", "min", "max", "sparsity", "kurtosis", "abs_max"), "flags")
 
 
-@query(f"""with {E}, a as (select label, v from e where vec_id % 2 = 0 qualify row_number() over (partition by label order by vec_id) = 1), b as (select label, v from e where vec_id % 2 = 1 qualify row_number() over (partition by label order by vec_id) = 1)
-select 'layer_' || label as layer, round(list_distance(a.v, b.v) / sqrt(list_dot_product(b.v, b.v)), 6) as change from a join b using (label)""")
+@query(f"""with {E}, r as (select vec_id % 2 side, 'layer_' || label || '_' || row_number() over (partition by label, vec_id % 2 order by vec_id) as layer, v from e),
+a as (select * from r where side = 0), b as (select * from r where side = 1)
+select layer, round(case when a.v is null or b.v is null then 1.0 else list_distance(a.v, b.v) / sqrt(list_dot_product(b.v, b.v)) end, 6) as change from a full join b using (layer)""")
 def weight_divergence(spark, d):
+    """All vectors of even ids against those of odd ids, a layer each by label and rank."""
+    from probity.functions.scans import Scan
+    from probity.sources.tables import Store
+
+    store, emb = Store(spark, "layers"), t(spark, d, "embeddings").withColumn("side", F.col("vec_id") % 2)
+    ranked = store.keep(Scan(emb, ["label", "side"], [F.col("vec_id").asc()], store).sums(rank=F.lit(1).cast("bigint")))
+
     def side(k):
-        x = t(spark, d, "embeddings").filter(f"vec_id % 2 = {k}").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-        return x.select(F.concat(F.lit("layer_"), "label").alias("layer"), F.posexplode("v").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+        x = ranked.filter(F.col("side") == k)
+        return x.select(F.concat_ws("_", F.lit("layer"), "label", F.col("rank") + 1).alias("layer"), F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
     return models.weight_divergence(side(0), side(1)).select("layer", *r6("change"))
 
@@ -422,12 +439,16 @@ def merkle_root(spark, d):
     return provenance.merkle_root(leaves)
 
 
-@query("select event_id - (select min(event_id) from events) as pos, true as valid from events ")
+@query("""with recursive l as (select event_id - (select min(event_id) from events) p, sha256('\\x00'::blob || (sha256('e' || event_id))::blob) h from events),
+t as (select 0 k, p, h from l union all select k + 1, (p / 2)::bigint, h from (select t.k, t.p, sha256('\\x01'::blob || unhex(t.h) || unhex(coalesce(r.h, t.h))) h from t left join t r on r.p = t.p + 1 where t.p % 2 = 0 and (select count(*) from t) > 1)),
+top as (select h from t order by k desc limit 1) select l.p as pos, true as valid, l.h as leaf, top.h as root from l, top""")
 def merkle_proofs(spark, d):
+    """Every leaf's proof, climbed by the verifier, and the root it is a proof for."""
     e = t(spark, d, "events")
     low = e.agg(F.min("event_id").alias("low"))
     leaves = e.crossJoin(F.broadcast(low)).select((F.col("event_id") - F.col("low")).alias("pos"), F.sha2(F.concat(F.lit("e"), "event_id"), 256).alias("hash"))  # one row
-    return provenance.verify_proofs(provenance.merkle_proofs(leaves))
+    proofs = provenance.merkle_proofs(leaves)
+    return provenance.verify_proofs(proofs).join(proofs.select("pos", "leaf", "root"), "pos")
 
 
 # ---------------------------------------------------------------- duplicates
@@ -505,7 +526,11 @@ def property_drift(spark, d):
     return p.select("property", F.round("baseline_mean", 4).alias("baseline_mean"), F.round("current_mean", 4).alias("current_mean"), *r6("zscore", "relative_change"), "direction", "material")
 
 
-@query("select 'atmospheric attenuation (haze, dust, rain)' as name, 4::bigint as matches where (select count(*) from events) > 0")
+@query(f"""with {PD}, mv as (select p, b * case p when 'brightness' then 9.0 else 0.05 end / a - 1 rel from ag), sg as (select * from (values
+ (0, 'LOW_LIGHT', 'brightness', -1, true, 2), (0, 'LOW_LIGHT', 'contrast', -1, false, 2), (0, 'LOW_LIGHT', 'sharpness', -1, false, 2), (1, 'HAZE', 'brightness', 1, false, 2), (1, 'HAZE', 'contrast', -1, true, 2), (1, 'HAZE', 'edge_density', -1, true, 2), (1, 'HAZE', 'sharpness', -1, true, 2),
+ (2, 'OPTICS_CHANGE', 'sharpness', 1, true, 1), (2, 'OPTICS_CHANGE', 'edge_density', 1, false, 1), (2, 'OPTICS_CHANGE', 'contrast', 0, false, 1), (3, 'SEASON', 'brightness', 0, false, 2), (3, 'SEASON', 'contrast', 0, false, 2)) v(k, name, p, dir, req, need)),
+ ok as (select k, name, need, req, dir = 0 or dir = sign(rel) as fits from sg join mv using (p) where abs(rel) >= 0.15)
+select name, count(*) filter (fits) as matches from ok group by k, name having count(*) filter (not fits) = 0 and count(*) filter (fits) >= max(need) and bool_or(fits and req) order by matches desc, k limit 2""")
 def drift_signatures(spark, d):
     o = property_table(spark, d)
     moved = o.select("side", *[F.when(F.col("side") == 1, F.col(p) * k).otherwise(F.col(p)).alias(p) for p, k in zip(PROPS, (9.0, 0.05, 0.05, 0.05))])
@@ -731,7 +756,7 @@ def flood_detection(spark, d):
     from probity.plans.scan import Thresholds
     from probity.sources.tables import Store
 
-    docs, store, th = t(spark, d, "documents").select("doc_id", "text").filter("length(text) > 400"), Store(spark, "floods"), Thresholds()
+    docs, store, th = t(spark, d, "documents").select("doc_id", "text"), Store(spark, "floods"), Thresholds()
 
     def flooded(rows):
         fps = store.keep(duplicates.fingerprints(rows))
