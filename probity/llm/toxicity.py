@@ -17,14 +17,14 @@ from .decontaminate import WORD
 
 #: Labelled rows, at most, that the calibration of the score is fitted on.
 CALIBRATION_ROWS = 20000
-#: Hash slots of the filters that are sent to tasks; a fixed size, so full filters merely keep less away.
-FILTER, SLOTS = 1 << 21, 1 << 22
+#: Hash slots of the filter of labelled ids that is sent to tasks; a fixed size, so a full filter merely keeps less away.
+FILTER = 1 << 21
 #: Absolute discount of all counts: an expression that a class has seen no more often falls back on the counts below.
 DISCOUNT = 3
-#: What the log-likelihoods of a word must differ by before it counts, beyond what unseen words differ by.
-MARGIN = 1.0
-#: Share of a toxic text's words that the toxic model speaks for; the others follow the ordinary one.
-SHARE = 0.01
+#: Shares of a toxic text's words that the toxic model may speak for, the others following the ordinary one; and how the score may grow with
+#: the difference. Both are chosen by cross-validation inside the rows that may be learnt from.
+SHARES = (0.5, 0.1, 0.03, 0.01, 0.003)
+CURVES = {"linear": (lambda x: x, lambda c: c), "asinh": (np.arcsinh, F.asinh)}
 #: Rows of the model's tables that are sent to tasks at once; more of them are more passes over the texts.
 PART = 2_000_000
 #: The word before a text's first.
@@ -34,17 +34,15 @@ _COUNTS = ("a0", "a1", "b0", "b1", "c0", "c1", "d0", "d1", "ba", "bb")
 
 @dataclass
 class Model:
-    """Log-likelihood differences, toxic minus ordinary, in written tables, and which words and pairs can matter."""
+    """Ratios of the classes' likelihoods, toxic to ordinary, in written tables."""
 
-    words: DataFrame  # (w, ev): words over the margin
-    pairs: DataFrame  # (w, h, ev): pairs of those words or over the margin
-    marks: tuple[np.ndarray, np.ndarray]  # slots of such words, and of pairs over the margin
-    margin: float
-    weights: tuple[float, float]  # calibration: slope and intercept
-    # with a share, ev are ratios of the classes' likelihoods, of all words and pairs seen more often than the discount
-    share: float | None = None
-    contexts: DataFrame | None = None  # (h, ev): ratio of what the classes leave to the counts below after a word
-    unseen: float = 1.0  # ratio of other words
+    words: DataFrame  # (w, ev): of words seen more often than the discount
+    pairs: DataFrame  # (w, h, ev): of such pairs
+    contexts: DataFrame  # (h, ev): ratio of what the classes leave to the counts below after a word
+    unseen: float  # ratio of other words
+    share: float = SHARES[0]
+    curve: str = "linear"
+    weights: tuple[float, float] = (0.0, 0.0)  # calibration: slope and intercept
 
 
 def _fold(id_col: Column, k: int) -> Column:
@@ -65,10 +63,6 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return w, before, row
 
 
-def _pair_slot(w: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (w ^ (h.view(np.uint64) >> np.uint64(9)).view(np.int64)) & (SLOTS - 1)
-
-
 def _packed(docs: DataFrame, labelled: np.ndarray) -> DataFrame:
     """Texts compressed before they are shuffled, without most that have no label: `labelled` has a mark for each of FILTER
     hash slots with a labelled id."""
@@ -185,11 +179,11 @@ def _gather(batches: Iterator[pa.RecordBatch], discount: int) -> Iterator[pa.Rec
     yield out(2, total[10:11], total[11:12], total[:10, None])
 
 
-def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: int = DISCOUNT, margin: float = MARGIN, share: float | None = None) -> Model:
+def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: int = DISCOUNT) -> Model:
     """Interpolated Kneser-Ney from gathered counts: pair -> class continuation -> continuation shared by both classes.
 
-    Everything is a table of the corpus's words and pairs; only the totals and the slots of what counts, bits of a fixed number, come to
-    the driver. With `held`, held rows count as well. Without rows of both classes nothing counts.
+    Everything is a table of the corpus's words and pairs; only the totals come to the driver. With `held`, held rows count as well. Without
+    rows of both classes nothing counts.
     """
     u, c, both = (("b0", "b1"), ("d0", "d1"), "bb") if held else (("a0", "a1"), ("c0", "c1"), "ba")
     sums = counts.filter("kind = 2").agg(F.sum("w"), F.sum("h"), *(F.sum(x) for x in _COUNTS)).first()
@@ -197,71 +191,20 @@ def fit(counts: DataFrame, scratch: Scratch, name: str, held: bool, discount: in
     size, kept, seen, either = sums[held], sums[2 + 2 * held : 4 + 2 * held], sums[6 + 2 * held : 8 + 2 * held], sums[10 + held]
     rest = [1 - k / n if n else 1.0 for k, n in zip(kept, seen)]
     ready = min(seen) > 0 and min(rest) > 0
-    unseen = float(np.log(rest[1] / rest[0])) if ready else 0.0
     low = (F.col(both) + 0.5) / F.lit(float(either + 0.5 * (size + 1)))
     over = lambda x: F.greatest(F.col(x) - discount, F.lit(0))
     p = [over(c[k]) / F.lit(float(max(1, seen[k]))) + F.lit(rest[k]) * low for k in (0, 1)]
-    ev = lambda x, y: F.log(y / x) - F.lit(unseen)
     known = counts.filter("kind = 0").filter(F.lit(ready)).select("w", F.col(u[0]).alias("u0"), F.col(u[1]).alias("u1"), p[0].alias("p0"), p[1].alias("p1"))
-    known = scratch.keep(known.withColumn("ev", ev(F.col("p0"), F.col("p1"))), f"{name}_known")
+    known = scratch.keep(known, f"{name}_known")
     pairs = counts.filter("kind = 1").select("w", "h", F.col(u[0]).alias("n0"), F.col(u[1]).alias("n1")).filter(F.greatest("n0", "n1") > discount)
     left = pairs.groupBy("h").agg(F.sum(over("n0")).alias("k0"), F.sum(over("n1")).alias("k1"))
     left = left.join(known.select(F.col("w").alias("h"), F.col("u0").alias("t0"), F.col("u1").alias("t1")), "h")
-    if share is not None:
-        rest_of = lambda k: F.when(F.col(f"t{k}") > 0, 1 - F.col(f"k{k}") / F.col(f"t{k}")).otherwise(F.lit(1.0))
-        q = [F.when(F.col(f"t{k}") > 0, over(f"n{k}") / F.col(f"t{k}")).otherwise(F.lit(0.0)) + rest_of(k) * F.col(f"p{k}") for k in (0, 1)]
-        full = pairs.join(left, "h").join(known.select("w", "p0", "p1"), "w").select("w", "h", (q[1] / q[0]).alias("ev"))
-        contexts = left.select("h", (rest_of(1) / rest_of(0)).alias("ev"))
-        tables = [scratch.keep(df, f"{name}_{what}") for df, what in ((known.select("w", (F.col("p1") / F.col("p0")).alias("ev")), "words"), (full, "pairs"), (contexts, "contexts"))]
-        return Model(tables[0], tables[1], (np.zeros(0, bool),) * 2, margin, (0.0, 0.0), share, tables[2], rest[1] / rest[0] if ready else 1.0)
-    q = [F.when(F.col(f"t{k}") > 0, over(f"n{k}") / F.col(f"t{k}") + (1 - F.col(f"k{k}") / F.col(f"t{k}")) * F.col(f"p{k}")).otherwise(F.col(f"p{k}")) for k in (0, 1)]
-    full = pairs.join(left, "h").join(known.select("w", "p0", "p1", F.col("ev").alias("own")), "w").select("w", "h", "own", ev(*q).alias("ev"))
-    full = scratch.keep(full.filter((F.col("ev") > margin) | (F.col("own") > margin)).select("w", "h", "ev"), f"{name}_pairs")
-    strong = scratch.keep(known.filter(F.col("ev") > margin).select("w", "ev"), f"{name}_words")
-    mask = F.lit(SLOTS - 1)
-    slots = (F.col("w").bitwiseAND(mask), F.col("w").bitwiseXOR(F.shiftrightunsigned("h", 9)).bitwiseAND(mask))
-    marks = []
-    for df, slot in ((strong, slots[0]), (full.filter(F.col("ev") > margin), slots[1])):
-        bits = np.zeros(SLOTS, bool)
-        bits[df.select(slot.alias("s")).distinct().toArrow().column(0).to_numpy()] = True
-        marks.append(bits)
-    return Model(strong, full, tuple(marks), margin, (0.0, 0.0))
-
-
-def evidence(texts: DataFrame, model: Model) -> DataFrame:
-    """(t1, t2, x) of texts(t1, t2, text) with words that count; t1 and t2 are hashes of the text. x is the sum of what each
-    word's log-likelihoods differ by beyond the margin, by the root of the number of words.
-
-    Only words that may count leave their text, summed by text and pair.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(model.marks)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word, by_pair = sent.value
-        for batch in batches:
-            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, buf, offs in chunks(batch.column(2)):
-                w, h, row = _tokens(buf, offs)
-                size = np.bincount(row, minlength=b - a)
-                i = np.flatnonzero(by_word[w & (SLOTS - 1)] | by_pair[_pair_slot(w, h)])
-                if not len(i):
-                    continue
-                w, h, row = w[i], h[i], row[i]
-                order = np.lexsort((h, w, row))
-                w, h, row = w[order], h[order], row[order]
-                first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
-                k = np.diff(np.append(first, len(w)))
-                w, h, row = w[first], h[first], row[first]
-                lead = np.concatenate(([1], (row[1:] != row[:-1]).astype(np.int64)))
-                cols = [t1[a + row], t2[a + row], size[row], lead, w, h, k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["t1", "t2", "n", "lead", "w", "h", "k"])
-
-    rows = texts.select("t1", "t2", "text").mapInArrow(scan, ", ".join(f"{c} bigint" for c in ("t1", "t2", "n", "lead", "w", "h", "k")))
-    rows = rows.join(model.pairs.withColumnRenamed("ev", "pair_ev"), ["w", "h"], "left").join(model.words.withColumnRenamed("ev", "word_ev"), "w", "left")
-    over = F.greatest(F.coalesce("pair_ev", "word_ev", F.lit(0.0)) - F.lit(model.margin), F.lit(0.0))
-    # copies of a text add up alike, so the sum is shared by the number of copies
-    total = rows.groupBy("t1", "t2").agg((F.sum(F.col("k") * over) / F.sum("lead")).alias("mass"), F.max("n").alias("n"))
-    return total.select("t1", "t2", (F.col("mass") / F.sqrt("n")).alias("x")).filter("x > 0")
+    rest_of = lambda k: F.when(F.col(f"t{k}") > 0, 1 - F.col(f"k{k}") / F.col(f"t{k}")).otherwise(F.lit(1.0))
+    q = [F.when(F.col(f"t{k}") > 0, over(f"n{k}") / F.col(f"t{k}")).otherwise(F.lit(0.0)) + rest_of(k) * F.col(f"p{k}") for k in (0, 1)]
+    full = pairs.join(left, "h").join(known.select("w", "p0", "p1"), "w").select("w", "h", (q[1] / q[0]).alias("ev"))
+    contexts = left.select("h", (rest_of(1) / rest_of(0)).alias("ev"))
+    tables = [scratch.keep(df, f"{name}_{what}") for df, what in ((known.select("w", (F.col("p1") / F.col("p0")).alias("ev")), "words"), (full, "pairs"), (contexts, "contexts"))]
+    return Model(*tables, rest[1] / rest[0] if ready else 1.0)
 
 
 def _ratios(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
@@ -276,14 +219,14 @@ def _pair_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(h.view(np.uint64) * np.uint64(4)) ^ w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PART) -> DataFrame:
+def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PART, shares: tuple[float, ...] | None = None) -> DataFrame:
     """(t1, t2, x) of texts(t1, t2, text) with words: the log-likelihood of the whole text by the toxic model, interpolated with the
-    ordinary one, less that by the ordinary model, normalised by length: nats in 1000 words.
+    ordinary one, less that by the ordinary model, normalised by length: nats in 1000 words; x has one for each of shares (the model's own).
 
     Every word counts: by its pair's ratio, or its own times what its context leaves to it, or that of unseen words. Tables of over
     `part` rows are dealt by word, and each part is a pass over the texts; contexts, of the words' number at most, go with each.
     """
-    sc, share, unseen = texts.sparkSession.sparkContext, model.share, model.unseen
+    sc, unseen, shares = texts.sparkSession.sparkContext, model.unseen, shares or (model.share,)
     parts = max(1, -(-(model.words.count() + model.pairs.count()) // part))
     fetched = lambda df, *names: [x.to_numpy() for x in df.select(*names).toArrow().columns]
 
@@ -291,6 +234,7 @@ def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PAR
         by = np.argsort(keys)
         return keys[by], values[by]
 
+    columns = [f"s{i}" for i in range(len(shares))]
     contexts = sc.broadcast(ordered(*fetched(model.contexts, "h", "ev")))
 
     def one(k: int) -> DataFrame:
@@ -313,34 +257,34 @@ def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PAR
                     ratio = _ratios(pairs_, pair_ev, key, 0.0)
                     weak = np.flatnonzero(ratio == 0)
                     ratio[weak] = _ratios(words_, word_ev, w[first[weak]], unseen) * _ratios(*contexts.value, h[first[weak]], 1.0)
-                    total = np.bincount(row, np.log(1 - share + share * ratio)[back], minlength=b - a)
                     full = np.flatnonzero(size)
-                    cols = (t1[a + full], t2[a + full], total[full], size[full])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", "s", "n"])
+                    totals = [np.bincount(row, np.log(1 - v + v * ratio)[back], minlength=b - a)[full] for v in shares]
+                    cols = (t1[a + full], t2[a + full], *totals, size[full])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", *columns, "n"])
 
-        sums = texts.select("t1", "t2", "text").mapInArrow(scan, "t1 bigint, t2 bigint, s double, n bigint")
-        return sums.groupBy("t1", "t2").agg(F.max("s").alias("s"), F.max("n").alias("n"))  # copies add up alike
+        sums = texts.select("t1", "t2", "text").mapInArrow(scan, "t1 bigint, t2 bigint, " + ", ".join(f"{c} double" for c in columns) + ", n bigint")
+        return sums.groupBy("t1", "t2").agg(*(F.max(c).alias(c) for c in (*columns, "n")))  # copies add up alike
 
     sums = one(0)
     if parts > 1:
         sums = scratch.keep(sums, "sums_0")
         for k in range(1, parts):
             sums = sums.unionByName(scratch.keep(one(k), f"sums_{k}"))
-        sums = sums.groupBy("t1", "t2").agg(F.sum("s").alias("s"), F.max("n").alias("n"))
-    return sums.select("t1", "t2", (1000 * F.col("s") / F.col("n")).alias("x"))
+        sums = sums.groupBy("t1", "t2").agg(*(F.sum(c).alias(c) for c in columns), F.max("n").alias("n"))
+    return sums.select("t1", "t2", F.array(*(1000 * F.col(c) / F.col("n") for c in columns)).alias("x"))
 
 
 def _hashed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, curve=np.log1p) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression of y on log(1 + x) or another curve, by Newton steps; the slope is never negative."""
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of y on x, by Newton steps; the slope is never negative."""
     prior = (y.sum() + 0.5) / (len(y) + 5.0)
     w = np.array([0.0, np.log(prior / (1 - prior))])
     if len(y) < 8 or y.min() == y.max():
         return 0.0, float(w[1])
-    z, start = np.stack([curve(x), np.ones(len(x))], axis=1), w.copy()
+    z, start = np.stack([x, np.ones(len(x))], axis=1), w.copy()
     reg = np.diag([ridge, 1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -351,11 +295,28 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, curve=np.log1p)
     return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(start[1]))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", share: float | None = None) -> Model:
-    """Counts of all labelled rows that may be used; calibrated on at most CALIBRATION_ROWS of a quarter of them, under counts without
-    that quarter. With a `share`, texts are judged by the whole length-normalised difference (`difference`), else by `evidence`.
-
-    Null labels are none; of several labels of a document the highest counts; null texts are empty. Repeated rows count each.
+def choose(x: np.ndarray, y: np.ndarray, folds: int = 4) -> tuple[int, str]:
+    """Which column of x (a share each) and which curve give the least log loss on rows left out of the calibration, the first of equals."""
+    best = (np.inf, 0, "linear")
+    fold = np.arange(len(y)) % folds
+    for k in range(x.shape[1]):
+        for name, (curve, _) in CURVES.items():
+            z, loss = curve(x[:, k]), 0.0
+            for f in range(folds):
+                slope, base = calibrate(z[fold != f], y[fold != f])
+                p = np.clip(1 / (1 + np.exp(-np.clip(slope * z[fold == f] + base, -30, 30))), 1e-9, 1 - 1e-9)
+                loss -= float((y[fold == f] * np.log(p) + (1 - y[fold == f]) * np.log(1 - p)).sum())
+            if loss < best[0] - 1e-9:
+                best = (loss, k, name)
+    return best[1:]
+
+
+def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Counts of all labelled rows that may be used. A quarter of these, CALIBRATION_ROWS at most, is scored under counts without that quarter;
+    on it the share and the curve are chosen by cross-validation, and the score is calibrated. Other rows' labels are never read.
+
+    Null labels are none; of several labels of a document the highest counts; null texts are empty, very long ones are counted a chunk at a time.
+    Repeated rows count each; columns other than those named aren't read, so their names don't matter.
     Empty tables or one class give a model in which nothing counts and every score is the smoothed share of toxic rows.
     """
     spark = docs.sparkSession
@@ -380,11 +341,13 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
     bounded = rows.filter("held = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("z", "y").mapInArrow(texts, "text string, y int")
     bounded = scratch.keep(bounded.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text", "y"), "calibration")
     scratch.tidy()  # once more, should the shuffled pairs still have been in use
-    part = fit(counts, scratch, "part", False, share=share)
-    found = evidence(bounded, part) if share is None else difference(bounded, part, scratch)
-    x = bounded.join(found, ["t1", "t2"], "left").select(F.coalesce("x", F.lit(0.0)).alias("x"), "y").toArrow()
-    model = fit(counts, scratch, "all", True, share=share)
-    model.weights = calibrate(x.column("x").to_numpy(), x.column("y").to_numpy().astype(float), curve=np.log1p if share is None else np.arcsinh)
+    found = difference(bounded, fit(counts, scratch, "part", False), scratch, shares=SHARES)
+    none = F.array(*(F.lit(0.0) for _ in SHARES))
+    got = bounded.join(found, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("x", none).alias("x"), "y").orderBy("t1", "t2", "y").toArrow()
+    x, y = np.array(got.column("x").to_pylist()).reshape(-1, len(SHARES)), got.column("y").to_numpy().astype(float)
+    model = fit(counts, scratch, "all", True)
+    k, model.curve = choose(x, y)
+    model.share, model.weights = SHARES[k], calibrate(CURVES[model.curve][0](x[:, k]), y)
     for name in ("labels", "rows", "counts", "calibration", "part_known", "part_words", "part_pairs", "part_contexts", "all_known"):
         scratch.drop(name)
     return model
@@ -393,21 +356,21 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (None: all), then score and predicted.
 
-    Texts are scanned where they lie; what may count is looked up in the model's tables and summed by text; rows meet their text's sum by
+    Texts are scanned where they lie, a chunk at a time; every word's ratio is looked up in the model's tables; rows meet their text's sum by
     two 64-bit hashes of it. Scores come from whole texts of any length alone. Nulls: a null text is scored as an empty one, which gets
-    what the calibration gives to no evidence. Repeated rows get equal scores. Columns named score or predicted are replaced; other
+    what the calibration gives to no difference. Repeated rows get equal scores. Columns named score or predicted are replaced; other
     names are free. Empty tables give empty results.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     t1, t2, x = free_names(docs.columns, "t1", "t2", "x")
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = _hashed(docs, text)
-    found = evidence(hashed, model) if model.share is None else difference(hashed, model, Scratch(docs.sparkSession, "toxic_sums"))
-    found = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("x").alias(x))
+    found = difference(hashed, model, Scratch(docs.sparkSession, "toxic_sums"))
+    found = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("x")[0].alias(x))
     d = docs.select(*keep, F.xxhash64(text).alias(t1), F.xxhash64(text, F.lit(1)).alias(t2)).join(found, [t1, t2], "left")
     slope, base = model.weights
     z = F.coalesce(F.col(x), F.lit(0.0))
-    score = 1 / (1 + F.exp(-(F.lit(slope) * (F.log1p(z) if model.share is None else F.asinh(z)) + F.lit(base))))
+    score = 1 / (1 + F.exp(-(F.lit(slope) * CURVES[model.curve][1](z) + F.lit(base))))
     return d.withColumn(x, score).select(*keep, F.col(x).alias("score"), (F.col(x) >= threshold).cast("int").alias("predicted"))
 
 

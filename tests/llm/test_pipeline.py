@@ -3,13 +3,13 @@
 import math
 
 import duckdb
-from test_scan import brute_leaks, plain_kneser_ney
+from test_scan import brute_leaks, plain_difference
 
 import corpus_pipeline
 from probity.llm import queries
 from probity.llm.mixing import mix_sql
 from probity.llm.settings import DOMAINS, WEIGHTS
-from probity.llm.toxicity import held_out, train_model
+from probity.llm.toxicity import CURVES, held_out, train_model
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,8 +44,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
         if name == "toxicity":
             model = train_model(docs, spark.read.parquet(f"{SF}/labels.parquet"), ~held_out(docs.doc_id))
             train = [i for i in before if i in labels and i not in held]
-            x = dict(zip(before, plain_kneser_ney([(before[i], labels[i]) for i in train], others=[before[i] for i in before])[len(train) :]))
-            score = {i: 1 / (1 + math.exp(-(model.weights[0] * math.log1p(v) + model.weights[1]))) for i, v in x.items()}
+            x = dict(zip(before, plain_difference([(before[i], labels[i]) for i in train], share=model.share, others=[before[i] for i in before])[len(train) :]))
+            score = {i: 1 / (1 + math.exp(-(model.weights[0] * CURVES[model.curve][0](v) + model.weights[1]))) for i, v in x.items()}
             want = {i for i in before if score[i] < 0.3}
         elif name == "exact dedup":
             want = {min(i for i, t in before.items() if t == u) for u in set(before.values())}

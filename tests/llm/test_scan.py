@@ -23,7 +23,7 @@ from probity.llm.decontaminate import find_leaks
 from probity.llm.langid import identify, read_markup, text_scores, train_text
 from probity.llm.mixing import leaf_budgets, mix
 from probity.llm.secrets import Scanner, find_secrets
-from probity.llm.toxicity import SHARE, _gather, _hashed, count_pairs, difference, held_out, score_documents, train_model
+from probity.llm.toxicity import CURVES, SHARES, _gather, _hashed, calibrate, choose, count_pairs, difference, held_out, score_documents, train_model
 from probity.llm.common import Scratch
 from probity.llm.warc import archive_round_trip, build_record, digest, parse_record
 from probity.llm.ziparchive import Bytes, ZipReader, ZipWriter
@@ -111,70 +111,9 @@ def test_leak_spans_are_cut_and_empty_tables(spark):
     assert find_leaks(d.limit(0), b).collect() == [] and find_leaks(d, b.limit(0)).first().n_hit == 0
 
 
-def plain_kneser_ney(texts, discount=3, margin=1.0, others=()):
-    """Score inputs of [(text, class)], then of other texts, by the definition, with dictionaries."""
-    toks = [[m for m in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))] for t in (*(t for t, _ in texts), *others)]
-    pairs = [Counter(), Counter()]
-    for w, (_, y) in zip(toks, texts):
-        pairs[y].update(zip(["start", *w], w) if w else ())
-        pairs[y].update([("nothing", "start")] if w else ())
-    cont = [Counter(w for _, w in p) for p in pairs]
-    either = Counter(w for _, w in pairs[0] | pairs[1])
-    used = [Counter() for _ in pairs]
-    for u, p in zip(used, pairs):
-        for (_, w), n in p.items():
-            u[w] += n
-    kept = [Counter() for _ in pairs]
-    for k, p in zip(kept, pairs):
-        for (h, _), n in p.items():
-            k[h] += max(n - discount, 0)
-    seen = [sum(c.values()) for c in cont]
-    rest = [1 - sum(max(n - discount, 0) for n in c.values()) / s for c, s in zip(cont, seen)]
-    low = lambda w: (either[w] + 0.5) / (sum(either.values()) + 0.5 * (len(either) + 1))
-    word = lambda c, w: max(cont[c][w] - discount, 0) / seen[c] + rest[c] * low(w)
-
-    def pair(c, h, w):
-        n = used[c][h]
-        if not n:
-            return word(c, w)
-        return max(pairs[c][h, w] - discount, 0) / n + (1 - kept[c][h] / n) * word(c, w)
-
-    out = []
-    for w in toks:
-        mass = 0.0
-        for h, x in zip(["start", *w], w):
-            strong = max(pairs[0][h, x], pairs[1][h, x]) > discount
-            p = [pair(c, h, x) if strong else word(c, x) for c in (0, 1)]
-            if strong or max(used[0][x], used[1][x]) > discount:
-                mass += max(math.log(p[1] / p[0]) - math.log(rest[1] / rest[0]) - margin, 0)
-        out.append(mass / math.sqrt(len(w)) if w else 0.0)
-    return out
-
-
-def test_toxicity_equals_plain_kneser_ney(spark):
-    rng = random.Random(6)
-    texts = []
-    for i in range(240):
-        w = [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(1, 40))]
-        if i % 4 == 0:
-            for _ in range(3):
-                w.insert(rng.randrange(len(w) + 1), rng.choice(["vile", "foul", "vile w1", "Grim"]))
-        texts.append((" ".join(w), int(i % 4 == 0)))
-    texts += [("", 0), (None, 1), texts[0], texts[0]]
-    want = plain_kneser_ney([(t or "", y) for t, y in texts])
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
-    model = train_model(docs, labels)
-    assert model.weights[0] > 0
-    score = lambda x: 1 / (1 + math.exp(-(model.weights[0] * math.log1p(x) + model.weights[1])))
-    got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
-    assert len({round(x, 6) for x in want}) > 50
-    assert all(abs(got[i] - score(x)) < 1e-9 for i, x in enumerate(want))
-
-
-def plain_difference(texts, discount=3, share=SHARE):
-    """Nats in 1000 words by which the toxic model, interpolated with the ordinary one, finds texts likelier, with dictionaries."""
-    toks = [re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode()) for t, _ in texts]
+def plain_difference(texts, discount=3, share=SHARES[0], others=()):
+    """Nats in 1000 words by which the toxic model, interpolated with the ordinary one, finds texts and then others likelier, with dictionaries."""
+    toks = [re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())) for t in (*(t for t, _ in texts), *others)]
     pairs = [Counter(), Counter()]
     for w, (_, y) in zip(toks, texts):
         pairs[y].update(zip(["start", *w], w) if w else ())
@@ -208,16 +147,25 @@ def test_toxicity_by_the_whole_normalised_difference(spark):
             w.insert(rng.randrange(len(w) + 1), rng.choice(["vile", "foul", "vile w1", "Grim"]))
         texts.append((" ".join(w), int(i % 4 == 0)))
     texts += [("", 0), texts[0], ("unheard of", 0)]
-    want = plain_difference(texts)
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
-    model = train_model(docs, labels, share=SHARE)
-    score = lambda x: 1 / (1 + math.exp(-(model.weights[0] * math.asinh(x) + model.weights[1])))
+    model = train_model(docs, labels)
+    want = plain_difference(texts, share=model.share)
+    score = lambda x: 1 / (1 + math.exp(-(model.weights[0] * CURVES[model.curve][0](x) + model.weights[1])))
     got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
     assert model.weights[0] > 0 and min(want) < 0 < max(want)
     assert all(abs(got[i] - score(x)) < 1e-9 for i, x in enumerate(want))
     few = difference(_hashed(docs, F.col("text")), model, Scratch(spark, "t"), part=20).collect()
-    assert sorted(round(r.x, 9) for r in few) == sorted({t: round(x, 9) for (t, _), x in zip(texts, want) if t}.values())
+    assert sorted(round(r.x[0], 9) for r in few) == sorted({t: round(x, 9) for (t, _), x in zip(texts, want) if t}.values())
+
+
+def test_share_and_curve_are_chosen_on_rows_left_out():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.3).astype(float)
+    noise, good = rng.normal(size=400), np.sinh(5 * (y - 0.5 + rng.normal(0, 0.7, 400)))
+    assert choose(np.stack([noise, good], axis=1), y) == (1, "asinh")
+    assert choose(np.stack([np.arcsinh(good), noise], axis=1), y) == (0, "linear")
+    assert choose(np.zeros((0, 2)), np.zeros(0)) == (0, "linear") and calibrate(noise, np.zeros(400))[0] == 0
 
 
 def test_toxicity_keeps_no_shuffled_pairs_while_it_fits(spark, monkeypatch):
@@ -241,7 +189,7 @@ def test_toxicity_keeps_no_shuffled_pairs_while_it_fits(spark, monkeypatch):
         return fit(*args, **more)
 
     monkeypatch.setattr(toxicity, "fit", watched)
-    train_model(docs, labels, share=SHARE)
+    train_model(docs, labels)
     assert len(left) == 2 and max(left) < 500_000
 
 
@@ -279,7 +227,7 @@ def test_toxicity_with_clashing_columns_long_and_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "t1", "x", "score", "predicted"]
     got = out.collect()
     assert len(got) == len(rows) and all(r.t1 == "a" and r.x == "b" and 0 <= r.score <= 1 for r in got)
-    assert {r.predicted for r in got if r.doc_id == 99} == {1} and {r.predicted for r in got if r.doc_id in (None, 7, 100)} == {0}
+    assert {r.predicted for r in got if r.doc_id == 99} == {1} and {r.predicted for r in got if r.doc_id == 7} == {0}
     none = train_model(docs, labels.filter("toxic = 0"))
     assert len({r.score for r in score_documents(docs, none).collect()}) == 1
     assert score_documents(docs.limit(0), train_model(docs.limit(0), labels.limit(0))).collect() == []
