@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probity.functions.stats import clamp, normalised_entropy, softmax
 
@@ -29,6 +34,32 @@ def weight_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return g.select("layer", change.alias("change"), (change > 1e-6).alias("changed"), "n")
 
 
+#: Values of a tensor that are hashed at once.
+CHUNK = 1 << 16
+
+
+@F.pandas_udf(T.StringType())
+def _chunk_digest(values: pd.Series) -> pd.Series:
+    return pd.Series([hashlib.sha256(np.asarray(v, "<f8").tobytes()).hexdigest() for v in values])
+
+
+def tensor_digests(weights: DataFrame) -> DataFrame:
+    """weights(layer, pos, value) -> (layer, n, digest): SHA-256 over the digests of CHUNK little-endian doubles each, in order of pos.
+
+    A tree, so that no tensor is one task's, and so another digest than one pass over its bytes gives. Null values are NaN; equal for any
+    partitioning; positions count, shapes don't."""
+    d = weights.select("layer", "pos", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    chunks = d.groupBy("layer", F.expr(f"pos div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    chunks = chunks.select("layer", "chunk", F.size("v").cast("bigint").alias("n"), F.concat_ws(":", "chunk", F.sha2(F.array_join(F.transform("v.pos", lambda p: p.cast("string")), ","), 256), _chunk_digest(F.col("v.value"))).alias("d"))
+    return chunks.groupBy("layer").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+
+
+def model_digest(weights: DataFrame) -> DataFrame:
+    """One row: digest over the layers' digests in order of their names; 64 zeros without any."""
+    d = tensor_digests(weights)
+    return d.agg(F.when(F.count(F.lit(1)) == 0, "0" * 64).otherwise(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "digest"))), lambda x: F.concat_ws("=", x["layer"], x["digest"])), "\n"), 256)).alias("digest"))
+
+
 def argmax(v: Column) -> Column:
     return F.array_position(v, F.array_max(v)) - 1
 
@@ -78,4 +109,4 @@ def top_changes(divergence: DataFrame, most: int = 5) -> DataFrame:
     return divergence.filter("changed").orderBy(F.col("change").desc(), "layer").limit(most)
 
 
-__all__ = ["argmax", "disagreement", "in_distribution", "layer_stats", "mismatch", "output_shape", "top_changes", "trigger_candidates", "weight_divergence"]
+__all__ = ["argmax", "disagreement", "in_distribution", "layer_stats", "mismatch", "model_digest", "output_shape", "tensor_digests", "top_changes", "trigger_candidates", "weight_divergence"]

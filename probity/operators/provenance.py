@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,3 +183,84 @@ def merkle_proofs(leaves: DataFrame) -> DataFrame:
 def verify_proofs(proofs: DataFrame) -> DataFrame:
     end = F.aggregate("path", F.col("leaf"), lambda h, s: F.when(s["position"] == "right", _pair(h, s["hash"])).otherwise(_pair(s["hash"], h)))
     return proofs.select("pos", (end == F.col("root")).alias("valid"))
+
+
+def _digest_pair(a: str, b: str) -> str:
+    return hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()
+
+
+def _cover(nodes: DataFrame, store: Store) -> list[tuple[int, int, str]]:
+    """(level, index, hash) of the largest aligned subtrees that nodes(pos, hash), a run of leaves, consist of, from left to right.
+
+    Every round hashes blocks of 2^SUBTREE nodes; a full block is one node of the next round, one at either end is cut up. So appended leaves
+    cost their own subtrees alone, and two nodes a level reach the driver."""
+    found, base, level = [], 0, nodes
+    size = 1 << SUBTREE
+
+    def block(key, pdf: pd.DataFrame, at: int) -> pd.DataFrame:
+        row = {int(p): h for p, h in zip(pdf["pos"], pdf["hash"])}
+        full, out = len(row) == size, []
+        for k in range(SUBTREE):
+            up = {i // 2: _digest_pair(row[i], row[i + 1]) for i in row if i % 2 == 0 and i + 1 in row}
+            out += [(at + k, i, h, False) for i, h in row.items() if i // 2 not in up]
+            row = up
+        out += [(at + SUBTREE, i, h, full) for i, h in row.items()]
+        return pd.DataFrame(out, columns=["level", "pos", "hash", "on"])
+
+    def climb(at: int):
+        return lambda key, pdf: block(key, pdf, at)
+
+    while True:
+        d = level.groupBy(F.shiftright("pos", SUBTREE).alias("block")).applyInPandas(climb(base), "level int, pos bigint, hash string, on boolean")
+        d = store.keep(d)
+        found += [(r["level"], r["pos"], r["hash"]) for r in d.filter("not on").collect()]  # of two blocks at most
+        level, base = d.filter("on").select("pos", "hash"), base + SUBTREE
+        if level.isEmpty():
+            return sorted(found, key=lambda n: n[1] << n[0])
+
+
+def _merged(nodes: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Neighbours of one level that have a parent are replaced by it, from the left on."""
+    out: list[tuple[int, int, str]] = []
+    for node in nodes:
+        out.append(node)
+        while len(out) > 1 and out[-2][0] == out[-1][0] and out[-2][1] % 2 == 0 and out[-2][1] + 1 == out[-1][1]:
+            b, a = out.pop(), out.pop()
+            out.append((a[0] + 1, a[1] // 2, _digest_pair(a[2], b[2])))
+    return out
+
+
+def frontier_root(frontier: list[tuple[int, int, str]]) -> str:
+    """The root over a frontier: from the right, a subtree is paired with itself until it is as high as its left neighbour."""
+    if not frontier:
+        return GENESIS
+    level, _, h = frontier[-1]
+    for up, _, left in reversed(frontier[:-1]):
+        while level < up:
+            h, level = _digest_pair(h, h), level + 1
+        h, level = _digest_pair(left, h), level + 1
+    return h
+
+
+def append_leaves(frontier: list[tuple[int, int, str]], leaves: DataFrame) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(new frontier, subtrees of the appended leaves): leaves(pos, hash) go on from the frontier's end, pos counted from 0 among them.
+
+    A frontier is the peaks (level, index, hash) of the complete subtrees, one a bit of the number of leaves; [] is the empty tree. What was
+    there before isn't read again. The second result is the proof that the new tree goes on from the old one (verify_append).
+    """
+    n = sum(1 << level for level, _, _ in frontier)
+    own = _leaves(leaves).select((F.col("pos") + n).alias("pos"), "hash")
+    cover = _cover(own, Store(leaves.sparkSession, "append"))
+    return _merged([*frontier, *cover]), cover
+
+
+def verify_append(old_root: str, new_root: str, frontier: list[tuple[int, int, str]], cover: list[tuple[int, int, str]]) -> bool:
+    """Whether the tree of new_root has the leaves of old_root's tree first: the frontier gives the old root, and with the appended
+    subtrees, which must follow it without a gap, the new one."""
+    at = 0
+    for level, i, _ in [*frontier, *cover]:
+        if i << level != at:
+            return False
+        at += 1 << level
+    falling = all(a[0] > b[0] for a, b in zip(frontier, frontier[1:]))
+    return falling and frontier_root(frontier) == old_root and frontier_root(_merged([*frontier, *cover])) == new_root

@@ -572,9 +572,9 @@ def office_risks(spark, d):
 
 
 @query(f"""with {FIND}, {RK}, s as (select avg(risk) m, stddev_pop(risk) sd from rk), pm as (select a.contributor, median(b.risk) pm from rk a join rk b on a.contributor <> b.contributor group by 1)
-select contributor, round(pm, 6) as peer_median, round((risk - m) / sd, 6) as zscore, case when risk / pm >= 1.8 and risk >= 0.45 then 'median_ratio' when (risk - m) / sd >= 1.5 and risk >= 0.45 then 'zscore' end as triggered_by from rk join pm using (contributor), s""")
+select contributor, round(pm, 6) as peer_median, round((risk - m) / sd, 6) + 0.0 as zscore, case when risk / pm >= 1.8 and risk >= 0.45 then 'median_ratio' when (risk - m) / sd >= 1.5 and risk >= 0.45 then 'zscore' end as triggered_by from rk join pm using (contributor), s""")
 def disparity(spark, d):
-    return office.disparity(office_risks(spark, d)).select("contributor", *r6("peer_median", "zscore"), "triggered_by")
+    return office.disparity(office_risks(spark, d)).select("contributor", *r6("peer_median"), (F.round("zscore", 6) + 0.0).alias("zscore"), "triggered_by")
 
 
 @query(f"""with {FIND}, g as (select replace(target, 'class_', '') target, count(distinct contributor) contributors, count(*) findings, avg(confidence) m from f where attack_class in ('LABEL_FLIPPING', 'SYSTEMATIC_MISLABELING', 'TRIGGER_INJECTION', 'MODEL_BACKDOOR') and confidence >= 0.5 group by 1)

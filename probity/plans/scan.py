@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.operators import correlate, drift, duplicates, labels, outliers, provenance
+from probity.operators import correlate, drift, duplicates, labels, outliers, provenance, signatures
 from probity.operators import findings as fnd
 
 
@@ -131,15 +131,19 @@ def scan_texts(docs: DataFrame, store, th: Thresholds = Thresholds()) -> Assessm
     return Assessment(_finding(flood, "NEAR_DUPLICATE_FLOODING", "cluster", "data_scanner", "duplicates", {"size": "size", "threshold": "threshold"}), "ASSESSED")
 
 
-def scan_records(records: DataFrame, chain: str, order: list[str]) -> Assessment:
-    """Chain defects, tampered records and replays."""
+def scan_records(records: DataFrame, chain: str, order: list[str], key=None) -> Assessment:
+    """Chain defects, tampered records and replays; with a public key (hex, or a column of keys), signatures that don't hold."""
     b = provenance.chain_findings(provenance.verify_chain(records, chain, order))
     t = provenance.find_tampered(records).withColumn("confidence", F.lit(0.97))
     r = provenance.find_replays(records, [chain], order)
     out = _finding(b.withColumnRenamed("attack_class", "ac"), "CHAIN_BREAK", "affected_asset", "crypto_chain", "chain", {"break_type": "break_type", "class": "ac"})
     out = out.withColumn("attack_class", F.when(F.element_at("evidence", F.lit("class")) == "INFERENCE_REPLAY", "INFERENCE_REPLAY").otherwise("CHAIN_BREAK"))
     out = out.unionByName(_finding(t, "INFERENCE_TAMPER", "record_id", "crypto_chain", "tamper", {"tamper": "tamper"})).unionByName(_finding(r, "INFERENCE_REPLAY", "record_id", "crypto_chain", "replay", {"replay_type": "replay_type"}))
-    return Assessment(out, "ASSESSED", ["signatures: unavailable"])
+    if key is None or "signature" not in records.columns:
+        return Assessment(out, "ASSESSED", ["signatures: unavailable"])
+    checked = signatures.verify_signatures(records, key)
+    out = out.unionByName(_finding(signatures.signature_findings(checked), "SIGNATURE_INVALID", "record_id", "crypto_chain", "signature", {"reason": "reason"}))
+    return Assessment(out, "ASSESSED", ["signatures: records without one, or without a key, were not checked"])
 
 
 def compare(baseline: DataFrame, current: DataFrame, properties: list[str], vector: str | None = None, th: Thresholds = Thresholds()) -> tuple[DataFrame | None, list[str]]:
@@ -171,6 +175,26 @@ def report(findings: DataFrame, modules: DataFrame, scan_id: str) -> dict:
     return doc
 
 
+def write_report(spark, folder: str, doc: dict) -> str:
+    """The path of the report, written whole or not at all, an earlier one of the same scan being replaced."""
+    from probity.sources.publish import publish_json
+
+    path = f"{folder.rstrip('/')}/{doc['scan_id']}.json"
+    publish_json(spark, path, doc)
+    return path
+
+
+def read_report(spark, path: str) -> tuple[dict, bool]:
+    """(report, whether its hash is that of its contents)."""
+    import hashlib
+
+    from probity.sources.publish import read_bytes
+
+    doc = json.loads(read_bytes(spark, path))
+    rest = {k: v for k, v in doc.items() if k != "report_hash"}
+    return doc, doc.get("report_hash") == hashlib.sha256(json.dumps(rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 REQUIRED = ("scan_id", "summary", "counts", "top_findings", "pillars", "immunity", "stories", "coverage", "report_hash")
 
 
