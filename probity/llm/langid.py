@@ -114,16 +114,16 @@ def train_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
-def text_scores(model: TextModel, buf: np.ndarray, offs: np.ndarray, most: float = 60.0) -> np.ndarray:
-    """Log-likelihood of each text in each language, at the weight of at most `most` independent trigrams."""
+def text_scores(model: TextModel, buf: np.ndarray, offs: np.ndarray, most: float | None = 60.0) -> np.ndarray:
+    """Log-likelihood of each text in each language, all trigrams counted; weighted as `most` independent ones at most, None as all of them."""
     n = len(offs) - 1
     t, row = trigrams(buf, offs)
     size = np.bincount(row, minlength=n)
     out = np.stack([np.bincount(row, weights=lp[t], minlength=n) for lp in model.logp], axis=1)
-    return out * (np.minimum(1.0, most / np.maximum(size, 1)) / 3)[:, None]
+    return out * ((1.0 if most is None else np.minimum(1.0, most / np.maximum(size, 1))[:, None]) / 3)
 
 
-def read_pages(pages: DataFrame, model: TextModel) -> DataFrame:
+def read_pages(pages: DataFrame, model: TextModel, most: float | None = 60.0) -> DataFrame:
     """id, host, declared, and the text's log-likelihoods ll and posteriors t of pages(page_id, url, html); nulls are read as empty."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -135,7 +135,7 @@ def read_pages(pages: DataFrame, model: TextModel) -> DataFrame:
                 seen = [read_markup(h) for h in raw]
                 hosts = [m[1].lower().rstrip(".") if (m := _HOST.match(u or "")) else None for u in part.column(1).to_pylist()]
                 texts = pa.array([t for t, _ in seen], pa.large_binary())
-                ll = np.concatenate([text_scores(sent.value, buf, offs) for _, _, buf, offs in chunks(texts)])
+                ll = np.concatenate([text_scores(sent.value, buf, offs, most) for _, _, buf, offs in chunks(texts)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hosts, pa.string()), pa.array([c for _, c in seen], pa.string()), _lists(ll), _lists(_softmax(ll))], names=["id", "host", "declared", "ll", "t"])
 
     src = pages.select(F.col("page_id").alias("id"), "url", "html")
@@ -155,14 +155,14 @@ def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy().reshape(-1, k)
 
 
-def identify(pages: DataFrame, model: TextModel, strength: float = 4.0) -> DataFrame:
+def identify(pages: DataFrame, model: TextModel, strength: float = 4.0, most: float | None = 60.0) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared_lang, host, suffix; one row per page.
 
     The posterior multiplies the text's likelihood, P(declared language | language), and the host's prior. Text posteriors
     summed by grouped aggregation give, level by level, shares over all pages, the address suffix, the registered domain
     (last two labels) and the host; each level is smoothed towards the one above with `strength` pages' weight, and a
     page's own text is taken out of its counts. The confusion of declared and text languages comes from
-    the same sums. Hosts and declared codes are summed in tasks first, and those of very many pages are joined by broadcast. Sums are
+    the same sums. A text weighs as `most` independent trigrams at most, since its trigrams aren't independent; None lets all weigh. Hosts and declared codes are summed in tasks first, and those of very many pages are joined by broadcast. Sums are
     one column a language of the model.
 
     Nulls: null html is empty and gives no text evidence; a page that declares no language has none of that
@@ -172,7 +172,7 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 4.0) -> DataF
     """
     names, k = model.languages, len(model.languages)
     scratch = Scratch(pages.sparkSession, "langid")
-    raw = read_pages(pages, model)
+    raw = read_pages(pages, model, most)
     labels = F.split(F.coalesce("host", F.lit("")), r"\.")
     p = raw.select("id", "declared", "ll", "t", F.coalesce("host", F.lit("")).alias("host"))
     p = p.withColumn("suffix", F.when(F.col("host") == "", "").otherwise(F.element_at(labels, -1)))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, free_names
+
 #: Words as the token unit: runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 BIG = "decimal(38,0)"
@@ -82,8 +84,9 @@ def mix(
 
     Nulls: a null lang or source is the name '(none)'; sources without a domain are in 'other'; a null or empty text has
     0 tokens and goes wherever the prefix reaches it; a null id is the text 'null' in the order. Repeated rows are
-    separate rows; ties in the order are broken by id, and rows equal in id keep or leave together. An empty
-    table gives an empty result.
+    separate rows; ties in the order are broken by id, and rows equal in id keep or leave together. Long texts are counted whole, in the
+    task that reads them. Columns other than those named aren't read; an id column called like one of the results is
+    renamed by an underscore. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,8 +94,6 @@ def mix(
     dom = F.lit("other")
     for s, d in domains.items():
         dom = F.when(src == s, F.lit(d)).otherwise(dom)
-    from .common import Scratch
-
     scratch = Scratch(spark, "mix")
     d = scratch.keep(
         docs.select(
@@ -124,7 +125,8 @@ def mix(
     cut = e.filter(edge).withColumn("run", F.sum("n_tokens").over(Window.partitionBy(*keys, "range").orderBy("key")) + F.col("before"))
     partial = cut.withColumn("inside", F.col("run") <= F.col("rest")).drop("run").unionByName(e.filter(~edge).withColumn("inside", inside))
     used = partial.withColumn("uses", F.col("whole") + F.when(F.col("inside") & (F.col("rest") > 0), 1).otherwise(0))
-    return used.filter("uses > 0").select(F.col("id").alias(id_col), *keys, "n_tokens", F.explode(F.expr("sequence(0, uses - 1)")).alias("epoch"))
+    (name,) = free_names([*keys, "n_tokens", "epoch"], id_col)
+    return used.filter("uses > 0").select(F.col("id").alias(name), *keys, "n_tokens", F.explode(F.expr("sequence(0, uses - 1)")).alias("epoch"))
 
 
 def mix_sql(domains: Mapping[str, str], weights: Sequence[Mapping[str, int]], budget_permille: int, max_epochs: int, seed: int, docs: str = "documents", tail: str | None = None) -> str:

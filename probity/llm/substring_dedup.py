@@ -535,8 +535,8 @@ def remove_repeats(
     the same text everywhere sends one segment a block to its shard, where the copies are settled by comparing bytes.
 
     Nulls: a null text is empty; a null id is smaller than all others. Texts shorter than `length` lose nothing. Rows that
-    repeat an id count as one document: neither makes the other lose a byte. Ids must be integers. Other columns are not
-    read. An empty table gives an empty result.
+    repeat an id count as one document: neither makes the other lose a byte. Ids must be integers. A very long text is a block of its own and
+    one task's, at some twenty times its size. Other columns are not read, so their names don't matter. An empty table gives an empty result.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, input_splits, join_spread
-from .ziparchive import Remote, Source, ZipReader, ZipWriter
+from .ziparchive import open_system, Remote, Source, ZipReader, ZipWriter
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,9 +85,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = open_system(folder)
         system.create_dir(base, recursive=True)
         data, index = io.BytesIO(), []
 
@@ -155,6 +153,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, archive_bytes: int
     """
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
+    open_system(scratch.path("archives"))  # a folder that can't be opened is told before anything runs
     src = pages.select(F.col("page_id").cast("bigint").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     parts = max(input_splits(pages), int(spark.conf.get("spark.sql.shuffle.partitions")))
     manifest = scratch.keep(write_archives(classify(src, scratch, min_bytes), scratch.path("archives"), archive_bytes), "manifest")

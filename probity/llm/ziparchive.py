@@ -30,13 +30,22 @@ class Bytes:
         return self.data[offset : offset + length]
 
 
+def open_system(uri: str):
+    """(file system, path) of a uri that Spark may spell another way than pyarrow does; one that pyarrow doesn't open is a ValueError."""
+    from pyarrow import ArrowInvalid, fs
+
+    scheme, sep, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+    except (ArrowInvalid, OSError) as e:
+        raise ValueError(f"archives go to file systems that pyarrow opens, and {uri} isn't on one: {e}") from e
+
+
 class Remote:
     """A source over a file of any file system that pyarrow opens; only the ranges asked for are read."""
 
     def __init__(self, uri: str):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = open_system(uri)
         self.file = system.open_input_file(path)
 
     def size(self) -> int:
