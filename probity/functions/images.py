@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,6 +154,41 @@ def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return x[..., 0] if channels == 1 else x[..., 2::-1]  # the image source keeps blue, green, red
 
 
+#: Side of the grey tile that an image is compared by.
+SIDE = 128
+
+
+def embed_pixels(rgb: np.ndarray, side: int = 16) -> np.ndarray:
+    """A vector of an image without a model: its grey pixels at side x side, centred and of length 1, and its mean colours."""
+    g = resize(grey(rgb), side, side).ravel()
+    g = g - g.mean()
+    colour = rgb.reshape(-1, rgb.shape[2])[:, :3].mean(0) / 255 if rgb.ndim == 3 else np.full(3, rgb.mean() / 255)
+    return np.concatenate((g / max(np.linalg.norm(g), 1e-9), colour))
+
+
+def image_rows(images: DataFrame, embed: Callable[[np.ndarray], np.ndarray] = embed_pixels) -> DataFrame:
+    """image_features with `tile`, the grey image of SIDE x SIDE in bytes, and `embedding`, what embed gives for its pixels (height, width,
+    red green blue): a model's features, say. Each image is decoded once."""
+    src = images.filter("image.height > 0").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                x = _pixels(r.height, r.width, r.nChannels, r.data)
+                tile = np.clip(np.rint(resize(grey(x), SIDE, SIDE)), 0, 255).astype(np.uint8).tobytes()
+                out.append((r.path, r.width, r.height, phash(grey(x)), *measure(x), tile, np.asarray(embed(x), float).tolist()))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "phash", *FIELDS, "tile", "embedding"])
+
+    return src.mapInPandas(scan, "path string, width int, height int, phash bigint, " + ", ".join(f"{f} double" for f in FIELDS) + ", tile binary, embedding array<double>")
+
+
+def tile_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Structural similarity of tiles of image_rows."""
+    read = lambda t: np.frombuffer(t, np.uint8).reshape(SIDE, SIDE).astype(float)
+    return pd.Series([ssim(read(x), read(y), SIDE) for x, y in zip(a, b)], dtype=float)
+
+
 def image_features(images: DataFrame) -> DataFrame:
     """One row for each readable image of the image source: path, width, height, phash and all measurements."""
     src = images.filter("image.height > 0").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")

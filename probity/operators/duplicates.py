@@ -65,17 +65,16 @@ def components(pairs: DataFrame, checkpoint=None, rounds: int = 50) -> DataFrame
     """(node, root): smallest node reachable over pairs(a, b), by repeated minimum of neighbours' roots with pointer jumping."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    state = None
     for _ in range(rounds):
         near = both.join(cur.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        low = cur.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
+        low = cur.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        cur = low.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        cur = low.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old")
         cur = checkpoint(cur) if checkpoint else cur.checkpoint()
-        now = cur.agg(F.sum(F.col("root").cast("decimal(38,0)")), F.count(F.lit(1))).first()
-        if now == state:
+        settled = cur.filter("root <> old").isEmpty()
+        cur = cur.drop("old")
+        if settled:
             return cur
-        state = now
     raise RuntimeError("components did not settle")
 
 

@@ -28,7 +28,7 @@ def class_moments(df: DataFrame, label: str = "label", vector: str = "embedding"
                 x = _stack(g["v"])
                 yield pd.DataFrame({"label": [key], "n": [len(x)], "dim": [x.shape[1]], "s": [x.sum(0).tolist()], "c": [(x.T @ x).ravel().tolist()]})
 
-    src = df.select(F.col(label).alias("label"), F.col(vector).alias("v"))
+    src = df.filter(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"))
     kind = src.schema["label"].dataType.simpleString()
     parts = src.mapInPandas(part, f"label {kind}, n bigint, dim int, s array<double>, c array<double>")
     add = lambda name, by: parts.select("label", F.posexplode(name).alias("p", "x")).groupBy("label", "p").agg(F.sum("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias(by)).select("label", F.col(f"{by}.x").alias(by))
@@ -36,7 +36,7 @@ def class_moments(df: DataFrame, label: str = "label", vector: str = "embedding"
 
 
 def mahalanobis(df: DataFrame, min_class: int = 8, shrink: float = 0.1, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(id, label, distance, scope): distance to the class under its shrunk sample covariance, or to all rows for small classes."""
+    """(id, label, distance, scope) of the rows with a vector: distance to the class under its shrunk sample covariance, or to all rows for small classes."""
     whole = class_moments(df.withColumn("__all", F.lit(0)), "__all", vector).select("n", "sums", "cross").toPandas().iloc[:1]
     per = {}
 
@@ -68,8 +68,8 @@ def mahalanobis(df: DataFrame, min_class: int = 8, shrink: float = 0.1, id_col:
                 scope[at] = "class" if key in per else "global"
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "distance": out, "scope": scope})
 
-    src = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    return src.mapInPandas(score, f"id bigint, label {src.schema['label'].dataType.simpleString()}, distance double, scope string")
+    src = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+    return src.mapInPandas(score, f"id {src.schema['id'].dataType.simpleString()}, label {src.schema['label'].dataType.simpleString()}, distance double, scope string")
 
 
 def mahalanobis_ood(df: DataFrame, percentile: float = 99.0, **names) -> DataFrame:
@@ -93,7 +93,7 @@ def fuse_ood(maha: DataFrame, energy: DataFrame) -> DataFrame:
 
 
 def spectral_signatures(df: DataFrame, min_class: int = 12, threshold: float = 2.0, share: float = 0.15, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(id, label, score, z, explained, flagged): |projection| on the top right singular vector of each centred class.
+    """(id, label, score, z, explained, flagged) of the rows with a vector: |projection| on the top right singular vector of each centred class.
 
     The singular vector is the top eigenvector of the class's scatter matrix, which comes from summed moments; no class is
     gathered in one place. At most ceil(n * share * 1.5) rows a class are flagged, the highest z first.
@@ -115,8 +115,8 @@ def spectral_signatures(df: DataFrame, min_class: int = 12, threshold: float = 2
                 s[at], explained[at] = np.abs((x[at] - axes[y][0]) @ axes[y][1]), axes[y][2]
             yield pd.DataFrame({"id": pdf["id"][keep], "label": pdf["label"][keep], "score": s[keep], "explained": explained[keep]})
 
-    src = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    d = src.mapInPandas(score, f"id bigint, label {src.schema['label'].dataType.simpleString()}, score double, explained double")
+    src = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+    d = src.mapInPandas(score, f"id {src.schema['id'].dataType.simpleString()}, label {src.schema['label'].dataType.simpleString()}, score double, explained double")
     d = modified_zscore(d, "score", ["label"], out="z")
     n = d.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     top = d.filter(F.col("z") >= threshold).join(n, "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.col("z").desc(), "id"))).filter(F.col("rank") <= F.ceil(F.col("n") * share * 1.5))
@@ -125,7 +125,7 @@ def spectral_signatures(df: DataFrame, min_class: int = 12, threshold: float = 2
 
 def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score, flagged): trees are grown on samples of `sample` rows in hash order; all rows are scored by Arrow batches."""
-    rows = df.select(F.col(vector).alias("v"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")).orderBy("h").limit(sample * 16).toPandas()  # the bounded sample
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")).orderBy("h").limit(sample * 16).toPandas()  # the bounded sample
     pool, rng = _stack(rows["v"]), np.random.default_rng(seed)
     size = min(sample, len(pool))
     limit = int(np.ceil(np.log2(max(size, 2))))
@@ -159,22 +159,23 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
                 path(t, x, np.arange(len(pdf)), total)
             yield pd.DataFrame({"id": pdf["id"], "score": 2 ** (-total / max(trees, 1) / max(norm(size), 1e-9))})
 
-    d = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(score, "id bigint, score double")
+    src = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    d = src.mapInPandas(score, f"id {src.schema['id'].dataType.simpleString()}, score double")
     limit_row = percentile_limits(d, "score", 100 * (1 - contamination))
     return d.crossJoin(F.broadcast(limit_row)).select("id", "score", (F.col("score") > F.col("limit")).alias("flagged"))  # one row
 
 
-def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10, limit: float = 0.70, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10, limit: float = 0.70, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", silhouette_rows: int | None = SILHOUETTE_ROWS) -> DataFrame:
     """Per class: two-means on its PCA scores; (label, n, imbalance, silhouette, confidence, flagged).
 
     Axes come from summed moments and each two-means step is one pass with sums a batch, so all rows of a class of any size count in
-    n and imbalance. The silhouette, which is quadratic, is the mean over SILHOUETTE_ROWS rows a class in the order of a hash of
-    their ids, against each other.
+    n and imbalance. The silhouette, which is quadratic, is the mean over silhouette_rows rows a class in the order of a hash of
+    their ids, against each other; with None it is exact, over all pairs of a class's rows, in tiles of a bounded size.
     """
     from probity.sources.tables import Store
 
     store = Store(df.sparkSession, "clusters")
-    src = df.select(F.col(label).alias("label"), F.col(vector).alias("v"), F.xxhash64(F.col(id_col)).alias("h"))
+    src = df.filter(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"), F.xxhash64(F.col(id_col)).alias("h"))
     kind = src.schema["label"].dataType.simpleString()
     axes, rows = {}, []
     for r in class_moments(df, label, vector).toLocalIterator():  # one row a class
@@ -226,7 +227,7 @@ def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10
                 moving.discard(key)
             centre[key] = new
     size = dict(rows)
-    few = [(k, min(1.0, 1.2 * SILHOUETTE_ROWS / size[k])) for k in centre]
+    few = [(k, min(1.0, 1.2 * (silhouette_rows or 0) / size[k])) for k in centre]
 
     def sampled(batches):
         keep = dict(few)
@@ -237,7 +238,7 @@ def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10
     picked = scores.mapInPandas(sampled, f"label {kind}, h bigint, y array<double>")
 
     def silhouette(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _stack(pdf.sort_values("h")["y"])[:SILHOUETTE_ROWS]
+        y = _stack(pdf.sort_values("h")["y"])[:silhouette_rows]
         side, d = nearest(y, centre[key[0]]), np.sqrt(np.maximum(((y[:, None] - y[None]) ** 2).sum(2), 0)) if len(y) <= 500 else np.stack([np.sqrt(((y - x) ** 2).sum(1)) for x in y])
         mine, n = np.stack([side == 0, side == 1]).astype(float), np.array([(side == 0).sum(), (side == 1).sum()])
         if n.min() == 0:
@@ -247,7 +248,10 @@ def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10
         a, b = own / np.maximum(n[side] - 1, 1), other / n[1 - side]
         return pd.DataFrame({"label": [key[0]], "silhouette": [float(np.where(n[side] < 2, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())]})
 
-    sil = picked.groupBy("label").applyInPandas(silhouette, f"label {kind}, silhouette double")
+    if silhouette_rows is None:
+        sil = exact_silhouettes(store, scores, kind, centre, size)
+    else:
+        sil = picked.groupBy("label").applyInPandas(silhouette, f"label {kind}, silhouette double")
     table = df.sparkSession.createDataFrame([(k, n, share.get(k, float("nan"))) for k, n in rows], f"label {kind}, n bigint, imbalance double")
     out = table.join(sil, "label", "left").withColumn("silhouette", F.coalesce("silhouette", F.lit(float("nan"))))
     flagged = F.coalesce(~F.isnan("imbalance") & (F.col("imbalance") >= limit), F.lit(False))
@@ -255,6 +259,37 @@ def activation_clusters(df: DataFrame, min_class: int = 10, components: int = 10
     return out.withColumn("flagged", flagged).withColumn("confidence", F.when(F.col("flagged"), c))
 
 
+def exact_silhouettes(store, scores: DataFrame, kind: str, centre: dict, size: dict, tile: int = 1024) -> DataFrame:
+    """(label, silhouette) of scores(label, h, y): the mean over all rows of a class, by pairs of packed blocks. A task holds two blocks; each gives
+    a row's sums of distances to either side, which are added."""
+    blocks = scores.sparkSession.createDataFrame([(k, -(-n // tile)) for k, n in size.items() if k in centre], f"label {kind}, blocks bigint")
+    rows = scores.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(blocks), "label")  # a row a class
+    packed = rows.groupBy("label", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("blk")).agg(F.collect_list("row").alias("row"), F.collect_list("y").alias("y"))
+    packed = store.keep(packed)
+    left = packed.select("label", "row", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("blk"))
+    both = left.join(packed.select("label", "blk", F.col("y").alias("z")), ["label", "blk"])
+
+    def work(batches):
+        for pdf in batches:
+            for key, row, y, z in zip(pdf["label"], pdf["row"], pdf["y"], pdf["z"]):
+                y, z = np.stack(y), np.stack(z)
+                d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * y @ z.T, 0))
+                one = lambda x: ((x[:, None] - centre[key][None]) ** 2).sum(2).argmin(1)  # noqa: B023, E731
+                far = one(z)
+                yield pd.DataFrame({"label": key, "row": row, "side": one(y), "s0": d[:, far == 0].sum(1), "s1": d[:, far == 1].sum(1)})
+
+    sums = both.select("label", "row", "y", "z").mapInPandas(work, f"label {kind}, row bigint, side int, s0 double, s1 double").groupBy("label", "row", "side").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    sums = store.keep(sums)
+    n = sums.groupBy("label").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    d = sums.join(F.broadcast(n), "label")  # a row a class
+    first = F.col("side") == 0
+    own, other = F.when(first, F.col("s0")).otherwise(F.col("s1")), F.when(first, F.col("s1")).otherwise(F.col("s0"))
+    mine, theirs = F.when(first, F.col("n0")).otherwise(F.col("n1")), F.when(first, F.col("n1")).otherwise(F.col("n0"))
+    a, b = own / F.greatest(mine - 1, F.lit(1)), F.try_divide(other, theirs)
+    s = F.when((mine < 2) | (theirs == 0), 0.0).otherwise((b - a) / F.greatest(a, b, F.lit(1e-12)))
+    return d.groupBy("label").agg(F.avg(s).alias("silhouette"))
+
+
 def centroid_logits(df: DataFrame, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """(id, label, logits): negative distances to the class centroids, in label order; stands in for a model's outputs."""
     d = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))

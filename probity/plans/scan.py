@@ -44,11 +44,11 @@ def _finding(d: DataFrame, attack: str, asset: str, module: str, detector: str,
     return d.select(F.lit(attack).alias("attack_class"), F.col(asset).cast("string").alias("affected_asset"), fnd.severity(F.col("confidence")).alias("severity"), F.col("confidence").cast("double").alias("confidence"), fnd.disposition(F.col("confidence")).alias("disposition"), ev.alias("evidence"), F.lit(module).alias("module"), F.lit(detector).alias("detector"))
 
 
-def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds(), images: DataFrame | None = None, docs: DataFrame | None = None) -> Assessment:
+def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds(), images: DataFrame | None = None, docs: DataFrame | None = None, repeats: DataFrame | None = None) -> Assessment:
     """Label flips, mislabelling, out-of-distribution rows and spectral outliers of embeddings(vec_id, embedding, label).
 
     With images(id, high_freq_ratio, patch_score, patch_uniformity, spectral_peak_ratio) the triggers are fused with what the images
-    show; with docs(doc_id, text) near-duplicate floods are found; with contributors(id, contributor) each finding gets
+    show, where repeats(id), known copies, count less; with docs(doc_id, text) near-duplicate floods are found; with contributors(id, contributor) each finding gets
     its contributor, and contributors of high risk get a finding.
     """
     emb = emb.filter("embedding is not null and label is not null and not exists(embedding, x -> x is null or isnan(x))")
@@ -75,7 +75,7 @@ def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresho
         else:
             from probity.operators import triggers
 
-            parts.append(_finding(triggers.detect_triggers(images, s), "TRIGGER_INJECTION", "id", "data_scanner", "trigger", {"detection_methods_agreed": "signals"}))
+            parts.append(_finding(triggers.detect_triggers(images, s, repeats), "TRIGGER_INJECTION", "id", "data_scanner", "trigger", {"detection_methods_agreed": "signals"}))
     if docs is not None:
         from probity.sources.tables import Store
 
