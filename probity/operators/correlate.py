@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.stats import clamp, noisy_or
-from probity.operators.findings import STAGES, lookup
+from probity.operators.findings import STAGES, disposition, lookup, severity
 from probity.operators.office import TARGET_KEYS
 
 ORDER = ("DATA", "MODEL", "INFERENCE", "OPERATIONS")
@@ -89,6 +89,15 @@ def stories(findings: DataFrame, least: float = 0.50) -> DataFrame:
     return kill_chain(f).unionByName(target_classes(f)).unionByName(coordinated(f)).unionByName(cover_up(f))
 
 
+def story_findings(story: DataFrame) -> DataFrame:
+    """Findings of stories, one each: how strongly findings belong together, not how sure they are."""
+    c = F.col("confidence")
+    return story.select(
+        F.when(F.col("pattern") == "COVER_UP", "COVER_UP_ATTEMPT").otherwise("COORDINATED_ATTACK").alias("attack_class"), F.concat_ws(":", "pattern", "key").alias("affected_asset"), severity(c).alias("severity"), c.cast("double").alias("confidence"), disposition(c).alias("disposition"),
+        F.create_map(F.lit("pattern"), F.col("pattern"), F.lit("key"), F.col("key"), F.lit("supporting"), F.col("supporting").cast("string")).alias("evidence"), F.lit("threat_story").alias("module"), F.lower("pattern").alias("detector"),
+    )
+
+
 def campaign(story: DataFrame) -> DataFrame:
     """One row: whether a campaign is seen, its confidence and patterns."""
     return story.agg((F.count(F.lit(1)) > 0).alias("campaign_detected"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"), F.array_sort(F.collect_set("pattern")).alias("patterns"))

@@ -52,6 +52,11 @@ def label_flips(df: DataFrame, k: int = 10, min_class: int = 8, std_multiplier:
     return j.withColumn("confidence", c)
 
 
+def flip_order(flips: DataFrame) -> DataFrame:
+    """label_flips, those that their neighbours contradict most first, then the farthest from their class, then by id."""
+    return flips.orderBy(F.col("agreement").asc(), F.col("ratio").desc(), "id")
+
+
 def class_probabilities(df: DataFrame, min_class: int = 8, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """((id, label, classes, probs) by softmax of -d2 / median d2 to the centroids of classes of min_class rows, the class sizes)."""
     d = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
@@ -88,4 +93,4 @@ def pair_findings(errors: DataFrame) -> DataFrame:
     return p.withColumn("confidence", clamp(0.50 + F.col("rate"), 0.0, 0.95))
 
 
-__all__ = ["centroid_distances", "class_probabilities", "label_flips", "mislabelled", "pair_findings", "report_mislabelled"]
+__all__ = ["centroid_distances", "class_probabilities", "flip_order", "label_flips", "mislabelled", "pair_findings", "report_mislabelled"]

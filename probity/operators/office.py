@@ -68,6 +68,21 @@ def office_verdict(risks: DataFrame, findings: DataFrame) -> DataFrame:
     return r.crossJoin(f).select(v.alias("verdict"), "peak", "worst", "contributors", "findings")  # one row each
 
 
+def wanted(samples: DataFrame, names: list[str], contributor: str = "contributor") -> tuple[DataFrame, DataFrame]:
+    """(rows of the contributors named, (contributor, error) of those that have no rows)."""
+    ask = samples.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string")
+    mine = samples.join(F.broadcast(ask), F.col(contributor) == F.col("asked"), "left_semi")
+    there = samples.select(F.col(contributor).alias("asked")).distinct()
+    return mine, ask.join(there, "asked", "left_anti").select(F.col("asked").alias("contributor"), F.lit("contributor not found").alias("error"))
+
+
+def usable(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reports(contributor, status, risk_score, ...) -> (those with status OK, riskiest first, (contributor, limitation) of the others)."""
+    ok = F.coalesce(F.col("status") == "OK", F.lit(False))
+    left = reports.filter(~ok).select("contributor", F.concat(F.lit("not compared: its status is "), F.coalesce("status", F.lit("unknown"))).alias("limitation"))
+    return reports.filter(ok).orderBy(F.col("risk_score").desc_nulls_last(), "contributor"), left
+
+
 def with_registry(df: DataFrame, registry: DataFrame, contributor: str = "contributor") -> DataFrame:
     """df with display_name, trust_level and registered: by registry key, else by folder, else unverified."""
     by_key = registry.select(F.col("key").alias("__k"), F.struct("display_name", "trust_level").alias("__a"))
@@ -77,4 +92,4 @@ def with_registry(df: DataFrame, registry: DataFrame, contributor: str = "contri
     return j.select(*[df[c] for c in df.columns], F.coalesce(r["display_name"], F.col(contributor)).alias("display_name"), F.coalesce(r["trust_level"], F.lit("UNVERIFIED")).alias("trust_level"), r.isNotNull().alias("registered"))
 
 
-__all__ = ["class_targeting", "disparity", "office_verdict", "trust_inversion", "with_registry"]
+__all__ = ["class_targeting", "disparity", "office_verdict", "trust_inversion", "usable", "wanted", "with_registry"]

@@ -56,7 +56,7 @@ def scan_folder(spark: SparkSession, root: str, th: Thresholds = Thresholds(), e
     flood = duplicates.flood_clusters(members, pairs).filter("flood")
     parts = [_finding(flood, "NEAR_DUPLICATE_FLOODING", "cluster", "data_scanner", "duplicates", {"size": "size", "threshold": "threshold", "similarity_cut": f"{cut:.6f}"})]
     shares = duplicates.contributor_shares(members, who.withColumnRenamed("id", "doc_id"), "doc_id", "contributor").filter("confidence is not null")
-    parts.append(_finding(shares, "DUPLICATE_CONTRIBUTION", "contributor", "data_scanner", "duplicates", {"share": "share", "redundant": "redundant"}))
+    parts.append(_finding(shares, "NEAR_DUPLICATE_FLOODING", "contributor", "data_scanner", "duplicates", {"share": "share", "redundant": "redundant"}))
     if found.status == "NOT_ASSESSED":
         notes = notes + found.limitations
     else:

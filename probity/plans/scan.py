@@ -102,8 +102,9 @@ def scan_office(emb: DataFrame, contributor: str = "contributor", th: Thresholds
     return {"findings": found, "risks": risks, "disparity": office.disparity(risks), "targeting": office.class_targeting(found), "inversion": office.trust_inversion(trusted), "verdict": office.office_verdict(risks, found)}
 
 
-def audit_model(weights: DataFrame, reference: DataFrame | None = None, probes: tuple[DataFrame, DataFrame] | None = None) -> dict:
-    """Layer anomalies, divergence from a reference, behaviour against a second model; with the confidence that the parts run allow."""
+def audit_model(weights: DataFrame, reference: DataFrame | None = None, probes: tuple[DataFrame, DataFrame] | None = None, triggers: DataFrame | None = None) -> dict:
+    """Layer anomalies, divergence from a reference, behaviour against a second model, and the suspect classes of a trigger search
+    (trigger_search.find_backdoors); with the confidence that the parts run allow."""
     from probity.operators import models
 
     out: dict = {"layers": models.layer_stats(weights.select("layer", "value")), "confidence": 0.30, "limitations": []}
@@ -117,6 +118,11 @@ def audit_model(weights: DataFrame, reference: DataFrame | None = None, probes:
     else:
         out["behaviour"], out["outputs"] = models.mismatch(*probes), models.output_shape(probes[0])
         out["confidence"] += 0.25
+    if triggers is None:
+        out["limitations"].append("no trigger search: backdoors not assessed")
+    else:
+        out["triggers"] = triggers
+        out["confidence"] += 0.30 - 0.12  # a search without gradients says less
     out["confidence"] = round(min(0.98, max(0.05, out["confidence"])), 2)
     return out
 
@@ -159,6 +165,15 @@ def compare(baseline: DataFrame, current: DataFrame, properties: list[str], vect
     return drift.characterise(props, f, drift.match_signatures(props)), [] if vector else ["feature-level analysis unavailable: pixel statistics alone can't show semantic manipulation"]
 
 
+def drift_findings(result: DataFrame | None, asset: str) -> DataFrame | None:
+    """At most one finding of characterised drift (compare): none without significant drift or below a risk of 0.15; severity by the risk."""
+    if result is None:
+        return None
+    d = result.filter((F.col("shift_type") != "NO_SIGNIFICANT_DRIFT") & (F.col("risk_score") >= 0.15)).withColumn("asset", F.lit(asset))
+    out = _finding(d.withColumn("kind", F.col("severity")), "DISTRIBUTION_SHIFT", "asset", "drift_detector", "distribution_shift", {"shift_type": "shift_type", "risk_score": "risk_score", "severity": "kind"})
+    return out.withColumn("severity", F.element_at("evidence", F.lit("severity")))
+
+
 def report(findings: DataFrame, modules: DataFrame, scan_id: str) -> dict:
     """The report document: summary, counts, top findings, pillars, stories, coverage, and a hash over all but the hash."""
     import hashlib
