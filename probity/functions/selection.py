@@ -78,7 +78,8 @@ def quantiles(df: DataFrame, value: str | Column, by: Sequence[str], probs: Mapp
     rows = df.select(own.alias("g"), x.alias("x")).filter(~F.isnan("x") & (F.abs("x") < float("inf")))
     names = [F.col(f"g.{c}").alias(c) for c in by]
     store = Store(df.sparkSession, "select")
-    sizes = store.keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    rows = store.keep(rows)  # two columns, so that what made them runs once
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= least:
         return rows.groupBy("g").agg(*(F.percentile("x", F.lit(float(p))).alias(k) for k, p in probs.items())).select(*names, *probs)
     at = {k: F.lit(float(p)) * (F.col("n") - 1) for k, p in probs.items()}

@@ -90,6 +90,7 @@ def modified_zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str
     Medians are of the finite values and exact; groups of over `least` rows are selected from by counting passes, so none is sorted or
     mapped in one task. A null group is a group; null where x is null or its group has no finite value."""
     med, dev, mad, mean = scans.free(df, "med", "dev", "mad", "mean")
+    df = Store(df.sparkSession, "z").keep(df)  # read four times
     d = scans.join_on(df, selection.quantiles(df, value, by, {med: 0.5}, least), by, "left") if by else _one(df, selection.quantiles(df, value, (), {med: 0.5}, least))
     d = d.withColumn(dev, F.col(value) - F.col(med))
     size = F.abs(F.col(dev))
@@ -109,7 +110,7 @@ def robust_stats(df: DataFrame, value: str, by: Sequence[str] = (), least: int =
     """n, mean, population sd, median, mad, min, max, q1, q3, iqr, skewness, kurtosis (excess) of the finite values.
 
     Order statistics are exact and selected by counting in groups of over `least` rows. A null group is a group."""
-    d = df.select(*by, finite(F.col(value)).alias("x")).filter("x is not null")
+    d = Store(df.sparkSession, "robust").keep(df.select(*by, finite(F.col(value)).alias("x")).filter("x is not null"))
     ranks = selection.quantiles(d, "x", by, {"median": 0.5, "q1": 0.25, "q3": 0.75}, least)
     meds = ranks.select(*by, F.col("median").alias("m"))
     dev = scans.join_on(d, meds, by) if by else _one(d, meds)

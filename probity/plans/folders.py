@@ -39,11 +39,12 @@ def folder_tables(spark: SparkSession, root: str, embed: Callable = embed_pixels
     return samples, images, notes + ([f"{lost} samples have no image that can be read: not assessed"] if lost else [])
 
 
-def scan_folder(spark: SparkSession, root: str, th: Thresholds = Thresholds(), embed: Callable = embed_pixels) -> Assessment:
+def scan_folder(spark: SparkSession, root: str, th: Thresholds = Thresholds(), embed: Callable = embed_pixels, neighbours: Callable | None = None) -> Assessment:
     """Findings of a folder: label flips, mislabelling, outliers and triggers over its images' vectors and pixels, floods of near
     copies confirmed on pixels, contributors with many repeats, and contributors of high risk; each with its contributor.
 
-    embed gives an image's vector, by default pixels (functions.images.embed_pixels); pass a model's features to judge by those. Images that
+    embed gives an image's vector, by default pixels (functions.images.embed_pixels); pass a model's features to judge by those. neighbours is as
+    scan_data says. Images that
     are known copies count less as triggers. What couldn't be assessed is in limitations, never clean.
     """
     samples, images, notes = folder_tables(spark, root, embed)
@@ -52,7 +53,7 @@ def scan_folder(spark: SparkSession, root: str, th: Thresholds = Thresholds(), e
     members, pairs, cut = image_copies.image_clusters(images, th.hamming)
     members = Store(spark, "scan").keep(members)
     measured = images.select(F.col("path").alias("id"), "high_freq_ratio", "patch_score", "patch_uniformity", "spectral_peak_ratio")
-    found = scan_data(both, None, th, measured, repeats=image_copies.repeated(members))
+    found = scan_data(both, None, th, measured, repeats=image_copies.repeated(members), neighbours=neighbours)
     flood = duplicates.flood_clusters(members, pairs).filter("flood")
     parts = [_finding(flood, "NEAR_DUPLICATE_FLOODING", "cluster", "data_scanner", "duplicates", {"size": "size", "threshold": "threshold", "similarity_cut": f"{cut:.6f}"})]
     shares = duplicates.contributor_shares(members, who.withColumnRenamed("id", "doc_id"), "doc_id", "contributor").filter("confidence is not null")

@@ -378,7 +378,9 @@ def tampered_records(spark: SparkSession, d: str) -> DataFrame:
     r = r.withColumn("output", F.when(edit | rehash, F.concat("output", F.lit("!"))).otherwise(F.col("output")))
     r = r.withColumn("output_hash", F.when(rehash, F.sha2("output", 256)).otherwise(F.col("output_hash"))).filter("event_id % 107 <> 11")
     again = r.filter("event_id % 109 = 13").withColumn("event_id", F.col("event_id") + 1_000_000_000).withColumn("record_id", F.concat("record_id", F.lit("-again")))
-    return r.unionByName(again)
+    from probity.sources.tables import Store
+
+    return Store(spark, "tampered").keep(r.unionByName(again))  # linked once, however often it is read
 
 
 BROKEN = f"""{LINK}, tam as (select chain, event_id, record_id, input_hash, model_hash, config_hash, nonce, timestamp_ns, seq, prev, h, case when event_id % 101 = 7 or event_id % 103 = 9 then payload || '!' else payload end o,

@@ -44,12 +44,13 @@ def _finding(d: DataFrame, attack: str, asset: str, module: str, detector: str,
     return d.select(F.lit(attack).alias("attack_class"), F.col(asset).cast("string").alias("affected_asset"), fnd.severity(F.col("confidence")).alias("severity"), F.col("confidence").cast("double").alias("confidence"), fnd.disposition(F.col("confidence")).alias("disposition"), ev.alias("evidence"), F.lit(module).alias("module"), F.lit(detector).alias("detector"))
 
 
-def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds(), images: DataFrame | None = None, docs: DataFrame | None = None, repeats: DataFrame | None = None) -> Assessment:
+def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresholds = Thresholds(), images: DataFrame | None = None, docs: DataFrame | None = None, repeats: DataFrame | None = None, neighbours=None) -> Assessment:
     """Label flips, mislabelling, out-of-distribution rows and spectral outliers of embeddings(vec_id, embedding, label).
 
     With images(id, high_freq_ratio, patch_score, patch_uniformity, spectral_peak_ratio) the triggers are fused with what the images
     show, where repeats(id), known copies, count less; with docs(doc_id, text) near-duplicate floods are found; with contributors(id, contributor) each finding gets
-    its contributor, and contributors of high risk get a finding.
+    its contributor, and contributors of high risk get a finding. neighbours(df, k) finds the neighbours of label flips, such as
+    cells.indexed where all pairs are too many; without it they are exact over all pairs.
     """
     emb = emb.filter("embedding is not null and label is not null and not exists(embedding, x -> x is null or isnan(x))")
     size = emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= th.min_class).count()
@@ -58,7 +59,7 @@ def scan_data(emb: DataFrame, contributors: DataFrame | None = None, th: Thresho
         return Assessment(empty, "NOT_ASSESSED", [f"no class has {th.min_class} rows with a vector"])
     parts, notes = [], []
     if "label_flip" in th.detectors:
-        parts.append(_finding(labels.label_flips(emb, th.neighbours, th.min_class), "LABEL_FLIPPING", "id", "data_scanner", "label_flip", {"to_class": "suggested", "agreement": "agreement"}))
+        parts.append(_finding(labels.label_flips(emb, th.neighbours, th.min_class, neighbours=neighbours), "LABEL_FLIPPING", "id", "data_scanner", "label_flip", {"to_class": "suggested", "agreement": "agreement"}))
     if "mislabel" in th.detectors and size > 1:
         parts.append(_finding(labels.report_mislabelled(labels.mislabelled(emb, th.min_gap)), "SYSTEMATIC_MISLABELING", "id", "data_scanner", "mislabel", {"predicted_class": "predicted", "gap": "gap"}))
     if "ood" in th.detectors:
