@@ -781,19 +781,36 @@ def full_data_scan(spark, d):
     return scan_data(emb, who).findings
 
 
-@query()
+RUNGS = "case when c >= 0.85 then 'CRITICAL' when c >= 0.65 then 'HIGH' when c >= 0.40 then 'MEDIUM' else 'LOW' end as severity, round(c, 6)::double as confidence, case when c >= 0.80 then 'QUARANTINE' when c >= 0.50 then 'REVIEW' else 'ACCEPT' end as disposition"
+NAMED = "'rec-' || (event_id % 1000000000) || case when event_id >= 1000000000 then '-again' else '' end"
+
+
+@query(f"""with {BROKEN}, f as (select case when t = 'DUPLICATE_NONCE' then 'INFERENCE_REPLAY' else 'CHAIN_BREAK' end attack_class, record_id affected_asset, 'chain' detector, t what,
+ case t when 'BROKEN_LINK' then 0.94 when 'DUPLICATE_NONCE' then 0.92 when 'DUPLICATE_SEQUENCE' then 0.80 when 'SEQUENCE_REGRESSION' then 0.78 when 'SEQUENCE_GAP' then 0.75 when 'MISSING_GENESIS' then 0.70 else 0.60 end c from br where t <> 'HASH_MISMATCH'
+ union all select 'INFERENCE_TAMPER', {NAMED}, 'tamper', tamper, 0.97 from ({ORACLES["tamper_detect"]})
+ union all select 'INFERENCE_REPLAY', {NAMED}, 'replay', replay_type, case when replay_type = 'IDENTICAL_PAYLOAD' then 0.75 else 0.93 end from ({ORACLES["replay_detect"]}))
+select attack_class, affected_asset, detector, what, {RUNGS} from f""")
 def full_record_scan(spark, d):
     from probity.plans.scan import scan_records
 
-    return scan_records(tampered_records(spark, d), "chain", ["event_id"]).findings
+    f = scan_records(tampered_records(spark, d), "chain", ["event_id"]).findings
+    what = F.coalesce(*(F.element_at("evidence", F.lit(k)) for k in ("break_type", "tamper", "replay_type")))
+    return f.select("attack_class", "affected_asset", "detector", what.alias("what"), "severity", *r6("confidence"), "disposition")
 
 
-@query()
+ALIKE = """pj as (select pr.* from pr join tk x on x.doc_id = pr.a join tk y on y.doc_id = pr.b where case when len(x.tk) + len(y.tk) = 0 then 1.0 else len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))) end >= 0.8), ed as (select a, b from pj union select b, a from pj)"""
+
+
+@query(f"""with {CLU.replace("ed as (select a, b from pr union select b, a from pr)", ALIKE)}, sz as (select cluster, count(*) size from mb group by 1 having count(*) > 1), md as (select median(size) m from sz), ma as (select median(abs(size - m)) a from sz, md),
+ far as (select distinct cluster from pj join mb on mb.id = pj.a), th as (select sz.*, greatest(4, ceil(m + 3 * greatest(1.4826 * a, 1)))::bigint threshold, far.cluster is null as same from sz left join far using (cluster), md, ma),
+ f as (select *, least(0.95, greatest(0.0, 0.55 + 0.06 * (size - threshold))) c0 from th where size >= threshold), g as (select *, case when same then least(c0 + 0.08, 0.97) else c0 end c from f)
+select cluster::varchar as affected_asset, size::bigint as size, threshold, {RUNGS} from g""")
 def flood_findings(spark, d):
     from probity.plans.scan import scan_texts
     from probity.sources.tables import Store
 
-    return scan_texts(t(spark, d, "documents"), Store(spark, "flood")).findings
+    f = scan_texts(t(spark, d, "documents"), Store(spark, "flood")).findings
+    return f.select("affected_asset", *(F.element_at("evidence", F.lit(k)).cast("bigint").alias(k) for k in ("size", "threshold")), "severity", *r6("confidence"), "disposition")
 
 
 @query(f"with {FIND}, n as (select finding_id, row_number() over (order by confidence desc, finding_id) r from f) select finding_id as old_id, 'DATA-' || case when r < 1000 then lpad(r::varchar, 3, '0') else r::varchar end as finding_id from n")
