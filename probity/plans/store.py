@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions import scans
 from probity.functions.text import GENESIS
+from probity.sources.tables import Store
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, keep: list[str] | None = None) -> DataFrame:
@@ -43,8 +45,6 @@ def accept_records(store: DataFrame, new: DataFrame, order: str, keep=None) -> D
     In each round those that are first of all rows left by id and by nonce are accepted, and rows that clash with them go; so many
     rounds as the longest run of clashes that hang on one another. `keep` writes a table and reads it again.
     """
-    from probity.sources.tables import Store
-
     keep = keep or Store(new.sparkSession, "accept").keep
     left = keep(new.join(store.select("record_id"), "record_id", "left_anti").join(store.select("nonce"), "nonce", "left_anti").select(new.columns))
     out = left.limit(0)
@@ -95,13 +95,28 @@ def _entry(prev: Column) -> Column:
 
 
 def verify_audit(log: DataFrame, chain: list[str] | None = None) -> DataFrame:
-    """(id, break_type): BROKEN_LINK where prev_hash isn't the stored hash before, HASH_MISMATCH where a row's own hash is wrong."""
-    w = Window.partitionBy(*(chain or [])).orderBy("id")
-    d = log.withColumn("__p", F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS)))
-    b = F.array_compact(F.array(F.when(F.col("prev_hash") != F.col("__p"), "BROKEN_LINK"), F.when(F.col("entry_hash") != _entry(F.col("prev_hash")), "HASH_MISMATCH")))
+    """(id, break_type): BROKEN_LINK where prev_hash isn't the stored hash before, HASH_MISMATCH where a row's own hash is wrong.
+
+    The hash before is scanned in two levels (scans.Scan), so one log of all rows is spread like many."""
+    (before,) = scans.free(log, "before")
+    scan = scans.Scan(log, chain or [], [F.col("id").asc_nulls_first()], Store(log.sparkSession, "audit"))
+    d = scan.clean(scan.lasts(**{before: F.col("entry_hash")}))
+    b = F.array_compact(F.array(F.when(F.col("prev_hash") != F.coalesce(before, F.lit(GENESIS)), "BROKEN_LINK"), F.when(F.col("entry_hash") != _entry(F.col("prev_hash")), "HASH_MISMATCH")))
     return d.select(*(chain or []), "id", F.explode(b).alias("break_type"))
 
 
+def list_audit(log: DataFrame, limit: int = 100, actor: str | None = None, action: str | None = None) -> DataFrame:
+    """The newest entries of a log, of one actor or action where given."""
+    d = log if actor is None else log.filter(F.col("actor") == actor)
+    d = d if action is None else d.filter(F.col("action") == action)
+    return d.orderBy(F.col("id").desc()).limit(limit)
+
+
+def reset(tables: dict[str, DataFrame], keep: tuple[str, ...] = ("audit",)) -> dict[str, DataFrame]:
+    """The tables without their rows, but for those kept: the audit log isn't forgotten."""
+    return {name: d if name in keep else d.limit(0) for name, d in tables.items()}
+
+
 def append_audit(entries: DataFrame, chain: str) -> DataFrame:
     """Chained entries of each log: entries(chain, id, timestamp_ns, actor, action, target, details), one fold a log."""
     logs = entries.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("id", "timestamp_ns", "actor", "action", "target", "details"))).alias("r"))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probity.operators import correlate, labels, office, trigger_search
-from probity.plans import scan
+from probity.plans import scan, store
 
 
 def test_drift_becomes_a_finding(spark):
@@ -57,3 +57,14 @@ def test_a_planted_backdoor_is_found(spark):
     w = spark.createDataFrame([("l", 0, 1.0)], "layer string, pos long, value double")
     assert scan.audit_model(w, triggers=verdict)["confidence"] == 0.48
     assert trigger_search.search_triggers(probes.limit(0), predict, 4).collect() == []
+
+
+def test_one_audit_log_of_many_rows(spark):
+    entries = spark.range(300).selectExpr("'log' as chain", "id", "id * 10 as timestamp_ns", "concat('a', id % 3) as actor", "'act' as action", "cast(null as string) as target", "'d' as details")
+    log = store.append_audit(entries, "chain")
+    assert store.verify_audit(log).collect() == [] and store.verify_audit(log, ["chain"]).collect() == []
+    bad = log.filter("id <> 100").withColumn("details", F.when(F.col("id") == 200, "other").otherwise(F.col("details")))
+    assert sorted((r.id, r.break_type) for r in store.verify_audit(bad).collect()) == [(101, "BROKEN_LINK"), (200, "HASH_MISMATCH")]
+    assert [r.id for r in store.list_audit(log, 2, actor="a1").collect()] == [298, 295]
+    left = store.reset({"audit": log, "findings": log})
+    assert left["audit"].count() == 300 and left["findings"].count() == 0
