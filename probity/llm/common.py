@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,28 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after whose last batch the worker gives its free memory back. Spark keeps workers for later tasks, and what an idle one holds on to
+    counts beside whatever the executor does next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def free_names(taken, *names: str) -> list[str]:
     """Names for helper columns that no column of `taken` has, whatever its case."""
     used = {c.lower() for c in taken}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, free_names, words
+from .common import LOWER, chunks, free_names, trimmed, words
 from .suffix import FMIndex
 
 #: Words of the item alphabet: digits, letters after lower-casing A-Z, and every byte of non-ASCII characters.
@@ -145,7 +145,7 @@ def find_leaks(
                     more = _judge(book, part, buf, offs, min_items, cut_text, last, inner)
                     yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [x for _, x in more], names=names + [c for c, _ in more])
 
-        df = df.mapInArrow(scan, schema)
+        df = df.mapInArrow(trimmed(scan), schema)
     return df
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Scratch, chunks, input_splits, join_spread, mix, scan_layout, words
+from .common import NOT_SPACE, Scratch, chunks, input_splits, join_spread, mix, scan_layout, trimmed, words
 from .components import connected_components
 
 U64 = np.uint64
@@ -264,8 +264,8 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 4, parts: in
                 k, r = fuzzy_keys(f[s : s + 20000].view(U64))
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f[s : s + 20000][r])], names=["key", "fp"])
 
-    keyed = fps.select("fp").mapInArrow(expand, "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key")
-    found = scratch.keep(keyed.mapInArrow(lambda x: _verify(x, most, block), "part int, a bigint, b bigint"), "found")
+    keyed = fps.select("fp").mapInArrow(trimmed(expand), "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key")
+    found = scratch.keep(keyed.mapInArrow(trimmed(lambda x: _verify(x, most, block)), "part int, a bigint, b bigint"), "found")
     links = found.filter("part = 0").select("a", "b").distinct()
     big = found.filter("part = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if big.isEmpty():
@@ -274,7 +274,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 4, parts: in
     dealt = big.join(nb, "key").withColumn("own", F.expr("pmod(xxhash64(fp), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "fp")
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.unionByName(dealt.mapInArrow(lambda x: _verify_blocks(x, most), "a bigint, b bigint")).distinct()
+    return links.unionByName(dealt.mapInArrow(trimmed(lambda x: _verify_blocks(x, most)), "a bigint, b bigint")).distinct()
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -290,7 +290,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([ids.slice(s, 256), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(scan, T.StructType([d.schema["id"], T.StructField("fp", T.LongType())]))
+    return d.mapInArrow(trimmed(scan), T.StructType([d.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -374,7 +374,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "node", "hs", "sketch", *BITS])
 
     schema = [docs.schema["id"], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(scan, T.StructType([*schema, *(T.StructField(c, T.LongType()) for c in BITS)]))
+    return docs.mapInArrow(trimmed(scan), T.StructType([*schema, *(T.StructField(c, T.LongType()) for c in BITS)]))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -423,7 +423,7 @@ def prefixes(sets: DataFrame, similarity: float, common) -> DataFrame:
                 keep = place <= size[row] - np.ceil(similarity * size[row] - 1e-6)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(b.column(0).to_numpy()[row[keep]])], names=["key", "node"])
 
-    return sets.select("node", "hs").mapInArrow(scan, "key bigint, node bigint")
+    return sets.select("node", "hs").mapInArrow(trimmed(scan), "key bigint, node bigint")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -518,7 +518,7 @@ def search_keys(sets: DataFrame, count: int = 8) -> DataFrame:
                 cols = [np.concatenate((*least, key | 1 << 60)), np.concatenate((*least[1:], *least[:1], least[0][at[len(has) * count :]])), size[has][at], node[at], fp[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "other", "size", "node", "fp"])
 
-    return sets.select("node", "fp", "hs").mapInArrow(scan, "key bigint, other bigint, size bigint, node bigint, fp bigint")
+    return sets.select("node", "fp", "hs").mapInArrow(trimmed(scan), "key bigint, other bigint, size bigint, node bigint, fp bigint")
 
 
 def _next_of_key(batches: Iterator[pa.RecordBatch], similarity: float, gaps: int = 2) -> Iterator[pa.RecordBatch]:
@@ -676,7 +676,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = scratch.keep(rows.select("id", "fp", "node"), "ids")
     nodes = scratch.keep(ids.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     common = spark.sparkContext.broadcast(common_shingles(rows))
-    twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_held_twice, "node bigint, key bigint")
+    twice = prefixes(rows, similarity, common).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_held_twice), "node bigint, key bigint")
     twice = scratch.keep(twice.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "twice")
     scratch.tidy()
     sets = scratch.keep(rows.select("node", "fp", "hs", "sketch", *BITS).join(twice, "node").dropDuplicates(["node"]), "sets")
@@ -692,20 +692,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return links
 
     near = search_keys(sets).repartition(parts, "key").sortWithinPartitions("key", "other", "size", "node")
-    sure = compared(near.mapInArrow(lambda x: _next_of_key(x, similarity), "a bigint, b bigint"), "first")
+    sure = compared(near.mapInArrow(trimmed(lambda x: _next_of_key(x, similarity)), "a bigint, b bigint"), "first")
     roots = connected_components(sure, Scratch(spark, "copies")).select("node", "root")
     rooted = lambda part: part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keyed = rooted(sets.select("node", "keys")).select(F.explode("keys").alias("key"), "root", "node")
     keyed = keyed.withColumn("key", F.col("key").cast("bigint")).repartition(parts, "key").sortWithinPartitions("key", "root", "node")
-    apart = scratch.keep(keyed.mapInArrow(_held_apart, "node bigint, key bigint"), "apart")
+    apart = scratch.keep(keyed.mapInArrow(trimmed(_held_apart), "node bigint, key bigint"), "apart")
     crowded = scratch.keep(apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("nb")).filter("nb > 1"), "crowded")
     crowded = F.broadcast(crowded) if crowded.count() <= 1 << 20 else crowded
     chosen = rooted(sets.select("node", "hs", *BITS).join(apart.groupBy("node").agg(F.collect_list(F.col("key").cast("int")).alias("keys")), "node"))
-    wide = chosen.select("node", "root", "hs", "keys", *BITS).mapInArrow(lambda x: _wide_rows(x, common.value), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
+    wide = chosen.select("node", "root", "hs", "keys", *BITS).mapInArrow(trimmed(lambda x: _wide_rows(x, common.value)), ", ".join(f"{c} bigint" for c in ("key", "node", "root", *WIDE)))
     wide = wide.join(crowded, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), nb)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "node", "root", *WIDE)
     wide = wide.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    sure = sure.unionByName(compared(wide.mapInArrow(lambda x: _apart(x, similarity), "a bigint, b bigint"), "rest"))
+    sure = sure.unionByName(compared(wide.mapInArrow(trimmed(lambda x: _apart(x, similarity)), "a bigint, b bigint"), "rest"))
     roots = connected_components(sure, scratch)
     owner = nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     comp = owner.groupBy("root").agg(F.min("least").alias("component_id"))

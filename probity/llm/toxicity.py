@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, free_names, input_splits, mix, words
+from .common import Scratch, chunks, free_names, input_splits, mix, trimmed, words
 from .decontaminate import WORD
 
 #: Labelled rows, at most, that the calibration of the score is fitted on.
@@ -77,7 +77,7 @@ def _packed(docs: DataFrame, labelled: np.ndarray) -> DataFrame:
                 data = [z.compress((t or "").encode()) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["id", "z"])
 
-    return docs.withColumn("slot", _slot("id")).mapInArrow(pack, T.StructType([docs.schema["id"], T.StructField("z", T.BinaryType())]))
+    return docs.withColumn("slot", _slot("id")).mapInArrow(trimmed(pack), T.StructType([docs.schema["id"], T.StructField("z", T.BinaryType())]))
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -119,7 +119,7 @@ def count_pairs(train: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return train.select("z", "y", "held").mapInArrow(count, "w bigint, h bigint, n bigint")
+    return train.select("z", "y", "held").mapInArrow(trimmed(count), "w bigint, h bigint, n bigint")
 
 
 def _gather(batches: Iterator[pa.RecordBatch], discount: int) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def difference(texts: DataFrame, model: Model, scratch: Scratch, part: int = PAR
                     cols = (t1[a + full], t2[a + full], *totals, size[full])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", *columns, "n"])
 
-        sums = texts.select("t1", "t2", "text").mapInArrow(scan, "t1 bigint, t2 bigint, " + ", ".join(f"{c} double" for c in columns) + ", n bigint")
+        sums = texts.select("t1", "t2", "text").mapInArrow(trimmed(scan), "t1 bigint, t2 bigint, " + ", ".join(f"{c} double" for c in columns) + ", n bigint")
         return sums.groupBy("t1", "t2").agg(*(F.max(c).alias(c) for c in (*columns, "n")))  # copies add up alike
 
     sums = one(0)
@@ -331,14 +331,14 @@ def train_model(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
     scratch.tidy(last=True)
     parts = max(input_splits(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = count_pairs(rows).repartition(parts, "w").sortWithinPartitions("w", "h")
-    counts = scratch.keep(counts.mapInArrow(lambda x: _gather(x, DISCOUNT), "kind int, w bigint, h bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)), "counts")
+    counts = scratch.keep(counts.mapInArrow(trimmed(lambda x: _gather(x, DISCOUNT)), "kind int, w bigint, h bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)), "counts")
     scratch.tidy(last=True)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(x.decode() for x in _unpacked(b.column(0)).to_pylist()), b.column(1)], names=["text", "y"])
 
-    bounded = rows.filter("held = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("z", "y").mapInArrow(texts, "text string, y int")
+    bounded = rows.filter("held = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("z", "y").mapInArrow(trimmed(texts), "text string, y int")
     bounded = scratch.keep(bounded.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text", "y"), "calibration")
     scratch.tidy()  # once more, should the shuffled pairs still have been in use
     found = difference(bounded, fit(counts, scratch, "part", False), scratch, shares=SHARES)
