@@ -68,17 +68,18 @@ def order_statistics(rows: DataFrame, targets: DataFrame, store: Store, finish:
     return out.select("g", "r", _value("k").alias("x"))
 
 
-def quantiles(df: DataFrame, value: str | Column, by: Sequence[str], probs: Mapping[str, float], least: int = LEAST) -> DataFrame:
+def quantiles(df: DataFrame, value: str | Column, by: Sequence[str], probs: Mapping[str, float], least: int = LEAST, stored: bool = False) -> DataFrame:
     """One row a group: its columns, and under each name of probs that quantile, linearly interpolated, of the values that are finite numbers.
 
-    Exact at every size. Null in a group's column is a group like others; groups without such values have no row.
+    Exact at every size. Null in a group's column is a group like others; groups without such values have no row. `stored`: df is read from
+    a written table or made cheaply from one, so that reading it several times costs little.
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     own = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("all"))
     rows = df.select(own.alias("g"), x.alias("x")).filter(~F.isnan("x") & (F.abs("x") < float("inf")))
     names = [F.col(f"g.{c}").alias(c) for c in by]
     store = Store(df.sparkSession, "select")
-    rows = store.keep(rows)  # two columns, so that what made them runs once
+    rows = rows if stored else store.keep(rows)  # two columns, so that what made them runs once
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= least:
         return rows.groupBy("g").agg(*(F.percentile("x", F.lit(float(p))).alias(k) for k, p in probs.items())).select(*names, *probs)
