@@ -9,6 +9,12 @@ from probity.functions.selection import quantiles
 from probity.functions.stats import clamp
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast. Tables here grow with the rows, and neither the compressed size of a written one nor
+    the size before an explode tells Spark what they would take of the driver."""
+    return df.hint("merge")
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
@@ -48,7 +54,7 @@ def near_pairs(fps: DataFrame, most: int = 5, bits: int = 60) -> DataFrame:
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(band[i], 31).bitwiseOR(band[j]).alias("key")) for k, (i, j) in enumerate(both)])
     keyed = rep.select("id", "fp", F.explode(bands).alias("b")).select("id", "fp", "b.band", "b.key")
     x, y = keyed.alias("x"), keyed.alias("y")
-    j = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    j = x.join(shuffled(y), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     j = j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.fp"), F.col("y.fp")).alias("distance"))
     return j.filter(F.col("distance") <= most).distinct()
 
@@ -66,10 +72,10 @@ def components(pairs: DataFrame, checkpoint=None, rounds: int = 50) -> DataFrame
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     for _ in range(rounds):
-        near = both.join(cur.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        low = cur.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
+        near = both.join(shuffled(cur.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("root").alias("m"))
+        low = cur.join(shuffled(near), F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        cur = low.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old")
+        cur = low.join(shuffled(jump), "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old")
         cur = checkpoint(cur) if checkpoint else cur.checkpoint()
         settled = cur.filter("root <> old").isEmpty()
         cur = cur.drop("old")
@@ -81,7 +87,7 @@ def components(pairs: DataFrame, checkpoint=None, rounds: int = 50) -> DataFrame
 def clusters(fps: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, cluster): the cluster of every row; rows with one fingerprint share one."""
     rep = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    return fps.join(rep, "fp").join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("cluster"))
+    return fps.join(shuffled(rep), "fp").join(shuffled(roots), F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("cluster"))
 
 
 def flood_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
