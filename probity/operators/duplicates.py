@@ -107,9 +107,9 @@ def flood_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def contributor_shares(members: DataFrame, docs: DataFrame, id_col: str = "doc_id", contributor: str = "source", least_rows: int = 20, least_share: float = 0.20) -> DataFrame:
     """Share of a contributor's rows that repeat an earlier row of their cluster (all but the smallest id of a cluster)."""
     first = members.groupBy("cluster").agg(F.min("id").alias("first"))
-    again = members.join(first, "cluster").filter("id > first").select(F.col("id").alias("__id"))
+    again = members.join(shuffled(first), "cluster").filter("id > first").select(F.col("id").alias("__id"))
     d = docs.select(F.col(id_col).alias("__d"), F.coalesce(F.col(contributor), F.lit("UNKNOWN")).alias("contributor"))
-    d = d.join(again.distinct(), F.col("__d") == F.col("__id"), "left")
+    d = d.join(shuffled(again.distinct()), F.col("__d") == F.col("__id"), "left")
     s = d.groupBy("contributor").agg(F.count(F.lit(1)).alias("total"), F.count("__id").alias("redundant")).withColumn("share", F.col("redundant") / F.col("total"))
     s = s.filter((F.col("total") >= least_rows) & (F.upper("contributor") != "UNKNOWN"))
     return s.withColumn("confidence", F.when(F.col("share") >= least_share, clamp(0.45 + F.col("share") - 0.20, 0.0, 0.90)))

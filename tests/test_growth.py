@@ -29,3 +29,8 @@ def test_pairs_components_and_clusters_are_not_broadcast(flood):
     _, fps, pairs, kept, roots = flood
     for df in (duplicates.near_pairs(fps), *kept, duplicates.clusters(fps, roots)):
         assert joins(df) == {"SortMergeJoin"}
+
+
+def test_contributor_shares_are_not_broadcast(flood):
+    docs, fps, _, _, roots = flood
+    assert joins(duplicates.contributor_shares(duplicates.clusters(fps, roots), docs)) == {"SortMergeJoin"}
