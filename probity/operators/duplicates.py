@@ -93,8 +93,8 @@ def clusters(fps: DataFrame, roots: DataFrame) -> DataFrame:
 def flood_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters of two rows and more: size, exact, the flood threshold max(4, ceil(median + 3 max(1.4826 MAD, 1))), confidence."""
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    far = pairs.join(members.select(F.col("id").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.max("distance").alias("most"))
-    s = size.join(far, "cluster", "left").select("cluster", "size", (F.coalesce("most", F.lit(0)) == 0).alias("exact"))
+    far = pairs.join(shuffled(members.select(F.col("id").alias("a"), "cluster")), "a").groupBy("cluster").agg(F.max("distance").alias("most"))
+    s = size.join(shuffled(far), "cluster", "left").select("cluster", "size", (F.coalesce("most", F.lit(0)) == 0).alias("exact"))
     med = quantiles(s, "size", (), {"med": 0.5})
     mad = quantiles(s.crossJoin(F.broadcast(med)), F.abs(F.col("size") - F.col("med")), (), {"mad": 0.5}).crossJoin(med)  # one row
     s = s.crossJoin(F.broadcast(mad)).withColumn("threshold", F.greatest(F.lit(4), F.ceil(F.col("med") + 3 * F.greatest(1.4826 * F.col("mad"), F.lit(1.0)))).cast("bigint"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from probity.functions.selection import quantiles as QUANTILES
 from probity.operators import duplicates
 from probity.sources.tables import Store
 
@@ -34,3 +35,11 @@ def test_pairs_components_and_clusters_are_not_broadcast(flood):
 def test_contributor_shares_are_not_broadcast(flood):
     docs, fps, _, _, roots = flood
     assert joins(duplicates.contributor_shares(duplicates.clusters(fps, roots), docs)) == {"SortMergeJoin"}
+
+
+def test_flood_thresholds_join_members_by_shuffling(flood, monkeypatch):
+    _, fps, pairs, _, roots = flood
+    seen = []
+    monkeypatch.setattr(duplicates, "quantiles", lambda d, *a: seen.append(d) or QUANTILES(d, *a))
+    duplicates.flood_clusters(duplicates.clusters(fps, roots), pairs)
+    assert joins(seen[0]) == {"SortMergeJoin"}  # the next one adds medians, which are one row
