@@ -62,7 +62,7 @@ def near_pairs(fps: DataFrame, most: int = 5, bits: int = 60) -> DataFrame:
 def jaccard(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pairs with the token Jaccard of their texts."""
     t = docs.select(F.col(id_col).alias("id"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    j = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    j = pairs.join(shuffled(t.select(F.col("id").alias("a"), F.col("t").alias("ta"))), "a").join(shuffled(t.select(F.col("id").alias("b"), F.col("t").alias("tb"))), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return j.withColumn("jaccard", F.when(F.size(F.array_union("ta", "tb")) == 0, 1.0).otherwise(both / F.size(F.array_union("ta", "tb")))).drop("ta", "tb")
 

@@ -43,3 +43,8 @@ def test_flood_thresholds_join_members_by_shuffling(flood, monkeypatch):
     monkeypatch.setattr(duplicates, "quantiles", lambda d, *a: seen.append(d) or QUANTILES(d, *a))
     duplicates.flood_clusters(duplicates.clusters(fps, roots), pairs)
     assert joins(seen[0]) == {"SortMergeJoin"}  # the next one adds medians, which are one row
+
+
+def test_similarities_join_texts_by_shuffling(flood):
+    docs, _, pairs, _, _ = flood
+    assert joins(duplicates.jaccard(docs, pairs)) == {"SortMergeJoin"}
