@@ -44,7 +44,7 @@ def precision_recall(truth: DataFrame, flagged: DataFrame, universe: int | Colum
     a, b = truth.select(key).distinct().withColumn("t", F.lit(1)), flagged.select(key).distinct().withColumn("f", F.lit(1))
     j = a.join(b, key, "full")
     if baseline is not None:
-        j = j.join(baseline.select(key).distinct().withColumn("nat", F.lit(1)), key, "left").filter("t = 1 or nat is null")
+        j = j.join(baseline.select(key).distinct().withColumn("nat", F.lit(1)).hint("merge"), key, "left").filter("t = 1 or nat is null")
     u = F.lit(universe) if isinstance(universe, int) else universe
     c = j.agg(F.count("t").alias("ground_truth"), F.count("f").alias("flagged"), F.count_if((F.col("t") == 1) & (F.col("f") == 1)).alias("true_positives"))
     tp, fp, fn = F.col("true_positives"), F.col("flagged") - F.col("true_positives"), F.col("ground_truth") - F.col("true_positives")

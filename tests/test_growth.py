@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.selection import quantiles as QUANTILES
 from probity.operators import duplicates
+from probity.operators.generators import precision_recall
 from probity.sources.tables import Store
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,8 @@ def test_flood_thresholds_join_members_by_shuffling(flood, monkeypatch):
 def test_similarities_join_texts_by_shuffling(flood):
     docs, _, pairs, _, _ = flood
     assert joins(duplicates.jaccard(docs, pairs)) == {"SortMergeJoin"}
+
+
+def test_scores_join_keys_by_shuffling(spark):
+    keys = Store(spark, "growth").keep(spark.range(9))
+    assert joins(precision_recall(keys, keys, 9, baseline=keys)) == {"SortMergeJoin"}
