@@ -1,11 +1,12 @@
 """What grows with the rows stays out of the driver, out of one task, and in proportion to the input."""
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from probity.functions.selection import quantiles as QUANTILES
-from probity.operators import duplicates
+from probity.operators import duplicates, kernels
 from probity.operators.generators import precision_recall
+from probity.operators.neighbours import BYTES, block_count, nearest
 from probity.sources.tables import Store
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,27 @@ def test_similarities_join_texts_by_shuffling(flood):
 def test_scores_join_keys_by_shuffling(spark):
     keys = Store(spark, "growth").keep(spark.range(9))
     assert joins(precision_recall(keys, keys, 9, baseline=keys)) == {"SortMergeJoin"}
+
+
+def test_blocks_of_pairs_do_not_grow_with_the_rows():
+    assert [block_count(n, 64, 2048) for n in (1, 2048, 10_000, 100_000, 600_000)] == [1, 1, 5, 16, 16]
+    assert block_count(600_000, 768, 2048) * BYTES >= 600_000 * 768 * 8  # but no block is over BYTES
+
+
+@pytest.mark.parametrize("n", [1, 5, 700])
+def test_discrepancy_and_neighbours_over_many_blocks(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.repeat(rng.normal(size=(-(-n // 2), 5)).round(1), 2, axis=0)[:n]
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id long, side int, v array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    up = d[np.triu_indices(n, 1)]
+    gamma = 1 / np.median(up) if n > 1 else 1.0
+    kernel, side = np.exp(-gamma * d), np.arange(n) % 2
+    mean = lambda a, b: kernel[np.triu(np.ones((n, n), bool), 1) & (np.sort([side[:, None] + 0 * side, side + 0 * side[:, None]], axis=0) == np.array([a, b])[:, None, None]).all(0)]
+    part = [m.mean() if len(m := mean(a, b)) else 0.0 for a, b in ((0, 0), (1, 1), (0, 1))]
+    got = kernels.mmd_exact(df, tile=32)
+    assert got[0] == pytest.approx(max(0.0, part[0] + part[1] - 2 * part[2]) ** 0.5, abs=1e-6) and got[1] == pytest.approx(gamma)
+    np.fill_diagonal(d, np.inf)
+    near = nearest(df, 3, "id", "v", block_rows=32).collect()
+    assert len(near) == n * min(3, n - 1)
+    assert all(r.distance2 == pytest.approx(np.sort(d[r.id])[r["rank"] - 1], abs=1e-9) for r in near)
