@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probity.functions import scans
 from probity.functions.text import CHAINED, GENESIS, record_hash
@@ -25,7 +26,8 @@ def link_records(records: DataFrame, chain: str, order: list[str], reseal: bool
     Hashing is serial within a chain by nature, so a chain is one fold over its ordered records; chains run in parallel.
     """
     fields = [c for c in CHAINED if c not in ("prev_record_hash", "sequence_number")]
-    rec = F.struct(*order, *[F.col(c) for c in fields if c not in order], F.struct(*[c for c in records.columns if c not in (chain, "prev_record_hash", "record_hash", "sequence_number")]).alias("__row"))
+    kept = [c for c in records.columns if c not in (chain, "prev_record_hash", "record_hash", "sequence_number")]
+    rec = F.struct(*dict.fromkeys([*order, *fields, *kept]))
     chains = records.groupBy(chain).agg(F.array_sort(F.collect_list(rec)).alias("r"))
 
     def text(x: Column, c: str) -> Column:
@@ -39,48 +41,72 @@ def link_records(records: DataFrame, chain: str, order: list[str], reseal: bool
 
     empty = F.struct(F.lit(GENESIS).alias("h"), F.array().cast("array<struct<p:string,h:string>>").alias("out"))
     folded = chains.select(chain, "r", F.aggregate("r", empty, step, lambda a: a["out"]).alias("l"))
-    return folded.select(chain, F.posexplode(F.arrays_zip("r", "l")).alias("i", "x")).select(chain, F.col("x.r.__row.*"), F.col("i").cast("bigint").alias("sequence_number"), F.col("x.l.p").alias("prev_record_hash"), F.col("x.l.h").alias("record_hash"))
+    return folded.select(chain, F.posexplode(F.arrays_zip("r", "l")).alias("i", "x")).select(chain, *(F.col(f"x.r.{c}").alias(c) for c in kept), F.col("i").cast("bigint").alias("sequence_number"), F.col("x.l.p").alias("prev_record_hash"), F.col("x.l.h").alias("record_hash"))
 
 
-def verify_chain(records: DataFrame, chain: str, order: list[str], skew_ns: int = 1_000_000_000) -> DataFrame:
+def packed(c: Column) -> Column:
+    """A string as bytes, lower-case hex at half its size; equal strings, and no others, have equal bytes."""
+    raw = F.unhex(c)
+    return F.when(F.lower(F.hex(raw)) == c, F.concat(F.unhex(F.lit("01")), raw)).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(c, "UTF-8")))
+
+
+def unpacked(c: Column) -> Column:
+    rest = F.substring(c, 2, 1 << 30)
+    return F.when(F.substring(c, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
+def verify_chain(records: DataFrame, chain: str, order: list[str], skew_ns: int = 1_000_000_000, least: int = scans.LEAST) -> DataFrame:
     """One row per break: chain, index, record_id, break_type, expected, found. A record can have several.
 
     Stored hashes are compared with their predecessor's stored hash, so every record is checked on its own. What comes before a record
-    (its place, the last hash, sequence number and time) is scanned in two levels (scans.Scan): ranges of records, then one row a
-    range, so that a chain of all records is spread like any other. Firsts (nonce, sequence number) are aggregates that are joined back, so
-    neither a chain nor one nonce in very many records meets in a task. Records that tie in `order` keep one order.
+    (its place, the last hash, sequence number and time) comes from one window where no chain is over scans.LEAST records, and else is scanned
+    in two levels (scans.Scan): ranges of records, then one row a range, so that a chain of all records is spread like any other. What
+    a record shows on its own is judged before; only what the order needs moves, digests at half their size. Firsts (nonce, sequence number) are
+    aggregates that are joined back, so one nonce in very many records doesn't meet in a task. Records that tie in `order` keep one order.
     """
     txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    item = lambda t, cond, exp, got: F.when(cond, F.struct(F.lit(t).alias("break_type"), exp.cast("string").alias("expected"), got.cast("string").alias("found")))
+    some = lambda *checks: F.filter(F.array(*checks), lambda x: x.isNotNull())
     store = Store(records.sparkSession, "chain")
-    calc, own, ts, seq, prev, pseq, pts, fn, fs = scans.free(records, "calc", "own", "ts_of", "seq_of", "prev_of", "seq_before", "ts_before", "first_nonce", "first_seq")
-    d = records.withColumn(calc, record_hash()).withColumn(own, F.when(txt("record_hash") != "", txt("record_hash")).otherwise(F.col(calc)))
-    d = d.withColumn(ts, F.coalesce(F.col("timestamp_ns"), F.lit(0)))
-    scan = scans.Scan(d, [chain], [F.col(c).asc_nulls_first() for c in order], store)
-    d = scan.sums(index=F.lit(1).cast("bigint")).withColumn(seq, F.coalesce(F.col("sequence_number").cast("bigint"), F.col("index")))
+    calc, said, nonce = F.col("__calc"), unpacked(F.col("__said")), F.col("__nonce")
+    alone = [item("HASH_MISMATCH", (txt("record_hash") != "") & (F.col("record_hash") != calc), calc, F.col("record_hash"))]
+    if "output" in records.columns:
+        digest = F.sha2(F.col("output"), 256)
+        alone.append(item("PAYLOAD_MISMATCH", F.col("output").isNotNull() & (txt("output_hash") != "") & (digest != F.col("output_hash")), digest, F.col("output_hash")))
+    by = [F.col(c).alias(f"__by{i}") for i, c in enumerate(order)]
+    d = records.withColumn("__calc", record_hash()).select(
+        F.col(chain).alias("__chain"), *by, F.col("record_id").alias("__id"), packed(F.when(txt("record_hash") != "", txt("record_hash")).otherwise(calc)).alias("__own"), packed(txt("prev_record_hash")).alias("__said"),
+        packed(txt("nonce")).alias("__nonce"), F.coalesce("timestamp_ns", F.lit(0)).alias("__ts"), F.col("sequence_number").cast("bigint").alias("__stated"), some(*alone).alias("__alone"),
+    )
     d = store.keep(d)
-    first_nonce = d.filter(txt("nonce") != "").groupBy(chain, "nonce").agg(F.min("index").alias(fn), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    first_seq = d.groupBy(chain, seq).agg(F.min("index").alias(fs), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    d = scan.lasts(d, **{prev: F.col(own), pseq: F.col(seq), pts: F.when(F.col(ts) > 0, F.col(ts))})
-    d = scans.join_on(d, first_nonce, [chain, "nonce"], "left")
-    d = scans.join_on(d, first_seq, [chain, seq], "left").withColumn(prev, F.coalesce(prev, F.lit(GENESIS)))
-    said = txt("prev_record_hash")
+    asc = [F.col(f"__by{i}").asc_nulls_first() for i in range(len(order))]
+    seq = F.coalesce("__stated", "index")
+    before = {"__prev": F.col("__own"), "__pseq": F.col("__seq"), "__pts": F.when(F.col("__ts") > 0, F.col("__ts"))}
+    if scans.largest_group(d, ["__chain"]) > least:
+        scan = scans.Scan(d, ["__chain"], asc, store)
+        d = store.keep(scan.sums(index=F.lit(1).cast("bigint")).withColumn("__seq", seq))
+        d = scan.lasts(d, **before)
+    else:
+        w = Window.partitionBy("__chain").orderBy(*asc, "__tie")
+        d = d.withColumn("__tie", F.monotonically_increasing_id()).withColumn("index", (F.row_number().over(w) - 1).cast("bigint")).withColumn("__seq", seq)
+        d = d.withColumns({k: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k, v in before.items()})
+    prev = F.coalesce(unpacked(F.col("__prev")), F.lit(GENESIS))
     genesis = (F.col("index") == 0) & ~said.isin(GENESIS, "")
-    item = lambda t, cond, exp, got: F.when(cond, F.struct(F.lit(t).alias("break_type"), exp.cast("string").alias("expected"), got.cast("string").alias("found")))
     checks = [
         item("MISSING_GENESIS", genesis, F.lit(GENESIS), said),
-        item("BROKEN_LINK", ~genesis & (said != F.col(prev)), F.col(prev), said),
-        item("HASH_MISMATCH", (txt("record_hash") != "") & (F.col("record_hash") != F.col(calc)), F.col(calc), F.col("record_hash")),
-        item("DUPLICATE_NONCE", (txt("nonce") != "") & (F.col("index") > F.col(fn)), F.lit("unique nonce"), F.col("nonce")),
-        item("DUPLICATE_SEQUENCE", F.col("index") > F.col(fs), F.lit("unique sequence"), F.col(seq)),
-        item("SEQUENCE_REGRESSION", F.col(seq) <= F.col(pseq), F.concat(F.lit(">"), F.col(pseq).cast("string")), F.col(seq)),
-        item("SEQUENCE_GAP", F.col(seq) > F.col(pseq) + 1, F.col(pseq) + 1, F.col(seq)),
-        item("TIMESTAMP_REGRESSION", (F.col(ts) > 0) & (F.col(ts) < F.col(pts) - skew_ns), F.concat(F.lit(">="), F.col(pts).cast("string")), F.col(ts)),
-    ]
-    if "output" in records.columns:
-        calc = F.sha2(F.col("output"), 256)
-        checks.append(item("PAYLOAD_MISMATCH", F.col("output").isNotNull() & (txt("output_hash") != "") & (calc != F.col("output_hash")), calc, F.col("output_hash")))
-    d = d.select(chain, "index", "record_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("b"))
-    return d.select(chain, F.col("index").cast("bigint").alias("index"), "record_id", "b.break_type", "b.expected", "b.found")
+        item("BROKEN_LINK", ~genesis & (said != prev), prev, said),
+        item("SEQUENCE_REGRESSION", F.col("__seq") <= F.col("__pseq"), F.concat(F.lit(">"), F.col("__pseq").cast("string")), F.col("__seq")),
+        item("SEQUENCE_GAP", F.col("__seq") > F.col("__pseq") + 1, F.col("__pseq") + 1, F.col("__seq")),
+        item("TIMESTAMP_REGRESSION", (F.col("__ts") > 0) & (F.col("__ts") < F.col("__pts") - skew_ns), F.concat(F.lit(">="), F.col("__pts").cast("string")), F.col("__ts")),
+    ]
+    d = store.keep(d.select("__chain", "index", "__id", "__nonce", "__seq", F.concat("__alone", some(*checks)).alias("__b")))
+    out = d.select("__chain", "index", "__id", F.explode("__b").alias("b"))
+    for kind, key, found, rows in (("DUPLICATE_NONCE", "__nonce", unpacked(nonce), d.filter(unpacked(nonce) != "")), ("DUPLICATE_SEQUENCE", "__seq", F.col("__seq"), d)):
+        rows = rows.select("__chain", "index", "__id", key)
+        first = rows.groupBy("__chain", key).agg(F.min("index").alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        hit = scans.join_on(rows, first.hint("merge"), ["__chain", key]).filter(F.col("index") > F.col("__first"))
+        out = out.unionByName(hit.select("__chain", "index", "__id", F.explode(F.array(item(kind, F.lit(True), F.lit("unique nonce" if key == "__nonce" else "unique sequence"), found))).alias("b")))
+    return out.select(F.col("__chain").alias(chain), "index", F.col("__id").alias("record_id"), "b.break_type", "b.expected", "b.found")
 
 
 def chain_summary(records: DataFrame, breaks: DataFrame, chain: str, order: list[str]) -> DataFrame:

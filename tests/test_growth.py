@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from probity.functions.selection import quantiles as QUANTILES
-from probity.operators import duplicates, kernels
+from probity.operators import duplicates, kernels, provenance
 from probity.operators.generators import precision_recall
 from probity.operators.neighbours import BYTES, block_count, nearest
 from probity.sources.tables import Store
@@ -79,3 +79,29 @@ def test_discrepancy_and_neighbours_over_many_blocks(spark, n):
     near = nearest(df, 3, "id", "v", block_rows=32).collect()
     assert len(near) == n * min(3, n - 1)
     assert all(r.distance2 == pytest.approx(np.sort(d[r.id])[r["rank"] - 1], abs=1e-9) for r in near)
+
+
+@pytest.mark.parametrize("least", [0, 1 << 16])
+def test_breaks_by_one_window_or_two_levels(spark, least):
+    """What verify_chain moves is narrower than the records, and odd hashes, nonces and nulls come back as they were."""
+    genesis, names = "0" * 64, "chain string, at long, record_id string, input_hash string, model_hash string, config_hash string, output_hash string, nonce string, timestamp_ns long, sequence_number long, prev_record_hash string, record_hash string"
+    rows = [
+        ("a", 1, "r1", "i", "m", "c", "o", "AB", None, 0, genesis, "ab"), ("a", 2, "r2", "i", "m", "c", "o", "ab", None, 1, "ab", "AB"), ("a", 3, "r3", "i", "m", "c", "o", "AB", None, None, "ab", "\u00e9"),
+        (None, 1, "s1", "i", "m", "c", "o", "", None, 5, "x", "0a0"), (None, 2, "s2", "i", "m", "c", "o", "", None, 5, "0a0", None), (None, 3, None, "i", "m", "c", "o", None, None, 7, None, "y"),
+    ]
+    got = {(r.chain, r["index"], r.break_type, r.found) for r in provenance.verify_chain(spark.createDataFrame(rows, names), "chain", ["at"], least=least).collect()}
+    alone = {(c, i, "HASH_MISMATCH", h) for c, i, h in (("a", 0, "ab"), ("a", 1, "AB"), ("a", 2, "\u00e9"), (None, 0, "0a0"), (None, 2, "y"))}
+    assert got == alone | {("a", 2, "BROKEN_LINK", "ab"), ("a", 2, "DUPLICATE_NONCE", "AB"), (None, 0, "MISSING_GENESIS", "x"), (None, 1, "DUPLICATE_SEQUENCE", "5"), (None, 1, "SEQUENCE_REGRESSION", "5"), (None, 2, "BROKEN_LINK", ""), (None, 2, "SEQUENCE_GAP", "7")}
+
+
+def test_a_linked_record_moves_once(spark):
+    linked = provenance.link_records(spark.range(4).selectExpr("id % 2 as chain", "id", *(f"'{c}' as {c}" for c in ("record_id", "input_hash", "model_hash", "config_hash", "output_hash", "nonce")), "0L as timestamp_ns"), "chain", ["id"])
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert "__row" not in plan and linked.columns[:3] == ["chain", "id", "record_id"]
+
+
+def test_breaks_are_told_apart_before_they_are_cast(spark):
+    """No literal of a kind that is filtered out is judged while planning."""
+    rows = spark.range(4).selectExpr("0 as chain", "id", "id * 2 as sequence_number", *(f"'{c}' as {c}" for c in ("record_id", "input_hash", "model_hash", "config_hash", "output_hash", "nonce", "prev_record_hash", "record_hash")), "0L as timestamp_ns")
+    gaps = provenance.verify_chain(rows, "chain", ["id"]).filter("break_type = 'SEQUENCE_GAP'").selectExpr("cast(expected as bigint) as e").collect()
+    assert sorted(r.e for r in gaps) == [1, 3, 5]
