@@ -78,13 +78,13 @@ def verify_chain(records: DataFrame, chain: str, order: list[str], skew_ns: int
         F.col(chain).alias("__chain"), *by, F.col("record_id").alias("__id"), packed(F.when(txt("record_hash") != "", txt("record_hash")).otherwise(calc)).alias("__own"), packed(txt("prev_record_hash")).alias("__said"),
         packed(txt("nonce")).alias("__nonce"), F.coalesce("timestamp_ns", F.lit(0)).alias("__ts"), F.col("sequence_number").cast("bigint").alias("__stated"), some(*alone).alias("__alone"),
     )
-    d = store.keep(d)
+    d = store.keep(d, "zstd")
     asc = [F.col(f"__by{i}").asc_nulls_first() for i in range(len(order))]
     seq = F.coalesce("__stated", "index")
     before = {"__prev": F.col("__own"), "__pseq": F.col("__seq"), "__pts": F.when(F.col("__ts") > 0, F.col("__ts"))}
     if scans.largest_group(d, ["__chain"]) > least:
         scan = scans.Scan(d, ["__chain"], asc, store)
-        d = store.keep(scan.sums(index=F.lit(1).cast("bigint")).withColumn("__seq", seq))
+        d = store.keep(scan.sums(index=F.lit(1).cast("bigint")).withColumn("__seq", seq), "zstd")
         d = scan.lasts(d, **before)
     else:
         w = Window.partitionBy("__chain").orderBy(*asc, "__tie")
@@ -99,7 +99,7 @@ def verify_chain(records: DataFrame, chain: str, order: list[str], skew_ns: int
         item("SEQUENCE_GAP", F.col("__seq") > F.col("__pseq") + 1, F.col("__pseq") + 1, F.col("__seq")),
         item("TIMESTAMP_REGRESSION", (F.col("__ts") > 0) & (F.col("__ts") < F.col("__pts") - skew_ns), F.concat(F.lit(">="), F.col("__pts").cast("string")), F.col("__ts")),
     ]
-    d = store.keep(d.select("__chain", "index", "__id", "__nonce", "__seq", F.concat("__alone", some(*checks)).alias("__b")))
+    d = store.keep(d.select("__chain", "index", "__id", "__nonce", "__seq", F.concat("__alone", some(*checks)).alias("__b")), "zstd")
     out = d.select("__chain", "index", "__id", F.explode("__b").alias("b"))
     for kind, key, found, rows in (("DUPLICATE_NONCE", "__nonce", unpacked(nonce), d.filter(unpacked(nonce) != "")), ("DUPLICATE_SEQUENCE", "__seq", F.col("__seq"), d)):
         rows = rows.select("__chain", "index", "__id", key)
