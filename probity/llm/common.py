@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Share of the driver's heap limit up to which the heap may have grown before a written table makes it shrink.
+HEAP_SHARE = 0.55
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +47,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        """Writes df once and returns the written table."""
+        """Writes df once and returns the written table. What planning its queries has left on the driver's heap goes when that has grown
+        over HEAP_SHARE: hundreds of short queries, as on small tables, else take the heap to its limit."""
         writer = df.write.mode("overwrite")
         (writer.option("compression", codec) if codec else writer).parquet(self.path(name))
+        heap = self.spark._jvm.Runtime.getRuntime()
+        if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+            self.tidy()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -6,7 +6,7 @@ import duckdb
 from test_scan import brute_leaks, plain_difference
 
 import corpus_pipeline
-from probity.llm import queries
+from probity.llm import common, queries
 from probity.llm.mixing import mix_sql
 from probity.llm.settings import DOMAINS, WEIGHTS
 from probity.llm.toxicity import CURVES, held_out, train_model
@@ -101,3 +101,12 @@ def test_queries_match_their_sql(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 14))
+
+
+def test_written_tables_shrink_a_grown_heap(spark, monkeypatch):
+    shrunk = []
+    monkeypatch.setattr(common.Scratch, "tidy", lambda self, last=False: shrunk.append(last))
+    for share in (1.0, 0.0):
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        assert common.Scratch(spark, "heap").keep(spark.range(9), "nine").count() == 9
+    assert shrunk == [False]
