@@ -42,12 +42,14 @@ def order_statistics(rows: DataFrame, targets: DataFrame, store: Store, finish:
     counted on, until after 64 bits it is one value, however many rows have it.
     """
     keyed = store.keep(rows.select("g", _key("x").alias("k")))
+    targets = store.keep(targets)  # its size is known, so rows needn't be dealt by their few groups to meet it
     todo = targets.select("g", "r", F.lit(0).cast("bigint").alias("prefix"), F.col("r").alias("rest"))
     found = []
     for level in range(64 // BITS):
         shift = 64 - BITS * (level + 1)
         inside = keyed.withColumn("prefix", F.lit(0).cast("bigint") if level == 0 else F.shiftright("k", shift + BITS))
-        inside = inside.join(todo.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
+        if level:  # at first all rows have prefix 0, and would meet in one task a group
+            inside = inside.join(todo.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
         bins = inside.groupBy("g", "prefix", F.shiftright("k", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("g", "prefix").orderBy("bin"))  # 2^BITS rows at most
         bins = bins.select("g", "prefix", "bin", "n", (upto - F.col("n")).alias("before"))
@@ -80,7 +82,7 @@ def quantiles(df: DataFrame, value: str | Column, by: Sequence[str], probs: Mapp
     names = [F.col(f"g.{c}").alias(c) for c in by]
     store = Store(df.sparkSession, "select")
     rows = rows if stored else store.keep(rows)  # two columns, so that what made them runs once
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = store.keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= least:
         return rows.groupBy("g").agg(*(F.percentile("x", F.lit(float(p))).alias(k) for k, p in probs.items())).select(*names, *probs)
     at = {k: F.lit(float(p)) * (F.col("n") - 1) for k, p in probs.items()}
@@ -90,4 +92,4 @@ def quantiles(df: DataFrame, value: str | Column, by: Sequence[str], probs: Mapp
     low = {k: F.col("m")[F.floor(a).cast("bigint")] for k, a in at.items()}
     high = {k: F.col("m")[F.ceil(a).cast("bigint")] for k, a in at.items()}
     mixed = {k: F.when(F.floor(a) == F.ceil(a), low[k]).otherwise((F.ceil(a) - a) * low[k] + (a - F.floor(a)) * high[k]) for k, a in at.items()}
-    return sizes.join(values, "g").select(*names, *(c.alias(k) for k, c in mixed.items()))
+    return store.keep(sizes.join(values, "g").select(*names, *(c.alias(k) for k, c in mixed.items())))  # small, and known to be

@@ -90,11 +90,12 @@ def modified_zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str
     Medians are of the finite values and exact; groups of over `least` rows are selected from by counting passes, so none is sorted or
     mapped in one task. A null group is a group; null where x is null or its group has no finite value."""
     med, dev, mad, mean = scans.free(df, "med", "dev", "mad", "mean")
-    df = Store(df.sparkSession, "z").keep(df)  # read four times
+    store = Store(df.sparkSession, "z")
+    df = store.keep(df)  # read four times
     d = scans.join_on(df, selection.quantiles(df, value, by, {med: 0.5}, least, True), by, "left") if by else _one(df, selection.quantiles(df, value, (), {med: 0.5}, least, True))
     d = d.withColumn(dev, F.col(value) - F.col(med))
     size = F.abs(F.col(dev))
-    means = d.filter(~F.isnan(dev) & (size < float("inf"))).groupBy(*by).agg(F.avg(size).alias(mean))
+    means = store.keep(d.filter(~F.isnan(dev) & (size < float("inf"))).groupBy(*by).agg(F.avg(size).alias(mean)))
     mads = selection.quantiles(d, size, by, {mad: 0.5}, least, True)
     d = scans.join_on(scans.join_on(d, mads, by, "left"), means, by, "left") if by else _one(_one(d, mads), means)
     z = F.when(F.col(dev).isNull(), None).when(F.col(mad) >= TINY, 0.6745 * F.col(dev) / F.col(mad)).when(F.col(mean) >= TINY, F.col(dev) / (1.253314 * F.col(mean))).otherwise(0.0)
@@ -113,7 +114,7 @@ def robust_stats(df: DataFrame, value: str, by: Sequence[str] = (), least: int =
     d = Store(df.sparkSession, "robust").keep(df.select(*by, finite(F.col(value)).alias("x")).filter("x is not null"))
     ranks = selection.quantiles(d, "x", by, {"median": 0.5, "q1": 0.25, "q3": 0.75}, least, True)
     meds = ranks.select(*by, F.col("median").alias("m"))
-    dev = scans.join_on(d, meds, by) if by else _one(d, meds)
+    dev = scans.join_on(d, meds, by, "left") if by else _one(d, meds)  # rows, however small as written, are never what is broadcast
     mads = selection.quantiles(dev, F.abs(F.col("x") - F.col("m")), by, {"mad": 0.5}, least, True)
     flat = F.stddev_pop("x") < TINY
     sums = d.groupBy(*by).agg(

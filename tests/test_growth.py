@@ -105,3 +105,11 @@ def test_breaks_are_told_apart_before_they_are_cast(spark):
     rows = spark.range(4).selectExpr("0 as chain", "id", "id * 2 as sequence_number", *(f"'{c}' as {c}" for c in ("record_id", "input_hash", "model_hash", "config_hash", "output_hash", "nonce", "prev_record_hash", "record_hash")), "0L as timestamp_ns")
     gaps = provenance.verify_chain(rows, "chain", ["id"]).filter("break_type = 'SEQUENCE_GAP'").selectExpr("cast(expected as bigint) as e").collect()
     assert sorted(r.e for r in gaps) == [1, 3, 5]
+
+
+def test_quantiles_of_large_groups_are_a_written_table(spark):
+    rows = Store(spark, "growth").keep(spark.range(5000).selectExpr("id % 3 as g", "cast(id as double) as x"))
+    found = QUANTILES(rows, "x", ["g"], {"m": 0.5}, 10, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # so what joins it knows its size
+    assert sorted(map(tuple, found.collect())) == [(0, 2499.0), (1, 2500.0), (2, 2499.5)]
