@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +49,15 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         """Writes df once and returns the written table. What planning its queries has left on the driver's heap goes when that has grown
-        over HEAP_SHARE: hundreds of short queries, as on small tables, else take the heap to its limit."""
+        over HEAP_SHARE: hundreds of short queries, as on small tables, else take the heap to its limit. Memory that the driver has freed
+        beside its heap goes back to the system each time."""
         writer = df.write.mode("overwrite")
         (writer.option("compression", codec) if codec else writer).parquet(self.path(name))
         heap = self.spark._jvm.Runtime.getRuntime()
         if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
             self.tidy()
+        else:
+            trim_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -69,6 +73,21 @@ class Scratch:
             self.spark.range(0, 1, 1, 1).count()
         gc.collect()
         self.spark._jvm.System.gc()
+        trim_driver(self.spark)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM return native memory that it has freed, where it can (HotSpot on Linux, newer 17 and later). Its hundreds of
+    short-lived threads leave that in the C library's arenas, which else only grow from query to query."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    call = new(jvm.Object, 4)
+    try:
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call[2], call[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:
+        pass
 
 
 def give_back() -> None:

@@ -1,6 +1,10 @@
 """The pipeline's stages against brute force on the smallest tables, and on odd rows."""
 
+import gc
 import math
+import re
+import time
+from pathlib import Path
 
 import duckdb
 from test_scan import brute_leaks, plain_difference
@@ -110,3 +114,17 @@ def test_written_tables_shrink_a_grown_heap(spark, monkeypatch):
         monkeypatch.setattr(common, "HEAP_SHARE", share)
         assert common.Scratch(spark, "heap").keep(spark.range(9), "nine").count() == 9
     assert shrunk == [False]
+
+
+def test_written_tables_give_the_driver_s_free_memory_back(spark, monkeypatch):
+    jvm, pid, seen = spark._jvm, spark._jvm.java.lang.ProcessHandle.current().pid(), []
+    mb = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    monkeypatch.setattr(common, "trim_driver", lambda s, f=common.trim_driver: seen.extend((mb(), f(s), mb())))
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(1000)]
+    used = buffers[::50]  # they hold back the free memory between them
+    del buffers
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(2)
+    assert common.Scratch(spark, "native").keep(spark.range(9), "nine").count() == 9
+    assert len(used) == 20 and seen[0] - seen[-1] > 20
