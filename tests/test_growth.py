@@ -113,3 +113,53 @@ def test_quantiles_of_large_groups_are_a_written_table(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan  # so what joins it knows its size
     assert sorted(map(tuple, found.collect())) == [(0, 2499.0), (1, 2500.0), (2, 2499.5)]
+
+
+def discrepancy(x, side):
+    """(mmd, gamma) by numpy."""
+    d = np.stack([((x - v) ** 2).sum(1) for v in x])
+    up = np.triu_indices(len(x), 1)
+    gamma = 1 / np.median(d[up])
+    k, kind = np.exp(-gamma * d[up]), (side[:, None] + side[None])[up]
+    return max(0.0, k[kind == 0].mean() + k[kind == 2].mean() - 2 * k[kind == 1].mean()) ** 0.5, gamma
+
+
+def sided(spark, x, side):
+    return spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(side, x))], "id long, side int, v array<double>")
+
+
+def test_discrepancy_meets_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, side = np.concatenate([rng.normal(size=(700, 200)), rng.normal(0.4, 1, (500, 200))]), np.repeat([0, 1], [700, 500])
+    passes, pairs = [], kernels.Tiles.pairs
+    monkeypatch.setattr(kernels, "SAMPLE", 60)
+    monkeypatch.setattr(kernels, "FINISH", 100)
+    monkeypatch.setattr(kernels.Tiles, "pairs", lambda self, *a: passes.append(1) or pairs(self, *a))
+    got = kernels.mmd_exact(sided(spark, x, side), tile=512)
+    assert got[:2] == pytest.approx(discrepancy(x, side), abs=1e-9) and len(passes) == 1
+
+
+@pytest.mark.parametrize("kind", ["one-hot", "gap", "crowded"])
+def test_discrepancy_where_the_bracket_does_not_serve(spark, monkeypatch, kind):
+    rng = np.random.default_rng(9)
+    n, side = 301, np.arange(301) % 2
+    if kind == "one-hot":
+        x = np.eye(4)[rng.integers(0, 4, n)]
+    elif kind == "gap":  # half of the pairs are within a place, half between, so the median is far from any of the sample
+        x = rng.normal(size=(n, 3)) * 0.01 + np.where(rng.random(n) < 0.5, 0, 5)[:, None]
+    else:
+        x = rng.normal(size=(n, 3))
+        monkeypatch.setattr(kernels, "LISTED", 8)
+    monkeypatch.setattr(kernels, "SAMPLE", 40)
+    got = kernels.mmd_exact(sided(spark, x, side), tile=32)
+    assert got[:2] == pytest.approx(discrepancy(x, side), abs=1e-9)
+
+
+def test_values_are_selected_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "FINISH", 4)
+    v = np.repeat([0.0, 1e-300, 2.0, 2.0000000000000004, 3.0, 7.0, 7.5, 1e9], [1, 2, 3, 4, 5, 1, 1, 1])
+    df = spark.createDataFrame([(float(x), 1) for x in v], "value double, n long")
+    for r in range(len(v)):
+        assert kernels._at(df, [r]) == [v[r]]
+    assert kernels._at(df, [5, 6]) == [2.0, 2.0000000000000004] and kernels._at(df, [16, 17]) == [7.5, 1e9]
+    assert kernels._at(df, [-1]) is None and kernels._at(df, [len(v)]) is None and kernels._at(df.limit(0), [0]) is None
