@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from probity.functions.selection import quantiles as QUANTILES
-from probity.operators import duplicates, kernels, provenance
+from probity.operators import drift, duplicates, kernels, provenance
 from probity.operators.generators import precision_recall
 from probity.operators.neighbours import BYTES, block_count, nearest
 from probity.sources.tables import Store
@@ -163,3 +163,16 @@ def test_values_are_selected_by_rank(spark, monkeypatch):
         assert kernels._at(df, [r]) == [v[r]]
     assert kernels._at(df, [5, 6]) == [2.0, 2.0000000000000004] and kernels._at(df, [16, 17]) == [7.5, 1e9]
     assert kernels._at(df, [-1]) is None and kernels._at(df, [len(v)]) is None and kernels._at(df.limit(0), [0]) is None
+
+
+def test_drift_selects_medians_of_flat_properties_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(drift, "quantiles", lambda d, *a: seen.append({r.property for r in d.select("property").distinct().collect()}) or QUANTILES(d, *a))
+    rows = [(i % 2, float(i), 2.0 + (i % 2), None if i % 2 else float("inf")) for i in range(40)]
+    df = spark.createDataFrame(rows, "side int, moving double, still double, odd double")
+    got = drift.property_drift(df, ["moving", "still", "odd"])
+    assert {r.property: (r.baseline_mean, r.current_mean, r.zscore) for r in got.collect()} == {"moving": (19.0, 20.0, 1 / np.std(np.arange(0, 40, 2))), "still": (2.0, 3.0, 0.0)}
+    assert seen == [{"still"}] * 2
+    seen.clear()
+    drift.property_drift(df, ["moving"])
+    assert not seen and "Join" not in got._jdf.queryExecution().executedPlan().toString()
